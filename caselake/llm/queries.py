@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules
+from . import mixing, near_dups, quality_rules
 
 QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_near_dups": near_dups.op9_near_dups,
     "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLES = {
+    "op9_near_dups": near_dups.ORACLE_SQL,
     "op10_mixing": mixing.ORACLE_SQL,
 }
