@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dups, quality_classifier, quality_rules
+from . import mixing, near_dups, packing, quality_classifier, quality_rules
 
 QUERIES = {
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_near_dups": near_dups.op9_near_dups,
     "op10_mixing": mixing.op10_mixing,
