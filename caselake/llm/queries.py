@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dups, packing, quality_classifier, quality_rules
+from . import mixing, near_dups, packing, quality_classifier, quality_rules, warc
 
 QUERIES = {
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_warc": warc.op6_warc,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_near_dups": near_dups.op9_near_dups,
     "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLES = {
+    "op6_warc": warc.ORACLE_SQL,
     "op9_near_dups": near_dups.ORACLE_SQL,
     "op10_mixing": mixing.ORACLE_SQL,
 }
