@@ -58,22 +58,18 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP)
     )
 
 
-def mix_sources(docs: DataFrame, weight: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, cap: float = CAP) -> DataFrame:
+def mix_sources(docs: DataFrame, weight_of: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, cap: float = CAP) -> DataFrame:
     """doc_id, source, size, source_size, target, taken: the words of each document that the mix takes.
 
-    ``weight``: a column of docs with the positive quality weight (1 if not given). A document is taken whole,
+    ``weight_of``: positive quality weights (doc_id, weight), one row an id; others weigh UNLABELLED_WEIGHT. A document is taken whole,
     floor(target / source_size) times and once more if it stands at the front of the order: if no more than
     half of it lies beyond the rest of the target. So a source misses its target by half a document at most.
     """
-    sized = table(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-            es_key(F.col(id_col), F.lit(1.0) if weight is None else weight).alias("key"),
-        ),
-        "mix-sizes",
-    )
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+    if weight_of is not None:  # joined to the sizes, so that no text is shuffled
+        sized = sized.join(weight_of.select("doc_id", "weight"), "doc_id", "left")
+    weight = F.coalesce("weight", F.lit(UNLABELLED_WEIGHT)) if weight_of is not None else F.lit(1.0)
+    sized = table(sized.select("doc_id", "source", "size", es_key(F.col("doc_id"), weight).alias("key")), "mix-sizes")
     # One shuffle by (source, bucket) serves the prefix sums; the totals are a few rows for each bucket.
     buckets = max(16, sized.count() // ROWS_PER_BUCKET)
     placed = sized.withColumn("bucket", F.floor(F.lit(buckets) * F.col("key") / (1 + F.col("key"))).cast("int")).withColumn("name", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
@@ -95,16 +91,14 @@ def mix_sources(docs: DataFrame, weight: Column | None = None, *, id_col: str =
     )
 
 
-def label_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with a column mix_weight from labels.quality; of several labels of a document the lowest counts."""
-    by_id = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("mix_quality"))
-    w = F.coalesce(*[F.when(F.col("mix_quality") == q, F.lit(v)) for q, v in LABEL_WEIGHT.items()], F.lit(UNLABELLED_WEIGHT))
-    return docs.join(by_id, "doc_id", "left").withColumn("mix_weight", w).drop("mix_quality")
+def label_weights(labels: DataFrame) -> DataFrame:
+    """(doc_id, weight) from labels.quality; of several labels of a document the lowest counts."""
+    by_id = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return by_id.select("doc_id", F.coalesce(*[F.when(F.col("quality") == q, F.lit(v)) for q, v in LABEL_WEIGHT.items()], F.lit(UNLABELLED_WEIGHT)).alias("weight"))
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    mixed = mix_sources(label_weights(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), F.col("mix_weight"))
+    mixed = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"), label_weights(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
