@@ -161,16 +161,34 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, *, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document; held-out rows never enter the model."""
+def fit_on_labels(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS):
+    """The model as a broadcast variable; held-out rows never enter it."""
     quality = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     known = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     model = fit(known, quality.where(~held_out(F.col("doc_id"))), per_class)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.sparkSession.sparkContext.broadcast(model)
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, *, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
+    """doc_id, held_out, score, predicted for every document."""
+    shared = fit_on_labels(docs, labels, per_class)
     kind = dict(docs.dtypes)["doc_id"]
+    known = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     scored = known.mapInArrow(lambda it: _score(it, shared), f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def _keep(batches: Iterator[pa.RecordBatch], shared, threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        scored = pa.Table.from_batches(list(_score([pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text")], names=["doc_id", "text"])], shared)))
+        yield batch.filter(pa.array(scored["score"].to_numpy() >= threshold))
+
+
+def keep_predicted(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, whole, whose score reaches the threshold."""
+    shared = fit_on_labels(docs, labels)
+    return docs.mapInArrow(lambda it: _keep(it, shared, threshold), docs.schema)
+
+
 def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:
     return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

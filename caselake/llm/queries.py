@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dups, packing, quality_classifier, quality_rules, warc
+from . import mixing, near_dups, packing, pii, quality_classifier, quality_rules, warc
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_warc": warc.op6_warc,
