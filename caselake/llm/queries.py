@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dups, packing, pii, quality_classifier, quality_rules, warc
+from . import mixing, near_dups, packing, pii, quality_classifier, quality_rules, topk_search, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_warc": warc.op6_warc,
+    "op7_topk_search": topk_search.op7_topk_search,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_near_dups": near_dups.op9_near_dups,
     "op10_mixing": mixing.op10_mixing,
@@ -16,6 +17,7 @@ QUERIES = {
 
 ORACLES = {
     "op6_warc": warc.ORACLE_SQL,
+    "op7_topk_search": topk_search.ORACLE_SQL,
     "op9_near_dups": near_dups.ORACLE_SQL,
     "op10_mixing": mixing.ORACLE_SQL,
 }
