@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dups, packing, pii, quality_classifier, quality_rules, topk_search, warc
+from . import license_scan, mixing, near_dups, packing, pii, quality_classifier, quality_rules, token_counts, topk_search, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op2_license_scan": license_scan.op2_license_scan,
+    "op3_token_counts": token_counts.op3_token_counts,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_warc": warc.op6_warc,
