@@ -1,3 +1,3 @@
 """Registered queries: importing this package fills the registry."""
 
-from . import audit, kb  # noqa: F401
+from . import audit, cases, kb  # noqa: F401
