@@ -15,10 +15,11 @@ def pairs(spark, d):
     labels = read(spark, d, "labels").withColumnRenamed("doc_id", "pair_id")
     a = E.unpivot_ratings(labels, ["pair_id"], ["quality", "toxic"])
     other = labels.select("pair_id", F.when(F.col("toxic") == 1, 1 - F.col("quality")).otherwise(F.col("quality")).alias("quality"), F.when(F.col("quality") != 0, F.col("toxic")).alias("toxic"))
-    return E.rater_pairs(a, E.unpivot_ratings(other, ["pair_id"], ["quality", "toxic"]))
+    p = E.rater_pairs(a, E.unpivot_ratings(other, ["pair_id"], ["quality", "toxic"]))
+    return p.select("pair_id", "dim", F.col("score_a").cast("double").alias("score_a"), F.col("score_b").cast("double").alias("score_b"))
 
 
-@query("j19_rater_pairs", f"WITH {PAIRS} SELECT * FROM r")
+@query("j19_rater_pairs", f"WITH {PAIRS} SELECT pair_id, dim, CAST(score_a AS DOUBLE) AS score_a, CAST(score_b AS DOUBLE) AS score_b FROM r")
 def j19(spark, d):
     return pairs(spark, d)
 
@@ -38,10 +39,10 @@ def a23(spark, d):
     return E.score_distribution(pairs(spark, d).withColumnRenamed("score_b", "score"), [0, 1])
 
 
-@query("d12_reconciled", f"WITH {PAIRS} SELECT pair_id, dim, score_a, score_b, coalesce(CASE WHEN pair_id IN (SELECT page_id FROM pages) THEN 1 END, CASE WHEN score_a = score_b THEN score_a END) AS score FROM r")
+@query("d12_reconciled", f"WITH {PAIRS} SELECT pair_id, dim, CAST(score_a AS DOUBLE) AS score_a, CAST(score_b AS DOUBLE) AS score_b, CAST(coalesce(CASE WHEN pair_id IN (SELECT page_id FROM pages) THEN 1 END, CASE WHEN score_a = score_b THEN score_a END) AS DOUBLE) AS score FROM r")
 def d12(spark, d):
     p = pairs(spark, d)
-    chosen = p.select("pair_id", "dim").join(read(spark, d, "pages").select(F.col("page_id").alias("pair_id")), "pair_id", "left_semi").withColumn("score", F.lit(1))
+    chosen = p.select("pair_id", "dim").join(read(spark, d, "pages").select(F.col("page_id").alias("pair_id")), "pair_id", "left_semi").withColumn("score", F.lit(1.0))
     return E.reconciled(p, chosen).select("pair_id", "dim", "score_a", "score_b", "score")
 
 
