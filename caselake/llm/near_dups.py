@@ -5,10 +5,15 @@
    keeps its first (round, hash) value. So every bin fills, whatever the set's size, and two sketches agree in a
    bin with the sets' Jaccard similarity as probability, concentrated as for independent hashes.
 2. Texts with equal word sequences form classes; only the smallest id of a class goes on.
-3. Documents with an equal band key share a bucket. Buckets are never expanded into all their pairs: each bucket
-   has one leader a round, its members are verified against it on full shingle sets, and links merge components.
-   Only buckets that still hold several components go on; when the pairs between components of a bucket are few,
-   all of those are verified. A pair inside one component can't change the result, so no link is lost there.
+3. Documents with an equal band key share a bucket. Of each text in a bucket u counts the shingles that no other text
+   in any bucket holds; for texts of n and m shingles with u and v such, the similarity is at most
+   min(n - u, m - v) / max(n + v, m + u), and pairs that can't reach the threshold are left out before any text
+   is read. Buckets aren't expanded into all their pairs: each has a leader, the text with the least share of u,
+   and its members are verified against it on full shingle sets. Links merge components. Then what still lies apart
+   in a bucket is compared: in buckets of SMALL members or fewer, by the pairs that pass the bound; larger
+   buckets that share texts form clusters, and texts outside a cluster's largest component are compared with all its
+   texts in blocks, inside tasks, so no pair but a link is ever a row. A pair inside one component can't change
+   the result, so no link is lost.
 4. Links become components by minimum labels with pointer jumping over tables in the shared folder.
 
 With 30 bands of 5 bins a pair of similarity 0.8 shares no band with probability 7e-6, one of 0.9 with 1e-12.
@@ -34,8 +39,10 @@ from .common import drop_table, mix64, table, window_hashes, word_hashes
 BANDS, ROWS = 30, 5
 #: Members whose texts meet one copy of their leader's text.
 CHUNK = 128
-#: Rounds of leaders before the pairs between components are verified whatever their number.
-STAR_ROUNDS = 6
+#: Members of a bucket up to which its pairs are rows.
+SMALL = 64
+#: Texts that a block compares, and shingles of the texts they are compared with.
+BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1_000_000
 
 
 def shingle_set(words: list[bytes], n: int) -> np.ndarray:
@@ -121,6 +128,57 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return dealt.mapInArrow(lambda it: _verify(it, n, percent), "a long, b long").distinct()
 
 
+def _block_links(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block, members first: links of the block's other texts, one for each component they link to."""
+    held, ids, comps, sets, index = None, [], [], [], None
+    for batch in batches:
+        a_out, b_out = [], []
+        for block, stray, i, comp, data in zip(batch.column("block").to_pylist(), batch.column("stray").to_pylist(), batch.column("id").to_pylist(), batch.column("component").to_pylist(), _texts(batch), strict=True):
+            items = shingle_set((data or b"").lower().split(), n)
+            if block != held:
+                held, ids, comps, sets, index = block, [], [], [], None
+            if not stray:
+                ids.append(i)
+                comps.append(comp)
+                sets.append(items)
+                continue
+            if not sets:
+                continue
+            if index is None:
+                known, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+                size = np.array([len(x) for x in sets])
+                index = known, inverse, np.concatenate([[0], np.cumsum(size)[:-1]]), size, np.array(ids), np.array(comps)
+            known, inverse, starts, size, id_at, comp_at = index
+            at = np.searchsorted(known, items)
+            at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == items)]
+            mark = np.zeros(len(known), dtype=np.int32)
+            mark[at] = 1
+            common = np.add.reduceat(mark[inverse], starts)
+            linked = (100 * common >= percent * (size + len(items) - common)) & (comp_at != comp)
+            for k in np.unique(comp_at[linked], return_index=True)[1]:
+                a_out.append(i)
+                b_out.append(int(id_at[linked][k]))
+        yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+
+
+def cluster_links(rows: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """rows (key, id, n, own, component) of large buckets: links between components of the clusters these buckets form."""
+    star = rows.groupBy("key").agg(F.min("id").alias("a")).join(rows.select("key", F.col("id").alias("b")), "key").select("a", "b").distinct()
+    cluster = components(star)
+    each = table(rows.select("id", "n", "own", "component").distinct().join(cluster.withColumnRenamed("component", "cluster"), "id"), "dups-clusters")
+    by = each.groupBy("cluster", "component").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
+    of = by.groupBy("cluster").agg(F.max_by("component", F.struct("texts", "component")).alias("largest"), F.sum("texts").alias("texts"), F.max("texts").alias("most"), F.sum("shingles").alias("shingles"))
+    split = of.select("cluster", "largest", F.ceil((F.col("texts") - F.col("most")) / BLOCK_TEXTS).alias("ns"), F.ceil(F.col("shingles") / BLOCK_SHINGLES).alias("nm")).where("ns > 0")
+    told = each.join(split, "cluster")
+    block = lambda s, m: F.concat_ws(":", F.col("cluster").cast("string"), s.cast("string"), m.cast("string")).alias("block")
+    h = F.xxhash64("id")
+    strays = told.where((F.col("component") != F.col("largest")) & (100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))).withColumn("m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nm") - 1)))
+    members = told.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ns") - 1)))
+    need = members.select(block(F.col("s"), F.pmod(h, F.col("nm"))), F.lit(False).alias("stray"), "id", "component").unionByName(strays.select(block(F.pmod(h, F.col("ns")), F.col("m")), F.lit(True).alias("stray"), "id", "component"))
+    dealt = need.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select("block", "stray", "id", "component", "text").repartition("block").sortWithinPartitions("block", "stray", "id")
+    return dealt.mapInArrow(lambda it: _block_links(it, n, percent), "a long, b long").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(a, b) -> id, component: the smallest id reachable, for every id in a link."""
     both = table(links.select("a", "b").union(links.select("b", "a")).distinct(), "dups-links")
@@ -137,49 +195,64 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            sets = [shingle_set((data or b"").lower().split(), n) for data in _texts(part)]
+            ids = np.repeat(np.asarray(part.column("doc_id").to_numpy(), dtype=np.int64), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "h"])
+
+
+def own_shingles(texts: DataFrame, n: int) -> DataFrame:
+    """(id, own): how many of its shingles no other text holds; ids with several texts are left out."""
+    rows = texts.select("doc_id", "text").mapInArrow(lambda it: _shingle_rows(it, n), "id long, h long")
+    once = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
+    several = texts.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("c")).where("c > 1")
+    return once.groupBy("id").agg(F.count("*").alias("own")).join(several, "id", "left_anti")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (see the module's docstring)."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     made = table(texts.mapInArrow(lambda it: _sketches(it, shingle, bands, rows), "doc_id long, n_shingles long, words_key binary, bands array<long>"), "dups-sketches")
     linked = made.where("n_shingles > 0 and doc_id is not null")
-    classes = linked.groupBy("words_key").agg(F.min("doc_id").alias("node"))
+    classes = table(linked.groupBy("words_key").agg(F.min("doc_id").alias("node")), "dups-classes")
     nodes = linked.join(classes.withColumnRenamed("node", "doc_id"), ["words_key", "doc_id"], "left_semi")
     keyed = nodes.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    members = table(keyed.join(shared.select("key"), "key").select("key", F.col("doc_id").alias("id"), "n_shingles"), "dups-members")
-
-    def similar_size(x: str, y: str):
-        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
-
-    links, label, tried = None, None, None
-    split = members.withColumn("component", F.col("id"))
-    for turn in range(STAR_ROUNDS + 1):
-        if turn:
-            here = members.join(label.withColumnRenamed("component", "found"), "id", "left").select("key", "id", "n_shingles", F.coalesce("found", "id").alias("component"))
-            several = here.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-            split = table(here.join(several, "key", "left_semi"), "dups-split")
-            by_component = split.groupBy("key", "component").agg(F.count("*").alias("n"))
-            across = by_component.groupBy("key").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("n"))
-            between = across.agg(F.sum("n")).first()[0]
-            if not between:
-                break
-        last = turn == STAR_ROUNDS or (turn > 0 and between <= 4 * split.count())
-        x = split.select("key", F.col("id").alias("x"), F.col("n_shingles").alias("nx"), F.col("component").alias("cx"))
-        y = split.select("key", F.col("id").alias("y"), F.col("n_shingles").alias("ny"), F.col("component").alias("cy"))
-        if last:
-            pairs = x.join(y, "key").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & similar_size("nx", "ny")).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        else:
-            first = F.min(F.struct(F.when(F.lit(turn == 0), F.col("x")).otherwise(F.xxhash64("x", F.lit(turn))).alias("rank"), "x", "nx", "cx")).alias("lead")
-            lead = x.groupBy("key").agg(first).select("key", "lead.x", "lead.nx", "lead.cx")
-            pairs = y.join(lead, "key").where((F.col("x") != F.col("y")) & (F.col("cx") != F.col("cy")) & similar_size("nx", "ny")).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        pairs = table((pairs.distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti")), "dups-pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = table(verified(pairs, texts, shingle, percent), "dups-found")
-        links = found if links is None else links.unionByName(found)
-        label = components(links)
-        if last:
-            break
-    node_of = classes if label is None else classes.join(label, classes["node"] == label["id"], "left").select("words_key", F.coalesce("component", "node").alias("node"))
+    found = table(keyed.join(shared.select("key"), "key").select("key", F.col("doc_id").alias("id"), F.col("n_shingles").alias("n")), "dups-buckets")
+    # Texts of bucket members are fetched once; by a sort-merge join at any size, so that work grows evenly.
+    inside = table(texts.join(found.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "dups-texts")
+    own = own_shingles(inside, shingle)
+    members = table(found.join(own, "id", "left").select("key", "id", "n", F.coalesce("own", F.lit(0)).alias("own")), "dups-members")
+    drop_table(found)
+
+    def may_link() -> F.Column:
+        shared_most = F.least(F.col("n") - F.col("own"), F.col("n2") - F.col("own2"))
+        return 100 * shared_most >= percent * F.greatest(F.col("n") + F.col("own2"), F.col("n2") + F.col("own"))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        return table(verified(table(pairs.select("a", "b").distinct(), "dups-pairs"), inside, shingle, percent), "dups-found")
+
+    other = members.select("key", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("own").alias("own2"))
+    first = F.min(F.struct(F.floor(1000 * F.col("own") / F.col("n")).alias("rank"), "id", "n", "own")).alias("lead")
+    lead = members.groupBy("key").agg(first).select("key", F.col("lead.id").alias("a"), "lead.n", "lead.own")
+    links = checked(lead.join(other, "key").where(may_link() & (F.col("a") != F.col("b"))))
+    label = components(links)
+    here = members.join(label.withColumnRenamed("component", "found"), "id", "left").select("key", "id", "n", "own", F.coalesce("found", "id").alias("component"))
+    several = here.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low < high").select("key", "members")
+    split = table(here.join(several, "key"), "dups-split")
+    few = split.where(F.col("members") <= SMALL)
+    beside = few.select("key", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("own").alias("own2"), F.col("component").alias("component2"))
+    across = few.withColumnRenamed("id", "a").join(beside, "key").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("component2")) & may_link())
+    more = checked(across)
+    large = split.where(F.col("members") > SMALL).drop("members")
+    if large.limit(1).count():
+        more = table(more.unionByName(cluster_links(large, inside, shingle, percent)), "dups-found")
+    if more.limit(1).count():
+        label = components(links.unionByName(more))
+    node_of = classes.join(label, classes["node"] == label["id"], "left").select("words_key", F.coalesce("component", "node").alias("node"))
     slim = made.select("doc_id", "n_shingles", "words_key")
     with_class = slim.where("n_shingles > 0 and doc_id is not null").join(node_of, "words_key").select("doc_id", "n_shingles", F.col("node").alias("component_id"))
     alone = slim.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
