@@ -7,7 +7,7 @@ whatever the corpus), which goes to every task. A document's cosine products wit
 exactly, in blocks of documents; its K nearest vote, weighted by similarity. The score is the share of label 1.
 
 The sample holds each distinct text once and as many texts of either label, so that copies and the common label
-don't outvote the rest. Only labels and texts of the training rows enter the model; lang, source, doc_id don't.
+don't outvote the rest; where one label has fewer, its votes weigh as much more. Only labels and texts of the training rows enter the model; lang, source, doc_id don't.
 
 Defined cases: a null or empty text, or one without a known term, scores 0 (no content to vouch for); ties among
 neighbours go to the earlier sample row; rows that repeat an id are scored each; with no labelled row of one
@@ -113,6 +113,8 @@ class Model:
         k = min(K, near.shape[1])
         best = np.argsort(-near, axis=1, kind="stable")[:, :k] if near.shape[1] <= 64 else _top(near, k)
         sims = np.maximum(np.take_along_axis(near, best, axis=1), 0) ** 4
+        ones = float(self.labels.sum())
+        sims = sims * np.where(self.labels[best] == 1, 1.0, ones / max(1.0, len(self.labels) - ones) if ones else 1.0)
         total = sims.sum(axis=1)
         votes = (sims * self.labels[best]).sum(axis=1)
         return np.where(counts.any(axis=1) & (total > 0), votes / np.where(total > 0, total, 1), 0.0).clip(0, 1)
