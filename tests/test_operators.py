@@ -194,3 +194,16 @@ def test_readers(spark, tmp_path):
     found = io.hash_inputs(spark, str(tmp_path))
     told = {r["name"]: r["verdict"] for r in io.verify_inputs(found, spark.createDataFrame([("kb.jsonl", "0"), ("gone", "0")], "name string, sha256 string")).collect()}
     assert told == {"kb.jsonl": "changed", "gone": "missing"}
+
+
+@pytest.mark.parametrize("word,want", [("ИНН", "инн"), ("договоры", "договор"), ("договоров", "договор"), ("прайс-листы", "прайс-лист"), ("YML-12", "yml-12"), ("регистрация", "регистрац"), ("подписать", "подписа"), ("ё", "е")])
+def test_normal_tokens(word, want):
+    from caselake.functions.russian import normalise
+
+    assert normalise(word) == want
+
+
+def test_clean_text():
+    from caselake.functions.russian import clean
+
+    assert clean("Первая строка\nпродолжение\n\n\n1. Пункт\r\nТекст.\nНовый  текст") == "Первая строка продолжение\n\n1. Пункт Текст.\nНовый текст"
