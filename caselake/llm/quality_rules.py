@@ -94,7 +94,8 @@ def bangs_per_word(t: Text) -> bool:
 
 
 def duplicate_line_share(t: Text) -> bool:
-    return count_duplicate_lines(t.lines) > 0.3 * len(t.lines)
+    # a share of few lines says little
+    return len(t.lines) >= 5 and count_duplicate_lines(t.lines) > 0.3 * len(t.lines)
 
 
 def adjacent_word_repeats(t: Text) -> bool:
