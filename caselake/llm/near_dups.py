@@ -11,8 +11,8 @@
    is read. Buckets aren't expanded into all their pairs: each has a leader, the text with the least share of u,
    and its members are verified against it on full shingle sets. Links merge components. Then what still lies apart
    in a bucket is compared: in buckets of SMALL members or fewer, by the pairs that pass the bound; larger
-   buckets that share texts form clusters, and texts outside a cluster's largest component are compared with all its
-   texts in blocks, inside tasks, so no pair but a link is ever a row. A pair inside one component can't change
+   buckets with leaders of one component form a cluster, and its texts outside that component are compared with all
+   its texts in blocks, inside tasks, so no pair but a link is ever a row. A pair inside one component can't change
    the result, so no link is lost.
 4. Links become components by minimum labels with pointer jumping over tables in the shared folder.
 
@@ -162,17 +162,17 @@ def _block_links(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Ite
 
 
 def cluster_links(rows: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """rows (key, id, n, own, component) of large buckets: links between components of the clusters these buckets form."""
-    star = rows.groupBy("key").agg(F.min("id").alias("a")).join(rows.select("key", F.col("id").alias("b")), "key").select("a", "b").distinct()
-    cluster = components(star)
-    each = table(rows.select("id", "n", "own", "component").distinct().join(cluster.withColumnRenamed("component", "cluster"), "id"), "dups-clusters")
-    by = each.groupBy("cluster", "component").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
-    of = by.groupBy("cluster").agg(F.max_by("component", F.struct("texts", "component")).alias("largest"), F.sum("texts").alias("texts"), F.max("texts").alias("most"), F.sum("shingles").alias("shingles"))
-    split = of.select("cluster", "largest", F.ceil((F.col("texts") - F.col("most")) / BLOCK_TEXTS).alias("ns"), F.ceil(F.col("shingles") / BLOCK_SHINGLES).alias("nm")).where("ns > 0")
+    """rows (key, id, n, own, component) of large buckets: links between the components in them.
+
+    Buckets whose leaders lie in one component form a cluster; its texts outside that component meet all its texts."""
+    lead = rows.groupBy("key").agg(F.min_by("component", F.struct(F.floor(1000 * F.col("own") / F.col("n")), "id")).alias("cluster"))
+    each = table(rows.join(lead, "key").select("cluster", "id", "n", "own", "component").distinct(), "dups-clusters")
+    of = each.groupBy("cluster").agg(F.count_if(F.col("component") != F.col("cluster")).alias("strays"), F.sum("n").alias("shingles"))
+    split = of.where("strays > 0").select("cluster", F.ceil(F.col("strays") / BLOCK_TEXTS).alias("ns"), F.ceil(F.col("shingles") / BLOCK_SHINGLES).alias("nm"))
     told = each.join(split, "cluster")
     block = lambda s, m: F.concat_ws(":", F.col("cluster").cast("string"), s.cast("string"), m.cast("string")).alias("block")
     h = F.xxhash64("id")
-    strays = told.where((F.col("component") != F.col("largest")) & (100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))).withColumn("m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nm") - 1)))
+    strays = told.where((F.col("component") != F.col("cluster")) & (100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))).withColumn("m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nm") - 1)))
     members = told.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ns") - 1)))
     need = members.select(block(F.col("s"), F.pmod(h, F.col("nm"))), F.lit(False).alias("stray"), "id", "component").unionByName(strays.select(block(F.pmod(h, F.col("ns")), F.col("m")), F.lit(True).alias("stray"), "id", "component"))
     dealt = need.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select("block", "stray", "id", "component", "text").repartition("block").sortWithinPartitions("block", "stray", "id")

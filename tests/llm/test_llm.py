@@ -378,9 +378,10 @@ def near_rows():
     return rows + [(20 + i, " ".join(word() for _ in range(60))) for i in range(20)]
 
 
-def test_near_duplicates(spark):
+def test_near_duplicates(spark, monkeypatch):
     rows = near_rows()
-    for n in (4, 5):
+    for n, small in ((4, near_dups.SMALL), (5, 3), (4, 1)):  # the pairs of small buckets, and blocks for all
+        monkeypatch.setattr(near_dups, "SMALL", small)
         got = near_dups.near_duplicates(docs_of(spark, rows), shingle=n).collect()
         assert sorted(map(tuple, got)) == brute_components(rows, n)
 
