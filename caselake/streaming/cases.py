@@ -97,7 +97,8 @@ def fold_stream(events: DataFrame) -> DataFrame:
 def recover(requests: DataFrame, deadline: Column) -> DataFrame:
     """Requests in flight past the deadline become retryable errors."""
     late = F.col("status").isin("queued", "processing") & (F.col("created_at") < deadline)
-    return requests.withColumn("error_code", F.when(late, "RESTARTED")).withColumn("status", F.when(late, "error").otherwise(F.col("status"))).withColumn("error_retryable", late)
+    told = {"error_retryable": late, "error_code": F.when(late, "RESTARTED"), "status": F.when(late, "error").otherwise(F.col("status"))}
+    return requests.withColumns(told)  # all from the status before
 
 
 def windowed_metrics(events: DataFrame, *, ts: str = "ts", by: str = "event_type", size: str = "1 hour", slide: str | None = None, late: str = "1 hour") -> DataFrame:
