@@ -60,7 +60,17 @@ class HashedWords(dict):
         return h
 
 
-_words = HashedWords()
+_cache: dict = {}
+
+
+def worker_cache(name: object, make):
+    """The cache of that name in this worker process. Workers outlive tasks, so a new cache replaces the one before it."""
+    if name not in _cache:
+        _cache.clear()
+        _cache[name] = make()
+    return _cache[name]
+
+
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 
 
@@ -74,7 +84,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
+    return np.fromiter(map(worker_cache("words", HashedWords).__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:

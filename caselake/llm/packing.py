@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, worker_cache
 
 LENGTH = 2048
 BLOCK_ITEMS = 4096
@@ -78,14 +78,9 @@ class ChunkTokenizer:
             at = cut
 
 
-_tokenizers: dict[str, ChunkTokenizer] = {}
-
-
 def tokenizer(path: str) -> ChunkTokenizer:
     """One a worker process, kept from task to task."""
-    if path not in _tokenizers:
-        _tokenizers[path] = ChunkTokenizer(path)
-    return _tokenizers[path]
+    return worker_cache(path, lambda: ChunkTokenizer(path))
 
 
 def tokenizer_path(name: str) -> str:
