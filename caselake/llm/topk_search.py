@@ -63,7 +63,9 @@ def nearest(codes: DataFrame, queries: DataFrame, *, k: int = K, n_segments: int
         own = open_queries.select("query_id", "query_code", F.explode(segments(F.col("query_code"), n_segments)).alias("s"))
         probes = own.select("query_id", "query_code", F.col("s.segment").alias("segment"), F.col("s.value").alias("own")).join(F.broadcast(flips), how="cross").select("query_id", "query_code", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))  # the masks of a radius: 12,870 rows at most
         found = probes.join(index, ["segment", "value"]).select("query_id", "code", "ids", F.bit_count(F.col("query_code").bitwiseXOR(F.col("code"))).cast("int").alias("distance")).distinct()
-        rows = found.select("query_id", "distance", F.explode("ids").alias("id"))
+        # A code among the k nearest ids' codes is among the k nearest codes by (distance, smallest id).
+        near = _top(found.withColumn("id", F.get("ids", F.lit(0))), k).drop("id")
+        rows = near.select("query_id", "distance", F.explode("ids").alias("id"))
         pool = rows if best is None else rows.unionByName(best.join(open_queries.select("query_id"), "query_id", "left_semi").select("query_id", "distance", "id"))
         top = _top(pool.distinct(), k)
         best = table(top, "topk-best")
