@@ -43,7 +43,8 @@ MAY_HOLD = {
     "card": r"[0-9](?:[\x20-]?+[0-9]){13}",
     "phone": r"\+[0-9][\x20().0-9-]",
 }
-PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+#: 0 to 255 with any zeros before; the zeros may be the whole part.
+PART = "(?=[0-9])0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])?"
 SPAN = "struct<start: bigint, kind: int, end: bigint, value: string>"
 
 

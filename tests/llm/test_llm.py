@@ -101,6 +101,15 @@ def test_sanitise(spark):
     assert pii.find_pii(df.where("false")).count() == 0
 
 
+def test_pii_zero_octets(spark):
+    rows = [(1, "10.0.0.1 127.0.0.1"), (2, "at 192.168.0.5, 0.0.0.0 and 8.8.8.8"), (3, "1.2.3.000 0001.02.3.255 00.0.0.00 010.1.1.1"), (4, "0.0.0.256 300.0.0.1 0.0.0 0.0.0.00256 1.1.1.999")]
+    got = {r["doc_id"]: r for r in pii.find_pii(docs_of(spark, rows)).collect()}
+    assert [got[i]["n_ip"] for i in (1, 2, 3, 4)] == [2, 3, 4, 0]
+    assert sorted((i, r["base_sha256"], r["spans"]) for i, r in got.items()) == sorted(brute_pii(rows))
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs_of(spark, rows)).collect()}
+    assert clean[1] == "[IP] [IP]" and clean[2] == "at [IP], [IP] and [IP]" and clean[4] == rows[3][1]
+
+
 # --- 2 licences
 
 
