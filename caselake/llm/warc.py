@@ -13,8 +13,8 @@ those of the successful tasks, so lost or repeated tasks leave nothing in the ar
 response, those with equal payloads are revisit records that refer to it.
 
 Defined cases: a null html is an empty payload; a null url leaves WARC-Target-URI out; rows with a null page_id
-are response records; rows that repeat the smallest page_id are all response; equal payloads below MIN_REVISIT bytes
-are all response; an empty table writes no record; columns other than page_id, url and html are ignored. A file
+are response records; rows that repeat the smallest page_id are all response; of rows that repeat an id with other
+html each is judged by its own payload; equal payloads below MIN_REVISIT bytes are all response; an empty table writes no record; columns other than page_id, url and html are ignored. A file
 that ends within a record raises an error.
 """
 
@@ -318,16 +318,17 @@ def archive_pages(pages: DataFrame, path: str) -> None:
     digest, n = F.sha2(body.cast("binary"), 256), F.octet_length(body).cast("long")
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.unhex(digest).alias("key"), n.alias("n")).where(F.col("n") >= MIN_REVISIT)
     first = keyed.groupBy("key").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last").drop("last")
-    # Only ids go through the join by payload; Spark splits its skewed keys. Pages meet it by id.
-    again = keyed.join(first, "key").where("page_id > refers_to").select("page_id", "refers_to").distinct()
-    all_pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("body"))
-    told = all_pages.join(again, "page_id", "left")
+    # Only ids go through the join by payload; Spark splits its skewed keys. Pages meet it by id and digest, as an id
+    # can repeat with other html.
+    again = keyed.join(first, "key").where("page_id > refers_to").select("page_id", "key", "refers_to").distinct()
+    all_pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("body"), F.unhex(digest).alias("key"))
+    told = all_pages.join(again, ["page_id", "key"], "left")
     urn = lambda c: F.concat(F.lit(PAGE_URN), F.coalesce(F.col(c).cast("string"), F.lit("")))
     records = told.select(
         urn("page_id").alias("record_id"),
         F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("record_type"),
         F.col("url").alias("target_uri"),
-        F.sha2(F.col("body").cast("binary"), 256).alias("payload_digest"),
+        F.lower(F.hex("key")).alias("payload_digest"),
         F.when(F.col("refers_to").isNotNull(), urn("refers_to")).alias("refers_to"),
         F.octet_length("body").cast("long").alias("payload_bytes"),
         F.when(F.col("refers_to").isNull(), F.col("body").cast("binary")).alias("payload"),

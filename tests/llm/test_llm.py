@@ -273,6 +273,22 @@ def test_warc_edges(spark, tmp_path):
     assert not list(Path(tmp_path, "w").glob("*.inprogress"))
 
 
+def test_warc_repeated_ids_with_other_html(spark, tmp_path):
+    a, b, c = "a" * 200, "b" * 200, "c" * 200
+    rows = [(1, a), (2, c), (5, a), (5, b), (5, "short"), (5, c), (7, b), (7, a), (7, a), (None, a), (None, b)]
+    warc.register(spark)
+    path = str(tmp_path / "w")
+    warc.archive_pages(spark.createDataFrame([(i, f"http://u/{i}", h) for i, h in rows], "page_id long, url string, html string"), path)
+    full = spark.read.format("warc").load(path).collect()
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    first = {a: 1, b: 5, c: 2}
+    want = [(f"urn:page:{'' if i is None else i}", sha(h), f"urn:page:{first[h]}" if i is not None and h in first and i > first[h] else None) for i, h in rows]
+    assert sorted(map(str, ((r["record_id"], r["payload_digest"], r["refers_to"]) for r in full))) == sorted(map(str, want))
+    assert {bytes(r["payload"]).decode() for r in full if r["record_type"] == "response"} == {a, b, c, "short"}
+    held = {(r["record_id"], r["payload_digest"]) for r in full if r["record_type"] == "response"}
+    assert all((r["refers_to"], r["payload_digest"]) in held for r in full if r["record_type"] == "revisit")
+
+
 def test_warc_plain_and_foreign_files(spark, tmp_path):
     import gzip
 
