@@ -143,6 +143,18 @@ def test_license_brute(spark):
     assert got == want and any(want.values())
 
 
+def test_license_headers_and_full_texts(spark):
+    full = {f.name.removesuffix(".txt"): f.read_text() for f in (Path(license_scan.__file__).parent / "licenses").iterdir()}
+    gpl = "/* foo.c - frobnicates widgets\n * Copyright (C) 2021 Jane Doe <jane@example.org>\n *\n * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation; either version 2 of the License, or\n * (at your option) any later version.\n *\n * This program is distributed in the hope that it will be useful,\n * but WITHOUT ANY WARRANTY; without even the implied warranty of\n * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the\n * GNU General Public License for more details.\n */\n\nint main(void) { return 0; }"
+    apache = "# Copyright 2020 Acme\n\n# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n\n# You may obtain a copy of the License at\n\n#     http://www.apache.org/licenses/LICENSE-2.0\n\nimport os\nprint(os.sep)"
+    rows = [(f"/{n}/LICENSE", x, n) for n, x in full.items()] + [("/h/a.c", gpl, "GPL-2.0"), ("/h/b.py", apache, "Apache-2.0"), ("/h/c.js", "// SPDX-License-Identifier: MIT\nlet widget = frob(17)\nwidget.run()", "MIT"), ("/h/d", "The licensee said that the museum copyright was long over and went home", None)]
+    rows += [("/m/LICENSE", full["MIT"].replace("<year> <copyright holders>", "2019 Jane Doe"), "MIT"), ("/m/src/x", "plain words", None)]
+    got = {r["path"]: r for r in license_scan.scan(spark.createDataFrame([r[:2] for r in rows], "path string, text string")).collect()}
+    assert {p: r["own_license"] for p, r in got.items()} == {p: n for p, _, n in rows}
+    assert got["/m/src/x"]["license"] == "MIT" and got["/m/src/x"]["inherited_from"] == "/m"
+    assert license_scan.scan(spark.createDataFrame([("/n/LICENSE", license_scan.long_templates()["CC-BY-NC-4.0|full"])], "path string, text string")).first()["license"] == "CC-BY-NC-4.0"
+
+
 # --- 3 token counts
 
 
