@@ -58,18 +58,20 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP)
     )
 
 
-def mix_sources(docs: DataFrame, weight_of: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, cap: float = CAP) -> DataFrame:
+def mix_sources(docs: DataFrame, weight_of: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None, weights: tuple = WEIGHTS, cap: float = CAP) -> DataFrame:
     """doc_id, source, size, source_size, target, taken: the words of each document that the mix takes.
 
     ``weight_of``: positive quality weights (doc_id, weight), one row an id; others weigh UNLABELLED_WEIGHT. A document is taken whole,
     floor(target / source_size) times and once more if it stands at the front of the order: if no more than
     half of it lies beyond the rest of the target. So a source misses its target by half a document at most.
+    ``row_col``: a column with a number of each row, passed on, by which rows that share an id can be told apart.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+    row = [row_col] if row_col else []
+    sized = docs.select(*row, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
     if weight_of is not None:  # joined to the sizes, so that no text is shuffled
         sized = sized.join(weight_of.select("doc_id", "weight"), "doc_id", "left")
     weight = F.coalesce("weight", F.lit(UNLABELLED_WEIGHT)) if weight_of is not None else F.lit(1.0)
-    sized = table(sized.select("doc_id", "source", "size", es_key(F.col("doc_id"), weight).alias("key")), "mix-sizes")
+    sized = table(sized.select(*row, "doc_id", "source", "size", es_key(F.col("doc_id"), weight).alias("key")), "mix-sizes")
     # One shuffle by (source, bucket) serves the prefix sums; the totals are a few rows for each bucket.
     buckets = max(16, sized.count() // ROWS_PER_BUCKET)
     placed = sized.withColumn("bucket", F.floor(F.lit(buckets) * F.col("key") / (1 + F.col("key"))).cast("int")).withColumn("name", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
@@ -79,7 +81,7 @@ def mix_sources(docs: DataFrame, weight_of: DataFrame | None = None, *, id_col:
     starts = sums.select("name", "bucket", (F.sum("sum").over(earlier) - F.col("sum")).alias("start"))
     named = targets.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("name"), "source_size", "target")
     starts = starts.join(named, "name")
-    within = Window.partitionBy("name", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("name", "bucket").orderBy("key", "doc_id", *row).rowsBetween(Window.unboundedPreceding, 0)
     ahead = placed.withColumn("ahead", F.sum("size").over(within) - F.col("size"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
@@ -87,7 +89,7 @@ def mix_sources(docs: DataFrame, weight_of: DataFrame | None = None, *, id_col:
     return (
         ahead.join(starts, ["name", "bucket"])
         .withColumn("epochs", epochs)
-        .select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + once)).cast("long").alias("taken"), (F.col("epochs") + once).cast("int").alias("copies"))
+        .select(*row, "doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + once)).cast("long").alias("taken"), (F.col("epochs") + once).cast("int").alias("copies"))
     )
 
 

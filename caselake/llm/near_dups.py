@@ -238,7 +238,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     other = members.select("key", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("own").alias("own2"))
     first = F.min(F.struct(F.floor(1000 * F.col("own") / F.col("n")).alias("rank"), "id", "n", "own")).alias("lead")
     lead = members.groupBy("key").agg(first).select("key", F.col("lead.id").alias("a"), "lead.n", "lead.own")
-    links = checked(lead.join(other, "key").where(may_link() & (F.col("a") != F.col("b"))))
+    found_links = checked(lead.join(other, "key").where(may_link() & (F.col("a") != F.col("b"))))
+    # Rows of an id with several word sequences are one node: all classes they belong to are linked through the id.
+    spread = linked.groupBy("doc_id").agg(F.min("words_key").alias("low"), F.max("words_key").alias("high")).where("low < high").select("doc_id")
+    id_links = linked.select("doc_id", "words_key").join(spread, "doc_id").join(classes, "words_key").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
+    links = found_links.unionByName(table(id_links, "dups-id-links"))
     label = components(links)
     here = members.join(label.withColumnRenamed("component", "found"), "id", "left").select("key", "id", "n", "own", F.coalesce("found", "id").alias("component"))
     several = here.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low < high").select("key", "members")

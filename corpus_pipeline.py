@@ -23,10 +23,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_predicted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+ROW = "pipeline_row"
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a number of each row, as ids may repeat or be null."""
+    return table(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates: that with the smallest id, null last.
+
+    Rows are compared by row number, so copies with equal or null ids are a group like any other, and different texts
+    of one id are judged apart. Among equal ids the text's hash decides, then the row number."""
+    rows = numbered(docs, "pipeline-near_dups-rows")
+    found = near_duplicates(rows, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", F.xxhash64("text").alias("h"), ROW)
+    first = rows.select(ROW, rank.alias("rank")).join(found.hint("merge"), ROW).groupBy("component_id").agg(F.min("rank").alias("rank"))
+    return rows.join(first.select(F.col(f"rank.{ROW}").alias(ROW)).hint("merge"), ROW, "left_semi").select(*docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +50,10 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: a row for each copy."""
-    mixed = mix_sources(docs, label_weights(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    copies = mixed.where("copies > 0").groupBy(F.col("doc_id").alias("mix_id")).agg(F.max("copies").alias("mix_copies"))
-    taken = docs.join(copies.hint("merge"), docs["doc_id"].eqNullSafe(copies["mix_id"]))
+    rows = numbered(docs, "pipeline-mixing-rows")
+    mixed = mix_sources(rows, label_weights(spark.read.parquet(f"{sf_dir}/labels.parquet")), row_col=ROW)
+    copies = mixed.where("copies > 0").select(ROW, F.col("copies").alias("mix_copies"))
+    taken = rows.join(copies.hint("merge"), ROW)
     return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
 
 

@@ -430,6 +430,12 @@ def test_near_duplicate_edges(spark):
     assert near_dups.near_duplicates(docs_of(spark, rows).where("false")).count() == 0
 
 
+def test_classes_that_share_an_id(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    got = near_dups.near_duplicates(docs_of(spark, [(5, x), (5, y), (2, x), (9, y), (7, z), (9, z)])).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(2, 2, True), (5, 2, False), (5, 2, False), (7, 2, False), (9, 2, False), (9, 2, False)]
+
+
 # --- 10 mixing
 
 
@@ -485,3 +491,20 @@ def test_pipeline(spark):
     assert Counter(r["doc_id"] for r in mixed.collect()) == Counter({k: v for k, v in copies.items() if v})
     packed = p.run(spark, SF).collect()
     assert Counter((r["doc_id"]) for r in packed if r["piece"] == 0) == Counter({k: v for k, v in copies.items() if v})
+
+
+def test_pipeline_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
+    rows = [(1, a), (1, a), (None, a), (None, b), (None, b), (7, c), (7, d), (3, c + " end"), (8, d), (8, d)]
+    got = corpus_pipeline.near_dups(spark, docs_of(spark, rows, False), SF).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("1", a), ("None", b), ("3", c + " end"), ("7", d)])
+    docs = docs_of(spark, [(i // 3 if i % 4 else None, "w " * (i % 5 + 1), "pqr"[i % 3]) for i in range(200)], False)
+    want = Counter()
+    for r in mixing.mix_sources(docs, mixing.label_weights(spark.read.parquet(f"{SF}/labels.parquet"))).collect():
+        want[r["source"]] += r["taken"]
+    have = Counter()
+    for r in corpus_pipeline.mix(spark, docs, SF).collect():
+        have[r["source"]] += len(r["text"].split())
+    assert all(abs(have[s] - want[s]) <= 5 for s in want) and set(have) == set(want)
