@@ -13,6 +13,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ MESSAGE_CAP = 98
 TERMINAL = ("resolved", "closed_policy")
 EVENT = "case_id long, event_id long, ts timestamp, kind string, request_key string, body_hash string, expected_version long, useful boolean, solved boolean"
 RESULT = "case_id long, event_id long, accepted boolean, reason string, version long, status string, ticket string, cancelled string"
+RESULT_ARROW = pa.schema([("case_id", pa.int64()), ("event_id", pa.int64()), ("accepted", pa.bool_()), ("reason", pa.string()), ("version", pa.int64()), ("status", pa.string()), ("ticket", pa.string()), ("cancelled", pa.string())])
 NEW = {"status": "new", "version": 0, "active": None, "answer": None, "ticket": None, "messages": 0, "seen": {}, "feedback": {}}
 
 
@@ -77,9 +79,24 @@ def fold(case_id: int, events: pd.DataFrame, state: dict) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["case_id", "event_id", "accepted", "reason", "version", "status", "ticket", "cancelled"])
 
 
+def fold_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fold over rows in order of (case_id, ts, event_id): a batch in, its rows out; only the state is carried on."""
+    held, state = object(), {}
+    for batch in batches:
+        out = []
+        for e in batch.to_pylist():
+            if e["case_id"] != held:
+                held, state = e["case_id"], json.loads(json.dumps(NEW))
+            ok, why, cancelled = apply_event(state, e)
+            out.append((held, e["event_id"], ok, why, state["version"], state["status"], state["ticket"], cancelled))
+        columns = zip(*out, strict=True) if out else [()] * len(RESULT_ARROW)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, RESULT_ARROW, strict=True)], schema=RESULT_ARROW)
+
+
 def fold_batch(events: DataFrame) -> DataFrame:
-    """The fold over all events at once; a group is one case, whose messages are capped."""
-    return events.groupBy("case_id").applyInPandas(lambda pdf: fold(int(pdf["case_id"].iloc[0]), pdf, json.loads(json.dumps(NEW))), RESULT)
+    """The fold over all events at once. A case is sorted by Spark, which can spill, and never held whole in Python."""
+    ordered = events.repartition("case_id").sortWithinPartitions("case_id", F.col("ts").asc_nulls_last(), F.col("event_id").asc_nulls_last())
+    return ordered.mapInArrow(fold_sorted, RESULT)
 
 
 def fold_stream(events: DataFrame) -> DataFrame:

@@ -173,6 +173,27 @@ def test_case_fold(spark):
     assert got[4]["cancelled"] == "k1" and got[-1]["status"] == "resolved" and got[-1]["version"] == 4
 
 
+def test_case_fold_holds_one_batch(spark):
+    import pyarrow as pa
+
+    fields = [f.split() for f in S.EVENT.split(", ")]
+    rows = [dict.fromkeys([n for n, _ in fields]) | {"case_id": c, "event_id": i, "kind": "message", "request_key": f"r{i}", "body_hash": "h"} for c in (1, 2) for i in range(5)]
+    schema = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "timestamp": pa.timestamp("us")}[t]) for n, t in fields])
+    read = []
+
+    def batches():
+        for at in range(0, 10, 3):
+            read.append(at)
+            yield pa.RecordBatch.from_pylist(rows[at : at + 3], schema=schema)
+
+    folded = S.fold_sorted(batches())
+    first = next(folded)
+    assert first.num_rows == 3 and read == [0]
+    versions = first.column("version").to_pylist() + [v for b in folded for v in b.column("version").to_pylist()]
+    assert versions == [1, 2, 3, 4, 5] * 2
+
+
+
 def test_stream_equals_batch(spark):
     from oracle import SF
 
