@@ -7,7 +7,8 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Java form of a word: a run of characters other than space and TAB..CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,10 +17,12 @@ _local_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset a temporary one, in local mode only."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _local_dir:
         _local_dir.append(tempfile.mkdtemp(prefix="caselake-"))
     return _local_dir[0]
@@ -46,6 +49,25 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key with more than this share of all rows is split in pieces of about that share.
+HOT_SHARE = 1 / 1000
+
+
+def split_join(many: DataFrame, few: DataFrame, on: list[str], counts: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """many joined to few (one row a key), with hot keys dealt to several tasks.
+
+    counts: ``on`` and n, the rows of many for each key; ``by``: the column of many whose hash chooses a piece. Fewer than 1 / HOT_SHARE keys can have more than HOT_SHARE of
+    all rows, so the list of those that are split is small whatever the tables hold; only their rows in few are repeated,
+    once for each piece. Null keys match nothing."""
+    total = counts.agg(F.sum("n").alias("total"))
+    pieces = F.ceil(F.col("n") / (F.col("total") * HOT_SHARE)).cast("int")
+    hot = counts.join(F.broadcast(total), how="cross").where(F.col("n") > F.col("total") * HOT_SHARE).select(*on, pieces.alias("pieces"))  # one row's total
+    salt = F.coalesce(F.pmod(F.xxhash64(by), F.col("pieces")).cast("int"), F.lit(0)).alias("piece")
+    dealt = many.join(F.broadcast(hot), on, "left").select(*[F.col(f"`{c}`") for c in many.columns], salt)
+    repeated = few.join(F.broadcast(hot), on, "left").select(*[F.col(f"`{c}`") for c in few.columns], F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)).alias("piece"))
+    return dealt.join(repeated.hint("merge"), [*on, "piece"], how).drop("piece")
+
+
 class HashedWords(dict):
     """Word (bytes) -> 64-bit hash; keeps the first words it meets, so memory stays bounded in a worker."""
 

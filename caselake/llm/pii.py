@@ -6,13 +6,17 @@ r"""Information-theoretic sanitisation of personal data, with DataFrame function
 2. The corpus tells how strongly a term reveals an entity. With documents as contexts, n(e), n(t) and n(t, e) of N
    documents give IC(e) = -log2 p(e) and PMI(t; e) = log2 p(t, e) / (p(t) p(e)); the disclosure of e by t is
    PMI / IC, 1 if t occurs only beside e. Counts cover all documents; a pair needs SUPPORT common documents.
+   Most entities are in one or two documents, which says nothing about their terms, so they are estimated from a
+   pool: of the entity itself, of its mail domain, network (first two parts), card issuer (six digits) or dialling
+   prefix (four digits), and of its kind, the narrowest that SUPPORT documents hold counts.
 3. In documents that hold e, terms that disclose it by GENERALISE or more become spans of kind term: they are
    generalised to a label, from REMOVE up they are removed. Base spans stay as they are.
 
 Terms are runs of letters, digits and _. Positions are code points, ends exclusive.
 
 Defined cases: a null text is empty and has no span; rows that repeat a text or an id are contexts of their own;
-spans with equal starts stand in the order email, ip, card, phone, term; an empty table gives no rows; other
+spans with equal starts stand in the order email, ip, card, phone, term; a pool that all documents hold has
+no information and no term discloses it; pools in fewer than SUPPORT documents have no terms; an empty table gives no rows; other
 columns are ignored (``sanitise`` passes them on). Patterns use possessive quantifiers and start only where a run
 starts or the last match ended, so very long runs take linear time; they match what the plain patterns match.
 """
@@ -22,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import split_join, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 SUPPORT = 3
@@ -100,29 +104,43 @@ def told(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def pools(span: Column) -> Column:
+    """Names of an entity's pools, the narrowest first."""
+    digits = F.regexp_replace(span["value"], "[^0-9]", "")
+    parts = [F.lower(F.regexp_extract(span["value"], "@(.*)$", 1)), F.regexp_extract(span["value"], r"^[0-9]+\.[0-9]+", 0), F.substring(digits, 1, 6), F.substring(digits, 1, 4)]
+    wide = F.element_at(F.array(*parts), span["kind"] + 1)
+    kind = span["kind"].cast("string")
+    return F.array(F.concat_ws(":", kind, F.lit("value"), span["value"]), F.concat_ws(":", kind, F.lit("group"), wide), kind)
+
+
 def disclosing_terms(held: DataFrame, texts: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
     """held (row, text, spans): the documents with entities; texts (text): all documents -> row, term, disclosure:
     the terms of each document that disclose one of its entities, with the highest disclosure."""
-    entity = F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"].cast("string"), s["value"])))).alias("entity")
-    beside = held.select("row", entity)
-    frequent = beside.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    rows = beside.join(frequent, "entity")
+    each = held.select("row", F.explode(F.array_distinct(F.transform("spans", pools))).alias("names"))
+    levels = each.select("row", F.posexplode("names").alias("level", "pool"), F.element_at("names", 1).alias("entity"))
+    beside = table(levels.groupBy("row", "pool", "level").agg(F.collect_set("entity").alias("entities")), "pii-pools")
+    n_in = beside.groupBy("pool").agg(F.count("*").alias("n"))
+    frequent = n_in.where(F.col("n") >= support).withColumnRenamed("n", "n_e")
+    rows = table(split_join(beside, frequent, ["pool"], n_in, "row"), "pii-frequent")
     rest = F.col("text")
     for kind in KINDS[:4]:
         rest = F.regexp_replace(rest, PATTERNS[kind], " ")
-    words = held.join(rows.select("row").distinct(), "row", "left_semi").select("row", F.explode(F.array_distinct(F.split(rest, TERM_GAP))).alias("term")).where("term <> ''")
-    triples = table(rows.join(words, "row").select("row", "entity", "n_e", "term"), "pii-triples")
-    pairs = triples.groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
+    words = held.select("row", F.explode(F.array_distinct(F.split(rest, TERM_GAP))).alias("term")).where("term <> ''")
+    triples = table(rows.select("row", "pool", "n_e").join(words, "row"), "pii-triples")
+    pairs = triples.groupBy("pool", "n_e", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
     # Documents of each term: counted by its hash, so that the shuffle moves numbers, one a term and task.
-    each = texts.select(F.explode(F.array_distinct(F.split("text", TERM_GAP))).alias("term"))
-    counts = each.groupBy(F.xxhash64("term").alias("h")).agg(F.count("*").alias("n_t"))
+    terms = texts.select(F.explode(F.array_distinct(F.split("text", TERM_GAP))).alias("term"))
+    counts = terms.groupBy(F.xxhash64("term").alias("h")).agg(F.count("*").alias("n_t"))
     total = texts.agg(F.count("*").alias("n"))
     known = pairs.withColumn("h", F.xxhash64("term")).join(counts, "h").join(F.broadcast(total), how="cross")  # one row
     ic = -F.log2(F.col("n_e") / F.col("n"))
     given = F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0))
     disclosure = F.when(ic > 0, 1 + F.log2(given) / ic).otherwise(F.lit(0.0))
-    strong = known.withColumn("disclosure", disclosure).where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
-    return triples.join(strong, ["entity", "term"]).groupBy("row", "term").agg(F.max("disclosure").alias("disclosure"))
+    strong = table(known.withColumn("disclosure", disclosure).where(F.col("disclosure") >= threshold).select("pool", "term", "disclosure", "n_te"), "pii-strong")
+    # Of the pools of an entity the narrowest counts.
+    narrowest = rows.select("row", "pool", "level", F.explode("entities").alias("entity")).groupBy("row", "entity").agg(F.min_by("pool", "level").alias("pool")).select("row", "pool").distinct()
+    own = triples.select("row", "pool", "term").join(narrowest, ["row", "pool"], "left_semi")
+    return split_join(own, strong.drop("n_te"), ["pool", "term"], strong.select("pool", "term", F.col("n_te").alias("n")), "row").groupBy("row", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
 def _find(docs: DataFrame, support: int, threshold: float, keep_all_texts: bool) -> DataFrame:
