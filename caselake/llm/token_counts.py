@@ -1,37 +1,64 @@
 """Token counts as delta-maintained rollups by source, language and tokenizer version.
 
 The store is a folder in a file system that all executors share. A batch of changes (insert, delete, revise) becomes
-signed rows: -1 for the count that a document had, +1 for the one it gets. Rows of a batch lie in a folder of its
-own name, written once: a batch that is complete there is skipped, one that broke off is overwritten, so commits
-can be repeated. Totals are sums of signs and of signed counts; they are additive, so a rollup of each batch is
-kept beside its rows and totals read only those.
+signed rows: -1 for the count that a document had, +1 for the one it gets. Totals are sums of signs and of signed
+counts; they are additive, so a rollup of each batch is kept beside its rows and totals read only those.
+
+A commit writes rows and rollup to folders of its own attempt and then creates the batch's marker, which names the
+attempt. Creating the marker is the commit: it fails where it exists, so a batch counts once however often it is sent,
+and what broken attempts left is never read. History is read for the changed documents alone: ledger files are sorted by
+id, so that ranges of ids prune them, and meet the changed ids before anything is summed.
 
 Defined cases: a null text has 0 tokens; null sources and languages are groups of their own; an insert of a present
-document is a revision, a delete or revision of an absent one deletes nothing; of several changes of a document in
-a batch a delete wins, then the largest text; changes with a null id are left out (nothing could ever delete
-them) and counted as the group's documents are not; an empty batch commits no rows; other columns are ignored.
+document is a revision, a delete or revision of an absent one deletes nothing (a revision then inserts); of several
+changes of a document in a batch a delete wins, then the most tokens, then the first source and language; rows with a
+null id are counted when inserted, each as a document of its own that nothing can revise or delete; an empty batch
+commits no rows; tokenizer versions don't touch each other's counts; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import drop_table, shared_path, table, worker_cache
 from .packing import TOKENIZER, tokenizer, tokenizer_path
 
+#: The second version that the query keeps counts for.
+BYTE_TOKENIZER = "byte_bpe_50k.tiktoken"
 LEDGER = "doc_id long, source string, lang string, tokenizer string, n_tokens long, sign int"
 ROLLUP = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
-def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _tiktoken(path: str):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def counter(path: str):
+    """bytes -> number of tokens, by the tokenizer file's kind."""
+    if path.endswith(".tiktoken"):
+        encode = worker_cache(path, lambda: _tiktoken(path)).encode_ordinary
+        return lambda data: len(encode(data.decode("utf-8", "replace")))
     encode = tokenizer(path).encode
+    return lambda data: len(encode(data)) // 4
+
+
+def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    count = counter(path)
     for batch in batches:
-        counts = [len(encode(x or b"")) // 4 for x in batch.column("text").cast(pa.binary()).to_pylist()]
+        counts = [count(x or b"") for x in batch.column("text").cast(pa.binary()).to_pylist()]
         i = batch.schema.get_field_index("text")
         yield batch.set_column(i, "n_tokens", pa.array(counts, pa.int64()))
 
@@ -49,37 +76,69 @@ class TokenRollup:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
-    def _exists(self, path: str) -> bool:
+    def _fs(self, path: str) -> tuple:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _read(self, kind: str, schema: str) -> DataFrame:
+    def _marked(self, batch: str) -> bool:
+        fs, p = self._fs(f"{self.path}/commits/{batch}")
+        return fs.exists(p) and fs.getFileStatus(p).getLen() > 0
+
+    def _mark(self, batch: str, attempt: str) -> bool:
+        """Commits the attempt; False if the batch is committed already. A marker that broke off is empty and replaced."""
+        if self._marked(batch):
+            return False
+        fs, p = self._fs(f"{self.path}/commits/{batch}")
+        fs.delete(p, False)
         try:
-            return self.spark.read.schema(schema + ", batch string").parquet(f"{self.path}/{kind}")
-        except AnalysisException:  # nothing is committed
-            return self.spark.createDataFrame([], schema + ", batch string")
+            out = fs.create(p, False)
+        except Exception:
+            if self._marked(batch):
+                return False
+            raise
+        out.write(bytearray(f"{attempt}\n".encode()))
+        out.close()
+        return True
+
+    def attempts(self) -> list[str]:
+        """Folder names of the committed attempts, one a batch."""
+        fs, p = self._fs(f"{self.path}/commits")
+        if not fs.exists(p):
+            return []
+        return sorted(r["value"] for r in self.spark.read.text(f"{self.path}/commits").collect())
+
+    def _read(self, kind: str, schema: str) -> DataFrame:
+        paths = [f"{self.path}/{kind}/{a}" for a in self.attempts()]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def ledger(self) -> DataFrame:
         return self._read("ledger", LEDGER)
 
     def commit(self, batch: str, changes: DataFrame, version: str, tokenizer_file: str | None = None) -> bool:
         """changes: doc_id, change ('insert', 'revise', 'delete'), text, source, lang. False if the batch was there."""
-        if self._exists(f"{self.path}/rollup/batch={batch}/_SUCCESS"):
+        if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.-]*", batch):
+            raise ValueError(f"not a batch name: {batch!r}")
+        if self._marked(batch):
             return False
-        rows, sums = f"{self.path}/ledger/batch={batch}", f"{self.path}/rollup/batch={batch}"
-        if not self._exists(f"{rows}/_SUCCESS"):
-            known = changes.where("doc_id is not null")
-            new = count_tokens(known.where("change <> 'delete'"), tokenizer_file).withColumn("gone", F.lit(0))
-            gone = known.where("change = 'delete'").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("long").alias("n_tokens"), F.lit(1).alias("gone"))
-            order = Window.partitionBy("doc_id").orderBy(F.desc("gone"), F.desc("n_tokens"), "source", "lang")
-            one = new.unionByName(gone).withColumn("place", F.row_number().over(order)).where("place = 1")
-            had = self.ledger().where(F.col("tokenizer") == version).groupBy("doc_id", "source", "lang", "n_tokens").agg(F.sum("sign").alias("net")).where("net > 0")
-            minus = had.join(one.select("doc_id"), "doc_id", "left_semi").select("doc_id", "source", "lang", F.lit(version).alias("tokenizer"), "n_tokens", (-F.col("net")).cast("int").alias("sign"))
-            plus = one.where("gone = 0").select("doc_id", "source", "lang", F.lit(version).alias("tokenizer"), "n_tokens", F.lit(1).alias("sign"))
-            plus.unionByName(minus).write.mode("overwrite").parquet(rows)
+        attempt = f"{batch}-{uuid.uuid4().hex}"
+        rows, sums = f"{self.path}/ledger/{attempt}", f"{self.path}/rollup/{attempt}"
+        gone = changes.where("change = 'delete' and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("long").alias("n_tokens"), F.lit(1).alias("gone"))
+        counted = table(count_tokens(changes.where("change = 'insert' or (change = 'revise' and doc_id is not null)"), tokenizer_file), "token-counts-batch")
+        order = Window.partitionBy("doc_id").orderBy(F.desc("gone"), F.desc("n_tokens"), "source", "lang")
+        known = counted.where("doc_id is not null").withColumn("gone", F.lit(0)).unionByName(gone)
+        one = known.withColumn("place", F.row_number().over(order)).where("place = 1").select("doc_id", "source", "lang", "n_tokens", "gone")
+        had = self.ledger().where((F.col("tokenizer") == version) & F.col("doc_id").isNotNull())
+        if self.attempts():
+            low, high = known.agg(F.min("doc_id"), F.max("doc_id")).first()
+            had = had.where(F.col("doc_id").between(low, high)) if low is not None else had.where("false")
+        had = had.join(one.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id", "source", "lang", "n_tokens").agg(F.sum("sign").alias("net")).where("net > 0")
+        minus = had.select("doc_id", "source", "lang", F.lit(version).alias("tokenizer"), "n_tokens", (-F.col("net")).cast("int").alias("sign"))
+        plus = one.where("gone = 0").unionByName(counted.where("doc_id is null").withColumn("gone", F.lit(0))).select("doc_id", "source", "lang", F.lit(version).alias("tokenizer"), "n_tokens", F.lit(1).alias("sign"))
+        plus.unionByName(minus).sortWithinPartitions("doc_id").write.parquet(rows)
         made = self.spark.read.schema(LEDGER).parquet(rows)
-        made.groupBy("source", "lang", "tokenizer").agg(F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens")).write.mode("overwrite").parquet(sums)
-        return True
+        made.groupBy("source", "lang", "tokenizer").agg(F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens")).write.parquet(sums)
+        drop_table(counted)
+        return self._mark(batch, attempt)
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens over all committed batches; groups without documents are left out."""
@@ -88,13 +147,18 @@ class TokenRollup:
 
 
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
-    """All documents come in, those labelled toxic are taken down by a second batch, and a replay changes nothing."""
+    """For two tokenizers: all documents come in, those labelled toxic are taken down, those of label 0 are revised
+    (signs taken out), and a replay of the first batch changes nothing."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
-    toxic = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select("doc_id").distinct()
-    store = TokenRollup(spark, shared_path(spark, "token-counts"))
-    first = docs.withColumn("change", F.lit("insert"))
-    store.commit("0001", first, TOKENIZER)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     none = F.lit(None).cast("string")
-    store.commit("0002", toxic.select("doc_id", none.alias("text"), none.alias("source"), none.alias("lang"), F.lit("delete").alias("change")), TOKENIZER)
-    store.commit("0001", first, TOKENIZER)
+    first = docs.withColumn("change", F.lit("insert"))
+    gone = labels.where("toxic = 1").select("doc_id", none.alias("text"), none.alias("source"), none.alias("lang"), F.lit("delete").alias("change"))
+    poor = labels.where("quality = 0 and coalesce(toxic, 0) = 0").select("doc_id")
+    revised = docs.join(poor, "doc_id", "left_semi").select("doc_id", F.regexp_replace("text", "[#*$%&|<>!]", "").alias("text"), "source", "lang", F.lit("revise").alias("change"))
+    store = TokenRollup(spark, shared_path(spark, "token-counts"))
+    for version in (TOKENIZER, BYTE_TOKENIZER):
+        name, file = version.partition(".")[0], tokenizer_path(version)
+        for batch, changes in (("0001", first), ("0002", gone), ("0003", revised), ("0001", first)):
+            store.commit(f"{batch}-{name}", changes, version, file)
     return store.totals()

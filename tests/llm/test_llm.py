@@ -149,7 +149,7 @@ def test_license_brute(spark):
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
         best = None
         for line in (r["text"] or "").split("\n"):
-            if re.search(license_scan.HINT, line):
+            if line.strip():
                 tf = Counter(re.findall(license_scan.TOKEN, line.lower()))
                 w = {t: n * idf.get(t, unknown) for t, n in tf.items()}
                 norm = math.sqrt(sum(v * v for v in w.values()))
@@ -177,32 +177,83 @@ def test_license_headers_and_full_texts(spark):
 # --- 3 token counts
 
 
+def changes_of(spark, rows):
+    """rows (doc_id, change, text, source) with a column that clashes."""
+    return spark.createDataFrame([(i, c, x, s, "en", 0) for i, c, x, s in rows], "doc_id long, change string, text string, source string, lang string, sign int")
+
+
+def told_totals(store):
+    return sorted(map(str, ((r["source"], r["tokenizer"], r["n_docs"], r["n_tokens"]) for r in store.totals().collect())))
+
+
 def test_token_rollup(spark, tmp_path):
     store = token_counts.TokenRollup(spark, f"file://{tmp_path}/store")
-    df = lambda rows: spark.createDataFrame(rows, "doc_id long, change string, text string, source string, lang string, sign int")
-    first = df([(1, "insert", "one two", "a", "en", 0), (2, "insert", None, None, "en", 0), (3, "insert", "x", "a", "en", 0), (None, "insert", "x", "a", "en", 0)])
+    assert store.totals().count() == 0
+    long_text = "word " * 30000
+    first = changes_of(spark, [(1, "insert", "one two", "a"), (2, "insert", None, None), (3, "insert", "x", "a"), (None, "insert", "x", "a"), (None, "insert", "x y", "a"), (4, "insert", long_text, "c"), (4, "insert", long_text, "c")])
     assert store.commit("b1", first, "v1") and not store.commit("b1", first, "v1")
-    store.commit("b2", df([(1, "revise", "one two three", "b", "en", 0), (3, "delete", None, None, None, 0), (9, "delete", None, None, None, 0)]), "v1")
-    store.commit("b3", df([]), "v1")
-    got = sorted(map(str, ((r["source"], r["n_docs"], r["n_tokens"]) for r in store.totals().collect())))
-    assert got == sorted(map(str, [("b", 1, 3), (None, 1, 0)]))
-    part = next(Path(tmp_path, "store/rollup/batch=b2").glob("_SUCCESS"))
-    part.unlink()  # a commit that broke off is done again, and counts once
-    assert store.commit("b2", df([]), "v1")
-    assert sorted(map(str, ((r["source"], r["n_docs"], r["n_tokens"]) for r in store.totals().collect()))) == got
+    changes = [(1, "revise", "one two three", "b"), (3, "delete", None, None), (9, "delete", None, None), (None, "delete", None, None), (None, "revise", "q", "a"), (5, "revise", "new", "n"), (6, "insert", "a", "s"), (6, "insert", "a b", "t"), (6, "revise", "b a", "s"), (7, "insert", "z", "z"), (7, "delete", None, None)]
+    assert store.commit("b2", changes_of(spark, changes), "v1")
+    store.commit("b3", changes_of(spark, []), "v1")
+    want = [("b", "v1", 1, 3), (None, "v1", 1, 0), ("a", "v1", 2, 3), ("c", "v1", 1, 30000), ("n", "v1", 1, 1), ("s", "v1", 1, 2)]
+    assert told_totals(store) == sorted(map(str, want))
+    store.commit("b4", changes_of(spark, [(1, "insert", "one", "b")]), "v2")  # another version's counts are its own
+    assert told_totals(store) == sorted(map(str, [*want, ("b", "v2", 1, 1)]))
+
+
+def test_token_rollup_recovers(spark, tmp_path, monkeypatch):
+    """A commit that breaks off at any step leaves nothing that counts; the retry and later batches count once."""
+    first, second, third = ([(1, "insert", "one two", "a"), (2, "insert", "x", "a")], [(1, "revise", "one two three", "b")], [(2, "delete", None, None), (3, "insert", "p q", "a")])
+    want = sorted(map(str, [("b", "v", 1, 3), ("a", "v", 1, 2)]))
+    from pyspark.sql import DataFrameWriter
+
+    write, mark = DataFrameWriter.parquet, token_counts.TokenRollup._mark
+    for step in ("ledger", "rollup", "mark"):
+        for retry_first in (True, False):
+            store = token_counts.TokenRollup(spark, f"file://{tmp_path}/{step}-{retry_first}")
+            store.commit("b1", changes_of(spark, first), "v")
+
+            def broken(self, path, *args, step=step):
+                write(self, path, *args)
+                if f"/{step}/" in path:
+                    raise RuntimeError("lost")
+
+            def unmarked(self, batch, attempt, step=step):
+                if step == "mark":
+                    raise RuntimeError("lost")
+                return mark(self, batch, attempt)
+
+            monkeypatch.setattr(DataFrameWriter, "parquet", broken)
+            monkeypatch.setattr(token_counts.TokenRollup, "_mark", unmarked)
+            with pytest.raises(RuntimeError):
+                store.commit("b2", changes_of(spark, second), "v")
+            monkeypatch.setattr(DataFrameWriter, "parquet", write)
+            monkeypatch.setattr(token_counts.TokenRollup, "_mark", mark)
+            later = [("b2", second), ("b3", third)]
+            for name, rows in later if retry_first else later[::-1]:
+                assert store.commit(name, changes_of(spark, rows), "v")
+            assert told_totals(store) == want and not store.commit("b2", changes_of(spark, second), "v")
 
 
 def test_token_counts_query(spark):
     from tokenizers import Tokenizer
 
-    tk = Tokenizer.from_file(packing.tokenizer_path(packing.TOKENIZER))
-    toxic = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 1").collect()}
-    want = Counter()
+    words = Tokenizer.from_file(packing.tokenizer_path(packing.TOKENIZER))
+    pieces = token_counts._tiktoken(packing.tokenizer_path(token_counts.BYTE_TOKENIZER))
+    count = {packing.TOKENIZER: lambda x: len(words.encode(x, add_special_tokens=False).ids), token_counts.BYTE_TOKENIZER: lambda x: len(pieces.encode_ordinary(x))}
+    toxic, poor = set(), set()
+    for r in spark.read.parquet(f"{SF}/labels.parquet").collect():
+        toxic |= {r["doc_id"]} if r["toxic"] == 1 else set()
+        poor |= {r["doc_id"]} if r["quality"] == 0 else set()
+    want = defaultdict(lambda: (0, 0))
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
         if r["doc_id"] not in toxic:
-            want[r["source"], r["lang"]] += len(tk.encode(r["text"] or "", add_special_tokens=False).ids)
-    got = {(r["source"], r["lang"]): r["n_tokens"] for r in queries.QUERIES["op3_token_counts"](spark, SF).collect()}
-    assert got == dict(want)
+            text = re.sub("[#*$%&|<>!]", "", r["text"] or "") if r["doc_id"] in poor else r["text"] or ""
+            for version, f in count.items():
+                n, t = want[r["source"], r["lang"], version]
+                want[r["source"], r["lang"], version] = n + 1, t + f(text)
+    got = {(r["source"], r["lang"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in queries.QUERIES["op3_token_counts"](spark, SF).collect()}
+    assert got == dict(want) and poor - toxic
 
 
 # --- 4 classifier
@@ -225,6 +276,51 @@ def test_classifier_edges(spark):
     assert quality_classifier.score_documents(rows.where("false"), labels.where("false")).count() == 0
 
 
+def brute_votes(model, counts, k):
+    """Scores by plain loops over all sample vectors."""
+    out = []
+    ones = sum(model.labels.tolist())
+    for c in counts:
+        w = np.log1p(c) * model.idf
+        v = (w / (np.linalg.norm(w) or 1)) @ model.basis
+        v = v / (np.linalg.norm(v) or 1)
+        sims = [round(float(v @ x), 5) for x in model.vectors]
+        near = sorted(range(len(sims)), key=lambda j: (-sims[j], j))[:k]
+        votes = [(max(sims[j], 0) * (1 if model.labels[j] == 1 else ones / max(1, len(model.labels) - ones) if ones else 1), model.labels[j]) for j in near]
+        total = sum(x for x, _ in votes)
+        out.append(sum(x for x, y in votes if y == 1) / total if total and c.any() else 0.0)
+    return out
+
+
+def test_classifier_votes(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality_classifier.fit_on_labels(docs, labels).value
+    assert np.allclose(np.linalg.norm(model.vectors, axis=1), 1, atol=1e-3) and len(model.labels) > 64
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()} | {-1: None, -2: "Новый текст на русском языке"}
+    counts = np.concatenate([quality_classifier.term_counts([x]) for x in texts.values()])
+    assert np.allclose(model.score(counts), brute_votes(model, counts, quality_classifier.K), atol=0.02)
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.score_documents(docs, labels).collect()}
+    assert np.allclose([got[i] for i in texts if i >= 0], [s for i, s in zip(texts, model.score(counts), strict=True) if i >= 0], atol=1e-4)
+
+
+def test_classifier_ties_and_labels(spark):
+    clean, junk = "the words of a clean text that reads well", "BUY!!! NOW### 1$ $$$ %%%"
+    rows = docs_of(spark, [(1, clean), (2, clean + " too"), (3, junk), (4, junk + " !!!"), (6, clean), (7, ""), (8, None)])
+    told = lambda quality: {r["doc_id"]: r["score"] for r in quality_classifier.score_documents(rows, spark.createDataFrame(quality, "doc_id long, quality int, toxic int")).collect()}
+    held = {i for i in range(1, 9) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert not held & {1, 2, 3, 4}
+    both = told([(1, 1, 0), (2, 1, 0), (3, 0, 0), (4, 0, 0)])
+    assert both[6] == both[1] > 0.5 > both[3] and both[7] == both[8] == 0
+    assert {told([(1, 1, 0), (2, 1, 0)])[i] for i in (1, 3, 6)} == {1.0} and {told([(1, 0, 0)])[i] for i in (1, 3, 6)} == {0.0}
+    none = told([(1, None, 0), (None, 1, 0), (2, 7, 0)])
+    assert none[1] == none[3] == 0.5 and none[7] == none[8] == 0
+    assert told([(1, 1, 0), (1, 0, 0), (6, 1, 0)])[1] == 0.0  # of several labels the lowest counts
+    draw = np.random.default_rng(2)
+    near = np.round(draw.integers(0, 4, (5, 200)) / 4, 5).astype(np.float32)
+    for row, top in zip(near, quality_classifier._top(near, 15), strict=True):
+        assert set(top) == set(sorted(range(200), key=lambda j: (-row[j], j))[:15])
+
+
 # --- 5 packing
 
 
@@ -335,22 +431,49 @@ def test_warc_plain_and_foreign_files(spark, tmp_path):
 # --- 7 top-k
 
 
-def test_topk_edges(spark):
-    draw = random.Random(3)
-    codes = [(i, draw.getrandbits(64) - (1 << 63)) for i in range(300)] + [(i, 42) for i in range(300, 420)] + [(None, 1), (7, None)]
-    df = spark.createDataFrame(codes, "id long, code long")
-    q = df.where("id % 100 = 0").withColumnRenamed("id", "query_id")
-    got = sorted((r["query_id"], r["rank"], r["id"], r["distance"]) for r in topk_search.nearest(df, q, k=7).collect())
-    known = [(i, c) for i, c in codes if i is not None and c is not None]
+def brute_topk(codes, k):
+    known = sorted({(i, tuple(c)) for i, c in codes if i is not None and c is not None})
     want = []
     for qi, qc in known:
         if qi % 100 == 0:
-            near = sorted((((qc ^ c) & ((1 << 64) - 1)).bit_count(), i) for i, c in known)[:7]
+            near = sorted((sum(((x ^ y) & ((1 << 64) - 1)).bit_count() for x, y in zip(qc, c, strict=True)), i) for i, c in known)[:k]
             want += [(qi, n + 1, i, d) for n, (d, i) in enumerate(near)]
-    assert got == sorted(want)
+    return sorted(want)
+
+
+def test_topk_edges(spark):
+    draw = random.Random(3)
+    codes = [(i, [draw.getrandbits(64) - (1 << 63)]) for i in range(300)] + [(i, [42]) for i in range(300, 420)] + [(None, [1]), (7, None), (8, [43]), (5, [42]), (5, [42])]
+    df = spark.createDataFrame([(*c, 1) for c in codes], "id long, code array<long>, n int")
+    q = df.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+    got = sorted((r["query_id"], r["rank"], r["id"], r["distance"]) for r in topk_search.nearest(df, q, k=7).collect())
+    assert got == brute_topk(codes, 7)
     few = topk_search.nearest(df.where("id < 3"), q.where("query_id = 0"), k=7).collect()
     assert len(few) == 3
-    assert topk_search.nearest(df.where("false"), q).count() == 0
+    assert topk_search.nearest(df.where("false"), q).count() == 0 and topk_search.nearest(df, q.where("false")).count() == 0
+
+
+def test_topk_long_and_short_vectors(spark):
+    draw = random.Random(4)
+    base = [draw.choice((-1.0, 1.0)) for _ in range(72)]
+    rows = [(0, base), (1, [*base[:71], -base[71]]), (2, base[:64]), (3, None), (4, [None, *base[1:]]), (5, [])]
+    rows += [(i, [x if draw.random() > i / 200 else -x for x in base]) for i in range(6, 120)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    words = topk_search.code_words(df, "v")
+    coded = df.select("id", topk_search.sign_code(F.col("v"), words).alias("code"))
+    bits = lambda v: [sum(1 << i for i in range(64) if 64 * w + i < len(v) and (v[64 * w + i] or 0) > 0) for w in range(2)]
+    got = topk_search.nearest(coded, coded.where("id % 100 = 0").withColumnRenamed("id", "query_id"), k=9, words=words).collect()
+    assert words == 2 and sorted((r["query_id"], r["rank"], r["id"], r["distance"]) for r in got) == brute_topk([(i, None if v is None else bits(v)) for i, v in rows], 9)
+    assert {r["id"]: r["distance"] for r in got if r["query_id"] == 0}.get(1) == 1
+
+
+def test_topk_segments():
+    for n in (1, 10**5, 10**6, 10**9):
+        parts = topk_search.cuts(n, 2)
+        assert sum(w for _, _, w in parts) == 128 and max(w for _, _, w in parts) <= 22 and {p[0] for p in parts} == {0, 1}
+        for word in (0, 1):
+            ends = [(s, s + w) for d, s, w in parts if d == word]
+            assert ends[0][0] == 0 and ends[-1][1] == 64 and all(a[1] == b[0] for a, b in zip(ends, ends[1:], strict=False))
 
 
 # --- 8 quality rules
@@ -376,6 +499,45 @@ def test_quality_counts(spark):
     assert quality_rules.apply_rules(docs_of(spark, rows).where("false")).count() == 0
 
 
+def brute_rejects(x):
+    """Whether any rule of the cascade rejects x, by code of its own."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", x or "")
+    n, lines = len(words), [line for line in x.split("\n") if re.search(r"[^\x20\x09-\x0D]", line)]
+    upper, lower = (len(re.findall(c, x)) for c in ("[A-Z]", "[a-z]"))
+    return [
+        10 * sum(map(x.count, "#*$%&|<>")) > n,
+        10 * x.count("!!") > n,
+        len(lines) >= 5 and 10 * (len(lines) - len(set(lines))) > 3 * len(lines),
+        n > 1 and 5 * sum(a == b for a, b in zip(words, words[1:], strict=False)) > n,
+        upper + lower > 0 and 10 * upper > 6 * (upper + lower),
+        n > 0 and not 2 * n <= sum(map(len, words)) <= 25 * n,
+        n >= 50 and 50 * len(set(words)) < n,
+    ]
+
+
+def test_kept_against_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text").collect()]
+    plain = "some clean words that make up a text of ten or more "
+    rows += [(-1, plain + "# $"), (-2, plain + "# $ % |"), (-3, plain + "!! !! !!"), (-4, plain.upper()), (-5, "a b c d e f g h i j k l"), (-6, "x" * 400 + " " + plain), (-7, "\n".join([f"w{i} v{i} u{i}" for i in range(6)] + ["one two"] * 3)), (-8, "the the cat cat sat sat on on a a mat mat"), (-9, "é" * 30 + " " + " ".join("ö" * 26 for _ in range(12)))]
+    got = {r["doc_id"]: r for r in quality_rules.apply_rules(docs_of(spark, rows)).collect()}
+    for i, x in rows:
+        b = brute_quality(x)
+        failed = b[0] < 10 or 100 * b[4] > 20 * b[0]
+        rejects = None if failed else brute_rejects(x)
+        assert got[i]["kept"] == (not failed and not any(rejects)), (i, rejects)
+        assert failed or not any(rejects) or rejects[list(quality_rules.RULES).index(got[i]["rejected_by"])]
+    assert sum(r["kept"] for r in got.values()) > len(rows) / 2 and len({r["rejected_by"] for r in got.values()}) > 4
+
+
+def test_cascade_plan_measures_what_the_cascade_meets(spark):
+    good = "plain words of a text that is long enough to pass the base rules "
+    rows = [(i, f"{good}{i}") for i in range(40)] + [(100 + i, f"{good}{i} !!!!") for i in range(20)] + [(200 + i, f"SHORT {i}") for i in range(100)] + [(7, good)] * 500
+    rules = {"never": lambda t: False, "upper": lambda t: t.data.isupper(), "bang": lambda t: b"!!" in t.data}
+    order = quality_rules.plan_cascade(docs_of(spark, rows), rules)
+    assert order[0] == "bang"  # short texts fail the base rules and count for no rule
+    assert quality_rules.plan_cascade(docs_of(spark, rows), {"b": rules["never"], "a": rules["never"]}) and sorted(quality_rules.plan_cascade(docs_of(spark, []), rules)) == sorted(rules)
+
+
 def test_cascade_order_is_free(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     names = list(quality_rules.RULES)
@@ -489,6 +651,21 @@ def test_mixing_edges(spark):
     assert mixing.mix_sources(docs_of(spark, rows).where("false")).count() == 0
 
 
+def test_mixing_reruns_agree(spark):
+    """Rows that share an id: the same rows are taken in whatever order they come."""
+    rows = [(1, "w " * (i % 9 + 1) + str(i), "ab"[i % 2]) for i in range(30)] + [(None, "w " * (i % 5 + 1), "a") for i in range(30)] + [(2, "same text", "b")] * 40
+    told = lambda rs: sorted(map(str, mixing.mix_sources(docs_of(spark, rs)).collect()))
+    mixed = list(rows)
+    random.Random(1).shuffle(mixed)
+    want = told(rows)
+    assert told(mixed) == told(rows[::-1]) == want and len(want) == len(rows)
+    taken, target = Counter(), {}
+    for r in mixing.mix_sources(docs_of(spark, mixed)).collect():
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[s] - target[s]) <= 5 for s in target)
+
+
 # --- the pipeline
 
 
