@@ -1,18 +1,21 @@
 """Quality classifier: nearest-neighbour voting over latent-semantic vectors.
 
-A text's terms are pairs of neighbouring character classes, adjacent equal words, repeated words and repeated
-lines. TF-IDF weights (sublinear tf) of a bounded sample of labelled texts give a latent space by randomised
-SVD; the sample's unit vectors and labels are the model (SAMPLE_PER_CLASS * 2 rows of DIMS floats, 2 MB at most,
-whatever the corpus), which goes to every task. A document's cosine products with all of them are computed
+A text's terms are its words, hashed to WORD_BINS columns, its pairs of neighbouring characters (code points of any
+script, as they stand), hashed to PAIR_BINS columns, and the shares of adjacent equal words, repeated words and
+repeated lines. TF-IDF weights (sublinear tf) of a bounded sample of labelled texts give a latent space by randomised
+SVD; the sample's unit vectors and labels are the model (SAMPLE_PER_CLASS * 2 rows of DIMS floats, 3 MB at most with
+its basis, whatever the corpus), which goes to every task. A document's cosine products with all of them are computed
 exactly, in blocks of documents; its K nearest vote, weighted by similarity. The score is the share of label 1.
 
 The sample holds each distinct text once and as many texts of either label, so that copies and the common label
-don't outvote the rest; where one label has fewer, its votes weigh as much more. Only labels and texts of the training rows enter the model; lang, source, doc_id don't.
-
-Defined cases: a null or empty text, or one without a known term, scores 0 (no content to vouch for); ties among
-neighbours go to the earlier sample row; rows that repeat an id are scored each; with no labelled row of one
-class every score is that of the other class (0.5 if there is none at all); an empty table gives no rows; of several
-labels of a document the lowest counts; columns other than the named ones are ignored.
+don't outvote the rest; where one label has fewer, its votes weigh as much more (the ratio of the two counts), as if
+both had the same number. Only labels and texts of the training rows enter the model; lang, source, doc_id don't.
+
+Defined cases: a null or empty text, or one without a known term, scores 0 (no content to vouch for) whatever the
+labels, and so does one that is like no labelled text; ties among neighbours go to the earlier sample row (the lower text hash); rows that repeat an id are scored
+each; with no labelled row of one class every score is that of the other class (0.5 if there is none at all); an empty
+table gives no rows; of several labels of a document the lowest counts, as it does for texts with both labels; labels
+other than 0 and 1 are no labels; columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -25,58 +28,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import word_hashes
+from .common import mix64, word_hashes
 
 SAMPLE_PER_CLASS = 2000
 DIMS = 64
 K = 15
-BLOCK = 256
+#: Documents, and characters beyond which no further one joins, of a block.
+BLOCK, BLOCK_CHARS = 256, 1_000_000
 THRESHOLD = 0.3
-CLASSES = 64
+WORD_BINS, PAIR_BINS = 2048, 4096
 #: Columns for adjacent equal words, repeated words and repeated lines: a term in n columns weighs sqrt(n) times as much.
 EXTRA = (32, 4, 4)
-TERMS = CLASSES * CLASSES + sum(EXTRA)
-
-
-def _class_table() -> np.ndarray:
-    """Byte -> class: each ASCII sign and small letter its own, capitals, digits and lead or later bytes of other characters shared."""
-    kind = np.zeros(256, dtype=np.int32)
-    free = 1
-    for b in range(33, 127):
-        c = chr(b)
-        if c.isupper():
-            kind[b] = 60
-        elif c.isdigit():
-            kind[b] = 61
-        else:
-            kind[b] = min(free, 59)
-            free += 1
-    kind[10] = 62
-    kind[128:] = 63
-    return kind
-
-
-_KIND = _class_table()
-
-
-def term_counts(data: bytes | None) -> np.ndarray:
-    """Counts of TERMS terms in a whole text."""
-    out = np.zeros(TERMS, dtype=np.float32)
-    if not data:
-        return out
-    kinds = _KIND[np.frombuffer(data, dtype=np.uint8)]
-    if len(kinds) > 1:
-        out[: CLASSES * CLASSES] = np.bincount(kinds[:-1] * CLASSES + kinds[1:], minlength=CLASSES * CLASSES)
-    words = data.split()
-    if words:
+TERMS = WORD_BINS + PAIR_BINS + sum(EXTRA)
+_PAIR = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
+
+
+def term_counts(texts: list[str | None]) -> np.ndarray:
+    """Counts of TERMS terms in each of a block of whole texts."""
+    texts = [x or "" for x in texts]
+    n, bins = len(texts), np.uint64(64 - (PAIR_BINS.bit_length() - 1))
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    of = np.repeat(np.arange(n), [len(x) for x in texts])
+    whole = of[1:] == of[:-1]  # pairs don't reach across texts
+    pair = mix64(points[:-1][whole] * _PAIR[0] + points[1:][whole] * _PAIR[1]) >> bins
+    pairs = np.bincount(of[1:][whole] * PAIR_BINS + pair.astype(np.int64), minlength=n * PAIR_BINS).reshape(n, PAIR_BINS)
+    out = np.zeros((n, TERMS), dtype=np.float32)
+    out[:, WORD_BINS : WORD_BINS + PAIR_BINS] = pairs
+    for i, x in enumerate(texts):
+        data = x.encode("utf-8", "surrogatepass")
+        words = data.split()
+        if not words:
+            continue
         h = word_hashes(words)
-        lines = [x for x in data.split(b"\n") if x.strip()]
+        out[i, :WORD_BINS] = np.bincount((h % np.uint64(WORD_BINS)).astype(np.int64), minlength=WORD_BINS)
+        lines = [line for line in data.split(b"\n") if line.strip()]
         # Shares, so that a long clean text doesn't look like a repetitive one.
         shares = 1000 * int((h[1:] == h[:-1]).sum()) / len(h), 100 * (1 - len(np.unique(h)) / len(h)), 100 * (1 - len(set(lines)) / max(1, len(lines)))
-        out[CLASSES * CLASSES :] = np.repeat(shares, EXTRA)
+        out[i, WORD_BINS + PAIR_BINS :] = np.repeat(shares, EXTRA)
     return out
 
 
+def blocks(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """texts in order, cut so that a block is bounded unless one text alone is beyond the bound."""
+    held, chars = [], 0
+    for x in texts:
+        if held and (len(held) == BLOCK or chars + len(x or "") > BLOCK_CHARS):
+            yield held
+            held, chars = [], 0
+        held.append(x)
+        chars += len(x or "")
+    if held:
+        yield held
+
+
 def _weights(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     x = np.log1p(counts) * idf
     norm = np.linalg.norm(x, axis=1, keepdims=True)
@@ -107,12 +111,14 @@ class Model:
     def score(self, counts: np.ndarray) -> np.ndarray:
         """Similarity-weighted share of label 1 among the K nearest, for each row of counts."""
         if not len(self.labels):
-            return np.full(len(counts), 0.5)
+            return np.where(counts.any(axis=1), 0.5, 0.0)
+        if self.labels.min() == self.labels.max():
+            return np.where(counts.any(axis=1), float(self.labels[0]), 0.0)
         v = self._unit(_weights(counts, self.idf) @ self.basis)
         near = np.round(v @ self.vectors.T, 5)  # rounded: equal vectors tie whatever the order of the sums
         k = min(K, near.shape[1])
         best = np.argsort(-near, axis=1, kind="stable")[:, :k] if near.shape[1] <= 64 else _top(near, k)
-        sims = np.maximum(np.take_along_axis(near, best, axis=1), 0) ** 4
+        sims = np.maximum(np.take_along_axis(near, best, axis=1), 0)
         ones = float(self.labels.sum())
         sims = sims * np.where(self.labels[best] == 1, 1.0, ones / max(1.0, len(self.labels) - ones) if ones else 1.0)
         total = sims.sum(axis=1)
@@ -128,7 +134,7 @@ def _top(near: np.ndarray, k: int) -> np.ndarray:
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [term_counts(x) for x in batch.column("text").cast(pa.binary()).to_pylist()]
+        rows = [r for block in blocks(batch.column("text").to_pylist()) for r in term_counts(block)]
         yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("quality"), pa.array([zlib.compress(r.tobytes(), 1) for r in rows], pa.binary())], names=["h", "quality", "counts"])
 
 
@@ -154,8 +160,7 @@ def fit(docs: DataFrame, quality: DataFrame, per_class: int = SAMPLE_PER_CLASS)
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model = shared.value
     for batch in batches:
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
-        scores = [model.score(np.stack([term_counts(x) for x in texts[i : i + BLOCK]])) for i in range(0, len(texts), BLOCK)]
+        scores = [model.score(term_counts(block)) for block in blocks(batch.column("text").to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=["doc_id", "score"])
 
 
