@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade.
 
 A document is kept if no rule rejects it. Rules are ordered by rejections per second: ``plan_cascade`` runs every
-rule on a bounded sample of documents and measures its CPU time and how many documents it rejects; the main pass
-applies the rules in that order to each document and stops at the first that rejects. The verdict is the
-conjunction of all rules, so it doesn't depend on the order; only the time does.
+rule on a bounded sample of documents and measures its CPU time and how many documents it rejects, both on texts as the
+cascade meets them: those that the base rules passed, with what the base counts have already made of them (words and
+lines); the main pass applies the rules in that order to each document and stops at the first that rejects. The
+verdict is the conjunction of all rules, so it doesn't depend on the order; only the time does.
 
 Defined cases: a null or empty text has no words and fails the base rules; ties in the order go by rule name;
 repeated rows are judged each; an empty table gives no rows; other columns are ignored. Texts are read whole.
@@ -25,7 +26,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 10
 WINDOW = 5
 REPEAT_PERCENT = 20
-#: Documents that the plan of the cascade is measured on: those with the lowest hash of their id.
+#: Distinct rows that the plan of the cascade is measured on: those with the lowest hash of id and text.
 SAMPLE_ROWS = 512
 
 
@@ -127,14 +128,23 @@ def _binary(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+def base_counts(t: Text) -> tuple[int, int, int, int, int, bool]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    n, repeated = len(t.words), count_repeated_words(t.words)
+    return n, count_points(b"".join(t.words)), count_symbols(t.data), count_duplicate_lines(t.lines), repeated, n < MIN_WORDS or 100 * repeated > REPEAT_PERCENT * n
+
+
 def _measure(batches: Iterator[pa.RecordBatch], rules: dict) -> Iterator[pa.RecordBatch]:
     spent, rejected, n = dict.fromkeys(rules, 0.0), dict.fromkeys(rules, 0), 0
     for batch in batches:
         for data in _binary(batch, "text"):
+            t = Text(data)
+            if base_counts(t)[-1]:
+                continue  # never meets the cascade
             n += 1
             for name, rule in rules.items():
                 began = time.process_time()
-                rejected[name] += rule(Text(data))
+                rejected[name] += rule(t)
                 spent[name] += time.process_time() - began
     if n:
         yield pa.RecordBatch.from_pydict({"rule": list(rules), "rejected": list(rejected.values()), "seconds": list(spent.values()), "n": [n] * len(rules)})
@@ -143,8 +153,9 @@ def _measure(batches: Iterator[pa.RecordBatch], rules: dict) -> Iterator[pa.Reco
 def plan_cascade(docs: DataFrame, rules: dict | None = None, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[str]:
     """Rule names by rejections per second on the sample, best first; rules that reject nothing stand last, cheapest first."""
     rules = RULES if rules is None else rules
-    ids = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col)).alias("h")).orderBy("h", "id").limit(sample_rows)
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids.select("id").distinct()), "id", "left_semi")
+    hashed = docs.select(F.xxhash64(F.col(id_col), F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
+    chosen = hashed.select("h").distinct().orderBy("h").limit(sample_rows)  # equal rows are one
+    sample = hashed.join(F.broadcast(chosen), "h").groupBy("h").agg(F.first("text").alias("text"))
     found = sample.select("text").mapInArrow(lambda it: _measure(it, rules), "rule string, rejected long, seconds double, n long").groupBy("rule").agg(F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds"))
     rows = {r["rule"]: (r["rejected"], r["seconds"]) for r in found.collect()}  # one row a rule
     worth = {name: (-rows[name][0] / max(rows[name][1], 1e-9), rows[name][1], name) if name in rows else (0.0, 0.0, name) for name in rules}
@@ -156,10 +167,9 @@ def _judge(batches: Iterator[pa.RecordBatch], order: list[str], rules: dict) ->
         out: dict[str, list] = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")}
         for data in _binary(batch, "text"):
             t = Text(data)
-            n, repeated = len(t.words), count_repeated_words(t.words)
-            failed = n < MIN_WORDS or 100 * repeated > REPEAT_PERCENT * n
-            by = None if failed else next((name for name in order if rules[name](t)), None)
-            for k, v in zip(out, (n, count_points(b"".join(t.words)), count_symbols(t.data), count_duplicate_lines(t.lines), repeated, failed, not failed and by is None, by), strict=True):
+            base = base_counts(t)
+            by = None if base[-1] else next((name for name in order if rules[name](t)), None)
+            for k, v in zip(out, (*base, not base[-1] and by is None, by), strict=True):
                 out[k].append(v)
         kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)]], names=["doc_id", *out])
