@@ -1,16 +1,19 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling (DataFrame functions only).
 
-Every document gets an exponential key -ln(u) / w from a hash of its id and its quality weight w. Within its
+Every document gets an exponential key -ln(u) / w from a hash of its id and text and its quality weight w. Within its
 source documents stand in key order; the target of the source is met by complete epochs over the source and
 then by the documents at the front of that order until the rest of the target is reached.
 
 A source may hold a third of all rows, so no window runs over a whole source: the key axis is cut into buckets
 (a monotone function of the key), prefix sums run within (source, bucket), and the sums of earlier buckets are
-added from a table of bucket totals.
-
-Defined cases: a null text has size 0; a null source is a source of its own, last in order; a null id is hashed
-as the empty string; equal keys stand in id order; repeated rows count as documents of their own; an empty
-table gives no rows; columns other than the named ones are ignored.
+added from a table of bucket totals. Rows with equal id, source and text are one entry with a number of copies, as
+they share a key; the first of them are taken, and the entry becomes rows again at the end.
+
+Defined cases: a null text has size 0 and is hashed as the empty one; a null source is a source of its own, last in
+order; a null id is hashed as the empty string; equal keys stand in the order of id, then size; which of equal rows are taken
+can't be told apart, so reruns agree in any order of the input; repeated rows count as documents of their own; an
+empty table gives no rows; columns other than the named ones are ignored. Sources stand in one order over all, so their
+table (a row for each) is sorted as a whole.
 """
 
 from __future__ import annotations
@@ -24,14 +27,20 @@ WEIGHTS = (1, 2, 3)
 CAP = 3
 #: Rows that a window within a bucket should sort.
 ROWS_PER_BUCKET = 20_000
+MIN_BUCKETS = 64
 #: Sampling weight by labels.quality; documents without a label have the middle one.
 LABEL_WEIGHT = {1: 1.0, 0: 0.25}
 UNLABELLED_WEIGHT = 0.5
 
 
-def es_key(doc_id: Column, weight: Column) -> Column:
-    """-ln(u) / weight; u in (0, 1) from the first 52 bits of the id's MD5, so reruns agree."""
-    bits = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 13), 16, 10).cast("long")
+def es_bits(doc_id: Column, text: Column) -> Column:
+    """52 bits of the MD5 of id and text, so reruns agree."""
+    said = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(said.cast("binary")), 1, 13), 16, 10).cast("long")
+
+
+def es_key(bits: Column, weight: Column) -> Column:
+    """-ln(u) / weight; u in (0, 1) from 52 bits."""
     return -F.log((bits + F.lit(0.5)) / F.lit(float(2**52))) / weight
 
 
@@ -67,27 +76,35 @@ def mix_sources(docs: DataFrame, weight_of: DataFrame | None = None, *, id_col:
     ``row_col``: a column with a number of each row, passed on, by which rows that share an id can be told apart.
     """
     row = [row_col] if row_col else []
-    sized = docs.select(*row, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+    text = F.col(text_col).cast("string")
+    sized = docs.select(*row, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long").alias("size"), es_bits(F.col(id_col), text).alias("bits"))
+    if not row:
+        sized = sized.groupBy("doc_id", "source", "size", "bits").agg(F.count("*").alias("times"))
     if weight_of is not None:  # joined to the sizes, so that no text is shuffled
-        sized = sized.join(weight_of.select("doc_id", "weight"), "doc_id", "left")
+        null = sized.where("doc_id is null").withColumn("weight", F.lit(None).cast("double"))  # they match nothing, and may be many
+        sized = sized.where("doc_id is not null").join(weight_of.select("doc_id", "weight"), "doc_id", "left").select(*null.columns).unionByName(null)
     weight = F.coalesce("weight", F.lit(UNLABELLED_WEIGHT)) if weight_of is not None else F.lit(1.0)
-    sized = table(sized.select(*row, "doc_id", "source", "size", es_key(F.col("doc_id"), weight).alias("key")), "mix-sizes")
+    times = F.lit(1).cast("long") if row else F.col("times")
+    sized = table(sized.select(*row, "doc_id", "source", "size", times.alias("times"), es_key(F.col("bits"), weight).alias("key")), "mix-sizes")
     # One shuffle by (source, bucket) serves the prefix sums; the totals are a few rows for each bucket.
-    buckets = max(16, sized.count() // ROWS_PER_BUCKET)
+    buckets = max(MIN_BUCKETS, sized.count() // ROWS_PER_BUCKET)
     placed = sized.withColumn("bucket", F.floor(F.lit(buckets) * F.col("key") / (1 + F.col("key"))).cast("int")).withColumn("name", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
-    sums = placed.groupBy("name", "source", "bucket").agg(F.sum("size").alias("sum"))
+    sums = placed.groupBy("name", "source", "bucket").agg(F.sum(F.col("size") * F.col("times")).alias("sum"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("sum").alias("source_size")))
     earlier = Window.partitionBy("name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     starts = sums.select("name", "bucket", (F.sum("sum").over(earlier) - F.col("sum")).alias("start"))
     named = targets.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("name"), "source_size", "target")
     starts = starts.join(named, "name")
-    within = Window.partitionBy("name", "bucket").orderBy("key", "doc_id", *row).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = placed.withColumn("ahead", F.sum("size").over(within) - F.col("size"))
+    within = Window.partitionBy("name", "bucket").orderBy("key", "doc_id", "size", *row).rowsBetween(Window.unboundedPreceding, 0)
+    mass = F.col("size") * F.col("times")
+    ahead = placed.withColumn("ahead", F.sum(mass).over(within) - mass)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
-    once = (F.col("start") + F.col("ahead") + F.col("size") / 2 <= rest).cast("long")
+    copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1))
+    once = (F.col("start") + F.col("ahead") + F.col("copy") * F.col("size") + F.col("size") / 2 <= rest).cast("long")
+    joined = ahead.join(starts, ["name", "bucket"])
     return (
-        ahead.join(starts, ["name", "bucket"])
+        (joined.withColumn("copy", F.lit(0)) if row else joined.withColumn("copy", copy))
         .withColumn("epochs", epochs)
         .select(*row, "doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + once)).cast("long").alias("taken"), (F.col("epochs") + once).cast("int").alias("copies"))
     )
@@ -109,7 +126,7 @@ WITH q AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS N
 d AS (
   SELECT d.doc_id, d.source,
     CAST(len(regexp_extract_all(coalesce(d.text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    -ln((CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
+    -ln((CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || coalesce(d.text, '')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
       / (CASE q.quality WHEN 1 THEN 1.0::DOUBLE WHEN 0 THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END) AS key
   FROM documents d LEFT JOIN q ON d.doc_id = q.doc_id),
 s AS (
@@ -128,7 +145,7 @@ t AS (
   FROM l CROSS JOIN k),
 a AS (
   SELECT doc_id, source, size,
-    sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) - size AS ahead
+    sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS ahead
   FROM d),
 e AS (
   SELECT a.doc_id, a.size, a.ahead, t.source_size, t.target,
