@@ -34,8 +34,6 @@ from .common import table
 THRESHOLD = 0.6
 #: Neighbouring blocks that a header may have.
 WINDOW = 4
-#: Lines that speak of a licence; what is scored doesn't depend on it.
-HINT = r"(?i)\blicen[cs]|\bcopyright|\ball rights reserved|\bpermission is hereby granted|\bpublic domain"
 TOKEN = "[a-z0-9]+(?:\\.[0-9]+)*"
 # Short statements of common licences by SPDX name.
 TEMPLATES = {
