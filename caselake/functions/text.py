@@ -22,20 +22,20 @@ TOPIC_PREFIX = r"(?s)^\s*Подтема запроса:\s*(.*?)\s*/\s*(.*)$"
 NUMBER = r"(?<![\w-])\d+(?:[.,]\d+)?"
 STEP_NUMBER = r"^\s*\d+[.)]\s*"
 URL = r"(?i)https?://\S+"
-#: Ordered: what looks technical is blanked before words are judged.
+# What looks technical, in this order, is blanked before words are judged.
 TECHNICAL = {
-    "url": r"(?i)https?://\S+",
-    "www": r"(?i)\bwww\.\S+",
-    "email": EMAIL,
-    "guid": GUID,
-    "hex": HEX,
-    "frame": r"\bat\s+[\w.$]+\([^)]*\)",
-    "path": r"(?:[A-Za-z]:\\|/)(?:[\w.-]+[\\/])+[\w.-]+",
-    "dotted": r"\b[A-Za-z]\w*(?:\.\w+){2,}\b",
-    "snake": r"\b[A-Za-z0-9]+(?:_[A-Za-z0-9]+)+\b",
-    "underscore": r"\b_\w+",
-    "camel": r"\b[a-z]+(?:[A-Z][a-z0-9]+)+\b",
-    "digits": r"\d{4,}",
+    "TECH.URL": "(?U)(?:https?|ftp)://[^\\s<>\"']+",
+    "TECH.WWW": "(?U)\\bwww\\.[^\\s<>\"']+",
+    "TECH.EMAIL": r"(?U)[\w.+-]+@[\w-]+\.[\w.-]+",
+    "TECH.GUID": rf"(?U){GUID}",
+    "TECH.HEX": r"(?U)\b(?:0x)?[0-9a-fA-F]{8,}\b",
+    "TECH.STACKFRAME": '(?U)File "[^"]*", line \\d+',
+    "TECH.PATH": r"(?U)(?:[A-Za-z]:)?[\\/][A-Za-z0-9_.\-]+(?:[\\/][A-Za-z0-9_.\-]+)+",
+    "TECH.DOTTED_IDENT": r"(?U)\b[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+\b",
+    "TECH.SNAKE_IDENT": r"(?U)\b[A-Za-z][A-Za-z0-9]*_[A-Za-z0-9_]+\b",
+    "TECH.UNDERSCORE_IDENT": r"(?U)\b_[A-Za-z][A-Za-z0-9_]*\b",
+    "TECH.CAMEL_IDENT": r"(?U)\b[a-z]+[A-Z][A-Za-z0-9]*\b",
+    "TECH.DIGIT_RUN": r"(?U)\b\d{3,}\b",
 }
 
 
@@ -117,9 +117,10 @@ def mask_technical(c: Column | str) -> tuple[Column, Column]:
 
 
 def fold(c: Column | str) -> Column:
-    """Zero-width signs out, lower case, yo as e, runs of a sign cut to three."""
-    plain = F.regexp_replace(text(c), "[​‌‍⁠﻿]", "")
-    return F.regexp_replace(F.translate(F.lower(plain), "ё", "е"), r"(.)\1{3,}", "$1$1$1")
+    """Invisible signs out, case folded, yo as e, runs of a sign cut to three (F15); NFKC comes before (functions.russian.nfkc)."""
+    plain = F.regexp_replace(text(c), "[\u200b\u200c\u200d\u2060\ufeff\u00ad]", "")
+    folded = F.regexp_replace(F.lower(plain), "ß", "ss")  # the letter whose folded form isn't its small one
+    return F.regexp_replace(F.translate(folded, "ё", "е"), r"(.)\1{3,}", "$1$1$1")
 
 
 def numbers(c: Column) -> Column:

@@ -156,14 +156,3 @@ def f9(spark, d):
 @query("f10_meaningful_tokens", r"SELECT conv_id, turn, CAST(len([x FOR x IN t IF length(x) > 1 AND x NOT IN ('the','of','and')]) AS BIGINT) AS n FROM (SELECT conv_id, turn, [lower(y) FOR y IN regexp_extract_all(coalesce(text,''), '[0-9a-zA-Zа-яёА-ЯЁ]+(?:[-_./][0-9a-zA-Zа-яёА-ЯЁ]+)*')] AS t FROM conversations)")
 def f10(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", F.size(T.meaningful("text", ["the", "of", "and"])).cast("long").alias("n"))
-
-
-@query("f14_masked_spans")
-def f14(spark, d):
-    clean, hits = T.mask_technical("text")
-    return read(spark, d, "documents").select("doc_id", F.md5(clean).alias("clean_md5"), F.array_join(hits, ",").alias("hits"))
-
-
-@query("f15_fold")
-def f15(spark, d):
-    return read(spark, d, "conversations").select("conv_id", "turn", T.fold("text").alias("folded"))

@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from caselake.functions import russian as RU
 from caselake.functions import text as T
 from caselake.operators import cases as C
 from caselake.operators import evaluation as E
@@ -147,13 +148,58 @@ def test_answer_audit(spark, summary, cited, grounding, want):
     assert df.select(E.answer_fault(F.col("s"), none, none, F.col("c"), F.array(F.lit("a")), none, F.col("g"))).first()[0] == want
 
 
-RULES = {"profanity": [{"id": "s", "stem": "дурак", "mask": True, "except": ["дуракаваляние"]}, {"id": "e", "exact": ["болван"]}], "human": {"targets": ["оператор", "специалист"], "markers": ["позов", "соедин", "нуж"], "negations": ["не нуж"], "howto": ["как связаться"], "phrases": ["живой человек"]}}
-
-
-@pytest.mark.parametrize("text,want", [("ты дурак", "policy_closed"), ("д.у р а к", "policy_closed"), ("дypaк", "policy_closed"), ("ду*ак", "policy_closed"), ("дуракаваляние", "pass"), ("Позовите оператора", "handoff"), ("оператор", "handoff"), ("Как связаться с оператором? нужен", "pass"), (None, "pass"), ("БОЛВАН!", "policy_closed")])
-def test_policy(spark, text, want):
-    df = spark.createDataFrame([(1, text)], "id long, text string")
-    assert policy.policy_labels(df, RULES, ["id"]).first()["verdict"] == want
+RULES = {
+    "ruleset_version": "test.1",
+    "normalization": {"fold_yo": True, "max_char_run": 3, "zero_width": ["\u200b", "\u00ad"], "homoglyph_map": {"a": "а", "c": "с", "e": "е", "o": "о", "p": "р", "y": "у", "k": "к", "b": "в", "x": "х"}, "digit_map": {"0": "о", "3": "з", "4": "ч", "6": "б"}, "word_merge": {"max_words": 5, "max_word_len": 3, "require_short_word_len": 2}},
+    "technical_spans": [{"id": "URL", "pattern": "https?://\\S+"}, {"id": "SNAKE", "pattern": "\\b[A-Za-z]+_[A-Za-z_]+\\b"}],
+    "profanity_rules": [
+        {"rule_id": "P.STEM", "kind": "stem", "atoms": ["д", "у", "р", "ао", "к"], "prefixes": ["", "по", "не"], "max_suffix": 3, "max_masked": 1, "exception_token_prefixes": ["дуракав"]},
+        {"rule_id": "P.TWO", "kind": "stem", "atoms": ["х", "р"], "prefixes": [""], "max_suffix": 0, "max_masked": 1},
+        {"rule_id": "P.EXACT", "kind": "exact", "script": "cyrillic", "max_masked": 1, "tokens": ["болван", "чурбан"]},
+        {"rule_id": "P.LATIN", "kind": "exact", "script": "latin", "max_masked": 1, "tokens": ["bolvan"]},
+    ],
+    "human_request": {
+        "person_targets": ["оператор", "специалист", "человек"], "channel_targets": ["поддержк"], "transfer_markers": ["позовите", "соедините"], "need_markers": ["нужен", "хочу", "соедините"], "max_gap_tokens": 3,
+        "phrase_rules": [{"rule_id": "H.LIVE", "pattern": "\\bжив(?:ой|ым)\\s+челове"}], "politeness_tokens": ["пожалуйста", "мне", "нужен"],
+        "suppressors": [{"rule_id": "POL.HUMAN.SUPPRESS.HOWTO", "question_pattern": "\\bкак\\b", "contact_pattern": "\\b(связат|найти)"}, {"rule_id": "POL.HUMAN.SUPPRESS.NEGATION", "pattern": "\\bне\\s+(?:нужен|хочу)\\b"}],
+    },
+}
+
+PROFANE = [
+    ("ты дурак", "P.STEM"), ("ДУРАК!", "P.STEM"), ("д.у р а к", "P.STEM"), ("дypaк", "P.STEM"), ("ду*ак", "P.STEM"), ("д**ак", ""), ("дууурак", "P.STEM"), ("дууууууурак", "P.STEM"), ("подураки", "P.STEM"), ("дуракаваляние", ""), ("мудурак", ""),
+    ("дурачьё всякое", ""), ("дур0к", "P.STEM"), ("ду9ак", "P.STEM"), ("duрак", ""), ("ду\u200bрак", "P.STEM"), ("д-у-р-а-к-у", "P.STEM"), ("https://дурак.ru", ""), ("some_дурак", ""), ("х.р", "P.TWO"), ("х*", ""), ("болван", "P.EXACT"), ("бо-л-ван", "P.EXACT"), ("б*лван", "P.EXACT"), ("б*лв*н", ""), ("болвана", ""), ("bolvan", "P.LATIN"), ("бolvan", ""),
+    ("bo lv an", "P.LATIN"), ("дурак и болван", "P.STEM,P.EXACT"), ("", ""), (None, ""), (" ... !!! ", ""), ("дурак " * 3000, "P.STEM"),
+]
+ASKS = [
+    ("Позовите оператора", "POL.HUMAN.TRANSFER_REQUEST"), ("нужен специалист", "POL.HUMAN.NEED_PERSON,POL.HUMAN.TARGET_ONLY"), ("нужен сейчас специалист", "POL.HUMAN.NEED_PERSON"), ("нужна поддержка", ""), ("хочу в поддержку", ""), ("соедините с поддержкой", "POL.HUMAN.TRANSFER_REQUEST"), ("оператор", "POL.HUMAN.TARGET_ONLY"), ("Оператор, пожалуйста!", "POL.HUMAN.TARGET_ONLY"), ("не нужен оператор", ""),
+    ("не хочу ждать. соедините с оператором", "POL.HUMAN.TRANSFER_REQUEST"), ("Как связаться с оператором?", ""), ("Как связаться с банком? Позовите оператора", "POL.HUMAN.TRANSFER_REQUEST"), ("это ужасный сервис", ""), ("позовите а б в г оператора", ""), ("дайте живой человек", "H.LIVE"), ("не нужен бот, позовите человека", "POL.HUMAN.TRANSFER_REQUEST"), ("нужен договор; специалист подписал", ""), (None, ""),
+]
+
+
+def test_policy(spark):
+    rows = [(i, x, w, "") for i, (x, w) in enumerate(PROFANE)] + [(100 + i, x, "", w) for i, (x, w) in enumerate(ASKS)]
+    df = spark.createDataFrame([(i, x) for i, x, _, _ in rows], "id long, text string")
+    got = {r["id"]: r for r in policy.policy_labels(df, RULES, ["id"]).collect()}
+    for i, x, profane, asks in rows:
+        assert (",".join(got[i]["profanity"]), ",".join(got[i]["human"])) == (profane, asks), x
+        assert got[i]["verdict"] == ("policy_closed" if profane else "handoff" if asks else "pass") and got[i]["human_request"] == bool(asks)
+    both = policy.policy_labels(spark.createDataFrame([(1, "дурак, позовите оператора")], "id long, text string"), RULES, ["id"]).first()
+    assert both["verdict"] == "policy_closed" and both["human"] == [] and not both["human_request"]
+
+
+def test_policy_readings(spark):
+    df = spark.createDataFrame([(1, "п3р о д he.llo"), (2, None), (3, "some_name")], "id long, text string")
+    got = sorted(map(tuple, policy.match_candidates(df, RULES, ["id"]).collect()))
+    assert got == sorted([(1, "пзр", True), (1, "п*р", True), (1, "о", True), (1, "д", True), (1, "he*llo", False), (1, "пзро", True), (1, "пзрод", True), (1, "од", True)])
+
+
+def test_fold_and_technical(spark):
+    df = spark.createDataFrame([("ЁЖ ſ ß Ａ ааааа\u00ad", 1), (None, 2)], "text string, id long")
+    assert [r[0] for r in df.select(T.fold(RU.nfkc("text"))).collect()] == ["еж s ss a ааа", ""]
+    said = 'до see www.a.ru/x и C:\\dir\\sub\\f.txt File "a b", line 12 и a.b.c snake_name _under camelCase 0xDEADBEEF 12345 ёлка123 x+y@d-e.fg'
+    clean, hits = spark.createDataFrame([(said,)], "text string").select(*T.mask_technical("text")).first()
+    assert " ".join(clean.split()) == "до see и и ёлка123"
+    assert list(hits) == ["TECH.WWW", "TECH.EMAIL", "TECH.HEX", "TECH.STACKFRAME", "TECH.PATH", "TECH.DOTTED_IDENT", "TECH.SNAKE_IDENT", "TECH.UNDERSCORE_IDENT", "TECH.CAMEL_IDENT", "TECH.DIGIT_RUN"]
 
 
 def test_cards(spark):
