@@ -26,9 +26,27 @@ def feedback_on_messages(feedback: DataFrame, messages: DataFrame, key: str) ->
     return feedback.join(known, key, "left").withColumn("dangling", F.col("_known").isNull()).drop("_known")
 
 
-def resolution(feedback: DataFrame, case: str, when: str, order: str) -> DataFrame:
-    """Latest solved feedback of each case."""
-    return feedback.where("solved").groupBy(case).agg(F.max_by("message_id", F.struct(when, order)).alias("message_id"), F.max(when).alias("confirmed_at"))
+def resolution(cases: DataFrame, messages: DataFrame, feedback: DataFrame) -> DataFrame:
+    """cases (case_id, case_status), messages (case_id, message_id, kind, answer_origin), feedback (message_id, feedback_id,
+    updated_at, solved) -> case_id, resolution: the latest solved feedback on an answer of each resolved case (J14)."""
+    answers = messages.where("kind = 'answer'").join(cases.where("case_status = 'resolved'").select("case_id"), "case_id", "left_semi").select("case_id", "message_id", "answer_origin")
+    last = F.max_by(F.struct("message_id", F.lit("user").alias("confirmed_by"), "answer_origin", F.col("updated_at").alias("confirmed_at")), F.struct("updated_at", "feedback_id"))
+    return feedback.where("solved").join(answers, "message_id").groupBy("case_id").agg(last.alias("resolution"))
+
+
+def feedback_verdict(feedback: DataFrame, messages: DataFrame) -> DataFrame:
+    """feedback (session_id, message_id, specialist_rating, useful, solved, ...), messages (message_id, session_id, kind,
+    responder_type, answer_origin) -> feedback with verdict (J24): only a message of one's own session, only an answer, a
+    specialist's rating only for what an operator wrote, and some rating at all."""
+    known = messages.select("message_id", F.col("session_id").alias("_owner"), F.col("kind").alias("_kind"), ((F.col("responder_type") == "operator") & (F.col("answer_origin") == "operator")).alias("_operator"))
+    said = (
+        F.when(F.coalesce(F.col("_owner") != F.col("session_id"), F.lit(True)), "not_found")
+        .when(F.col("_kind") != "answer", "not_an_answer")
+        .when(F.col("specialist_rating").isNotNull() & ~F.coalesce("_operator", F.lit(False)), "rating_of_no_operator")
+        .when(F.coalesce(F.col("useful").cast("int"), F.col("solved").cast("int"), F.col("specialist_rating")).isNull(), "no_rating")
+        .otherwise("ok")
+    )
+    return feedback.join(known, "message_id", "left").withColumn("verdict", said).drop("_owner", "_kind", "_operator")
 
 
 def later_user_message(messages: DataFrame, case: str = "case_id", seq: str = "seq") -> DataFrame:
@@ -50,14 +68,37 @@ def last_user_messages(messages: DataFrame, case: str, seq: str, n: int = 5) ->
 
 
 def assemble(cases: DataFrame, key: str, **children: tuple[DataFrame, list[str]]) -> DataFrame:
-    """cases with one array of structs for each child table, ordered by its columns (J15). Cases bound the arrays."""
+    """cases with one array of structs for each child table, ordered by its columns (J15). Arrays are as long as a case's
+    children, which the message cap bounds; children without a key belong to no case and aren't gathered."""
     out = cases
     for name, (rows, columns) in children.items():
-        nested = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+        nested = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
         out = out.join(nested, key, "left").withColumn(name, F.coalesce(F.col(name), F.array().cast(nested.schema[name].dataType)))
     return out
 
 
+def evaluation_rows(cases: DataFrame, messages: DataFrame, requests: DataFrame, feedback: DataFrame, tickets: DataFrame) -> DataFrame:
+    """One nested row a case (J15): cases (case_id, cohort, case_status), messages (case_id, seq, message_id, kind,
+    responder_type, answer_origin), requests (case_id, created_at, request_id, status, error_code, total_ms), feedback
+    (message_id, feedback_id, updated_at, useful, solved), tickets (case_id, ticket_status)."""
+    own = feedback.join(messages.select("message_id", "case_id"), "message_id") if "case_id" not in feedback.columns else feedback
+    rows = assemble(
+        cases.withColumn("policy_closed", F.col("case_status") == "closed_policy"), "case_id",
+        messages=(messages, ["seq", "message_id", "kind", "responder_type", "answer_origin"]),
+        requests=(requests, ["created_at", "request_id", "status", "error_code", "total_ms"]),
+        feedback=(own, ["updated_at", "feedback_id", "message_id", "useful", "solved"]),
+    )
+    rows = rows.join(tickets.select("case_id", "ticket_status"), "case_id", "left").withColumn("has_ticket", F.col("ticket_status").isNotNull())
+    return rows.join(resolution(cases, messages, feedback.drop("case_id")), "case_id", "left")
+
+
+def handoff_context(rows: DataFrame) -> DataFrame:
+    """rows (case_id, messages array<struct<seq, ..., source_ids>> in order, basis_source_ids): history, and the sources of
+    the route and then of the messages, each where it is first named (D11)."""
+    said = F.transform("messages", lambda m: F.coalesce(m["source_ids"], F.array().cast("array<string>")))
+    return rows.withColumn("source_ids", F.array_distinct(F.concat(F.coalesce("basis_source_ids", F.array().cast("array<string>")), F.flatten(said))))
+
+
 def nearest_rank(c: str, p: float) -> Column:
     """Nearest-rank percentile."""
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {c})")
@@ -105,25 +146,58 @@ def case_flags(rows: DataFrame) -> DataFrame:
 
 
 def cohort_rates(flags: DataFrame, by: list[str] = ["cohort"]) -> DataFrame:  # noqa: B006
-    """metric, n, k, value for each cohort over cases that policy didn't close."""
+    """metric, n, k, value for each cohort over cases that policy didn't close (A16, P12); n of case rates is null where
+    no case is left."""
     x = flags.where(~F.col("policy_closed"))
     of = lambda cond: F.count_if(cond).alias("k")
-    case_rates = {"auto_answered": F.col("ai_answered"), "confirmed_auto": F.col("confirmed_auto"), "handoffs": F.col("has_ticket"), "no_answer": ~F.col("has_answer"), "errors": F.col("has_error"), "timeouts": F.col("has_timeout")}
+    case_rates = {"auto_answer": F.col("ai_answered"), "confirmed_auto_resolution": F.col("confirmed_auto"), "handoffs": F.col("has_ticket"), "no_answer": ~F.col("has_answer"), "errors": F.col("has_error"), "timeouts": F.col("has_timeout")}
     sums = [F.count("*").alias("n_cases"), F.count_if("has_answer").alias("n_answered")]
     sums += [of(c).alias(m) for m, c in case_rates.items()] + [F.count_if(F.col("has_answer") & F.col("has_feedback")).alias("covered")]
     sums += [F.sum(c).alias(c) for c in ("ai_useful_n", "ai_useful_k", "op_useful_n", "op_useful_k", "solved_n", "solved_k")]
     g = flags.select(*by).distinct().join(x.groupBy(*by).agg(*sums), by, "left").na.fill(0)
-    rows = [F.struct(F.lit(m).alias("metric"), F.col("n_cases").alias("n"), F.col(m).alias("k")) for m in case_rates]
+    rows = [F.struct(F.lit(m).alias("metric"), F.nullif(F.col("n_cases"), F.lit(0)).alias("n"), F.col(m).alias("k")) for m in case_rates]
     rows += [F.struct(F.lit("feedback_coverage").alias("metric"), F.col("n_answered").alias("n"), F.col("covered").alias("k"))]
-    rows += [F.struct(F.lit(m).alias("metric"), F.col(f"{p}_n").alias("n"), F.col(f"{p}_k").alias("k")) for m, p in (("usefulness_ai", "ai_useful"), ("usefulness_operator", "op_useful"), ("solved", "solved"))]
+    rows += [F.struct(F.lit(m).alias("metric"), F.col(f"{p}_n").alias("n"), F.col(f"{p}_k").alias("k")) for m, p in (("usefulness_ai", "ai_useful"), ("usefulness_operator", "op_useful"), ("solved_rate", "solved"))]
     return g.select(*by, F.inline(F.array(*rows))).withColumn("value", rate(F.col("k"), F.col("n")))
 
 
+def cohort_info(flags: DataFrame, by: list[str] = ["cohort"]) -> DataFrame:  # noqa: B006
+    """Cases in all, closed by policy and left; and of those left the offered handoffs, error and timeout requests and cases
+    with dangling feedback (A17)."""
+    left = ~F.col("policy_closed")
+    sums = {"handoff_offered_cases": F.col("handoff_offered").cast("long"), "error_requests": F.col("error_requests"), "timeout_requests": F.col("timeout_requests"), "dangling_feedback_cases": F.col("dangling").cast("long")}
+    return flags.groupBy(*by).agg(F.count("*").alias("total"), F.count_if("policy_closed").alias("policy_closed"), F.count_if(left).alias("eligible"), *[F.sum(F.when(left, c).otherwise(0)).alias(m) for m, c in sums.items()])
+
+
+def nearest_ranks(rows: DataFrame, by: list[str], value: str, at: dict[str, float], bins: int = 1024) -> DataFrame:
+    """by, n and the nearest-rank percentiles ``at`` (name -> share) of each group, exactly.
+
+    A group's range is cut in bins and counted; only the bins that hold a wanted rank are looked into, by distinct value. So
+    no task holds a group's values, whatever its size. Nulls don't count; null groups are groups."""
+    v = rows.where(F.col(value).isNotNull()).select(F.struct(*by).alias("_by"), F.col(value).cast("double").alias("_v"))
+    ends = v.groupBy("_by").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("n"))
+    place = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))).otherwise(F.lit(0).cast("long"))
+    binned = v.join(ends, "_by").withColumn("_bin", place)
+    w = Window.partitionBy("_by").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)  # a group's bins
+    counted = binned.groupBy("_by", "n", "_bin").agg(F.count("*").alias("_c")).withColumn("_before", F.sum("_c").over(w) - F.col("_c"))
+    ranks = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.greatest(F.ceil(F.lit(p) * F.col("n")), F.lit(1)).alias("rank")) for name, p in at.items()]))
+    wanted = counted.withColumn("_r", ranks).where((F.col("_r.rank") > F.col("_before")) & (F.col("_r.rank") <= F.col("_before") + F.col("_c")))
+    wanted = wanted.select("_by", "_bin", F.col("_r.name").alias("_name"), (F.col("_r.rank") - F.col("_before")).alias("_rank"))
+    inside = binned.join(wanted, ["_by", "_bin"]).groupBy("_by", "_name", "_rank", "_v").agg(F.count("*").alias("_c"))
+    up = F.sum("_c").over(Window.partitionBy("_by", "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    found = inside.withColumn("_up", up).where("_up >= _rank").groupBy("_by").agg(*[F.min(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in at])
+    return ends.select("_by", "n").join(found, "_by").select("_by.*", "n", *at)
+
+
 def latency(flags: DataFrame, by: list[str] = ["cohort"]) -> DataFrame:  # noqa: B006
-    """Nearest-rank p50 and p95 of all totals and of answers' totals, each with its n."""
+    """Nearest-rank p50 and p95 of all totals, and of the final totals of answered cases, each with its n."""
     x = flags.where(~F.col("policy_closed"))
-    part = lambda c: x.select(*by, F.explode(c).alias("ms")).groupBy(*by).agg(F.count("*").alias(f"{c}_n"), nearest_rank("ms", 0.5).alias(f"{c}_p50"), nearest_rank("ms", 0.95).alias(f"{c}_p95"))
-    return flags.select(*by).distinct().join(part("totals_ms"), by, "left").join(part("answer_ms"), by, "left").na.fill(0, ["totals_ms_n", "answer_ms_n"])
+
+    def part(rows: DataFrame, c: str) -> DataFrame:
+        found = nearest_ranks(rows.select(*by, F.explode(c).alias("ms")), by, "ms", {f"{c}_p50": 0.5, f"{c}_p95": 0.95})
+        return found.withColumnRenamed("n", f"{c}_n")
+
+    return flags.select(*by).distinct().join(part(x, "totals_ms"), by, "left").join(part(x.where("has_answer"), "answer_ms"), by, "left").na.fill(0, ["totals_ms_n", "answer_ms_n"])
 
 
 def error_codes(flags: DataFrame, by: list[str] = ["cohort"]) -> DataFrame:  # noqa: B006
@@ -132,15 +206,21 @@ def error_codes(flags: DataFrame, by: list[str] = ["cohort"]) -> DataFrame:  # n
 
 
 def export_issues(rows: DataFrame) -> DataFrame:
-    """case_id, issue, severity: duplicate cases, dangling feedback, resolutions of unknown messages, closed tickets without resolution."""
-    issue = lambda df, name, sev="error": df.select("case_id", F.lit(name).alias("issue"), F.lit(sev).alias("severity"))
+    """case_id, issue, detail (D8): no rows at all, duplicate cases, feedback on and resolutions of unknown messages, closed
+    tickets without resolution."""
+    issue = lambda df, name, detail=None: df.select("case_id", F.lit(name).alias("issue"), (F.lit(None).cast("string") if detail is None else detail.cast("string")).alias("detail"))
     known = F.transform("messages", lambda m: m["message_id"])
+    nothing = rows.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(None).cast(rows.schema["case_id"].dataType).alias("case_id"))
     twice = rows.groupBy("case_id").agg(F.count("*").alias("n")).where("n > 1")
+    unknown = rows.select("case_id", F.explode(F.array_distinct(F.filter(F.transform("feedback", lambda f: f["message_id"]), lambda m: ~F.array_contains(known, m)))).alias("message_id"))
+    lost = rows.where(F.col("resolution.message_id").isNotNull() & ~F.array_contains(known, F.col("resolution.message_id")))
+    unresolved = rows.where(F.col("ticket_status").isin("resolved", "closed_policy") & F.col("resolution").isNull())
     return (
-        issue(twice, "duplicate_case")
-        .unionByName(issue(rows.where(F.exists("feedback", lambda f: ~F.array_contains(known, f["message_id"]))), "dangling_feedback"))
-        .unionByName(issue(rows.where(F.col("resolution.message_id").isNotNull() & ~F.array_contains(known, F.col("resolution.message_id"))), "resolution_of_unknown_message"))
-        .unionByName(issue(rows.where((F.col("ticket_status") == "resolved") & F.col("resolution").isNull()), "closed_without_resolution", "note"))
+        issue(nothing, "no_rows")
+        .unionByName(issue(twice, "duplicate_case"))
+        .unionByName(issue(unknown, "feedback_of_unknown_message", F.col("message_id")))
+        .unionByName(issue(lost, "resolution_of_unknown_message", F.col("resolution.message_id")))
+        .unionByName(issue(unresolved, "closed_without_resolution", F.col("ticket_status")))
     )
 
 

@@ -87,9 +87,23 @@ def rebuilt_title(title: Column | str, content: Column | str, source_name: Colum
     return F.when(reason.isNull(), plain).otherwise(F.coalesce(first, kept)), F.when(reason.isNull(), "").when(first.isNull(), F.concat(reason, F.lit("_no_replacement_in_content"))).otherwise(reason)
 
 
+def numbered(rows: DataFrame, by: list[str], order: list[str], name: str = "place", buckets: int = 256) -> DataFrame:
+    """rows with their place (from 1) within by, in order; the first order column is a number.
+
+    No task sorts a whole group: the range of that column is cut in buckets, rows are numbered within (by, bucket) and the
+    counts of earlier buckets, a few rows for each group, are added. Null keys are groups, null order values come first."""
+    ends = rows.agg(F.min(order[0]).alias("_lo"), F.max(order[0]).alias("_hi"))  # one row
+    at = F.coalesce(F.floor((F.col(order[0]) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * buckets), F.lit(-1)).alias("_bucket")
+    placed = rows.join(F.broadcast(ends), how="cross").select(*rows.columns, F.struct(F.lit(0), *by).alias("_by"), at)
+    w = Window.partitionBy("_by").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    before = placed.groupBy("_by", "_bucket").agg(F.count("*").alias("_n")).select("_by", "_bucket", (F.sum("_n").over(w) - F.col("_n")).alias("_before"))
+    within = placed.withColumn("_place", F.row_number().over(Window.partitionBy("_by", "_bucket").orderBy(*order)))
+    return within.join(before, ["_by", "_bucket"]).select(*rows.columns, (F.col("_before") + F.col("_place")).alias(name))
+
+
 def number_chunks(chunks: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """chunk_no within (document, page) in order."""
-    return chunks.withColumn("chunk_no", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+    return numbered(chunks, by, order, "chunk_no")
 
 
 def unique_toc(entries: DataFrame) -> DataFrame:
@@ -98,16 +112,21 @@ def unique_toc(entries: DataFrame) -> DataFrame:
     return entries.withColumn("place", F.row_number().over(w)).where("place = 1").drop("place")
 
 
-def latest_toc(pages: DataFrame, entries: DataFrame) -> DataFrame:
+def latest_toc(pages: DataFrame, entries: DataFrame, span: int = 64) -> DataFrame:
     """Each page with the last entry that starts no later; ties by the longest number; null if there is none.
 
-    As-of by union and a running window, so a document with many entries isn't multiplied by its pages."""
+    As-of by union and a running window over ``span`` pages of a document, so that neither its entries are multiplied by
+    its pages nor one task sorts a long document; the last entry of earlier spans, a row for each, is carried in."""
     entry = F.struct(F.col("page").alias("start"), F.length("number").alias("n"), "number", "title")
     both = entries.select("source_key", F.col("page").alias("at"), F.lit(0).alias("kind"), entry.alias("entry"), F.lit(None).cast("long").alias("page")).unionByName(
         pages.select("source_key", F.col("page").cast("int").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("struct<start:int,n:int,number:string,title:string>").alias("entry"), F.col("page").cast("long").alias("page"))
-    )
-    w = Window.partitionBy("source_key").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("last", F.max("entry").over(w)).where("kind = 1").select("source_key", "page", F.col("last.number").alias("number"), F.col("last.title").alias("title"))
+    ).withColumn("_span", F.floor(F.col("at") / span))
+    earlier = Window.partitionBy("source_key").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy("source_key", "_span").agg(F.max("entry").alias("_most")).select(F.struct("source_key", "_span").alias("_key"), F.max("_most").over(earlier).alias("_carried"))
+    w = Window.partitionBy("source_key", "_span").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    here = both.withColumn("last", F.max("entry").over(w)).where("kind = 1").withColumn("_key", F.struct("source_key", "_span")).join(carried, "_key", "left")
+    last = F.coalesce("last", "_carried")  # a later span's entries start later
+    return here.select("source_key", "page", last["number"].alias("number"), last["title"].alias("title"))
 
 
 def section_paths(sections: DataFrame, entries: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import kb
 from ..registry import query, read
 
 C = "CAST(count(*) AS BIGINT)"
@@ -112,9 +113,9 @@ def w11(spark, d):
 
 @query("w12_stratified_pool", "SELECT doc_id, source, CAST(count(*) OVER (PARTITION BY source) AS BIGINT) AS stratum, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS place FROM documents")
 def w12(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", "source")
-    sizes = docs.groupBy("source").agg(F.count("*").alias("stratum"))
-    return docs.join(sizes, docs["source"].eqNullSafe(sizes["source"])).select("doc_id", docs["source"], "stratum", F.row_number().over(Window.partitionBy(docs["source"]).orderBy("doc_id")).cast("long").alias("place"))
+    docs = kb.numbered(read(spark, d, "documents").select("doc_id", "source"), ["source"], ["doc_id"])
+    sizes = docs.groupBy(F.col("source").alias("name")).agg(F.count("*").alias("stratum"))
+    return docs.join(sizes, F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "source", "stratum", "place")
 
 
 @query("a29_pool_report", f"SELECT source, {C} AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 15")

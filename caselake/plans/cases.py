@@ -5,61 +5,118 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cases as C
+from ..operators.kb import numbered
 from ..registry import query, read
 
 N = "CAST(count(*) AS BIGINT)"
 
 
-def flags_sql() -> str:
-    return """f AS (SELECT o_orderkey AS case_id, o_orderstatus AS cohort, o_orderpriority LIKE '5%' AS policy_closed, count(l_orderkey) > 0 AS has_answer,
-  coalesce(bool_or(l_returnflag = 'R'), false) AS has_error, coalesce(bool_or(l_extendedprice >= 60000), false) AS has_timeout
-  FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)"""
+#: Orders as cases; their lines as messages, requests and feedback; conversations don't repeat an order's children.
+TABLES = """c AS (SELECT o_orderkey AS case_id, CASE WHEN o_custkey % 5 = 0 THEN 'demo' ELSE 'live' END AS cohort,
+  CASE left(o_orderpriority, 1) WHEN '1' THEN 'handoff_offered' WHEN '5' THEN 'closed_policy' WHEN '4' THEN 'open' ELSE 'resolved' END AS case_status,
+  CASE WHEN o_totalprice > 300000 THEN CASE WHEN o_orderstatus = 'F' THEN 'resolved' WHEN o_orderstatus = 'P' THEN 'closed_policy' ELSE 'new' END END AS ticket_status, o_custkey AS session_id FROM orders),
+m AS (SELECT l_orderkey AS case_id, l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey || ':' || CAST(round(l_extendedprice * 100) AS BIGINT) AS message_id, CAST(l_linenumber AS BIGINT) AS seq, CASE WHEN l_returnflag = 'N' THEN 'question' ELSE 'answer' END AS kind,
+  CASE l_returnflag WHEN 'A' THEN 'ai' WHEN 'R' THEN 'operator' END AS responder_type, CASE WHEN l_returnflag = 'R' THEN 'operator' WHEN l_returnflag = 'A' THEN CASE WHEN l_linenumber % 2 = 0 THEN 'rag' ELSE 'fallback' END END AS answer_origin, l_suppkey AS author_id FROM lineitem),
+r AS (SELECT l_orderkey AS case_id, l_shipdate AS created_at, l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey || ':' || CAST(round(l_extendedprice * 100) AS BIGINT) AS request_id, CASE WHEN l_linestatus = 'O' THEN 'processing' WHEN l_tax > 0.02 THEN 'final' ELSE 'error' END AS status,
+  CASE WHEN l_suppkey % 3 > 0 THEN 'E' || l_suppkey % 3 END AS error_code, CASE WHEN l_discount > 0 THEN l_extendedprice * 2 END AS total_ms FROM lineitem),
+f AS (SELECT l_orderkey || ':' || l_linenumber || ':' || (l_partkey + CASE WHEN l_quantity < 3 THEN 1000000 ELSE 0 END) || ':' || l_suppkey || ':' || CAST(round(l_extendedprice * 100) AS BIGINT) AS message_id, l_orderkey AS case_id, l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey || ':' || CAST(round(l_extendedprice * 100) AS BIGINT) || ':' || x.n AS feedback_id,
+  l_shipdate + to_days(CASE WHEN l_quantity > 40 THEN CAST(x.n AS INTEGER) ELSE 0 END) AS updated_at, CASE WHEN l_quantity % 3 > 0 THEN (l_tax > 0.04) <> (x.n = 1) END AS useful, CASE WHEN l_quantity % 2 > 0 THEN (l_discount > 0.06) <> (x.n = 1) END AS solved
+  FROM lineitem, (VALUES (0), (1)) x(n) WHERE l_discount >= 0.04 AND (x.n = 0 OR l_quantity > 30)),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id, message_id ORDER BY updated_at DESC, feedback_id) AS place FROM f) WHERE place = 1),
+s AS (SELECT m.case_id, arg_max(message_id, (updated_at, feedback_id)) AS message_id, arg_max(answer_origin, (updated_at, feedback_id)) AS answer_origin FROM f JOIN m USING (message_id) JOIN c ON c.case_id = m.case_id WHERE solved AND kind = 'answer' AND case_status = 'resolved' GROUP BY m.case_id)"""
+TIMED_OUT = "status IN ('final', 'error') AND total_ms >= 120000"
+FLAGS = f"""mm AS (SELECT case_id, count(*) FILTER (kind = 'answer') AS answers, count(*) FILTER (responder_type = 'ai') AS ai, count(*) FILTER (responder_type = 'operator') AS op FROM m GROUP BY case_id),
+rr AS (SELECT case_id, count(*) FILTER (status = 'error') AS errors, count(*) FILTER ({TIMED_OUT}) AS timeouts FROM r GROUP BY case_id),
+ll AS (SELECT l.case_id, coalesce(bool_or(kind = 'answer'), false) AS fb, bool_or(m.message_id IS NULL) AS dangling,
+  count(*) FILTER (responder_type = 'ai' AND useful IS NOT NULL) AS an, count(*) FILTER (responder_type = 'ai' AND useful) AS ak, count(*) FILTER (responder_type = 'operator' AND useful IS NOT NULL) AS pn, count(*) FILTER (responder_type = 'operator' AND useful) AS pk,
+  count(*) FILTER (kind = 'answer' AND solved IS NOT NULL) AS sn, count(*) FILTER (kind = 'answer' AND solved) AS sk FROM l LEFT JOIN m USING (message_id) GROUP BY l.case_id),
+g AS (SELECT c.case_id, cohort, case_status = 'closed_policy' AS policy_closed, ticket_status IS NOT NULL AS has_ticket, coalesce(answers, 0) > 0 AS has_answer, coalesce(ai, 0) > 0 AS ai_answered, coalesce(op, 0) > 0 AS operator_answered,
+  coalesce(ai, 0) > 0 AND coalesce(s.answer_origin IN ('rag', 'card'), false) AND coalesce(op, 0) = 0 AND ticket_status IS NULL AS confirmed_auto, coalesce(errors, 0) > 0 AS has_error, coalesce(timeouts, 0) > 0 AS has_timeout, case_status = 'handoff_offered' AS handoff_offered,
+  CAST(coalesce(an, 0) AS BIGINT) AS ai_useful_n, CAST(coalesce(ak, 0) AS BIGINT) AS ai_useful_k, CAST(coalesce(pn, 0) AS BIGINT) AS op_useful_n, CAST(coalesce(pk, 0) AS BIGINT) AS op_useful_k, CAST(coalesce(sn, 0) AS BIGINT) AS solved_n, CAST(coalesce(sk, 0) AS BIGINT) AS solved_k,
+  coalesce(fb, false) AS has_feedback, coalesce(dangling, false) AS dangling, CAST(coalesce(errors, 0) AS BIGINT) AS error_requests, CAST(coalesce(timeouts, 0) AS BIGINT) AS timeout_requests
+  FROM c LEFT JOIN mm USING (case_id) LEFT JOIN rr USING (case_id) LEFT JOIN ll USING (case_id) LEFT JOIN s USING (case_id))"""
+
+
+def tables(spark, d):
+    """cases, messages, requests, feedback and tickets from orders and their lines (as TABLES)."""
+    o, li = read(spark, d, "orders"), read(spark, d, "lineitem")
+    status = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for x in ("1", "handoff_offered", "5", "closed_policy", "4", "open", "2", "resolved", "3", "resolved")]), F.substring("o_orderpriority", 1, 1)), F.lit("resolved"))
+    ticket = F.when(F.col("o_totalprice") > 300000, F.when(F.col("o_orderstatus") == "F", "resolved").when(F.col("o_orderstatus") == "P", "closed_policy").otherwise("new"))
+    cases = o.select(F.col("o_orderkey").alias("case_id"), F.when(F.col("o_custkey") % 5 == 0, "demo").otherwise("live").alias("cohort"), status.alias("case_status"), ticket.alias("ticket_status"), F.col("o_custkey").alias("session_id"))
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long").cast("string")  # lines of an order can repeat their number
+    own = F.concat_ws(":", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], cents)
+    case_id, flag = F.col("l_orderkey").alias("case_id"), F.col("l_returnflag")
+    origin = F.when(flag == "R", "operator").when(flag == "A", F.when(F.col("l_linenumber") % 2 == 0, "rag").otherwise("fallback"))
+    messages = li.select(case_id, own.alias("message_id"), F.col("l_linenumber").cast("long").alias("seq"), F.when(flag == "N", "question").otherwise("answer").alias("kind"), F.when(flag == "A", "ai").when(flag == "R", "operator").alias("responder_type"), origin.alias("answer_origin"), F.col("l_suppkey").alias("author_id"))
+    state = F.when(F.col("l_linestatus") == "O", "processing").when(F.col("l_tax") > 0.02, "final").otherwise("error")
+    code = F.when(F.col("l_suppkey") % 3 > 0, F.concat(F.lit("E"), (F.col("l_suppkey") % 3).cast("string")))
+    requests = li.select(case_id, F.col("l_shipdate").alias("created_at"), own.alias("request_id"), state.alias("status"), code.alias("error_code"), F.when(F.col("l_discount") > 0, F.col("l_extendedprice") * 2).alias("total_ms"))
+    twice = li.where("l_discount >= 0.04").withColumn("n", F.explode(F.when(F.col("l_quantity") > 30, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    on = F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), (F.col("l_partkey") + F.when(F.col("l_quantity") < 3, 1000000).otherwise(0)).cast("string"), F.col("l_suppkey").cast("string"), cents)
+    at = F.col("l_shipdate") + F.make_dt_interval(F.when(F.col("l_quantity") > 40, F.col("n")).otherwise(0))
+    second = F.col("n") == 1
+    feedback = twice.select(on.alias("message_id"), case_id, F.concat_ws(":", own, F.col("n").cast("string")).alias("feedback_id"), at.alias("updated_at"), F.when(F.col("l_quantity") % 3 > 0, (F.col("l_tax") > 0.04) != second).alias("useful"), F.when(F.col("l_quantity") % 2 > 0, (F.col("l_discount") > 0.06) != second).alias("solved"))
+    return cases.drop("ticket_status"), messages, requests, feedback, cases.where("ticket_status is not null").select("case_id", "ticket_status")
+
+
+def evaluation_rows(spark, d):
+    return C.evaluation_rows(*tables(spark, d))
 
 
 def flags(spark, d):
-    lines = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("case_id")).agg(F.bool_or(F.col("l_returnflag") == "R").alias("e"), F.bool_or(F.col("l_extendedprice") >= 60000).alias("t"))
-    orders = read(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderstatus").alias("cohort"), F.col("o_orderpriority").startswith("5").alias("policy_closed"))
-    return orders.join(lines, "case_id", "left").select("case_id", "cohort", "policy_closed", F.col("e").isNotNull().alias("has_answer"), F.coalesce("e", F.lit(False)).alias("has_error"), F.coalesce("t", F.lit(False)).alias("has_timeout"))
+    return C.case_flags(evaluation_rows(spark, d))
 
 
-@query("j15_case_assembly", "SELECT o_orderkey AS case_id, CAST(count(l_orderkey) AS BIGINT) AS n_requests, coalesce(string_agg(l_linenumber || ':' || l_returnflag, ',' ORDER BY l_linenumber, l_returnflag), '') AS requests FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+@query(
+    "j15_case_assembly",
+    f"""WITH {TABLES}, mj AS (SELECT case_id, string_agg(concat_ws(':', seq, message_id, kind, responder_type), ',' ORDER BY seq, message_id) AS x FROM m GROUP BY 1), rj AS (SELECT case_id, string_agg(concat_ws(':', request_id, status, error_code), ',' ORDER BY created_at, request_id) AS x FROM r GROUP BY 1),
+fj AS (SELECT case_id, string_agg(concat_ws(':', feedback_id, useful, solved), ',' ORDER BY updated_at, feedback_id) AS x FROM f GROUP BY 1)
+SELECT c.case_id, case_status, coalesce(mj.x, '') AS messages, coalesce(rj.x, '') AS requests, coalesce(fj.x, '') AS feedback, ticket_status, s.message_id AS resolution FROM c LEFT JOIN mj USING (case_id) LEFT JOIN rj USING (case_id) LEFT JOIN fj USING (case_id) LEFT JOIN s USING (case_id)""",
+)
 def j15(spark, d):
-    orders = read(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"))
-    lines = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("seq"), F.col("l_returnflag").alias("status"))
-    rows = C.assemble(orders, "case_id", requests=(lines, ["seq", "status"]))
-    return rows.select("case_id", F.size("requests").cast("long").alias("n_requests"), F.array_join(F.transform("requests", lambda r: F.concat_ws(":", r["seq"].cast("string"), r["status"])), ",").alias("requests"))
+    told = lambda c, *names: F.array_join(F.transform(c, lambda x: F.concat_ws(":", *[x[n].cast("string") for n in names])), ",").alias(c)
+    return evaluation_rows(spark, d).select("case_id", "case_status", told("messages", "seq", "message_id", "kind", "responder_type"), told("requests", "request_id", "status", "error_code"), told("feedback", "feedback_id", "useful", "solved"), "ticket_status", F.col("resolution.message_id").alias("resolution"))
 
 
-@query("a15_case_flags", f"WITH {flags_sql()} SELECT * FROM f")
+@query("j14_resolution", f"WITH {TABLES} SELECT * FROM s")
+def j14(spark, d):
+    cases, messages, _requests, feedback, _tickets = tables(spark, d)
+    return C.resolution(cases, messages, feedback.drop("case_id")).select("case_id", "resolution.message_id", "resolution.answer_origin")
+
+
+@query("a15_case_flags", f"WITH {TABLES}, {FLAGS} SELECT * FROM g")
 def a15(spark, d):
-    return flags(spark, d)
+    return flags(spark, d).drop("error_codes", "totals_ms", "answer_ms")
 
 
-METRICS = {"no_answer": "NOT has_answer", "errors": "has_error", "timeouts": "has_timeout"}
+RATES = {"auto_answer": "ai_answered", "confirmed_auto_resolution": "confirmed_auto", "handoffs": "has_ticket", "no_answer": "NOT has_answer", "errors": "has_error", "timeouts": "has_timeout"}
+COUNTED = {m: ("nullif(count(*) FILTER (NOT policy_closed), 0)", f"count(*) FILTER (NOT policy_closed AND {c})") for m, c in RATES.items()} | {"feedback_coverage": ("count(*) FILTER (NOT policy_closed AND has_answer)", "count(*) FILTER (NOT policy_closed AND has_answer AND has_feedback)")}
+COUNTED |= {m: tuple(f"coalesce(sum({p}_{x}) FILTER (NOT policy_closed), 0)" for x in "nk") for m, p in (("usefulness_ai", "ai_useful"), ("usefulness_operator", "op_useful"), ("solved_rate", "solved"))}
 
 
-@query("a16_cohort_rates", f"WITH {flags_sql()} " + " UNION ALL ".join(f"SELECT cohort, '{m}' AS metric, CAST(count(*) FILTER (NOT policy_closed) AS BIGINT) AS n, CAST(count(*) FILTER (NOT policy_closed AND {c}) AS BIGINT) AS k, count(*) FILTER (NOT policy_closed AND {c}) / nullif(count(*) FILTER (NOT policy_closed), 0)::DOUBLE AS value FROM f GROUP BY cohort" for m, c in METRICS.items()))
+@query("a16_cohort_rates", f"WITH {TABLES}, {FLAGS} " + " UNION ALL ".join(f"SELECT cohort, '{m}' AS metric, CAST({n} AS BIGINT) AS n, CAST({k} AS BIGINT) AS k, {k} / nullif({n}, 0)::DOUBLE AS value FROM g GROUP BY cohort" for m, (n, k) in COUNTED.items()))
 def a16(spark, d):
-    open_ = ~F.col("policy_closed")
-    g = flags(spark, d).groupBy("cohort").agg(F.count_if(open_).alias("n"), *[F.count_if(open_ & F.expr(c)).alias(m) for m, c in METRICS.items()])
-    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col("n").alias("n"), F.col(m).alias("k")) for m in METRICS])
-    return g.select("cohort", F.inline(rows)).withColumn("value", C.rate(F.col("k"), F.col("n")))
+    return C.cohort_rates(flags(spark, d))
 
 
-@query("a17_cohort_info", f"WITH {flags_sql()} SELECT cohort, CAST(count(*) FILTER (has_error) AS BIGINT) AS error_cases, CAST(count(*) FILTER (has_timeout) AS BIGINT) AS timeout_cases, CAST(count(*) FILTER (policy_closed) AS BIGINT) AS closed_cases FROM f GROUP BY cohort")
+@query("a17_cohort_info", f"WITH {TABLES}, {FLAGS} SELECT cohort, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (policy_closed) AS BIGINT) AS policy_closed, CAST(count(*) FILTER (NOT policy_closed) AS BIGINT) AS eligible, CAST(count(*) FILTER (NOT policy_closed AND handoff_offered) AS BIGINT) AS handoff_offered_cases, CAST(coalesce(sum(error_requests) FILTER (NOT policy_closed), 0) AS BIGINT) AS error_requests, CAST(coalesce(sum(timeout_requests) FILTER (NOT policy_closed), 0) AS BIGINT) AS timeout_requests, CAST(count(*) FILTER (NOT policy_closed AND dangling) AS BIGINT) AS dangling_feedback_cases FROM g GROUP BY cohort")
 def a17(spark, d):
-    return flags(spark, d).groupBy("cohort").agg(F.count_if("has_error").alias("error_cases"), F.count_if("has_timeout").alias("timeout_cases"), F.count_if("policy_closed").alias("closed_cases"))
+    return C.cohort_info(flags(spark, d))
 
 
-@query("a18_error_codes", f"SELECT o_orderstatus AS cohort, code AS error_code, {N} AS cases FROM (SELECT DISTINCT l_orderkey, CASE WHEN l_linestatus = 'O' THEN l_returnflag ELSE 'UNKNOWN' END AS code FROM lineitem) JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL")
+@query("a18_error_codes", f"WITH {TABLES} SELECT cohort, code AS error_code, {N} AS cases FROM (SELECT DISTINCT case_id, coalesce(error_code, 'UNKNOWN') AS code FROM r WHERE status = 'error') JOIN c USING (case_id) WHERE case_status <> 'closed_policy' GROUP BY ALL")
 def a18(spark, d):
-    codes = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.coalesce(F.when(F.col("l_linestatus") == "O", F.col("l_returnflag")), F.lit("UNKNOWN")).alias("error_code")).distinct()
-    return codes.join(read(spark, d, "orders"), "o_orderkey").groupBy(F.col("o_orderstatus").alias("cohort"), "error_code").agg(F.count("*").alias("cases"))
+    return C.error_codes(flags(spark, d))
+
+
+@query("k7_report_order", f"WITH {TABLES} SELECT case_id, cohort, code AS error_code, CAST(row_number() OVER (PARTITION BY cohort ORDER BY case_id, code) AS BIGINT) AS place FROM (SELECT DISTINCT case_id, coalesce(error_code, 'UNKNOWN') AS code FROM r WHERE status = 'error') JOIN c USING (case_id)")
+def k7(spark, d):
+    return numbered(flags(spark, d).select("case_id", "cohort", F.explode("error_codes").alias("error_code")), ["cohort"], ["case_id", "error_code"])
 
 
-@query("a19_latency_percentiles", f"SELECT event_type AS cohort, CAST(count(value) AS BIGINT) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
+@query("a19_latency_percentiles", f"WITH {TABLES}, {FLAGS}, t AS (SELECT cohort, has_answer, status, total_ms FROM r JOIN g USING (case_id) WHERE NOT policy_closed AND status IN ('final', 'error') AND total_ms IS NOT NULL) SELECT cohort, {N} AS totals_ms_n, quantile_disc(total_ms, 0.5) AS totals_ms_p50, quantile_disc(total_ms, 0.95) AS totals_ms_p95, CAST(count(*) FILTER (has_answer AND status = 'final') AS BIGINT) AS answer_ms_n, quantile_disc(total_ms, 0.5) FILTER (has_answer AND status = 'final') AS answer_ms_p50, quantile_disc(total_ms, 0.95) FILTER (has_answer AND status = 'final') AS answer_ms_p95 FROM t GROUP BY cohort")
 def a19(spark, d):
-    return read(spark, d, "events").groupBy(F.col("event_type").alias("cohort")).agg(F.count("value").alias("n"), C.nearest_rank("value", 0.5).alias("p50"), C.nearest_rank("value", 0.95).alias("p95"))
+    return C.latency(flags(spark, d))
 
 
 @query("a20_export_summary", f"SELECT o_orderstatus AS cohort, {N} AS cases FROM orders GROUP BY ROLLUP (o_orderstatus)")
@@ -126,12 +183,6 @@ def j13(spark, d):
     return fb.groupBy(F.col("quality").alias("kind")).agg(F.count("*").alias("n"), F.count_if("dangling").alias("dangling"))
 
 
-@query("j14_resolution", "SELECT user_id AS case_id, arg_max(event_id, (ts, event_id)) AS message_id FROM events WHERE event_type = 'purchase' GROUP BY user_id")
-def j14(spark, d):
-    e = read(spark, d, "events").select(F.col("user_id").alias("case_id"), F.col("event_id").alias("message_id"), "ts", "event_id", (F.col("event_type") == "purchase").alias("solved"))
-    return C.resolution(e, "case_id", "ts", "event_id").select("case_id", "message_id")
-
-
 @query("j17_receipts", "SELECT CASE WHEN s.h IS NULL THEN 'new' WHEN s.h = c.h THEN 'replay' ELSE 'conflict' END AS verdict, CAST(count(*) AS BIGINT) AS n FROM (SELECT conv_id, turn, md5(text) AS h FROM conversations) c LEFT JOIN (SELECT conv_id, turn + 2 AS turn, md5(text) AS h FROM conversations WHERE turn = 0) s USING (conv_id, turn) GROUP BY 1")
 def j17(spark, d):
     c = read(spark, d, "conversations").select(F.lit("u").alias("actor_id"), F.col("conv_id").alias("operation"), F.col("turn").alias("request_key"), F.md5("text").alias("body_hash"))
@@ -144,21 +195,6 @@ def j18(spark, d):
     return C.later_user_message(read(spark, d, "conversations"), "conv_id", "turn").select("conv_id", "turn", "user_later")
 
 
-@query("j24_feedback_rules", "SELECT c.role, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (c.role = 'assistant') AS BIGINT) AS allowed FROM labels l JOIN conversations c ON c.conv_id = l.doc_id GROUP BY c.role")
-def j24(spark, d):
-    x = read(spark, d, "labels").join(read(spark, d, "conversations"), F.col("doc_id") == F.col("conv_id"))
-    return x.groupBy("role").agg(F.count("*").alias("n"), F.count_if(F.col("role") == "assistant").alias("allowed"))
-
-
-@query("d8_export_issues", f"SELECT o_custkey AS case_id, 'duplicate_case' AS issue, 'error' AS severity FROM orders GROUP BY o_custkey HAVING count(*) > 1 UNION ALL SELECT l_orderkey, 'dangling_feedback', 'error' FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 2) GROUP BY l_orderkey")
-def d8(spark, d):
-    say = lambda df, issue: df.select("case_id", F.lit(issue).alias("issue"), F.lit("error").alias("severity"))
-    twice = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("case_id")).agg(F.count("*").alias("n")).where("n > 1")
-    lines = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_partkey").alias("p_partkey"))
-    gone = lines.join(read(spark, d, "part").where("p_size > 2"), "p_partkey", "left_anti").select("case_id").distinct()
-    return say(twice, "duplicate_case").unionByName(say(gone, "dangling_feedback"))
-
-
 @query("d10_outcomes", "SELECT event_id, CASE WHEN event_type = 'view' AND user_id % 2 >= 1 THEN 'handoff_offer' WHEN event_type = 'view' THEN 'clarify' WHEN event_type = 'click' THEN 'handoff_offer' WHEN event_type = 'purchase' THEN 'notice' ELSE 'answer' END AS outcome FROM events")
 def d10(spark, d):
     decision = F.create_map(*[F.lit(x) for x in ("view", "CLARIFY", "click", "ESCALATE", "purchase", "OUT_OF_SCOPE")])
@@ -178,3 +214,32 @@ def f30(spark, d):
     e = read(spark, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     before = F.lag("us").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     return e.select("user_id", "event_id", F.round((F.col("us") - before) / 1000.0, 3).alias("wait_ms"))
+
+
+@query("j24_feedback_rules", f"""WITH {TABLES}, x AS (SELECT feedback_id, CASE WHEN m.message_id IS NULL OR (c.session_id <> c.session_id + CASE WHEN c.case_id % 7 = 0 THEN 1 ELSE 0 END) THEN 'not_found' WHEN kind <> 'answer' THEN 'not_an_answer' WHEN useful IS NULL AND NOT coalesce(responder_type = 'operator', false) THEN 'rating_of_no_operator' ELSE 'ok' END AS verdict
+FROM f LEFT JOIN m USING (message_id) LEFT JOIN c ON c.case_id = f.case_id) SELECT * FROM x""")
+def j24(spark, d):
+    cases, messages, _requests, feedback, _tickets = tables(spark, d)
+    said = messages.join(cases.select("case_id", F.col("session_id")), "case_id")
+    own = F.col("session_id") + F.when(F.col("case_id") % 7 == 0, 1).otherwise(0)
+    given = feedback.join(cases.select("case_id", own.alias("session_id")), "case_id").withColumn("specialist_rating", F.when(F.col("useful").isNull(), 5))
+    return C.feedback_verdict(given, said).select("feedback_id", "verdict")
+
+
+@query("d8_export_issues", f"""WITH {TABLES} SELECT case_id, 'feedback_of_unknown_message' AS issue, message_id AS detail FROM (SELECT DISTINCT case_id, message_id FROM f WHERE message_id NOT IN (SELECT message_id FROM m)) UNION ALL SELECT c.case_id, 'closed_without_resolution', ticket_status FROM c LEFT JOIN s USING (case_id) WHERE ticket_status IN ('resolved', 'closed_policy') AND s.case_id IS NULL
+UNION ALL SELECT DISTINCT case_id, 'duplicate_case', NULL FROM c WHERE case_id % 50 = 0""")
+def d8(spark, d):
+    rows = evaluation_rows(spark, d)
+    return C.export_issues(rows.unionByName(rows.where("case_id % 50 = 0"))).distinct()
+
+
+@query("d11_handoff_snapshot", f"""WITH {TABLES}, x AS (SELECT case_id, unnest(list_concat(['b' || session_id % 3], flatten(list([answer_origin, 's' || author_id % 4] ORDER BY seq, message_id)))) AS source, generate_subscripts(list_concat(['b' || session_id % 3], flatten(list([answer_origin, 's' || author_id % 4] ORDER BY seq, message_id))), 1) AS place FROM m JOIN c USING (case_id) GROUP BY case_id, session_id),
+y AS (SELECT case_id, source, min(place) AS place FROM x WHERE source IS NOT NULL GROUP BY ALL), z AS (SELECT case_id, string_agg(source, ',' ORDER BY place) AS source_ids FROM y GROUP BY case_id), h AS (SELECT case_id, string_agg(concat_ws(':', seq, message_id, kind), ',' ORDER BY seq, message_id) AS history FROM m GROUP BY case_id)
+SELECT c.case_id, coalesce(history, '') AS history, coalesce(source_ids, 'b' || session_id % 3) AS source_ids, CASE WHEN ticket_status IS NULL THEN 'ROUTE.NONE' ELSE ticket_status END AS rule_id FROM c LEFT JOIN h USING (case_id) LEFT JOIN z USING (case_id)""")
+def d11(spark, d):
+    cases, messages, _requests, _feedback, tickets = tables(spark, d)
+    sourced = messages.withColumn("source_ids", F.array_compact(F.array("answer_origin", F.concat(F.lit("s"), (F.col("author_id") % 4).cast("string")))))
+    rows = C.assemble(cases.withColumn("basis_source_ids", F.array(F.concat(F.lit("b"), (F.col("session_id") % 3).cast("string")))), "case_id", messages=(sourced, ["seq", "message_id", "kind", "source_ids"]))
+    routed = C.handoff_context(rows).join(tickets, "case_id", "left")
+    history = F.array_join(F.transform("messages", lambda m: F.concat_ws(":", m["seq"].cast("string"), m["message_id"], m["kind"])), ",")
+    return routed.select("case_id", history.alias("history"), F.array_join("source_ids", ",").alias("source_ids"), F.coalesce("ticket_status", F.lit("ROUTE.NONE")).alias("rule_id"))

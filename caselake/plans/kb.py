@@ -130,6 +130,11 @@ def w1(spark, d):
     return kb.number_chunks(chunks(spark, d).select("doc_id", "source", "lang"), ["source", "lang"], ["doc_id"]).select("doc_id", "chunk_no")
 
 
+@query("k6_canonical_order", "SELECT doc_id, CAST(row_number() OVER (ORDER BY n_chars, doc_id) AS BIGINT) AS place FROM documents")
+def k6(spark, d):
+    return kb.numbered(chunks(spark, d).select("doc_id", "n_chars"), [], ["n_chars", "doc_id"]).select("doc_id", "place")
+
+
 LINES_SQL = "l AS (SELECT doc_id AS doc, unnest(range(0, len(x))) AS line_no, unnest(x) AS line FROM (SELECT doc_id, string_split(coalesce(text,''), chr(10)) AS x FROM documents))"
 
 

@@ -92,12 +92,42 @@ def test_metrics(spark):
     assert f["confirmed_auto"] and f["has_timeout"] and f["dangling"] and f["error_codes"] == ["UNKNOWN"]
     assert (f["ai_useful_n"], f["ai_useful_k"], f["solved_n"], f["solved_k"]) == (1, 0, 1, 1)
     rates = {(r["cohort"], r["metric"]): (r["n"], r["k"], r["value"]) for r in C.cohort_rates(flags).collect()}
-    assert rates["demo", "solved"] == (1, 1, 1.0) and rates["live", "solved"] == (0, 0, None) and rates["live", "errors"] == (0, 0, None)
+    assert rates["demo", "solved_rate"] == (1, 1, 1.0) and rates["live", "solved_rate"] == (0, 0, None) and rates["live", "errors"] == (None, 0, None)
     lat = {r["cohort"]: r for r in C.latency(flags).collect()}
     assert lat["demo"]["totals_ms_p95"] == 130000.0 and lat["demo"]["answer_ms_p50"] == 860.0 and lat["live"]["totals_ms_n"] == 0
     assert [tuple(r) for r in C.error_codes(flags).collect()] == [("demo", "UNKNOWN", 1)]
     issues = {r["issue"] for r in C.export_issues(rows.union(rows)).collect()}
-    assert issues == {"duplicate_case", "dangling_feedback"}
+    assert issues == {"duplicate_case", "feedback_of_unknown_message"}
+    assert [tuple(r) for r in C.export_issues(rows.where("false")).collect()] == [(None, "no_rows", None)]
+    odd = export_rows(spark, [CASE | {"resolution": {"message_id": "q", "confirmed_by": "user", "answer_origin": "rag"}, "feedback": []}, CLOSED | {"ticket_status": "closed_policy"}])
+    assert sorted(tuple(r) for r in C.export_issues(odd).collect()) == [("a", "resolution_of_unknown_message", "q"), ("b", "closed_without_resolution", "closed_policy")]
+
+
+def test_nearest_ranks(spark):
+    import math
+    import random
+
+    draw = random.Random(2)
+    groups = {"a": [draw.gauss(0, 5) for _ in range(500)], "b": [7.0] * 40, None: [1.0, 2.0, 3.0, 4.0], "skew": [0.0] * 90 + [1e9] + [draw.random() for _ in range(30)], "one": [5.0]}
+    rows = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("a", None), ("none", None)], "g string, v double")
+    at = {"p50": 0.5, "p95": 0.95, "p100": 1.0, "p0": 0.0}
+    got = {r["g"]: r for r in C.nearest_ranks(rows, ["g"], "v", at, bins=8).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        assert got[g]["n"] == len(vs) and all(got[g][name] == sorted(vs)[max(0, math.ceil(p * len(vs)) - 1)] for name, p in at.items())
+
+
+def test_feedback_rules(spark):
+    messages = spark.createDataFrame([("m1", "s1", "answer", "ai", "rag"), ("m2", "s1", "answer", "operator", "operator"), ("m3", "s1", "question", None, None)], "message_id string, session_id string, kind string, responder_type string, answer_origin string")
+    rows = [("s1", "m1", None, True, None, "ok"), ("s1", "m1", 5, None, None, "rating_of_no_operator"), ("s1", "m2", 5, None, None, "ok"), ("s1", "m3", None, True, None, "not_an_answer"), ("s2", "m1", None, True, None, "not_found"), ("s1", "zz", None, True, None, "not_found"), ("s1", "m1", None, None, None, "no_rating"), ("s1", None, None, True, None, "not_found")]
+    fb = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "session_id string, message_id string, specialist_rating int, useful boolean, solved boolean, want string, i int")
+    got = C.feedback_verdict(fb, messages).collect()
+    assert len(got) == len(rows) and all(r["verdict"] == r["want"] for r in got)
+
+
+def test_handoff_context(spark):
+    df = spark.createDataFrame([(1, ["b", "a"], [(1, ["a", "c"]), (2, None), (3, ["d", "b"])]), (2, None, [])], "case_id long, basis_source_ids array<string>, messages array<struct<seq:int,source_ids:array<string>>>")
+    assert {r["case_id"]: r["source_ids"] for r in C.handoff_context(df).collect()} == {1: ["b", "a", "c", "d"], 2: []}
 
 
 def test_merge_hits(spark):
