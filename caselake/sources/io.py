@@ -103,15 +103,23 @@ def snapshot_id(hashes: DataFrame, versions: dict[str, str]) -> DataFrame:
     return hashes.agg(F.substring(F.sha2(told, 256), 1, 16).alias("snapshot_id"))
 
 
-def case_event_stream(spark: SparkSession, folder: str, schema: str, glob: str | None = None) -> DataFrame:
-    """Appended event files as a stream."""
-    r = spark.readStream.schema(schema)
-    return (r.option("pathGlobFilter", glob) if glob else r).parquet(folder)
-
-
-def stamp_manifest(manifest: DataFrame, index: dict[str, str]) -> DataFrame:
-    """The one-row manifest with embedding fields."""
-    return manifest.withColumns({k: F.lit(v) for k, v in index.items()})
+def case_event_stream(spark: SparkSession, path: str, schema: str, most: int = 256 << 20) -> DataFrame:
+    """Appended event files as a stream (S14): ``path`` is a folder of them, or one file; ``most`` bytes a trigger."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(most))
+    if fs.getFileStatus(at).isDirectory():
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
+
+
+def stamp_manifest(manifest: DataFrame, index: dict[str, str], files: DataFrame) -> DataFrame:
+    """The one-row manifest (files array<struct<name,sha256,size>>) with embedding fields, and files (name, sha256, size)
+    added to its list, in the order of names; a name that is listed again replaces the old entry (S15)."""
+    added = files.agg(F.collect_list(F.struct("name", "sha256", "size")).alias("_added"))  # index files: a few
+    names = F.transform("_added", lambda f: f["name"])
+    kept = F.filter("files", lambda f: ~F.array_contains(names, f["name"]))
+    return manifest.join(F.broadcast(added), how="cross").withColumn("files", F.array_sort(F.concat(kept, "_added"))).drop("_added").withColumns({k: F.lit(v) for k, v in index.items()})
 
 
 def body_hash(*columns: str):

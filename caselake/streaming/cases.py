@@ -1,10 +1,17 @@
 """Case state over an event stream: one fold, used by the stream and by batch jobs.
 
-Events of a case are folded in order of (ts, event_id). Each gives one row that says whether it was accepted, why not,
-and the version and status after it. Rules: a request key that was seen replays or conflicts, before anything else;
-a stale expected version is rejected; results count only for the active request of an open case; policy and handoff
-supersede the active request; one ticket a case; feedback merges by message and solves the case only
-for its current answer.
+Events of a case are folded in order of (ts, event_id). Each gives one row that says whether it was accepted, why not (or
+what came of it), and the version and status after it.
+
+* Messages, policy events, handoffs and replies carry a request key: one that was accepted before for the same operation
+  replays or, with another body, conflicts. That comes before anything else; a stale expected version comes next (T2, T3).
+* A message opens the active request; a case that has one is busy, and one with a ticket takes messages only while the
+  operator waits for the user. A result counts only for the active request, at the version it was accepted with, of a case
+  that is neither closed nor handed over (T4). Policy and handoff cancel the active request (T5).
+* A ticket is opened once, by a handoff that was offered; replies and messages turn it between waiting_user and new; it
+  ends as resolved or closed_policy (T7).
+* Feedback merges by answer, field by field; it changes the case only for the current answer: the latest one, with no later
+  message, no active request and the case not closed (T6).
 """
 
 from __future__ import annotations
@@ -19,55 +26,100 @@ from pyspark.sql import functions as F
 
 MESSAGE_CAP = 98
 TERMINAL = ("resolved", "closed_policy")
-EVENT = "case_id long, event_id long, ts timestamp, kind string, request_key string, body_hash string, expected_version long, useful boolean, solved boolean"
+#: Operation of a kind, for kinds that a request key makes idempotent.
+OPERATION = {"message": "chat", "policy": "chat", "handoff": "handoff", "reply": "operator_reply"}
+EVENT = "case_id long, event_id long, ts timestamp, kind string, request_key string, body_hash string, expected_version long, outcome string, useful boolean, solved boolean"
 RESULT = "case_id long, event_id long, accepted boolean, reason string, version long, status string, ticket string, cancelled string"
 RESULT_ARROW = pa.schema([("case_id", pa.int64()), ("event_id", pa.int64()), ("accepted", pa.bool_()), ("reason", pa.string()), ("version", pa.int64()), ("status", pa.string()), ("ticket", pa.string()), ("cancelled", pa.string())])
-NEW = {"status": "new", "version": 0, "active": None, "answer": None, "ticket": None, "messages": 0, "seen": {}, "feedback": {}}
+NEW = {"status": "open", "version": 0, "active": None, "accepted_at": None, "answer": None, "later": False, "answers": [], "clarified": 0, "ticket": None, "messages": 0, "seen": {}, "feedback": {}}
+
+
+def refusal(s: dict, e: dict) -> str | None:
+    """Why the state s doesn't take the event, if it doesn't."""
+    key, kind, receipt = e["request_key"], e["kind"], receipt_of(e)
+    if receipt in s["seen"]:
+        return "replay" if s["seen"][receipt] == e["body_hash"] else "conflict"
+    if kind == "result":
+        late = s["active"] is None or key != s["active"] or s["version"] != s["accepted_at"] or s["status"] in (*TERMINAL, "handed_off")
+        return "late_result" if late else None
+    if kind == "feedback":
+        given = e["useful"] is not None or e["solved"] is not None
+        return "not_found" if key not in s["answers"] else "no_rating" if key not in s["feedback"] and not given else None
+    if kind not in OPERATION:
+        return "unknown_kind"
+    if e["expected_version"] is not None and e["expected_version"] != s["version"]:
+        return "stale_version"
+    if s["status"] in TERMINAL and kind != "reply":
+        return "terminal"
+    if kind == "message":
+        if s["active"] is not None:
+            return "busy"
+        if s["ticket"] not in (None, "waiting_user"):
+            return "invalid_transition"
+        return "message_cap" if s["messages"] >= MESSAGE_CAP else None
+    if kind == "handoff":
+        return None if s["ticket"] or s["status"] == "handoff_offered" else "invalid_transition"
+    if kind == "reply":
+        return "no_ticket" if s["ticket"] is None else None if s["ticket"] == "new" else "invalid_transition"
+    return None
+
+
+def receipt_of(e: dict) -> str | None:
+    """Operation and key that make an event idempotent; none without a key."""
+    return f"{OPERATION[e['kind']]}:{e['request_key']}" if e["kind"] in OPERATION and e["request_key"] is not None else None
 
 
 def apply_event(s: dict, e: dict) -> tuple[bool, str, str | None]:
     """Changes the state s by an event; (accepted, reason, cancelled request)."""
-    key, kind = e["request_key"], e["kind"]
-    if key is not None and kind != "result":
-        if key in s["seen"]:
-            return False, "replay" if s["seen"][key] == e["body_hash"] else "conflict", None
-    if e["expected_version"] is not None and e["expected_version"] != s["version"]:
-        return False, "stale_version", None
-    if kind == "result" and (s["active"] is None or key != s["active"] or s["status"] in TERMINAL):
-        return False, "late_result", None
-    if s["status"] in TERMINAL and kind != "feedback":
-        return False, "terminal", None
-    if kind == "message" and s["messages"] >= MESSAGE_CAP:
-        return False, "message_cap", None
-    cancelled = None
+    why = refusal(s, e)
+    if why:
+        return False, why, None
+    key, kind, cancelled, told = e["request_key"], e["kind"], None, ""
+    if kind in ("policy", "handoff") and not (kind == "handoff" and s["ticket"]):
+        cancelled, s["active"] = s["active"], None
     if kind == "message":
-        cancelled, s["active"], s["status"] = s["active"], key, "processing"
         s["messages"] += 1
-        s["ticket"] = "new" if s["ticket"] == "waiting_user" else s["ticket"]
+        s["later"] = True
+        if s["ticket"]:
+            s |= {"ticket": "new", "status": "handed_off"}
+        else:
+            s |= {"active": key, "accepted_at": s["version"] + 1, "status": "open"}
     elif kind == "result":
-        s["answer"], s["active"], s["status"] = key, None, "answered"
+        s["active"] = None
         s["messages"] += 1
+        outcome = e["outcome"] or "answer"
+        if outcome == "answer":
+            s |= {"answer": key, "later": False, "status": "answered"}
+            s["answers"].append(key)
+        elif outcome == "clarify" and not s["clarified"]:
+            s |= {"clarified": 1, "status": "clarify"}
+        else:
+            s["status"] = "handoff_offered"
     elif kind == "policy":
-        cancelled, s["active"], s["status"] = s["active"], None, "closed_policy"
-        s["ticket"] = "closed_policy" if s["ticket"] else None
+        s |= {"status": "closed_policy", "ticket": s["ticket"] and (s["ticket"] if s["ticket"] == "resolved" else "closed_policy")}
     elif kind == "handoff":
-        cancelled, s["active"], s["status"] = s["active"], None, "handoff"
-        s["ticket"] = s["ticket"] or "new"
+        if s["ticket"]:
+            told = "existing_ticket"
+        else:
+            s |= {"ticket": "new", "status": "handed_off"}
     elif kind == "reply":
-        if s["ticket"] is None:
-            return False, "no_ticket", None
-        s["ticket"], s["status"] = "waiting_user", "waiting_user"
-    elif kind == "feedback":
-        had = s["feedback"].setdefault(str(key), {})
-        had |= {k: e[k] for k in ("useful", "solved") if e[k] is not None}
-        if e["solved"] and s["answer"] is not None and s["status"] == "answered":
-            s["status"], s["ticket"] = "resolved", "resolved" if s["ticket"] else None
+        done = bool(e["solved"])
+        s |= {"ticket": "resolved" if done else "waiting_user", "status": "resolved" if done else "handed_off", "active": None, "answer": key, "later": False}
+        s["answers"].append(key)
+        s["messages"] += 1
     else:
-        return False, "unknown_kind", None
-    if key is not None and kind != "result":
-        s["seen"][key] = e["body_hash"]
-    s["version"] += 1
-    return True, "", cancelled
+        s["feedback"].setdefault(key, {}).update({k: e[k] for k in ("useful", "solved") if e[k] is not None})
+        told = "saved"
+        if e["solved"] is not None:
+            current = key == s["answer"] and not s["later"] and s["active"] is None and s["status"] not in TERMINAL
+            told = "" if current else "answer_not_current"
+            if current:
+                s["status"] = "resolved" if e["solved"] else "handed_off" if s["ticket"] else "open"
+                s["ticket"] = s["ticket"] and ("resolved" if e["solved"] else "new")
+    if receipt_of(e):
+        s["seen"][receipt_of(e)] = e["body_hash"]
+    s["version"] += told == ""
+    return True, told, cancelled
 
 
 def fold(case_id: int, events: pd.DataFrame, state: dict) -> pd.DataFrame:
@@ -111,6 +163,21 @@ def fold_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("case_id").applyInPandasWithState(step, RESULT, "state string", "append", "NoTimeout")
 
 
+def receipts_of(commands: DataFrame, key: list[str] = ["actor_id", "operation", "request_key"]) -> DataFrame:  # noqa: B006
+    """commands (key, event_id, ts, body_hash) -> with verdict: the first of a key is new, later ones replay or, with
+    another body, conflict (T2). Commands without a key are all new. First commands are found by an aggregate, so that a key
+    that is sent without end isn't sorted in one task."""
+    first = commands.where(F.col("request_key").isNotNull()).groupBy(*key).agg(F.min(F.struct("ts", "event_id", "body_hash")).alias("_first"))
+    verdict = F.when(F.col("_first").isNull() | (F.col("_first.event_id") == F.col("event_id")), "new").when(F.col("_first.body_hash").eqNullSafe(F.col("body_hash")), "replay").otherwise("conflict")
+    return commands.join(first, key, "left").withColumn("verdict", verdict).drop("_first")
+
+
+def merged_feedback(feedback: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
+    """feedback (key, ts, event_id, fields) -> one row a key: each field as it was last given, null where never."""
+    last = lambda c: F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.struct("ts", "event_id"))).alias(c)
+    return feedback.groupBy(*key).agg(*[last(c) for c in fields], F.max("ts").alias("updated_at"))
+
+
 def recover(requests: DataFrame, deadline: Column) -> DataFrame:
     """Requests in flight past the deadline become retryable errors."""
     late = F.col("status").isin("queued", "processing") & (F.col("created_at") < deadline)
