@@ -1,3 +1,3 @@
 """Registered queries: importing this package fills the registry."""
 
-from . import audit, cases, evaluation, kb, policy, retrieval, routing, streams  # noqa: F401
+from . import audit, cases, evaluation, kb, policy, retrieval, routing, sources, streams  # noqa: F401

@@ -34,12 +34,35 @@ def a6(spark, d):
     return read(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("chunks")).groupBy("chunks").agg(F.count("*").alias("articles"))
 
 
-DEFECTS = {"short": r"^.{0,99}$", "symbols": r"[#*$%&|]{2,}", "shout": r"!!", "numeric": r"\d{5,}", "pipe": r" \| ", "licence": r"(?i)licen[sc]e", "double_space": r"  "}
+# The seven classes of defects, which overlap.
+DEFECTS = {
+    "content_is_page_number_only": ("content", r"^\d{1,4}$"),
+    "content_under_40_chars": ("content", r"(?s)^.{0,39}$"),
+    "toc_dot_leader": ("both", r"\.{5,}\s*\d+"),
+    "toc_heading": ("title", r"(?i)^(содержание|оглавление|contents)$"),
+    "title_is_filename": ("title", r"(?i)\.(pdf|docx?|xlsx?)$"),
+    "references_figure_not_in_kb": ("content", r"(Рисунок|Рис\.|Figure)\s*\d+"),
+    "pointer_or_attachment_mention": ("content", r"(Приложени[ея]|см\.\s|смотри|Licen[cs]e)"),
+}
 
 
-@query("a7_defect_counts", "SELECT " + ", ".join(f"CAST(count(*) FILTER (regexp_matches(coalesce(text,''), '{p}')) AS BIGINT) AS {k}" for k, p in DEFECTS.items()) + " FROM documents")
+def defect_classes(title: F.Column, content: F.Column) -> dict[str, F.Column]:
+    """Class -> whether a row of trimmed title and content has the defect."""
+    of = {"title": lambda p: title.rlike(p), "content": lambda p: content.rlike(p), "both": lambda p: title.rlike(p) | content.rlike(p)}
+    return {name: of[where](p) for name, (where, p) in DEFECTS.items()}
+
+
+DEFECT_ROWS = "SELECT trim(coalesce(CASE doc_id % 4 WHEN 0 THEN 'Contents' WHEN 1 THEN source || '.PDF' WHEN 2 THEN 'Chapter ..... ' || doc_id ELSE source END, ''), ' ' || chr(10)) AS title, trim(coalesce(CASE WHEN doc_id % 11 = 0 THEN CAST(doc_id AS VARCHAR) WHEN doc_id % 11 = 1 THEN 'Figure ' || doc_id ELSE text END, ''), ' ' || chr(10)) AS content FROM documents"
+DEFECT_TESTS = {name: " OR ".join(f"regexp_matches({c}, '{p}')" for c in (("title", "content") if where == "both" else (where,))) for name, (where, p) in DEFECTS.items()}
+
+
+@query("a7_defect_counts", "SELECT " + ", ".join(f"CAST(count(*) FILTER ({p}) AS BIGINT) AS {k}" for k, p in DEFECT_TESTS.items()) + f" FROM ({DEFECT_ROWS})")
 def a7(spark, d):
-    return read(spark, d, "documents").agg(*[F.count_if(T.text("text").rlike(p)).alias(k) for k, p in DEFECTS.items()])
+    i = F.col("doc_id")
+    title = F.when(i % 4 == 0, "Contents").when(i % 4 == 1, F.concat("source", F.lit(".PDF"))).when(i % 4 == 2, F.concat(F.lit("Chapter ..... "), i.cast("string"))).otherwise(F.col("source"))
+    content = F.when(i % 11 == 0, i.cast("string")).when(i % 11 == 1, F.concat(F.lit("Figure "), i.cast("string"))).otherwise(F.col("text"))
+    rows = read(spark, d, "documents").select(F.trim(T.text(title), F.lit(" \n")).alias("title"), F.trim(T.text(content), F.lit(" \n")).alias("content"))
+    return rows.agg(*[F.count_if(c).alias(k) for k, c in defect_classes(F.col("title"), F.col("content")).items()])
 
 
 @query("a8_duplicate_groups", f"SELECT sha1(trim(regexp_replace(lower(coalesce(text,'')), '\\s+', ' ', 'g'))) AS h, {C} AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -128,11 +151,27 @@ def u8(spark, d):
     return read(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.countDistinct(F.md5("text")).alias("n_texts"))
 
 
-@query("f21_scrub")
+#: The scrub patterns without lookaround; two phones that share a border sign take a second pass.
+PHONE_SQL = r"'(^|\D)(?:\+7|8|7)[\s\-]?\(?\d{3}\)?[\s\-]?\d{3}[\s\-]?\d{2}[\s\-]?\d{2}(\D|$)'"
+SCRUB_SQL = f"regexp_replace(coalesce(text,''), '{T.EMAIL}', '<email>', 'g')"
+for _ in range(2):
+    SCRUB_SQL = rf"regexp_replace({SCRUB_SQL}, {PHONE_SQL}, '\1<phone>\2', 'g')"
+SCRUB_SQL = rf"regexp_replace(regexp_replace({SCRUB_SQL}, '{T.GUID}', '<guid>', 'g'), '{T.HEX}', '<hex>', 'g')"
+
+
+@query("f21_scrub", f"SELECT doc_id, md5({SCRUB_SQL}) AS clean_md5 FROM documents")
 def f21(spark, d):
     return read(spark, d, "documents").select("doc_id", F.md5(T.scrub("text")).alias("clean_md5"))
 
 
+@query("f21_scrub_numbers", f"SELECT event_id, {SCRUB_SQL} AS clean FROM (SELECT event_id, concat_ws(' ', '+7 (' || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') || ') 555-' || lpad(CAST(user_id % 100 AS VARCHAR), 2, '0') || '-01', md5(props), substr(md5(props), 1, 8) || '-aaaa-bbbb-cccc-' || substr(md5(props), 1, 12), event_type || '@mail.example.com', '8' || lpad(CAST(event_id AS VARCHAR), 10, '0') || '1') AS text FROM events)")
+def f21_numbers(spark, d):
+    """Texts with a phone, a hex string, a guid, an address and a number that is too long for a phone."""
+    h, pad = F.md5("props"), lambda c, n: F.lpad(c.cast("string"), n, "0")
+    said = F.concat_ws(" ", F.concat(F.lit("+7 ("), pad(F.col("event_id") % 1000, 3), F.lit(") 555-"), pad(F.col("user_id") % 100, 2), F.lit("-01")), h, F.concat(F.substring(h, 1, 8), F.lit("-aaaa-bbbb-cccc-"), F.substring(h, 1, 12)), F.concat("event_type", F.lit("@mail.example.com")), F.concat(F.lit("8"), pad(F.col("event_id"), 10), F.lit("1")))
+    return read(spark, d, "events").select("event_id", T.scrub(said).alias("clean"))
+
+
 @query("f22_safe_labels", "SELECT page_id, substr(trim(regexp_replace(coalesce(url,''), '\\s+', ' ', 'g')), 1, 120) AS label FROM pages")
 def f22(spark, d):
     return read(spark, d, "pages").select("page_id", T.safe_label("url").alias("label"))

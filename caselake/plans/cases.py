@@ -99,7 +99,10 @@ def a16(spark, d):
     return C.cohort_rates(flags(spark, d))
 
 
-@query("a17_cohort_info", f"WITH {TABLES}, {FLAGS} SELECT cohort, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (policy_closed) AS BIGINT) AS policy_closed, CAST(count(*) FILTER (NOT policy_closed) AS BIGINT) AS eligible, CAST(count(*) FILTER (NOT policy_closed AND handoff_offered) AS BIGINT) AS handoff_offered_cases, CAST(coalesce(sum(error_requests) FILTER (NOT policy_closed), 0) AS BIGINT) AS error_requests, CAST(coalesce(sum(timeout_requests) FILTER (NOT policy_closed), 0) AS BIGINT) AS timeout_requests, CAST(count(*) FILTER (NOT policy_closed AND dangling) AS BIGINT) AS dangling_feedback_cases FROM g GROUP BY cohort")
+A17_SQL = f"WITH {TABLES}, {FLAGS} SELECT cohort, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (policy_closed) AS BIGINT) AS policy_closed, CAST(count(*) FILTER (NOT policy_closed) AS BIGINT) AS eligible, CAST(count(*) FILTER (NOT policy_closed AND handoff_offered) AS BIGINT) AS handoff_offered_cases, CAST(coalesce(sum(error_requests) FILTER (NOT policy_closed), 0) AS BIGINT) AS error_requests, CAST(coalesce(sum(timeout_requests) FILTER (NOT policy_closed), 0) AS BIGINT) AS timeout_requests, CAST(count(*) FILTER (NOT policy_closed AND dangling) AS BIGINT) AS dangling_feedback_cases FROM g GROUP BY cohort"
+
+
+@query("a17_cohort_info", A17_SQL)
 def a17(spark, d):
     return C.cohort_info(flags(spark, d))
 

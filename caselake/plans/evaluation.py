@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluation as E
+from ..operators import retrieval as R
 from ..registry import query, read
+from .retrieval import BM25, scored
 
 PAIRS = "r AS (SELECT doc_id AS pair_id, 'quality' AS dim, quality AS score_a, CASE WHEN toxic = 1 THEN 1 - quality ELSE quality END AS score_b FROM labels UNION ALL SELECT doc_id, 'toxic', toxic, CASE WHEN quality = 0 THEN NULL ELSE toxic END FROM labels)"
 
@@ -51,20 +53,31 @@ def a25(spark, d):
     return E.outcome_rates(read(spark, d, "labels").select((F.col("quality") == 1).alias("answerable"), (F.col("toxic") == 0).alias("auto_answered"), (F.col("doc_id") % 3 > 0).alias("correct")))
 
 
-@query("a26_line_accuracy", "SELECT lang AS gold_line, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (source = 'src' || (doc_id % 20)) AS BIGINT) AS k FROM documents GROUP BY lang")
+PREDICTED = "x AS (SELECT CASE WHEN toxic IS NOT NULL THEN CASE quality WHEN 1 THEN 'L1' ELSE 'L3' END END AS gold_line, CASE WHEN lang = 'en' THEN 'L1' WHEN lang = 'de' THEN 'L3' WHEN doc_id % 3 = 0 THEN 'L2' END AS line, CASE WHEN quality = 0 THEN source END AS gold_recipient, CASE WHEN doc_id % 2 = 0 THEN source END AS recipient FROM documents LEFT JOIN labels USING (doc_id))"
+LINE_RATES = {"line_accuracy": ("gold_line IS NOT NULL", "line = gold_line"), "l3_precision": ("gold_line IS NOT NULL AND line = 'L3'", "line = gold_line"), "recipient_accuracy": ("gold_recipient IS NOT NULL", "recipient = gold_recipient")}
+
+
+@query("a26_line_accuracy", f"WITH {PREDICTED} " + " UNION ALL ".join(f"SELECT '{m}' AS metric, CAST(count(*) FILTER ({n}) AS BIGINT) AS n, CAST(count(*) FILTER ({n} AND {k}) AS BIGINT) AS k, count(*) FILTER ({n} AND {k}) / nullif(count(*) FILTER ({n}), 0)::DOUBLE AS value FROM x" for m, (n, k) in LINE_RATES.items()))
 def a26(spark, d):
-    return read(spark, d, "documents").groupBy(F.col("lang").alias("gold_line")).agg(F.count("*").alias("n"), F.count_if(F.col("source") == F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string"))).alias("k"))
+    x = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left")
+    gold = F.when(F.col("toxic").isNotNull(), F.when(F.col("quality") == 1, "L1").otherwise("L3"))
+    line = F.when(F.col("lang") == "en", "L1").when(F.col("lang") == "de", "L3").when(F.col("doc_id") % 3 == 0, "L2")
+    return E.line_accuracy(x.select(gold.alias("gold_line"), line.alias("line"), F.when(F.col("quality") == 0, F.col("source")).alias("gold_recipient"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("recipient")))
 
 
-@query("a31_gold_summary", "SELECT role, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT conv_id) AS BIGINT) AS groups FROM conversations GROUP BY role")
+@query("a31_gold_summary", "SELECT lang AS role, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT source) AS BIGINT) AS groups, CAST(count(*) FILTER (quality = 1) AS BIGINT) AS answerable, CAST(count(*) FILTER (quality <> 1) AS BIGINT) AS unanswerable FROM documents JOIN labels USING (doc_id) GROUP BY lang")
 def a31(spark, d):
-    return read(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("groups"))
+    gold = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id")
+    return E.gold_summary(gold.select(F.col("doc_id").alias("case_id"), F.col("lang").alias("role"), F.col("source").alias("group_id"), (F.col("quality") == 1).alias("answerable")))
 
 
-@query("j21_gold_hits", "SELECT item_id, item_id IN (SELECT doc_id FROM labels) AS in_candidates, item_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS selected FROM benchmark")
+@query("j21_gold_hits", BM25 + ", g AS (SELECT item_id, doc_id FROM (SELECT item_id FROM benchmark), (SELECT doc_id FROM documents) WHERE doc_id % 20 = item_id % 20), h AS (SELECT item_id, doc_id, place <= 3 AS selected FROM r WHERE place <= 10) SELECT g.item_id AS case_id, CAST(count(*) AS BIGINT) AS n_gold, count(h.doc_id) > 0 AS in_candidates, coalesce(bool_or(selected), false) AS selected FROM g LEFT JOIN h USING (item_id, doc_id) GROUP BY g.item_id")
 def j21(spark, d):
-    hits = read(spark, d, "labels").groupBy(F.col("doc_id").alias("item_id")).agg(F.lit(True).alias("c"), F.bool_or(F.col("quality") == 1).alias("s"))
-    return read(spark, d, "benchmark").select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("c", F.lit(False)).alias("in_candidates"), F.coalesce("s", F.lit(False)).alias("selected"))
+    """Gold documents of an item against its ten candidates, of which three are selected."""
+    hits = R.top(scored(spark, d), ["item_id"], 10, "doc_id").select(F.col("item_id").alias("case_id"), F.col("doc_id").alias("source_id"), (F.col("place") <= 3).alias("selected"))
+    ids = read(spark, d, "documents").groupBy((F.col("doc_id") % 20).alias("k")).agg(F.collect_set("doc_id").alias("source_ids"))
+    gold = read(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), (F.col("item_id") % 20).alias("k")).join(ids, "k")
+    return E.gold_hits(gold, hits)
 
 
 @query("j23_gold_missing", "SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
@@ -83,15 +96,36 @@ def f27(spark, d):
     return read(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all(F.regexp_replace(T.text("text"), T.STEP_NUMBER, ""), F.lit(r"\d{3,}"), F.lit(0))).cast("long").alias("n"))
 
 
+#: Numbers of a text, as T.NUMBER finds them, without lookbehind.
+NUMBERS = r"regexp_extract_all({0}, '(?:^|[^\w-])(\d+(?:[.,]\d+)?)', 1)"
+STEPLESS = r"regexp_replace({0}, '^\s*\d+[.)]\s*', '')"
+FIRST_LINE = "string_split(coalesce(text,''), chr(10))[1]"
+
+
+@query("f27_grounding", rf"SELECT doc_id, array_to_string(list_sort(list_distinct([x FOR x IN {NUMBERS.format(STEPLESS.format("coalesce(text,'')"))} IF NOT list_contains({NUMBERS.format(FIRST_LINE)}, x)])), ' ') AS ungrounded FROM documents")
+def f27_grounding(spark, d):
+    """Numbers of whole texts that their first lines lack."""
+    said = E.ungrounded(T.text("text"), F.get(F.split(T.text("text"), "\n"), F.lit(0)))
+    return read(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(said), " ").alias("ungrounded"))
+
+
 @query("f28_forbidden", "SELECT page_id, regexp_matches(coalesce(html,''), '(?i)https?://\\S+') AS has_url, regexp_matches(coalesce(html,''), '(?i)track\\(') AS claims FROM pages")
 def f28(spark, d):
     return read(spark, d, "pages").select("page_id", T.text("html").rlike(T.URL).alias("has_url"), T.text("html").rlike(r"(?i)track\(").alias("claims"))
 
 
-@query("d7_answer_audit")
+LINES_OF = "string_split(coalesce(text,''), chr(10))"
+AUDIT = rf"""c AS (SELECT conv_id, turn, coalesce(text,'') AS text, {LINES_OF} AS lines, string_agg(CASE WHEN role = 'user' THEN text END, chr(10)) OVER (PARTITION BY conv_id) AS asked, role, turn % 5 AS cited FROM conversations),
+x AS (SELECT *, {NUMBERS.format("coalesce(asked, '')")} AS given, flatten([{NUMBERS.format(STEPLESS.format("y"))} FOR y IN list_concat([text], lines)]) AS used FROM c WHERE role = 'assistant')"""
+
+
+@query("d7_answer_audit", f"WITH {AUDIT} SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'empty_answer' WHEN cited = 3 THEN 'unsupplied_source' WHEN conv_id % 7 = 0 THEN 'dropped_condition' WHEN regexp_matches(text, '(?i)pathetic|stupid') THEN 'claimed_action' WHEN regexp_matches(text, '(?i)https?://\\S+') THEN 'url' WHEN len([v FOR v IN used IF NOT list_contains(given, v)]) > 0 THEN 'ungrounded_number' END AS fault FROM x")
 def d7(spark, d):
+    """Answers with their lines as steps; what the user asked is the grounding."""
     c = read(spark, d, "conversations")
-    users = c.where("role = 'user'").groupBy("conv_id").agg(F.concat_ws("\n", F.array_sort(F.collect_list(F.coalesce("text", F.lit(""))))).alias("asked"))  # a conversation's own messages
-    none = F.array().cast("array<string>")
-    fault = E.answer_fault(T.text("text"), none, none, none, none, none, F.array(F.coalesce("asked", F.lit(""))))
+    users = c.where("role = 'user' and conv_id is not null").groupBy("conv_id").agg(F.concat_ws("\n", F.array_sort(F.collect_list(F.coalesce("text", F.lit(""))))).alias("asked"))  # a conversation's own messages
+    first = F.get(F.split(T.text("text"), "\n"), F.lit(0))
+    cited, allowed = F.array(F.concat(F.lit("s"), (F.col("turn") % 5).cast("string"))), F.array(*[F.lit(f"s{i}") for i in (0, 1, 2, 4)])
+    required = F.when(F.col("conv_id") % 7 == 0, F.array(F.lit("a condition that no answer keeps"))).otherwise(F.array(first))
+    fault = E.answer_fault(T.text("text"), F.array(first), F.split(T.text("text"), "\n"), cited, allowed, required, F.array(F.coalesce("asked", F.lit(""))), forbidden="(?i)pathetic|stupid")
     return c.where("role = 'assistant'").join(users, "conv_id", "left").select("conv_id", "turn", fault.alias("fault"))

@@ -86,6 +86,15 @@ def f7(spark, d):
     return chunks(spark, d).select("doc_id", n.alias("dropped"), F.length(out).cast("long").alias("n_chars"))
 
 
+@query("f8_toc_entries", r"SELECT p_brand AS source_key, CAST(p_size AS VARCHAR) || '.' || (p_partkey % 9 + 1) AS number, trim(regexp_replace(p_type, '\s{2,}', ' ', 'g'), ' .…') AS title, CAST(p_partkey % 9000 + 1 AS INTEGER) AS page FROM part WHERE length(p_type) BETWEEN 3 AND 120")
+def f8(spark, d):
+    """Contents pages written from parts, a line for each, read back by the pattern."""
+    number = F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 9 + 1).cast("string"))
+    line = F.concat(number, F.when(F.col("p_partkey") % 2 == 0, ". ").otherwise("  "), "p_type", F.lit(" ....... "), (F.col("p_partkey") % 9000 + 1).cast("string"))
+    pages = read(spark, d, "part").groupBy("p_brand", F.floor(F.col("p_partkey") / 40).alias("leaf")).agg(F.array_join(F.collect_list(line), "\n").alias("text"))  # 40 lines a page
+    return pages.select(F.col("p_brand").alias("source_key"), F.explode(T.toc_entries("text")).alias("e")).select("source_key", "e.number", "e.title", "e.page")
+
+
 TOC_SQL = r"""e AS (SELECT source AS source_key, doc_id AS at, unnest(regexp_extract_all(coalesce(text,''), '\b(\d{1,2})\.(\d{1,3})', 1)) AS number, unnest(regexp_extract_all(coalesce(text,''), '\b(\d{1,2})\.(\d{1,3})', 2)) AS title, CAST(doc_id % 1000 AS INTEGER) AS page FROM documents),
 u AS (SELECT source_key, number, title, page FROM (SELECT *, row_number() OVER (PARTITION BY source_key, number ORDER BY page, length(number), number, title) AS r FROM e) WHERE r = 1)"""
 

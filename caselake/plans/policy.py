@@ -103,7 +103,10 @@ def f18(spark, d):
     return rows.select("conv_id", "turn", F.array_join(F.array_sort("human"), ",").alias("rules"))
 
 
-@query("d6_policy_labels", f"WITH {candidates_sql('conv_id, turn', 'conversations')}, {SENTENCES}, y AS (SELECT conv_id, turn, {PROFANE} AS profane, coalesce({TOLD}, '') AS told FROM c LEFT JOIN h USING (conv_id, turn)) SELECT conv_id, turn, CASE WHEN profane THEN 'insult' ELSE '' END AS profanity, told <> '' AND NOT profane AS human_request, CASE WHEN profane THEN 'policy_closed' WHEN told <> '' THEN 'handoff' ELSE 'pass' END AS verdict FROM y")
+D6_SQL = f"WITH {candidates_sql('conv_id, turn', 'conversations')}, {SENTENCES}, y AS (SELECT conv_id, turn, {PROFANE} AS profane, coalesce({TOLD}, '') AS told FROM c LEFT JOIN h USING (conv_id, turn)) SELECT conv_id, turn, CASE WHEN profane THEN 'insult' ELSE '' END AS profanity, told <> '' AND NOT profane AS human_request, CASE WHEN profane THEN 'policy_closed' WHEN told <> '' THEN 'handoff' ELSE 'pass' END AS verdict FROM y"
+
+
+@query("d6_policy_labels", D6_SQL)
 def d6(spark, d):
     return policy.policy_labels(read(spark, d, "conversations"), RULES, ["conv_id", "turn"]).select("conv_id", "turn", F.array_join("profanity", ",").alias("profanity"), "human_request", "verdict")
 

@@ -44,10 +44,20 @@ def k4(spark, d):
     return R.top(groups, ["item_id"], 5, "source").drop("place")
 
 
-@query("a12_evidence_groups", BM25 + " SELECT item_id, source, CAST(count(*) AS BIGINT) AS n, max(lang) AS worst FROM r JOIN documents USING (doc_id) WHERE place <= 10 GROUP BY ALL")
+STATUS = "CASE doc_id % 5 WHEN 0 THEN 'incomplete' WHEN 1 THEN 'pointer' ELSE 'complete' END"
+
+
+def status() -> F.Column:
+    return F.when(F.col("doc_id") % 5 == 0, "incomplete").when(F.col("doc_id") % 5 == 1, "pointer").otherwise("complete")
+
+
+@query("a12_evidence_groups", BM25 + f", h AS (SELECT item_id, doc_id, CASE WHEN doc_id % 4 > 0 THEN source ELSE CAST(doc_id AS VARCHAR) END AS group_id, lang, round(score, 6) AS score, CASE {STATUS} WHEN 'complete' THEN 0 WHEN 'pointer' THEN 1 ELSE 2 END AS rank FROM r JOIN documents USING (doc_id) WHERE place <= 10) SELECT item_id, group_id, arg_min(doc_id, (-score, doc_id)) AS best_id, max(score) AS score, arg_min(coalesce(lang, ''), (-score, doc_id)) AS version, ['complete', 'pointer', 'incomplete'][max(rank) + 1] AS status, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM h GROUP BY item_id, group_id")
 def a12(spark, d):
-    hits = R.top(scored(spark, d), ["item_id"], 10, "doc_id").join(read(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id")
-    return hits.groupBy("item_id", "source").agg(F.count("*").alias("n"), F.max("lang").alias("worst"))
+    """Hits of a source are one group; every fourth document is an orphan."""
+    docs = read(spark, d, "documents").select("doc_id", "source", F.coalesce("lang", F.lit("")).alias("version"))
+    hits = R.top(scored(spark, d), ["item_id"], 10, "doc_id").join(docs, "doc_id")
+    groups = R.evidence_groups(hits.withColumn("status", status()).withColumn("parent_id", F.when(F.col("doc_id") % 4 > 0, F.col("source"))), query_key="item_id")
+    return groups.withColumn("ids", F.array_join(F.transform("ids", lambda i: i.cast("string")), ","))
 
 
 @query("a13_known_conflict", BM25 + " SELECT item_id, bool_or(k > 1) AS conflict FROM (SELECT item_id, source, count(DISTINCT nullif(lang,'')) AS k FROM r JOIN documents USING (doc_id) WHERE place <= 10 GROUP BY ALL) GROUP BY item_id")
@@ -87,11 +97,21 @@ def j6(spark, d):
     return R.unknown_identifiers(i, R.exact_hits(R.postings(read(spark, d, "benchmark"), "item_id", "text"), i, key="item_id"))
 
 
-@query("k3_exact_top20", f"WITH {POSTS}, {IDENT.replace('{{', '{').replace('}}', '}')} k AS (SELECT 1) SELECT query_id, identifier, doc_id, score FROM (SELECT query_id, identifier, doc_id, CAST(1000 + tf AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id, identifier ORDER BY tf DESC, doc_id) AS r FROM j JOIN p ON p.term = lower(identifier)) WHERE r <= 20")
+SCORED_TERM = "ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / avg_len))"
+
+
+def exact_scored(docs, identifiers, query_key: str):
+    """identifiers (query_key, identifier): 1000 and the BM25 score of the identifier for each document that holds it (K3)."""
+    hits = R.exact_hits(R.postings(docs, "doc_id", "text"), identifiers.select(F.col(query_key).alias("query_id"), "identifier"))
+    weights = R.bm25(docs, identifiers.select("identifier", F.col("identifier").alias("text")).distinct(), query_key="identifier")
+    return hits.withColumnRenamed("query_id", query_key).join(weights, ["identifier", "doc_id"]).withColumn("score", R.EXACT_BONUS + F.col("score"))
+
+
+@query("k3_exact_top20", f"WITH {POSTS}, {IDENT.replace('{{', '{').replace('}}', '}')} k AS (SELECT 1) SELECT query_id, identifier, doc_id, round(score, 6) AS score FROM (SELECT query_id, identifier, doc_id, score, row_number() OVER (PARTITION BY query_id, identifier ORDER BY round(score, 6) DESC, doc_id) AS r FROM (SELECT query_id, identifier, doc_id, 1000 + {SCORED_TERM} AS score FROM j JOIN p ON p.term = lower(identifier) JOIN df USING (term) JOIN l USING (doc_id), n)) WHERE r <= 20")
 def k3(spark, d):
-    i, posts = idents(spark, d)
-    hits = R.exact_hits(posts, i).join(posts.withColumnRenamed("term", "t"), "doc_id").where(F.col("t") == F.lower("identifier"))
-    return R.top(hits.withColumn("score", R.EXACT_BONUS + F.col("tf")), ["query_id", "identifier"], R.TOP_EXACT, "doc_id").select("query_id", "identifier", "doc_id", F.col("score").cast("double").alias("score"))
+    i, _posts = idents(spark, d)
+    hits = R.top(exact_scored(read(spark, d, "documents"), i, "query_id"), ["query_id", "identifier"], R.TOP_EXACT, "doc_id")
+    return hits.select("query_id", "identifier", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query("u2_merged_hits", "WITH h AS (SELECT user_id AS query_id, event_id % 50 AS doc_id, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 ELSE 9 END AS r, value FROM events) SELECT query_id, doc_id, r AS method_rank, value AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY r, value DESC) AS k FROM h) WHERE k = 1")
@@ -131,10 +151,20 @@ def bm25_hits_sql(body: str) -> str:
     return BM25 + body
 
 
-@query("a24_hit_at_k", BM25 + ", g AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60))) SELECT CAST(count(DISTINCT g.item_id) AS BIGINT) AS n, CAST(count(DISTINCT r.item_id) AS BIGINT) AS k FROM g LEFT JOIN r ON r.item_id = g.item_id AND r.doc_id = g.doc_id AND r.place <= 10")
+GRAM = 8
+GRAMS = "SELECT DISTINCT {key}, array_to_string(t[i:i + 7], ' ') AS g FROM (SELECT {key}, t, unnest(range(1, greatest(len(t) - 6, 1))) AS i FROM (SELECT {key}, " + TOK + " AS t FROM {table}))"
+
+
+def grams(rows, key: str):
+    """Hashes of the distinct windows of GRAM tokens of whole texts."""
+    windows = F.transform(F.sequence(F.lit(1), F.size("t") - GRAM + 1), lambda i: F.xxhash64(F.array_join(F.slice("t", i, GRAM), " ")))
+    return rows.select(key, T.lower_tokens("text").alias("t")).where(F.size("t") >= GRAM).select(key, F.explode(F.array_distinct(windows)).alias("g"))
+
+
+@query("a24_hit_at_k", BM25 + f", x AS ({GRAMS.format(key='item_id', table='benchmark')}), y AS ({GRAMS.format(key='doc_id', table='documents')}), g AS (SELECT DISTINCT item_id, doc_id FROM x JOIN y USING (g)) SELECT CAST(count(DISTINCT g.item_id) AS BIGINT) AS n, CAST(count(DISTINCT r.item_id) AS BIGINT) AS k FROM g LEFT JOIN r ON r.item_id = g.item_id AND r.doc_id = g.doc_id AND r.place <= 10")
 def a24(spark, d):
-    items = F.broadcast(read(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("head")))  # the fixed benchmark
-    gold = read(spark, d, "documents").join(items, F.contains(F.col("text"), F.col("head"))).select("item_id", "doc_id")
+    """Gold are the documents that share a passage of GRAM words with an item, wherever it stands."""
+    gold = grams(read(spark, d, "benchmark"), "item_id").join(grams(read(spark, d, "documents"), "doc_id"), "g").select("item_id", "doc_id").distinct()
     hits = R.top(scored(spark, d), ["item_id"], 10, "doc_id").select("item_id", "doc_id", F.lit(True).alias("hit"))
     by = gold.join(hits, ["item_id", "doc_id"], "left").groupBy("item_id").agg(F.coalesce(F.bool_or("hit"), F.lit(False)).alias("hit"))
     return by.agg(F.count("*").alias("n"), F.count_if("hit").alias("k"))
@@ -234,3 +264,85 @@ def d4(spark, d):
     base = F.try_element_at(F.create_map(*[F.lit(x) for x in ("en", "L1", "de", "L2", "fr", "L2")]), F.col("lang"))
     line = G.support_line(base, F.when(F.col("source") == "src3", "L1"), F.col("lang") != "es", F.col("doc_id") % 9 == 0, G.defect_signals("text", SIG))
     return read(spark, d, "documents").select("doc_id", line["support_line"].alias("support_line"))
+
+
+STOP = ["the", "of", "and", "der", "die", "und", "le", "la", "de", "en", "el"]
+CODE = "^[A-Z][a-z]$"
+REFERRAL = r"(?:the|la|der) ([^.,;:\n]{4,40})"
+ROLE = "CASE item_id % 3 WHEN 1 THEN 'en' WHEN 2 THEN 'de' END"
+#: The whole way from items to decisions: exact and lexical hits, roles, groups, gate, topic and recipient.
+PIPELINE = BM25 + f""", i AS (SELECT DISTINCT item_id, identifier FROM (SELECT item_id, unnest({TOK.replace('lower(x)', 'x')}) AS identifier FROM benchmark WHERE item_id % 4 > 0) WHERE regexp_matches(identifier, '{CODE}')),
+xs AS (SELECT item_id, identifier, doc_id, 1000 + {SCORED_TERM} AS score FROM i JOIN p ON p.term = lower(identifier) JOIN df USING (term) JOIN l USING (doc_id), n WHERE doc_id % 2 = 0),
+xt AS (SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id, identifier ORDER BY round(score, 6) DESC, doc_id) AS k FROM xs) WHERE k <= 20),
+unk AS (SELECT item_id, count(*) AS n_unknown FROM i WHERE (item_id, identifier) NOT IN (SELECT (item_id, identifier) FROM xs) GROUP BY item_id),
+h AS (SELECT item_id, doc_id, 0 AS m, score FROM xt UNION ALL SELECT item_id, doc_id, 1, score FROM r WHERE place <= 10),
+c AS (SELECT item_id, doc_id, m, score, source, coalesce(lang, '') AS version, {STATUS} AS status, source || '/' || doc_id % 2 AS parent, CASE WHEN lang NOT IN ('en', 'de') OR lang IS NULL THEN 'unverified' WHEN {ROLE} IS NULL THEN 'needs_role' WHEN {ROLE} = lang THEN 'ok' ELSE 'mismatch' END AS role_status
+  FROM (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY m, score DESC) AS k FROM h) JOIN documents USING (doc_id) WHERE k = 1),
+e AS (SELECT item_id, count(*) FILTER (role_status IN ('ok', 'unverified')) AS n_eligible, bool_or(role_status = 'needs_role') AS needs, bool_or(role_status = 'mismatch') AS mis FROM c GROUP BY item_id),
+gr AS (SELECT item_id, parent, arg_min(doc_id, (-round(score, 6), doc_id)) AS best_id, max(round(score, 6)) AS score, arg_min(version, (-round(score, 6), doc_id)) AS version, arg_min(source, (-round(score, 6), doc_id)) AS source, max(CASE status WHEN 'complete' THEN 0 WHEN 'pointer' THEN 1 ELSE 2 END) AS rank FROM c WHERE role_status IN ('ok', 'unverified') GROUP BY item_id, parent),
+cf AS (SELECT item_id, bool_or(k > 1) AS conflict FROM (SELECT item_id, source, count(DISTINCT nullif(version, '')) AS k FROM gr GROUP BY ALL) GROUP BY item_id),
+gc AS (SELECT item_id, count(*) AS n_groups, count(*) FILTER (rank = 0) AS n_complete, count(*) FILTER (rank = 1) AS n_pointer, count(*) FILTER (rank = 2) AS n_incomplete FROM gr GROUP BY item_id),
+mt AS (SELECT item_id, [x FOR x IN {TOK} IF length(x) > 1 AND x NOT IN {tuple(STOP)}] AS t FROM benchmark), ml AS (SELECT DISTINCT item_id FROM (SELECT item_id, unnest(t) AS term FROM mt) JOIN df USING (term)),
+kw AS (SELECT item_id AS row_no, {TOK}[1:2] AS k FROM benchmark WHERE item_id % 5 = 0), tp AS (SELECT DISTINCT b.item_id FROM (SELECT item_id, {TOK} AS t FROM benchmark) b, kw WHERE len(k) > 0 AND list_has_all(b.t, k)),
+qq AS (SELECT b.item_id, len(mt.t) AS n_meaningful, b.item_id IN (SELECT item_id FROM xt) AS strong, b.item_id IN (SELECT item_id FROM ml) AS lexical, b.item_id IN (SELECT item_id FROM tp) AS topic, coalesce(n_unknown, 0) AS n_unknown, coalesce(conflict, false) AS conflict, coalesce(n_groups, 0) AS n_groups, coalesce(n_complete, 0) AS n_complete, coalesce(n_pointer, 0) AS n_pointer, coalesce(n_incomplete, 0) AS n_incomplete,
+  coalesce(n_eligible = 0 AND needs, false) AS needs, coalesce(n_eligible = 0 AND mis, false) AS mis, b.item_id % 2 AS clarified FROM benchmark b JOIN mt USING (item_id) LEFT JOIN unk USING (item_id) LEFT JOIN cf USING (item_id) LEFT JOIN gc USING (item_id) LEFT JOIN e USING (item_id)),
+dec AS (SELECT item_id, CASE WHEN n_meaningful = 0 OR NOT (strong OR lexical OR topic) THEN 'OUT_OF_SCOPE' WHEN n_unknown > 0 THEN CASE WHEN clarified >= 1 THEN 'ESCALATE' ELSE 'CLARIFY' END WHEN conflict THEN 'ESCALATE' WHEN n_groups = 0 AND needs THEN CASE WHEN clarified >= 1 THEN 'ESCALATE' ELSE 'CLARIFY' END WHEN n_complete = 0 THEN 'ESCALATE' ELSE 'ANSWER_ALLOWED' END AS decision,
+  CASE WHEN n_meaningful = 0 OR NOT (strong OR lexical OR topic) THEN 'OUT_OF_SCOPE' WHEN n_unknown > 0 THEN 'UNKNOWN_IDENTIFIER' || CASE WHEN clarified >= 1 THEN ',UNRESOLVED_AFTER_STEPS' ELSE '' END WHEN conflict THEN 'KNOWN_CONFLICT' WHEN n_groups = 0 THEN CASE WHEN needs THEN 'ROLE_REQUIRED' || CASE WHEN clarified >= 1 THEN ',UNRESOLVED_AFTER_STEPS' ELSE '' END WHEN mis THEN 'ROLE_MISMATCH' ELSE 'NO_EVIDENCE' END
+    WHEN n_complete = 0 THEN concat_ws(',', CASE WHEN n_incomplete > 0 THEN 'MISSING_ATTACHMENT' END, CASE WHEN n_pointer > 0 THEN 'NO_EVIDENCE' END) ELSE '' END AS reasons FROM qq),
+sel AS (SELECT item_id, best_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, best_id) AS k FROM gr JOIN dec USING (item_id) WHERE rank = 0 AND decision = 'ANSWER_ALLOWED'),
+tops AS (SELECT item_id, best_id, nullif(regexp_replace(trim(regexp_extract(coalesce(text, ''), '{REFERRAL}', 1)), '\\.+$', ''), '') AS recipient FROM sel JOIN documents ON doc_id = best_id WHERE k = 1),
+basis AS (SELECT s.item_id, string_agg(DISTINCT CAST(best_id AS VARCHAR), ',' ORDER BY CAST(best_id AS VARCHAR)) AS ids FROM sel s JOIN documents ON doc_id = best_id JOIN kw ON row_no % 20 = s.item_id % 20 WHERE s.k <= 5 AND len(kw.k) > 0 AND list_has_all([lower(x) FOR x IN regexp_extract_all(source || ' ' || substr(coalesce(text, ''), 1, 800), '[0-9a-zA-Zа-яёА-ЯЁ]+(?:[-_./][0-9a-zA-Zа-яёА-ЯЁ]+)*')], kw.k) GROUP BY s.item_id)"""
+
+
+def pipeline(spark, d) -> dict:
+    """Items through retrieval, role gate, grouping and decision (D1, D2); named steps."""
+    docs, items = read(spark, d, "documents"), read(spark, d, "benchmark")
+    codes = items.where("item_id % 4 > 0").select("item_id", F.explode(T.identifiers("text", CODE)).alias("identifier"))
+    exact = exact_scored(docs, codes, "item_id").where("doc_id % 2 = 0")
+    named = codes.select(F.col("item_id").alias("query_id"), "identifier")
+    unknown = R.unknown_identifiers(named, exact.select(F.col("item_id").alias("query_id"), "identifier")).groupBy(F.col("query_id").alias("item_id")).agg(F.count("*").alias("n_unknown"))
+    best = lambda hits, by, k, method: R.top(hits, by, k, "doc_id").select("item_id", "doc_id", F.lit(method).alias("method"), "score")
+    strong = best(exact, ["item_id", "identifier"], R.TOP_EXACT, "exact")
+    hits = R.merge_hits(strong.unionByName(best(scored(spark, d), ["item_id"], R.TOP_BM25, "fts")), query_key="item_id")
+    role = F.when(F.col("item_id") % 3 == 1, "en").when(F.col("item_id") % 3 == 2, "de")
+    about = docs.select("doc_id", "source", F.coalesce("lang", F.lit("")).alias("version"), status().alias("status"), F.concat_ws("/", "source", (F.col("doc_id") % 2).cast("string")).alias("parent_id"))
+    gated = hits.join(about, "doc_id").withColumn("role_status", R.role_gate(F.array("version"), F.col("version").isin("en", "de"), role))
+    groups = R.evidence_groups(gated.where("role_status in ('ok', 'unverified')"), query_key="item_id")
+    sourced = groups.join(docs.select(F.col("doc_id").alias("best_id"), "source"), "best_id")
+    counts = groups.groupBy("item_id").agg(F.count("*").alias("n_groups"), *[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in R.STATUS_RANK])
+    meaningful = items.select("item_id", T.meaningful("text", STOP).alias("t"))
+    lexical = meaningful.select("item_id", F.explode(F.array_distinct("t")).alias("term")).join(R.postings(docs, "doc_id", "text").select("term").distinct(), "term", "left_semi").select("item_id").distinct()
+    tokens = items.select("item_id", F.explode(T.lower_tokens("text")).alias("token"))
+    keywords = items.where("item_id % 5 = 0").select(F.col("item_id").alias("row_no"), F.explode(F.slice(T.lower_tokens("text"), 1, 2)).alias("keyword"))
+    topics = G.containment(keywords, tokens.withColumnRenamed("item_id", "query_id")).select(F.col("query_id").alias("item_id")).distinct()
+    has = lambda df, name: df.select("item_id").distinct().withColumn(name, F.lit(True))
+    q = meaningful.select("item_id", F.size("t").alias("n_meaningful"), (F.col("item_id") % 2).alias("clarified"))
+    for part in (has(strong, "any_strong_hit"), has(lexical, "meaningful_hit"), has(topics, "has_topic"), unknown, counts, R.known_conflict(sourced, "source", "item_id"), R.eligible(gated, "item_id").select("item_id", F.col("blocked_needs_role").alias("needs_role"), F.col("blocked_mismatch").alias("mismatch"))):
+        q = q.join(part, "item_id", "left")
+    decided = R.gate(q.na.fill(0).na.fill(False))
+    allowed = groups.where("status = 'complete'").join(decided.where("decision = 'ANSWER_ALLOWED'").select("item_id"), "item_id", "left_semi")
+    return {"decided": decided, "selected": R.top(allowed, ["item_id"], R.TOP_EVIDENCE, "best_id"), "keywords": keywords, "docs": docs}
+
+
+@query("d1_gate_of_retrieval", PIPELINE + " SELECT item_id, decision, reasons FROM dec")
+def d1(spark, d):
+    """Decisions from what retrieval found, not from given flags."""
+    return pipeline(spark, d)["decided"].select("item_id", "decision", "reasons")
+
+
+@query("k5_top_recipient", PIPELINE + " SELECT item_id, best_id, recipient FROM tops")
+def k5(spark, d):
+    """The recipient that the best selected evidence names, and no other."""
+    x = pipeline(spark, d)
+    best = x["selected"].where("place = 1").join(x["docs"].select(F.col("doc_id").alias("best_id"), "text"), "best_id")
+    return best.select("item_id", "best_id", G.recipient("text", REFERRAL).alias("recipient"))
+
+
+@query("j11_topic_basis", PIPELINE + " SELECT item_id, ids FROM basis")
+def j11(spark, d):
+    """Selected evidence whose title and first 800 signs hold all keywords of a topic of the item."""
+    x = pipeline(spark, d)
+    chosen = x["selected"].join(x["docs"].select(F.col("doc_id").alias("best_id"), "source", "text"), "best_id")
+    basis = G.evidence_basis(chosen.select("item_id", "best_id", F.col("source").alias("title"), "text"), x["keywords"], "item_id", "best_id")
+    here = basis.where(F.col("row_no") % 20 == F.col("item_id") % 20)
+    return here.groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_set(F.col("best_id").cast("string"))), ",").alias("ids"))

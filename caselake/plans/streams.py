@@ -15,8 +15,10 @@ RAW = "event_id long, ts timestamp_ntz, user_id long, event_type string, value d
 
 
 def shared(spark, name: str) -> str:
-    """A fresh path in the folder that the cluster shares, or a temporary one where none is named."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """A fresh path in the folder that the cluster shares; in local mode, where none is named, a temporary one."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{(named or tempfile.mkdtemp()).rstrip('/')}/caselake/{name}-{uuid.uuid4().hex}"
 
 
@@ -204,7 +206,10 @@ def s13(spark, d):
     return io.snapshot_id(io.hash_inputs(spark, f"{d}/labels.parquet"), {"schema": "1"})
 
 
-@query("f25_body_hashes")
+BODY = """'{"event_type":"' || event_type || '","props":"' || replace(props, '"', '\\"') || '","value":' || CAST(value AS VARCHAR) || '}'"""
+
+
+@query("f25_body_hashes", f"SELECT event_id, sha256({BODY}) AS h FROM events")
 def f25(spark, d):
     return read(spark, d, "events").select("event_id", io.body_hash("event_type", "props", "value").alias("h"))
 

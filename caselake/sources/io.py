@@ -32,7 +32,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """Six columns of text with a header (S3)."""
-    return spark.read.schema(HISTORY).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return spark.read.schema(HISTORY).option("header", True).option("multiLine", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
@@ -44,7 +44,7 @@ def read_ruleset(spark: SparkSession, path: str) -> dict:
     """A small ruleset document as a dict."""
     import json
 
-    return json.loads("\n".join(r["value"] for r in spark.read.option("wholetext", True).text(path).limit(1).collect()))
+    return json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).limit(1).collect()))
 
 
 def read_tables(spark: SparkSession, folder: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
