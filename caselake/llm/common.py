@@ -65,7 +65,7 @@ def split_join(many: DataFrame, few: DataFrame, on: list[str], counts: DataFrame
     salt = F.coalesce(F.pmod(F.xxhash64(by), F.col("pieces")).cast("int"), F.lit(0)).alias("piece")
     dealt = many.join(F.broadcast(hot), on, "left").select(*[F.col(f"`{c}`") for c in many.columns], salt)
     repeated = few.join(F.broadcast(hot), on, "left").select(*[F.col(f"`{c}`") for c in few.columns], F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)).alias("piece"))
-    return dealt.join(repeated.hint("merge"), [*on, "piece"], how).drop("piece")
+    return dealt.join(repeated, [*on, "piece"], how).drop("piece")
 
 
 class HashedWords(dict):

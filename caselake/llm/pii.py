@@ -121,25 +121,27 @@ def disclosing_terms(held: DataFrame, texts: DataFrame, support: int = SUPPORT,
     beside = table(levels.groupBy("row", "pool", "level").agg(F.collect_set("entity").alias("entities")), "pii-pools")
     n_in = beside.groupBy("pool").agg(F.count("*").alias("n"))
     frequent = n_in.where(F.col("n") >= support).withColumnRenamed("n", "n_e")
-    rows = table(split_join(beside, frequent, ["pool"], n_in, "row"), "pii-frequent")
+    rows = split_join(beside, frequent, ["pool"], n_in, "row")
+    # Of the pools of an entity the narrowest counts. Rows are documents, so what a group gathers is no longer than its text.
+    narrowest = rows.select("row", "pool", "level", F.explode("entities").alias("entity")).groupBy("row", "entity").agg(F.min_by("pool", "level").alias("pool")).groupBy("row").agg(F.collect_set("pool").alias("narrowest"))
+    by_row = rows.groupBy("row").agg(F.collect_list("pool").alias("pools")).join(narrowest, "row")
     rest = F.col("text")
     for kind in KINDS[:4]:
         rest = F.regexp_replace(rest, PATTERNS[kind], " ")
-    words = held.select("row", F.explode(F.array_distinct(F.split(rest, TERM_GAP))).alias("term")).where("term <> ''")
-    triples = table(rows.select("row", "pool", "n_e").join(words, "row"), "pii-triples")
-    pairs = triples.groupBy("pool", "n_e", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
+    contexts = table(held.join(by_row, "row").select("row", F.array_remove(F.array_distinct(F.split(rest, TERM_GAP)), "").alias("terms"), "pools", "narrowest"), "pii-contexts")
+    beside_term = contexts.select(F.explode("terms").alias("term"), "pools").select("term", F.explode("pools").alias("pool"))
+    pairs = table(beside_term.groupBy("pool", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support).withColumn("h", F.xxhash64("term")), "pii-pairs")
     # Documents of each term: counted by its hash, so that the shuffle moves numbers, one a term and task.
     terms = texts.select(F.explode(F.array_distinct(F.split("text", TERM_GAP))).alias("term"))
     counts = terms.groupBy(F.xxhash64("term").alias("h")).agg(F.count("*").alias("n_t"))
     total = texts.agg(F.count("*").alias("n"))
-    known = pairs.withColumn("h", F.xxhash64("term")).join(counts, "h").join(F.broadcast(total), how="cross")  # one row
+    pooled = split_join(pairs, frequent, ["pool"], pairs.groupBy("pool").agg(F.count("*").alias("n")), "h")
+    known = pooled.join(counts, "h").join(F.broadcast(total), how="cross")  # one row
     ic = -F.log2(F.col("n_e") / F.col("n"))
     given = F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0))
     disclosure = F.when(ic > 0, 1 + F.log2(given) / ic).otherwise(F.lit(0.0))
     strong = table(known.withColumn("disclosure", disclosure).where(F.col("disclosure") >= threshold).select("pool", "term", "disclosure", "n_te"), "pii-strong")
-    # Of the pools of an entity the narrowest counts.
-    narrowest = rows.select("row", "pool", "level", F.explode("entities").alias("entity")).groupBy("row", "entity").agg(F.min_by("pool", "level").alias("pool")).select("row", "pool").distinct()
-    own = triples.select("row", "pool", "term").join(narrowest, ["row", "pool"], "left_semi")
+    own = contexts.select("row", F.explode("terms").alias("term"), "narrowest").select("row", "term", F.explode("narrowest").alias("pool"))
     return split_join(own, strong.drop("n_te"), ["pool", "term"], strong.select("pool", "term", F.col("n_te").alias("n")), "row").groupBy("row", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
