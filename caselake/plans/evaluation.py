@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import evaluation as E
 from ..operators import retrieval as R
 from ..registry import query, read
-from .retrieval import BM25, scored
+from .retrieval import BM25, best
 
 PAIRS = "r AS (SELECT doc_id AS pair_id, 'quality' AS dim, quality AS score_a, CASE WHEN toxic = 1 THEN 1 - quality ELSE quality END AS score_b FROM labels UNION ALL SELECT doc_id, 'toxic', toxic, CASE WHEN quality = 0 THEN NULL ELSE toxic END FROM labels)"
 
@@ -74,7 +74,7 @@ def a31(spark, d):
 @query("j21_gold_hits", BM25 + ", g AS (SELECT item_id, doc_id FROM (SELECT item_id FROM benchmark), (SELECT doc_id FROM documents) WHERE doc_id % 20 = item_id % 20), h AS (SELECT item_id, doc_id, place <= 3 AS selected FROM r WHERE place <= 10) SELECT g.item_id AS case_id, CAST(count(*) AS BIGINT) AS n_gold, count(h.doc_id) > 0 AS in_candidates, coalesce(bool_or(selected), false) AS selected FROM g LEFT JOIN h USING (item_id, doc_id) GROUP BY g.item_id")
 def j21(spark, d):
     """Gold documents of an item against its ten candidates, of which three are selected."""
-    hits = R.top(scored(spark, d), ["item_id"], 10, "doc_id").select(F.col("item_id").alias("case_id"), F.col("doc_id").alias("source_id"), (F.col("place") <= 3).alias("selected"))
+    hits = best(spark, d).select(F.col("item_id").alias("case_id"), F.col("doc_id").alias("source_id"), (F.col("place") <= 3).alias("selected"))
     ids = read(spark, d, "documents").groupBy((F.col("doc_id") % 20).alias("k")).agg(F.collect_set("doc_id").alias("source_ids"))
     gold = read(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), (F.col("item_id") % 20).alias("k")).join(ids, "k")
     return E.gold_hits(gold, hits)

@@ -19,9 +19,14 @@ def scored(spark, d):
     return R.bm25(read(spark, d, "documents"), read(spark, d, "benchmark"))
 
 
+def best(spark, d):
+    """The ten best documents of each item."""
+    return R.bm25_top(read(spark, d, "documents"), read(spark, d, "benchmark"))
+
+
 @query("k2_bm25_top10", BM25 + " SELECT item_id, doc_id, round(score, 6) AS score, CAST(place AS BIGINT) AS place FROM r WHERE place <= 10")
 def k2(spark, d):
-    return R.top(scored(spark, d), ["item_id"], 10, "doc_id").select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
+    return best(spark, d).select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
 
 
 @query("a10_corpus_stats", f"WITH {POSTS} SELECT 'terms' AS stat, CAST(count(*) AS DOUBLE) AS value FROM df UNION ALL SELECT 'df_sum', CAST(sum(df) AS DOUBLE) FROM df UNION ALL SELECT 'docs', CAST(n_docs AS DOUBLE) FROM n UNION ALL SELECT 'avg_len', round(avg_len, 6) FROM n")
@@ -38,7 +43,7 @@ def j7(spark, d):
 
 @query("k4_evidence_top5", BM25 + ", e AS (SELECT item_id, source, max(round(score,6)) AS score, min(doc_id) AS first_id FROM r JOIN documents USING (doc_id) WHERE place <= 10 GROUP BY ALL) SELECT item_id, source, score, first_id FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, source) AS k FROM e) WHERE k <= 5")
 def k4(spark, d):
-    hits = R.top(scored(spark, d), ["item_id"], 10, "doc_id").join(read(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    hits = best(spark, d).join(read(spark, d, "documents").select("doc_id", "source"), "doc_id")
     c = hits.select("item_id", "doc_id", F.col("source").alias("parent_id"), F.lit("complete").alias("status"), F.lit("").alias("version"), "score")
     groups = R.evidence_groups(c, query_key="item_id").select("item_id", F.col("group_id").alias("source"), "score", F.get("ids", F.lit(0)).alias("first_id"))
     return R.top(groups, ["item_id"], 5, "source").drop("place")
@@ -55,14 +60,14 @@ def status() -> F.Column:
 def a12(spark, d):
     """Hits of a source are one group; every fourth document is an orphan."""
     docs = read(spark, d, "documents").select("doc_id", "source", F.coalesce("lang", F.lit("")).alias("version"))
-    hits = R.top(scored(spark, d), ["item_id"], 10, "doc_id").join(docs, "doc_id")
+    hits = best(spark, d).join(docs, "doc_id")
     groups = R.evidence_groups(hits.withColumn("status", status()).withColumn("parent_id", F.when(F.col("doc_id") % 4 > 0, F.col("source"))), query_key="item_id")
     return groups.withColumn("ids", F.array_join(F.transform("ids", lambda i: i.cast("string")), ","))
 
 
 @query("a13_known_conflict", BM25 + " SELECT item_id, bool_or(k > 1) AS conflict FROM (SELECT item_id, source, count(DISTINCT nullif(lang,'')) AS k FROM r JOIN documents USING (doc_id) WHERE place <= 10 GROUP BY ALL) GROUP BY item_id")
 def a13(spark, d):
-    hits = R.top(scored(spark, d), ["item_id"], 10, "doc_id").join(read(spark, d, "documents").select("doc_id", "source", F.col("lang").alias("version")), "doc_id")
+    hits = best(spark, d).join(read(spark, d, "documents").select("doc_id", "source", F.col("lang").alias("version")), "doc_id")
     return R.known_conflict(hits, "source", "item_id")
 
 
@@ -74,7 +79,7 @@ def j3(spark, d):
 
 @query("j4_hit_rows", BM25 + " SELECT item_id, doc_id, source, lang FROM r JOIN documents USING (doc_id) WHERE place <= 10")
 def j4(spark, d):
-    return R.top(scored(spark, d), ["item_id"], 10, "doc_id").join(read(spark, d, "documents"), "doc_id").select("item_id", "doc_id", "source", "lang")
+    return best(spark, d).join(read(spark, d, "documents"), "doc_id").select("item_id", "doc_id", "source", "lang")
 
 
 IDENT = f"i AS (SELECT DISTINCT conv_id AS query_id, unnest({TOK.replace('lower(x)', 'x')}) AS identifier FROM conversations), j AS (SELECT * FROM i WHERE regexp_matches(identifier, '^(?:[A-Z][a-z]{{1,2}}|[A-Z]{{2,6}})$')), "
@@ -165,7 +170,7 @@ def grams(rows, key: str):
 def a24(spark, d):
     """Gold are the documents that share a passage of GRAM words with an item, wherever it stands."""
     gold = grams(read(spark, d, "benchmark"), "item_id").join(grams(read(spark, d, "documents"), "doc_id"), "g").select("item_id", "doc_id").distinct()
-    hits = R.top(scored(spark, d), ["item_id"], 10, "doc_id").select("item_id", "doc_id", F.lit(True).alias("hit"))
+    hits = best(spark, d).select("item_id", "doc_id", F.lit(True).alias("hit"))
     by = gold.join(hits, ["item_id", "doc_id"], "left").groupBy("item_id").agg(F.coalesce(F.bool_or("hit"), F.lit(False)).alias("hit"))
     return by.agg(F.count("*").alias("n"), F.count_if("hit").alias("k"))
 
@@ -303,7 +308,7 @@ def pipeline(spark, d) -> dict:
     unknown = R.unknown_identifiers(named, exact.select(F.col("item_id").alias("query_id"), "identifier")).groupBy(F.col("query_id").alias("item_id")).agg(F.count("*").alias("n_unknown"))
     best = lambda hits, by, k, method: R.top(hits, by, k, "doc_id").select("item_id", "doc_id", F.lit(method).alias("method"), "score")
     strong = best(exact, ["item_id", "identifier"], R.TOP_EXACT, "exact")
-    hits = R.merge_hits(strong.unionByName(best(scored(spark, d), ["item_id"], R.TOP_BM25, "fts")), query_key="item_id")
+    hits = R.merge_hits(strong.unionByName(R.bm25_top(docs, items).select("item_id", "doc_id", F.lit("fts").alias("method"), "score")), query_key="item_id")
     role = F.when(F.col("item_id") % 3 == 1, "en").when(F.col("item_id") % 3 == 2, "de")
     about = docs.select("doc_id", "source", F.coalesce("lang", F.lit("")).alias("version"), status().alias("status"), F.concat_ws("/", "source", (F.col("doc_id") % 2).cast("string")).alias("parent_id"))
     gated = hits.join(about, "doc_id").withColumn("role_status", R.role_gate(F.array("version"), F.col("version").isin("en", "de"), role))
