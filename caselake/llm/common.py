@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _local_dir: list[str] = []
+#: Folders of table() in this process, oldest first.
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,32 +38,54 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there and a lost executor costs nothing."""
     path = shared_path(df.sparkSession, name)
+    _made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Deletes the files of a table() that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+def made() -> int:
+    """How many folders table() has made so far."""
+    return len(_made)
+
+
+def sweep(since: int, keep: DataFrame) -> None:
+    """Deletes the folders that table() has made since then, but for those that keep reads."""
+    read = {f.rpartition("/")[0].rpartition("/")[2] for f in keep.inputFiles()}
+    for folder in _made[since:]:
+        if folder.rpartition("/")[2] not in read:
+            _delete(keep.sparkSession, folder)
+    del _made[since:]
 
 
 #: A key with more than this share of all rows is split in pieces of about that share.
 HOT_SHARE = 1 / 1000
 
 
+def hot_keys(counts: DataFrame, on: list[str]) -> DataFrame:
+    """counts (on, n rows of each key) -> on, pieces: the keys with more than HOT_SHARE of all rows and how many pieces of
+    about that share they make. Fewer than 1 / HOT_SHARE keys can be hot, whatever the tables hold."""
+    total = counts.agg(F.sum("n").alias("total"))
+    pieces = F.ceil(F.col("n") / (F.col("total") * HOT_SHARE)).cast("int").alias("pieces")
+    return counts.join(F.broadcast(total), how="cross").where(F.col("n") > F.col("total") * HOT_SHARE).select(*on, pieces)  # one row's total
+
+
 def split_join(many: DataFrame, few: DataFrame, on: list[str], counts: DataFrame, by: str, how: str = "inner") -> DataFrame:
     """many joined to few (one row a key), with hot keys dealt to several tasks.
 
-    counts: ``on`` and n, the rows of many for each key; ``by``: the column of many whose hash chooses a piece. Fewer than 1 / HOT_SHARE keys can have more than HOT_SHARE of
-    all rows, so the list of those that are split is small whatever the tables hold; only their rows in few are repeated,
-    once for each piece. Null keys match nothing."""
-    total = counts.agg(F.sum("n").alias("total"))
-    pieces = F.ceil(F.col("n") / (F.col("total") * HOT_SHARE)).cast("int")
-    hot = counts.join(F.broadcast(total), how="cross").where(F.col("n") > F.col("total") * HOT_SHARE).select(*on, pieces.alias("pieces"))  # one row's total
+    counts: ``on`` and n, the rows of many for each key, or hot_keys of them; ``by``: the column of many whose hash chooses a
+    piece. Only the rows that hot keys have in few are repeated, once for each piece. Null keys match nothing."""
+    hot = counts if "pieces" in counts.columns else hot_keys(counts, on)
     salt = F.coalesce(F.pmod(F.xxhash64(by), F.col("pieces")).cast("int"), F.lit(0)).alias("piece")
     dealt = many.join(F.broadcast(hot), on, "left").select(*[F.col(f"`{c}`") for c in many.columns], salt)
     repeated = few.join(F.broadcast(hot), on, "left").select(*[F.col(f"`{c}`") for c in few.columns], F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)).alias("piece"))
