@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselake.llm.common import table
+from caselake.llm.common import drop_table, made, sweep, table
 from caselake.llm.mixing import label_weights, mix_sources
 from caselake.llm.near_dups import near_duplicates
 from caselake.llm.packing import pack_documents
@@ -23,24 +23,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_predicted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-ROW = "pipeline_row"
-
-
 def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """docs with a number of each row, as ids may repeat or be null."""
-    return table(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+    """row, doc: a number and the struct of each row of docs, as ids may repeat or be null and columns have any name."""
+    packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    return table(docs.select(F.monotonically_increasing_id().alias("row"), packed), name)
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest id, null last.
 
     Rows are compared by row number, so copies with equal or null ids are a group like any other, and different texts
-    of one id are judged apart. Among equal ids the text's hash decides, then the row number."""
+    of one id are judged apart. Among equal ids the text's hash decides, then the row number. Texts without words are
+    linked with nothing and stay."""
     rows = numbered(docs, "pipeline-near_dups-rows")
-    found = near_duplicates(rows, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
-    rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", F.xxhash64("text").alias("h"), ROW)
-    first = rows.select(ROW, rank.alias("rank")).join(found.hint("merge"), ROW).groupBy("component_id").agg(F.min("rank").alias("rank"))
-    return rows.join(first.select(F.col(f"rank.{ROW}").alias(ROW)).hint("merge"), ROW, "left_semi").select(*docs.columns)
+    found = near_duplicates(rows.select("row", "doc.text"), id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+    rank = F.struct(F.col("doc.doc_id").isNull().alias("n"), F.col("doc.doc_id").alias("id"), F.xxhash64("doc.text").alias("h"), "row")
+    first = rows.select("row", rank.alias("rank")).join(found.hint("merge"), "row").groupBy("component_id").agg(F.min("rank").alias("rank"))
+    return rows.join(first.select("rank.row").hint("merge"), "row", "left_semi").select("doc.*")
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,12 +48,12 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: a row for each copy."""
+    """Documents as often as the mix takes them: a row for each copy. Documents of no words are never taken."""
     rows = numbered(docs, "pipeline-mixing-rows")
-    mixed = mix_sources(rows, label_weights(spark.read.parquet(f"{sf_dir}/labels.parquet")), row_col=ROW)
-    copies = mixed.where("copies > 0").select(ROW, F.col("copies").alias("mix_copies"))
-    taken = rows.join(copies.hint("merge"), ROW)
-    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    sized = rows.select("row", "doc.doc_id", "doc.text", "doc.source")
+    mixed = mix_sources(sized, label_weights(spark.read.parquet(f"{sf_dir}/labels.parquet")), row_col="row")
+    copies = mixed.where("copies > 0 and size > 0").select("row", "copies")
+    return rows.join(copies.hint("merge"), "row").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +68,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; the tables of a stage are deleted once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        since = made()
+        before, docs = docs, table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        sweep(since, docs)
+        if name != STAGES[0][0]:
+            drop_table(before)
     return STAGES[-1][1](spark, docs, sf_dir)
