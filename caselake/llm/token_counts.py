@@ -27,10 +27,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import drop_table, shared_path, table, worker_cache
-from .packing import TOKENIZER, tokenizer, tokenizer_path
+from .packing import TOKENIZER, ChunkTokenizer, tokenizer_path
 
 #: The second version that the query keeps counts for.
 BYTE_TOKENIZER = "byte_bpe_50k.tiktoken"
+#: Chunks whose ids a worker keeps.
+CHUNKS = 300_000
 LEDGER = "doc_id long, source string, lang string, tokenizer string, n_tokens long, sign int"
 ROLLUP = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
@@ -51,7 +53,7 @@ def counter(path: str):
     if path.endswith(".tiktoken"):
         encode = worker_cache(path, lambda: _tiktoken(path)).encode_ordinary
         return lambda data: len(encode(data.decode("utf-8", "replace")))
-    encode = tokenizer(path).encode
+    encode = worker_cache((path, "counts"), lambda: ChunkTokenizer(path, CHUNKS)).encode
     return lambda data: len(encode(data)) // 4
 
 
@@ -146,19 +148,22 @@ class TokenRollup:
         return sums.where("n_docs <> 0")
 
 
+#: Documents that the query revises: those with runs of signs, which the revision takes out.
+SIGNS = r"[#*$%&|<>!]"
+
+
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
-    """For two tokenizers: all documents come in, those labelled toxic are taken down, those of label 0 are revised
-    (signs taken out), and a replay of the first batch changes nothing."""
+    """For two tokenizers: all documents come in, those with runs of signs are revised, those labelled toxic are taken
+    down, and a replay of the first batch changes nothing. No text is shuffled."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    toxic = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select("doc_id").distinct()
     none = F.lit(None).cast("string")
     first = docs.withColumn("change", F.lit("insert"))
-    gone = labels.where("toxic = 1").select("doc_id", none.alias("text"), none.alias("source"), none.alias("lang"), F.lit("delete").alias("change"))
-    poor = labels.where("quality = 0 and coalesce(toxic, 0) = 0").select("doc_id")
-    revised = docs.join(poor, "doc_id", "left_semi").select("doc_id", F.regexp_replace("text", "[#*$%&|<>!]", "").alias("text"), "source", "lang", F.lit("revise").alias("change"))
+    revised = docs.where(F.col("text").rlike(f"{SIGNS}{{2}}")).withColumn("text", F.regexp_replace("text", SIGNS, "")).withColumn("change", F.lit("revise"))
+    gone = toxic.select("doc_id", none.alias("text"), none.alias("source"), none.alias("lang"), F.lit("delete").alias("change"))
     store = TokenRollup(spark, shared_path(spark, "token-counts"))
     for version in (TOKENIZER, BYTE_TOKENIZER):
         name, file = version.partition(".")[0], tokenizer_path(version)
-        for batch, changes in (("0001", first), ("0002", gone), ("0003", revised), ("0001", first)):
+        for batch, changes in (("0001", first), ("0002", revised), ("0003", gone), ("0001", first)):
             store.commit(f"{batch}-{name}", changes, version, file)
     return store.totals()
