@@ -238,3 +238,9 @@ def receipts(commands: DataFrame, seen: DataFrame) -> DataFrame:
     """commands joined to receipts by (actor, operation, request_key): replay, conflict or new."""
     key = ["actor_id", "operation", "request_key"]
     return commands.join(seen.select(*key, F.col("body_hash").alias("seen_hash")), key, "left").withColumn("verdict", F.when(F.col("seen_hash").isNull(), "new").when(F.col("seen_hash") == F.col("body_hash"), "replay").otherwise("conflict"))
+
+
+def merged_timings(before: Column, after: Column) -> Column:
+    """Two maps as one: of a key in both the later value counts, unless it is null."""
+    later = F.map_filter(after, lambda _k, v: v.isNotNull())
+    return F.map_concat(F.map_filter(before, lambda k, _v: ~F.map_contains_key(later, k)), later)

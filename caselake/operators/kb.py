@@ -144,6 +144,18 @@ def parents(chunks: DataFrame, parent: str, order: list[str], content: str) -> D
     return chunks.where(F.col(parent).isNotNull()).groupBy(parent).agg(F.array_join(F.transform(rows, lambda r: r["_text"]), "\n\n").alias("text"), F.count("*").alias("child_count"))
 
 
+def section_parents(chunks: DataFrame, order: list[str]) -> DataFrame:
+    """chunks (source_key, number, page_from, page_to, text, ...) -> parent_id, page_from of the first chunk, the last page
+    (null where it is 0 or unknown), texts in order, child_count (A3). A parent is a top section of one document, so its
+    texts are as long as that section; chunks without a number have no parent."""
+    top = F.get(F.split("number", r"\."), F.lit(0))
+    named = chunks.where("source_key is not null and number is not null").withColumn("parent_id", F.concat(F.lit("pdf:"), "source_key", F.lit(":s"), top))
+    rows = F.array_sort(F.collect_list(F.struct(*order, "page_from", "text"))).alias("rows")
+    g = named.groupBy("parent_id").agg(rows, F.nullif(F.max(F.coalesce("page_to", F.lit(0))), F.lit(0)).alias("page_to"), F.count("*").alias("child_count"))
+    first = F.get("rows", F.lit(0))
+    return g.select("parent_id", first["page_from"].alias("page_from"), "page_to", F.array_join(F.transform("rows", lambda r: r["text"]), "\n\n").alias("text"), "child_count")
+
+
 def missing_pages(expected: DataFrame, present: DataFrame) -> DataFrame:
     """Pages of documents that have some pages, but not these."""
     return expected.join(present.select("source_key").distinct(), "source_key", "left_semi").join(present.select("source_key", "page").distinct(), ["source_key", "page"], "left_anti")

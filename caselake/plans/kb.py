@@ -189,9 +189,12 @@ def a2(spark, d):
     return kb.parents(c, "conv_id", ["turn"], "text").select(F.col("conv_id").alias("parent_id"), F.md5("text").alias("text_md5"), "child_count")
 
 
-@query("a3_section_parents", "SELECT source, CAST(min(doc_id) AS BIGINT) AS page_from, CAST(nullif(max(doc_id % 50), 0) AS BIGINT) AS page_to, CAST(count(*) AS BIGINT) AS child_count FROM documents GROUP BY source")
+@query("a3_section_parents", "SELECT 'pdf:' || source || ':s' || doc_id % 7 AS parent_id, CAST(arg_min(doc_id % 90, doc_id) AS BIGINT) AS page_from, CAST(nullif(max(CASE WHEN doc_id % 7 = 3 THEN 0 ELSE coalesce(doc_id % 50, 0) END), 0) AS BIGINT) AS page_to, md5(string_agg(substr(coalesce(text,''), 1, 200), chr(10) || chr(10) ORDER BY doc_id)) AS text_md5, CAST(count(*) AS BIGINT) AS child_count FROM documents WHERE source IS NOT NULL GROUP BY source, doc_id % 7")
 def a3(spark, d):
-    return chunks(spark, d).groupBy("source").agg(F.min("doc_id").alias("page_from"), F.nullif(F.max(F.col("doc_id") % 50), F.lit(0)).alias("page_to"), F.count("*").alias("child_count"))
+    """Documents as chunks (their leading 200 signs) of seven top sections of each source."""
+    i = F.col("doc_id")
+    rows = chunks(spark, d).select(F.col("source").alias("source_key"), F.concat_ws(".", (i % 7).cast("string"), (i % 3).cast("string")).alias("number"), (i % 90).alias("page_from"), F.when(i % 7 == 3, F.lit(0)).otherwise(i % 50).cast("long").alias("page_to"), F.substring(T.text("text"), 1, 200).alias("text"), "doc_id")
+    return kb.section_parents(rows, ["doc_id"]).select("parent_id", "page_from", "page_to", F.md5("text").alias("text_md5"), "child_count")
 
 
 @query("u1_union_chunks", "SELECT 'doc' AS kind, doc_id AS id, CAST(length(coalesce(text,'')) AS BIGINT) AS n FROM documents UNION ALL SELECT 'page', page_id, CAST(length(coalesce(html,'')) AS BIGINT) FROM pages UNION ALL SELECT 'item', item_id, CAST(length(coalesce(text,'')) AS BIGINT) FROM benchmark")

@@ -271,6 +271,22 @@ def d4(spark, d):
     return read(spark, d, "documents").select("doc_id", line["support_line"].alias("support_line"))
 
 
+RULE_SQL = """CASE WHEN rec AND (quo OR mal) THEN 'ROUTE.LINE.L3_DEFECT_SIGNALS' WHEN lang IS NULL OR lang = 'es' OR line IS NULL THEN NULL WHEN doc_id % 9 = 0 THEN 'ROUTE.LINE.AMBIGUOUS_TOPIC_L2_TRIAGE' WHEN line = 'L1' AND (mal OR quo) THEN 'ROUTE.LINE.L1_L2_UNCERTAIN_TRIAGE' WHEN line = 'L2' AND (mal OR quo) AND NOT rec THEN 'ROUTE.LINE.L2_L3_UNCERTAIN_AMBIGUOUS' WHEN source = 'src3' THEN 'ROUTE.LINE.SUBTOPIC_OVERRIDE' ELSE 'ROUTE.LINE.THEME_DEFAULT' END"""
+REFERS = r"[Ll]icensed under (?:the )?([^.,;:\n]{4,160})"
+
+
+@query("d5_routing_result", f"SELECT doc_id, array_to_string(list_sort(list_distinct([x FOR x IN [CASE WHEN lang <> 'es' THEN source END, CASE WHEN rcp THEN 'doc' || doc_id % 3 END, CASE WHEN rcp THEN source END] IF x IS NOT NULL])), ',') AS basis, coalesce({RULE_SQL}, CASE WHEN rcp THEN 'ROUTE.RECIPIENT.REFERRAL_PHRASE' END) AS rule_id FROM (SELECT doc_id, lang, source, regexp_matches(coalesce(text,''), '{REFERS}') AS rcp, coalesce(CASE WHEN source = 'src3' THEN 'L1' END, CASE lang WHEN 'en' THEN 'L1' WHEN 'de' THEN 'L2' WHEN 'fr' THEN 'L2' END) AS line, regexp_matches(coalesce(text,''), '{SIG['recurrence']}') AS rec, regexp_matches(coalesce(text,''), '{SIG['error_quote']}') AS quo, regexp_matches(coalesce(text,''), '{SIG['malfunction']}') AS mal FROM documents)")
+def d5_result(spark, d):
+    """Basis and rule of each document from its support line, topic and recipient."""
+    base = F.try_element_at(F.create_map(*[F.lit(x) for x in ("en", "L1", "de", "L2", "fr", "L2")]), F.col("lang"))
+    line = G.support_line(base, F.when(F.col("source") == "src3", "L1"), F.col("lang").isNotNull() & (F.col("lang") != "es"), F.col("doc_id") % 9 == 0, G.defect_signals("text", SIG))
+    named = G.recipient("text", REFERS).isNotNull()
+    topic = F.when(F.col("lang") != "es", F.array_compact(F.array("source")))
+    found = F.when(named, F.array_compact(F.array(F.concat(F.lit("doc"), (F.col("doc_id") % 3).cast("string")), F.col("source"))))
+    result = G.routing_result(topic, found, line["rule_id"], F.when(named, "ROUTE.RECIPIENT.REFERRAL_PHRASE"))
+    return read(spark, d, "documents").select("doc_id", result.alias("r")).select("doc_id", F.array_join("r.basis_source_ids", ",").alias("basis"), "r.rule_id")
+
+
 STOP = ["the", "of", "and", "der", "die", "und", "le", "la", "de", "en", "el"]
 CODE = "^[A-Z][a-z]$"
 REFERRAL = r"(?:the|la|der) ([^.,;:\n]{4,40})"

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import cases as C
 from ..registry import query, read
 from ..sources import io
 from ..streaming import cases as S
@@ -214,9 +215,11 @@ def f25(spark, d):
     return read(spark, d, "events").select("event_id", io.body_hash("event_type", "props", "value").alias("h"))
 
 
-@query("f29_timings", "SELECT user_id, round(max(value) FILTER (event_type = 'click'), 6) AS click, round(max(value) FILTER (event_type = 'view'), 6) AS seen FROM events GROUP BY user_id")
+@query("f29_timings", "SELECT user_id, round(max(value) FILTER (event_type = 'click'), 6) AS click, round(coalesce(max(value) FILTER (event_type = 'view'), max(value) FILTER (event_type = 'purchase')), 6) AS seen, round(max(value) FILTER (event_type = 'error'), 6) AS failed FROM events GROUP BY user_id")
 def f29(spark, d):
+    """The key seen is in both maps: the later value wins where it is known."""
     most = lambda k: F.max(F.when(F.col("event_type") == k, F.col("value")))
-    m = read(spark, d, "events").groupBy("user_id").agg(most("click").alias("c"), most("view").alias("v"))
-    merged = F.map_concat(F.create_map(F.lit("click"), F.col("c")), F.create_map(F.lit("seen"), F.col("v")))
-    return m.select("user_id", F.round(F.try_element_at(merged, F.lit("click")), 6).alias("click"), F.round(F.try_element_at(merged, F.lit("seen")), 6).alias("seen"))
+    m = read(spark, d, "events").groupBy("user_id").agg(*[most(k).alias(k) for k in ("click", "view", "purchase", "error")])
+    before, after = F.create_map(F.lit("click"), F.col("click"), F.lit("seen"), F.col("purchase")), F.create_map(F.lit("seen"), F.col("view"), F.lit("failed"), F.col("error"))
+    merged = C.merged_timings(before, after)
+    return m.select("user_id", *[F.round(F.try_element_at(merged, F.lit(k)), 6).alias(k) for k in ("click", "seen", "failed")])

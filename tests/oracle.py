@@ -22,7 +22,8 @@ def plain(v) -> str:
     if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return "NULL"
     if isinstance(v, float):
-        return repr(round(v, 6))
+        r = round(v, 6)
+        return repr(int(r)) if r.is_integer() else repr(r)  # whole numbers beside nulls come as floats from one side
     return str(v)
 
 
