@@ -207,9 +207,12 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: flo
 
 
 def document_paths(docs: DataFrame) -> DataFrame:
-    """doc_id, path, text: /source/lang, then a level for each digit of doc_id, as in digit-sharded stores."""
-    digits = F.regexp_replace(F.coalesce(F.col("doc_id").cast("string"), F.lit("_")), "(.)", "/$1")
-    return docs.select("doc_id", F.concat(F.lit("/"), F.coalesce("source", F.lit("_")), F.lit("/"), F.coalesce("lang", F.lit("_")), digits).alias("path"), "text")
+    """doc_id, path, text: /source/lang, then a level for each digit of doc_id but the last two, as digit-sharded stores
+    have it, and doc_id as the file's name: so the files of small ids stand above those of larger ones."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("_"))
+    levels = F.regexp_replace(F.regexp_replace(name, ".{1,2}$", ""), "(.)", "/$1")
+    path = F.concat(F.lit("/"), F.coalesce("source", F.lit("_")), F.lit("/"), F.coalesce("lang", F.lit("_")), levels, F.lit("/"), name)
+    return docs.select("doc_id", path.alias("path"), "text")
 
 
 def op2_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -740,3 +740,34 @@ def test_split_join(spark):
     for how, n in (("inner", 3000), ("left", 3001)):
         got = split_join(many, few, ["k"], counts, "i", how).collect()
         assert len(got) == n and all(r["v"] == (len(r["k"]) if r["k"] else None) for r in got)
+
+
+def test_license_inheritance_brute(spark):
+    """Every document of the table: its own licence, else that of the nearest ancestor directory with a licence file."""
+    docs = spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    files = license_scan.document_paths(docs)
+    own = {r["path"]: (r["license"], r["opens"]) for r in license_scan.scan_units(files.select("path", "text")).collect()}
+    held = {}
+    for path, (name, opens) in sorted(own.items(), reverse=True):
+        if opens:
+            held[path.rpartition("/")[0]] = name  # the path that is first in order stays
+    got = license_scan.scan(files).collect()
+    inherited = 0
+    for r in got:
+        at = r["path"].rpartition("/")[0]
+        while at and at not in held:
+            at = at.rpartition("/")[0]
+        name = own[r["path"]][0]
+        assert (r["own_license"], r["inherited_from"], r["license"]) == (name, None if name or not at else at, name or held.get(at)), r["path"]
+        inherited += r["inherited_from"] is not None
+    assert len(got) == docs.count() and inherited and held
+
+
+def test_license_edges(spark):
+    mit, cc = "Released under the MIT License.", "Licensed under CC BY 4.0."
+    rows = [(1, None, None, None), (2, "", "en", None), (3, mit, None, "s"), (3, mit, None, "s"), (4, f"{mit}\n{cc}", "en", "s"), (5, "word " * 50000 + "\n\n" + cc, "en", "t"), (None, "x", "en", "t")]
+    df = spark.createDataFrame([(i, x, lang, s, 1, "p") for i, x, lang, s in rows], "doc_id long, text string, lang string, source string, score int, other string")
+    got = sorted(map(str, ((r["doc_id"], r["path"], r["own_license"]) for r in license_scan.scan(license_scan.document_paths(df)).collect())))
+    want = [(1, "/_/_/1", None), (2, "/_/en/2", None), (3, "/s/_/3", "MIT"), (3, "/s/_/3", "MIT"), (4, "/s/en/4", "CC-BY-4.0"), (5, "/t/en/5", "CC-BY-4.0"), (None, "/t/en/_", None)]
+    assert got == sorted(map(str, want))
+    assert license_scan.scan(license_scan.document_paths(df).where("false")).count() == 0
