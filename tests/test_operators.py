@@ -343,3 +343,39 @@ def test_clean_text():
     from caselake.functions.russian import clean
 
     assert clean("Первая строка\nпродолжение\n\n\n1. Пункт\r\nТекст.\nНовый  текст") == "Первая строка продолжение\n\n1. Пункт Текст.\nНовый текст"
+
+
+def test_dense_blocks(spark, monkeypatch):
+    """Several blocks of queries and vectors, ties, nulls and odd sizes against plain loops."""
+    import random
+
+    draw = random.Random(5)
+    rows = [(i, [float(draw.randint(-2, 2)) for _ in range(4)]) for i in range(120)] + [(200, None), (201, [1.0, None, 0.0, 1.0]), (202, [0.0] * 4), (203, [1.0, 2.0]), (204, []), (None, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = df.where("vec_id % 10 = 0 or vec_id > 199").withColumnRenamed("vec_id", "query_id")
+    monkeypatch.setattr(R, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(R, "VECTOR_BLOCK", 17)
+    got = {}
+    for r in R.dense_top_k(df, queries, 6).collect():
+        got.setdefault(r["query_id"], []).append((r["place"], r["vec_id"], r["score"]))
+    known = {i: [x or 0.0 for x in v] for i, v in rows if i is not None and v}
+
+    def cosine(a, b):
+        n = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / n, 6) if n else 0.0
+
+    for q in [i for i in known if i % 10 == 0 or i > 199]:
+        near = sorted((-cosine(known[q], v), i) for i, v in known.items() if len(v) == len(known[q]))[:6]
+        assert [(p, i) for p, i, _ in sorted(got.pop(q))] == [(n + 1, i) for n, (_, i) in enumerate(near)]
+    assert not got
+
+
+def test_bm25_batch_equals_joins(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 17}" for k in range(i % 30))) for i in range(200)] + [(900, None), (901, "the the the w1"), (None, "w1 w2")], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"w{i} the W{i + 1} w{i} zzz") for i in range(20)] + [(50, None), (51, "nothing here"), (None, "w1")], "item_id long, text string")
+    told = lambda: sorted((r["item_id"], r["place"], r["doc_id"], round(r["score"], 6)) for r in R.bm25_top(docs, items, 7).where("doc_id is not null and item_id is not null").collect())
+    batch = told()
+    monkeypatch.setattr(R, "BATCH_TERMS", 0)
+    joined = sorted((r["item_id"], r["place"], r["doc_id"], round(r["score"], 6)) for r in R.top(R.bm25(docs.where("doc_id is not null"), items.where("item_id is not null")), ["item_id"], 7, "doc_id").collect())
+    assert batch == joined and len(batch) > 100
+    assert R.bm25_top(docs.where("false"), items).count() == 0
