@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, mix64, table, window_hashes, word_hashes
+from .common import drop_table, hot_keys, mix64, split_join, table, window_hashes, word_hashes
 
 BANDS, ROWS = 30, 5
 #: Members whose texts meet one copy of their leader's text.
@@ -166,13 +166,15 @@ def cluster_links(rows: DataFrame, texts: DataFrame, n: int, percent: int) -> Da
 
     Buckets whose leaders lie in one component form a cluster; its texts outside that component meet all its texts."""
     lead = rows.groupBy("key").agg(F.min_by("component", F.struct(F.floor(1000 * F.col("own") / F.col("n")), "id")).alias("cluster"))
-    each = table(rows.join(lead, "key").select("cluster", "id", "n", "own", "component").distinct(), "dups-clusters")
+    able = rows.where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))  # the others link to nothing
+    sizes = able.groupBy("key").agg(F.count("*").alias("n"))
+    each = table(split_join(able, lead, ["key"], sizes, "id").select("cluster", "id", "n", "own", "component").distinct(), "dups-clusters")
     of = each.groupBy("cluster").agg(F.count_if(F.col("component") != F.col("cluster")).alias("strays"), F.sum("n").alias("shingles"))
     split = of.where("strays > 0").select("cluster", F.ceil(F.col("strays") / BLOCK_TEXTS).alias("ns"), F.ceil(F.col("shingles") / BLOCK_SHINGLES).alias("nm"))
-    told = each.join(split, "cluster")
+    told = table(split_join(each, split, ["cluster"], each.groupBy("cluster").agg(F.count("*").alias("n")), "id"), "dups-told")
     block = lambda s, m: F.concat_ws(":", F.col("cluster").cast("string"), s.cast("string"), m.cast("string")).alias("block")
     h = F.xxhash64("id")
-    strays = told.where((F.col("component") != F.col("cluster")) & (100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))).withColumn("m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nm") - 1)))
+    strays = told.where(F.col("component") != F.col("cluster")).withColumn("m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nm") - 1)))
     members = told.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ns") - 1)))
     need = members.select(block(F.col("s"), F.pmod(h, F.col("nm"))), F.lit(False).alias("stray"), "id", "component").unionByName(strays.select(block(F.pmod(h, F.col("ns")), F.col("m")), F.lit(True).alias("stray"), "id", "component"))
     dealt = need.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select("block", "stray", "id", "component", "text").repartition("block").sortWithinPartitions("block", "stray", "id")
@@ -183,11 +185,13 @@ def components(links: DataFrame) -> DataFrame:
     """(a, b) -> id, component: the smallest id reachable, for every id in a link."""
     both = table(links.select("a", "b").union(links.select("b", "a")).distinct(), "dups-links")
     labels = table(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("component")), "dups-labels")
+    hubs = table(hot_keys(both.groupBy("b").agg(F.count("*").alias("n")), ["b"]), "dups-hubs")
     while True:
-        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("near"))
+        near = split_join(both, labels.withColumnRenamed("id", "b"), ["b"], hubs, "a").groupBy("a").agg(F.min("component").alias("near"))
         stepped = labels.join(near, labels["id"] == near["a"]).select("id", F.col("component").alias("before"), F.least("component", "near").alias("component"))
-        up = labels.select(F.col("id").alias("up_id"), F.col("component").alias("up"))
-        new = table(stepped.join(up, F.col("component") == F.col("up_id"), "left").select("id", "before", F.least("component", "up").alias("component")), "dups-labels")
+        up = labels.select(F.col("id").alias("component"), F.col("component").alias("up"))
+        sizes = labels.groupBy("component").agg(F.count("*").alias("n"))  # components only grow together
+        new = table(split_join(stepped, up, ["component"], sizes, "id", "left").select("id", "before", F.least("component", "up").alias("component")), "dups-labels")
         moved = new.where("component <> before").limit(1).count()
         drop_table(labels)
         labels = new.select("id", "component")
@@ -220,8 +224,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = table(linked.groupBy("words_key").agg(F.min("doc_id").alias("node")), "dups-classes")
     nodes = linked.join(classes.withColumnRenamed("node", "doc_id"), ["words_key", "doc_id"], "left_semi")
     keyed = nodes.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    found = table(keyed.join(shared.select("key"), "key").select("key", F.col("doc_id").alias("id"), F.col("n_shingles").alias("n")), "dups-buckets")
+    shared = table(keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n"), "dups-shared")
+    hot = table(hot_keys(shared, ["key"]), "dups-hot")
+    found = table(split_join(keyed, shared.select("key"), ["key"], hot, "doc_id").select("key", F.col("doc_id").alias("id"), F.col("n_shingles").alias("n")), "dups-buckets")
     # Texts of bucket members are fetched once; by a sort-merge join at any size, so that work grows evenly.
     inside = table(texts.join(found.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "dups-texts")
     own = own_shingles(inside, shingle)
@@ -238,7 +243,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     other = members.select("key", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("own").alias("own2"))
     first = F.min(F.struct(F.floor(1000 * F.col("own") / F.col("n")).alias("rank"), "id", "n", "own")).alias("lead")
     lead = members.groupBy("key").agg(first).select("key", F.col("lead.id").alias("a"), "lead.n", "lead.own")
-    found_links = checked(lead.join(other, "key").where(may_link() & (F.col("a") != F.col("b"))))
+    found_links = checked(split_join(other, lead, ["key"], hot, "b").where(may_link() & (F.col("a") != F.col("b"))))
     # Rows of an id with several word sequences are one node: all classes they belong to are linked through the id.
     spread = linked.groupBy("doc_id").agg(F.min("words_key").alias("low"), F.max("words_key").alias("high")).where("low < high").select("doc_id")
     id_links = linked.select("doc_id", "words_key").join(spread, "doc_id").join(classes, "words_key").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
@@ -246,7 +251,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     label = components(links)
     here = members.join(label.withColumnRenamed("component", "found"), "id", "left").select("key", "id", "n", "own", F.coalesce("found", "id").alias("component"))
     several = here.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low < high").select("key", "members")
-    split = table(here.join(several, "key"), "dups-split")
+    split = table(split_join(here, several, ["key"], hot, "id"), "dups-split")
     few = split.where(F.col("members") <= SMALL)
     beside = few.select("key", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("own").alias("own2"), F.col("component").alias("component2"))
     across = few.withColumnRenamed("id", "a").join(beside, "key").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("component2")) & may_link())
