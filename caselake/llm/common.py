@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -109,10 +111,20 @@ class HashedWords(dict):
 _cache: dict = {}
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system, where its allocator can."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def worker_cache(name: object, make):
     """The cache of that name in this worker process. Workers outlive tasks, so a new cache replaces the one before it."""
     if name not in _cache:
-        _cache.clear()
+        if _cache:
+            _cache.clear()
+            _give_back()
         _cache[name] = make()
     return _cache[name]
 

@@ -34,7 +34,7 @@ SAMPLE_PER_CLASS = 2000
 DIMS = 64
 K = 15
 #: Documents, and characters beyond which no further one joins, of a block.
-BLOCK, BLOCK_CHARS = 256, 1_000_000
+BLOCK, BLOCK_CHARS = 128, 250_000
 THRESHOLD = 0.3
 WORD_BINS, PAIR_BINS = 2048, 4096
 #: Columns for adjacent equal words, repeated words and repeated lines: a term in n columns weighs sqrt(n) times as much.
@@ -68,23 +68,27 @@ def term_counts(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def blocks(texts: list[str | None]) -> Iterator[list[str | None]]:
-    """texts in order, cut so that a block is bounded unless one text alone is beyond the bound."""
+def blocks(texts: pa.Array) -> Iterator[list[str | None]]:
+    """texts in order, cut so that a block is bounded unless one text alone is beyond the bound; only a block's texts are
+    Python objects at a time."""
     held, chars = [], 0
-    for x in texts:
-        if held and (len(held) == BLOCK or chars + len(x or "") > BLOCK_CHARS):
-            yield held
-            held, chars = [], 0
-        held.append(x)
-        chars += len(x or "")
+    for at in range(0, len(texts), BLOCK):
+        for x in texts.slice(at, BLOCK).to_pylist():
+            if held and (len(held) == BLOCK or chars + len(x or "") > BLOCK_CHARS):
+                yield held
+                held, chars = [], 0
+            held.append(x)
+            chars += len(x or "")
     if held:
         yield held
 
 
 def _weights(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts) * idf
+    """Unit TF-IDF rows, in one copy of counts."""
+    x = np.log1p(counts)
+    x *= idf
     norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    return np.divide(x, norm, out=x, where=norm > 0)
 
 
 class Model:
@@ -134,7 +138,7 @@ def _top(near: np.ndarray, k: int) -> np.ndarray:
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [r for block in blocks(batch.column("text").to_pylist()) for r in term_counts(block)]
+        rows = [r for block in blocks(batch.column("text")) for r in term_counts(block)]
         yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("quality"), pa.array([zlib.compress(r.tobytes(), 1) for r in rows], pa.binary())], names=["h", "quality", "counts"])
 
 
@@ -153,14 +157,16 @@ def fit(docs: DataFrame, quality: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     sample = docs.select(text_hash().alias("h"), "text").join(F.broadcast(small), "h")
     once = sample.mapInArrow(_count_rows, "h long, quality int, counts binary").groupBy("h").agg(F.first("counts").alias("counts"), F.first("quality").alias("quality"))
     rows = once.orderBy("h").collect()
-    counts = np.stack([np.frombuffer(zlib.decompress(r["counts"]), dtype=np.float32) for r in rows]) if rows else np.zeros((0, TERMS), np.float32)
+    counts = np.zeros((len(rows), TERMS), np.float32)
+    for i, r in enumerate(rows):
+        counts[i] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.float32)
     return Model(counts, np.array([r["quality"] for r in rows], dtype=np.float32))
 
 
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model = shared.value
     for batch in batches:
-        scores = [model.score(term_counts(block)) for block in blocks(batch.column("text").to_pylist())]
+        scores = [model.score(term_counts(block)) for block in blocks(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=["doc_id", "score"])
 
 
