@@ -31,12 +31,31 @@ from .packing import TOKENIZER, ChunkTokenizer, tokenizer_path
 
 #: The second version that the query keeps counts for.
 BYTE_TOKENIZER = "byte_bpe_50k.tiktoken"
-#: Chunks whose ids a worker keeps.
-CHUNKS = 300_000
+#: Chunks whose numbers of tokens a worker keeps.
+CHUNKS = 1_000_000
 LEDGER = "doc_id long, source string, lang string, tokenizer string, n_tokens long, sign int"
 ROLLUP = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
+class ChunkCounter(ChunkTokenizer):
+    """Numbers of tokens by chunk in place of ids."""
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        super()._learn(chunks)
+        for c in chunks:
+            self.known[c] = len(self.known[c]) // 4
+
+    def count(self, data: bytes) -> int:
+        chunks = data.split()
+        new = [c for c in set(chunks) if c not in self.known]
+        if new:
+            if len(self.known) + len(new) > self.limit:
+                self.known.clear()
+                new = list(set(chunks))
+            self._learn(new)
+        return sum(map(self.known.__getitem__, chunks))
+
+
 def _tiktoken(path: str):
     import base64
 
@@ -53,8 +72,7 @@ def counter(path: str):
     if path.endswith(".tiktoken"):
         encode = worker_cache(path, lambda: _tiktoken(path)).encode_ordinary
         return lambda data: len(encode(data.decode("utf-8", "replace")))
-    encode = worker_cache((path, "counts"), lambda: ChunkTokenizer(path, CHUNKS)).encode
-    return lambda data: len(encode(data)) // 4
+    return worker_cache((path, "counts"), lambda: ChunkCounter(path, CHUNKS)).count
 
 
 def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
