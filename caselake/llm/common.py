@@ -111,7 +111,7 @@ class HashedWords(dict):
 _cache: dict = {}
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Returns freed memory to the system, where its allocator can."""
     gc.collect()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -124,7 +124,7 @@ def worker_cache(name: object, make):
     if name not in _cache:
         if _cache:
             _cache.clear()
-            _give_back()
+            give_back()
         _cache[name] = make()
     return _cache[name]
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, word_hashes
+from .common import give_back, mix64, word_hashes
 
 SAMPLE_PER_CLASS = 2000
 DIMS = 64
@@ -83,9 +83,9 @@ def blocks(texts: pa.Array) -> Iterator[list[str | None]]:
         yield held
 
 
-def _weights(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Unit TF-IDF rows, in one copy of counts."""
-    x = np.log1p(counts)
+def _weights(counts: np.ndarray, idf: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """Unit TF-IDF rows, in one copy of counts or in out."""
+    x = np.log1p(counts, out=out)
     x *= idf
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, norm, out=x, where=norm > 0)
@@ -95,10 +95,11 @@ class Model:
     """idf (TERMS), basis (TERMS, DIMS), vectors (rows, DIMS) of unit length, labels (rows)."""
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray) -> None:
+        """counts is written over by its weights, so that the driver holds the sample once."""
         n = len(labels)
         self.labels = labels.astype(np.float32)
-        self.idf = np.log((1 + n) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
-        x = _weights(counts, self.idf)
+        self.idf = np.log((1 + n) / (1 + np.count_nonzero(counts, axis=0))).astype(np.float32) + np.float32(0.1)
+        x = _weights(counts, self.idf, out=counts)
         draw = np.random.default_rng(7).standard_normal((TERMS, min(DIMS + 16, max(1, n)))).astype(np.float32)
         for _ in range(4):
             q, _r = np.linalg.qr(x @ draw) if n else (np.zeros((0, draw.shape[1]), np.float32), None)
@@ -156,11 +157,16 @@ def fit(docs: DataFrame, quality: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     small = docs.sparkSession.createDataFrame(chosen, "h long, quality int")
     sample = docs.select(text_hash().alias("h"), "text").join(F.broadcast(small), "h")
     once = sample.mapInArrow(_count_rows, "h long, quality int, counts binary").groupBy("h").agg(F.first("counts").alias("counts"), F.first("quality").alias("quality"))
-    rows = once.orderBy("h").collect()
+    rows = once.orderBy("h").toArrow()
     counts = np.zeros((len(rows), TERMS), np.float32)
-    for i, r in enumerate(rows):
-        counts[i] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.float32)
-    return Model(counts, np.array([r["quality"] for r in rows], dtype=np.float32))
+    for i, packed in enumerate(rows["counts"]):
+        counts[i] = np.frombuffer(zlib.decompress(packed.as_py()), dtype=np.float32)
+    labels = rows["quality"].to_numpy().astype(np.float32)
+    del rows
+    model = Model(counts, labels)
+    del counts
+    give_back()
+    return model
 
 
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
