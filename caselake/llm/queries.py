@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, mixing, near_dups, packing, pii, quality_classifier, quality_rules, token_counts, topk_search, warc
+from . import divergence, license_scan, mixing, near_dups, packing, pii, quality_classifier, quality_rules, token_counts, topk_search, warc, whitening
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_near_dups": near_dups.op9_near_dups,
     "op10_mixing": mixing.op10_mixing,
+    "op11_divergence": divergence.op11_divergence,
+    "op12_whitening": whitening.op12_whitening,
 }
 
 ORACLES = {
@@ -22,4 +24,5 @@ ORACLES = {
     "op7_topk_search": topk_search.ORACLE_SQL,
     "op9_near_dups": near_dups.ORACLE_SQL,
     "op10_mixing": mixing.ORACLE_SQL,
+    "op11_divergence": divergence.ORACLE_SQL,
 }
