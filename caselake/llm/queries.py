@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import divergence, license_scan, mixing, near_dups, packing, pii, quality_classifier, quality_rules, token_counts, topk_search, warc, whitening
+from . import divergence, license_scan, mixing, near_dups, packing, pii, quality_classifier, quality_rules, suffix_dedup, token_counts, topk_search, warc, whitening
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
     "op11_divergence": divergence.op11_divergence,
     "op12_whitening": whitening.op12_whitening,
+    "op13_suffix_dedup": suffix_dedup.op13_suffix_dedup,
 }
 
 ORACLES = {
