@@ -58,24 +58,25 @@ def brute_pools(kind, value):
 
 def brute_pii(rows, support=3, threshold=0.8):
     base = [sorted((m.start(), k, m.end(), m.group()) for k, kind in enumerate(BASE) for m in re.finditer(BASE[kind], x or "") if VALID[kind](m.group())) for _, x in rows]
-    df, held, pair, own = Counter(), Counter(), Counter(), []
+    df, held, pair, own, rests = Counter(), Counter(), Counter(), [], []
     for (_, x), b in zip(rows, base, strict=True):
         df.update(set(re.findall(r"\w+", x or "")))
-        rest = x or ""
-        for p in BASE.values():
-            rest = re.sub(p, " ", rest)
-        own.append(set(re.findall(r"\w+", rest)))
+        rest = list(x or "")
+        for start, _, end, _ in b:
+            rest[start:end] = " " * (end - start)
+        rests.append("".join(rest))
+        own.append(set(re.findall(r"\w+", rests[-1])))
         here = {p for _, k, _, v in b for p in brute_pools(k, v)}
         held.update(here)
         pair.update((p, w) for p in here for w in own[-1])
     out = []
-    for (i, x), b, words in zip(rows, base, own, strict=True):
+    for (i, _), b, words, rest in zip(rows, base, own, rests, strict=True):
         terms = set()
         for k, v in {(k, v) for _, k, _, v in b}:
             p = next((p for p in brute_pools(k, v) if held[p] >= support), None)
             ic = -math.log2(held[p] / len(rows)) if p else 0
             terms |= {w for w in words if ic > 0 and pair[p, w] >= support and df[w] and 1 + math.log2(min(1, pair[p, w] / df[w])) / ic >= threshold}
-        spans = b + [(m.start(), 4, m.end(), "") for m in re.finditer(r"\w+", x or "") if m.group() in terms and not any(s < m.end() and m.start() < e for s, _, e, _ in b)]
+        spans = b + [(m.start(), 4, m.end(), "") for m in re.finditer(r"\w+", rest) if m.group() in terms]
         told = lambda xs: ",".join(f"{[*BASE, 'term'][k]}:{s}:{e}" for s, k, e, _ in sorted(xs))
         out.append((i, hashlib.sha256(told(b).encode()).hexdigest(), told(spans)))
     return out
@@ -111,6 +112,41 @@ def test_pii_pools(spark):
     assert {"Quellin", "wrote"} <= said(0) and "on" not in said(0) and said(10) == {"zeta"} and said(20) == {"Dial", "extension"} and not said(30)
 
 
+def test_pii_terms_with_numbers(spark):
+    """Only valid spans are blanked: account and order numbers are terms like any other."""
+    rows = [(i, "Zorvath cust4711 room7 plot 4711 of z@mail.example.com") for i in range(3)] + [(10 + i, f"room of plot {i} and more") for i in range(9)]
+    got = {r["doc_id"]: r for r in pii.find_pii(docs_of(spark, rows)).collect()}
+    assert sorted((i, r["base_sha256"], r["spans"]) for i, r in got.items()) == sorted(brute_pii(rows))
+    said = {rows[0][1][int(s) : int(e)] for k, s, e in (x.split(":") for x in got[0]["spans"].split(",")) if k == "term"}
+    assert said == {"Zorvath", "cust4711", "room7", "4711"}
+
+
+def test_pii_many_matches(spark):
+    """Long texts of many spans take linear time, and lists that documents share have one pool."""
+    many = " ".join(f"u{i}@h{i}.example.org" for i in range(20_000))
+    got = pii.find_pii(docs_of(spark, [(1, many)])).first()
+    spans = [tuple(map(int, x.split(":")[1:])) for x in got["spans"].split(",")]
+    assert got["n_email"] == 20_000 and spans == [m.span() for m in re.finditer(r"\S+", many)]
+    listed = " ".join(f"u{i}@h{i}.example.org word{i}" for i in range(900))
+    rows = [(i, listed) for i in range(3)] + [(10 + i, "plain words") for i in range(9)]
+    assert all(r["n_term"] == (900 if r["doc_id"] < 3 else 0) for r in pii.find_pii(docs_of(spark, rows)).collect())
+
+
+def test_pii_rewrites_across_chunks(spark, monkeypatch):
+    monkeypatch.setattr(pii, "CHUNK", 7)
+    monkeypatch.setattr(pii, "BLOCK", 2)
+    text = "é a@b.example.com \U0001f600 +49 89 1234567 or 9.9.9.9 and z@y.zz"
+    df = spark.createDataFrame([(text,)], "text string")
+    spans = pii.base_spans(F.col("text"))
+    rest = df.select(pii.blanked(F.col("text"), spans).alias("rest")).first()["rest"]
+    (_, told), = [(1, pii.find_pii(docs_of(spark, [(1, text)])).first()["spans"])]
+    want = list(text)
+    for _, a, b in (x.split(":") for x in told.split(",")):
+        want[int(a) : int(b)] = " " * (int(b) - int(a))
+    assert rest == "".join(want)
+    assert pii.sanitise(docs_of(spark, [(1, text)])).first()["text"].startswith("é [EMAIL] \U0001f600 [")
+
+
 def test_sanitise(spark):
     df = docs_of(spark, PII_ROWS)
     got = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
