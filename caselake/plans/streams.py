@@ -11,6 +11,7 @@ from ..operators import cases as C
 from ..registry import query, read
 from ..sources import io
 from ..streaming import cases as S
+from ..streaming import stateful as P
 
 RAW = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -121,13 +122,66 @@ def t1(spark, d):
     return S.fold_batch(commands(read(spark, d, "events")))
 
 
+SLICES = 3
+CUTS = [f"TIMESTAMP_NTZ '2024-01-01' + INTERVAL {10 * i} DAYS" for i in range(1, SLICES)]
+
+
+def sliced(spark, d) -> list:
+    """The events in slices of time, as files that come one after the other."""
+    e = read(spark, d, "events")
+    edges = [None, *CUTS, None]
+    return [e.where(f"{f'ts >= {a}' if a else 'true'} AND {f'ts < {b}' if b else 'true'}") for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def streamed(spark, name: str, slices: list, plan, schema: str, mode: str = "append"):
+    """The slices as a stream of several triggers, restarted between them, written to a table that is read back."""
+    out = shared(spark, name)
+
+    def start(events):
+        rows = plan(events.withColumn("ts", F.col("ts").cast("timestamp")))
+        return rows.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", out + "-state").trigger(availableNow=True).start()
+
+    with P.with_rocksdb(spark):
+        P.run_slices(slices, out + "-in", lambda folder: io.case_event_stream(spark, folder, RAW), start)
+    return spark.read.schema(schema).parquet(out)
+
+
 @query("t1_case_fold_stream", T1)
 def t1_stream(spark, d):
-    """The same fold as a stream over the event files; equal to the batch twin in tests."""
-    out = shared(spark, "case-fold")
-    rows = S.fold_stream(commands(io.case_event_stream(spark, f"{d}/events.parquet", RAW)))
-    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(S.RESULT).parquet(out)
+    """The same fold by a state processor, over three slices of time."""
+    return streamed(spark, "case-fold", sliced(spark, d), lambda e: P.fold_stream(commands(e)), S.RESULT)
+
+
+DEADLINE = 3 * 86_400
+
+
+@query("t8_deadline_timers", f"""WITH k AS (SELECT user_id AS case_id, 'r' || event_id // 500 AS request_key, event_id, epoch_ms(ts) AS ms, event_type FROM events),
+o AS (SELECT case_id, request_key, min(ms) AS created FROM k WHERE event_type = 'view' GROUP BY ALL),
+f AS (SELECT o.case_id, o.request_key, any_value(created) AS created, count(k.event_id) FILTER (event_type = 'click' AND ms >= created AND ms <= created + {DEADLINE * 1000}) AS results FROM o JOIN k USING (case_id, request_key) GROUP BY ALL)
+SELECT case_id, request_key, CASE WHEN results > 0 THEN 'done' ELSE 'error' END AS status, CASE WHEN results = 0 THEN 'RESTARTED' END AS error_code, results = 0 AS retryable
+FROM f WHERE results > 0 OR created + {DEADLINE * 1000} < (SELECT max(epoch_ms(ts)) FROM events)""")
+def t8_timers(spark, d):
+    """Requests of three slices of time: those without a result in time end by timers."""
+    plan = lambda e: P.request_deadlines(commands(e).select("case_id", "request_key", "event_id", "ts", "kind"), DEADLINE)
+    return streamed(spark, "deadlines", sliced(spark, d), plan, P.REQUEST)
+
+
+SLIDING = "SELECT start, start + INTERVAL 1 HOUR AS \"end\", event_type, CAST(count(*) AS BIGINT) AS n, list_sort(list(bin))[CAST(ceil(0.95 * count(*)) AS BIGINT)] * 0.5 AS quantile FROM (SELECT event_type, greatest(0, least(63, floor(value / 0.5))) AS bin, unnest([time_bucket(INTERVAL 30 MINUTES, ts), time_bucket(INTERVAL 30 MINUTES, ts) - INTERVAL 30 MINUTES]) AS start FROM events) GROUP BY ALL"
+
+
+@query("t9_sliding_p95_stream", f"SELECT * FROM ({SLIDING}) WHERE \"end\" <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+def t9_sliding(spark, d):
+    rows = streamed(spark, "sliding", sliced(spark, d), P.sliding_quantiles, "start timestamp, end timestamp, event_type string, n long, quantile double")
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "n", "quantile")
+
+
+@query("t2_deduplicated_stream", "SELECT event_id, user_id, event_type FROM events")
+def t2_stream(spark, d):
+    """Events that come again within an hour of the watermark, and some that come weeks late: each is passed on once."""
+    first, middle, last = sliced(spark, d)
+    again = first.where(f"ts >= {CUTS[0]} - INTERVAL 30 MINUTES")
+    rows = streamed(spark, "deduplicated", [first, middle.unionByName(again), last.unionByName(first)], lambda e: P.deduplicated(e, ["event_id"]), RAW.replace("timestamp_ntz", "timestamp"))
+    return rows.select("event_id", "user_id", "event_type")
 
 
 @query("t8_recovery", "SELECT event_id, CASE WHEN event_type IN ('view','click') AND ts < TIMESTAMP '2024-01-15' THEN 'error' ELSE CASE WHEN event_type IN ('view','click') THEN 'processing' ELSE 'final' END END AS status, event_type IN ('view','click') AND ts < TIMESTAMP '2024-01-15' AS error_retryable FROM events")
@@ -161,6 +215,35 @@ def t10(spark, d):
     return S.activity_sessions(e).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
+SESSIONS = "WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), y AS (SELECT user_id, ts, sum(f) OVER (PARTITION BY user_id ORDER BY ts, f DESC ROWS UNBOUNDED PRECEDING) AS s FROM x) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTES AS \"end\", CAST(count(*) AS BIGINT) AS n FROM y GROUP BY user_id, s"
+
+
+@query("t10_sessions_stream", f"SELECT * FROM ({SESSIONS}) WHERE \"end\" < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+def t10_stream(spark, d):
+    """Sessions that the watermark has closed, over slices of time: open ones merge in state."""
+    rows = streamed(spark, "sessions", sliced(spark, d), S.activity_sessions, "user_id long, start timestamp, end timestamp, n long")
+    return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+FIELDS = {"useful": ("click", "view"), "solved": ("purchase",)}
+
+
+def field_updates(events):
+    """user_id, field, value, ts, event_id: what an event says of a field."""
+    field = F.coalesce(*[F.when(F.col("event_type").isin(*kinds), f) for f, kinds in FIELDS.items()])
+    return events.select("user_id", field.alias("field"), F.col("event_type").alias("value"), "ts", "event_id").where("field is not null")
+
+
+@query("t6_feedback_state_stream", "SELECT user_id, arg_max(event_type, (ts, event_id)) FILTER (event_type IN ('click','view')) AS useful, arg_max(event_type, (ts, event_id)) FILTER (event_type IN ('purchase')) AS solved FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY user_id")
+def t6_state(spark, d):
+    """The newest value of each field in a table that a stream keeps up to date, batch by batch."""
+    path = shared(spark, "feedback-state")
+    held = P.CurrentTable(spark, path, ["user_id", "field"], ["ts", "event_id"], "user_id long, field string, value string, ts timestamp_ntz, event_id long")
+    start = lambda e: field_updates(e).writeStream.foreachBatch(held.upsert).option("checkpointLocation", path + "-state").trigger(availableNow=True).start()
+    P.run_slices(sliced(spark, d), path + "-in", lambda folder: io.case_event_stream(spark, folder, RAW), start)
+    return held.read().groupBy("user_id").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in FIELDS])
+
+
 @query("t2_deduplicated_commands", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
 def t2(spark, d):
     return read(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))

@@ -19,7 +19,6 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,7 +107,8 @@ def apply_event(s: dict, e: dict) -> tuple[bool, str, str | None]:
         s["answers"].append(key)
         s["messages"] += 1
     else:
-        s["feedback"].setdefault(key, {}).update({k: e[k] for k in ("useful", "solved") if e[k] is not None})
+        given = {k: e[k] for k in ("useful", "solved") if e[k] is not None}
+        s["feedback"][key] = (s["feedback"][key] if key in s["feedback"] else {}) | given
         told = "saved"
         if e["solved"] is not None:
             current = key == s["answer"] and not s["later"] and s["active"] is None and s["status"] not in TERMINAL
@@ -122,15 +122,6 @@ def apply_event(s: dict, e: dict) -> tuple[bool, str, str | None]:
     return True, told, cancelled
 
 
-def fold(case_id: int, events: pd.DataFrame, state: dict) -> pd.DataFrame:
-    out = []
-    rows = events.sort_values(["ts", "event_id"]).astype(object).where(lambda x: x.notna(), None)
-    for e in rows.to_dict("records"):
-        ok, why, cancelled = apply_event(state, e)
-        out.append((case_id, e["event_id"], ok, why, state["version"], state["status"], state["ticket"], cancelled))
-    return pd.DataFrame(out, columns=["case_id", "event_id", "accepted", "reason", "version", "status", "ticket", "cancelled"])
-
-
 def fold_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The fold over rows in order of (case_id, ts, event_id): a batch in, its rows out; only the state is carried on."""
     held, state = object(), {}
@@ -151,18 +142,6 @@ def fold_batch(events: DataFrame) -> DataFrame:
     return ordered.mapInArrow(fold_sorted, RESULT)
 
 
-def fold_stream(events: DataFrame) -> DataFrame:
-    """The fold with the state of each case kept from batch to batch; writers use append mode."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        state = json.loads(held.get[0]) if held.exists else json.loads(json.dumps(NEW))
-        pdf = pd.concat(list(batches))
-        yield fold(int(key[0]), pdf, state)
-        held.update((json.dumps(state),))
-
-    return events.groupBy("case_id").applyInPandasWithState(step, RESULT, "state string", "append", "NoTimeout")
-
-
 def receipts_of(commands: DataFrame, key: list[str] = ["actor_id", "operation", "request_key"]) -> DataFrame:  # noqa: B006
     """commands (key, event_id, ts, body_hash) -> with verdict: the first of a key is new, later ones replay or, with
     another body, conflict (T2). Commands without a key are all new. First commands are found by an aggregate, so that a key
