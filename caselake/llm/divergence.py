@@ -1,7 +1,7 @@
 """How the sources of a language differ in the words they use, by single-pass in-memory indexing.
 
 1. Each task fills a block in memory: documents by (language, term), and counts by (language, term, source). When the
-   block holds BLOCK postings it is written as a run of rows sorted by language and term, and the next one begins.
+   block holds BLOCK postings it is written as a run sorted by language and term, and the next one begins.
 2. Runs are dealt by a hash of language and term. A task heap-merges its shard of all runs, so each term comes once with all
    its sources, and those in enough documents of their language are kept. Where there are more than FAN runs, groups
    of FAN are merged to runs first.
@@ -20,12 +20,13 @@ from __future__ import annotations
 import heapq
 import itertools
 import uuid
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +42,10 @@ ROOM, TERMS = 4_000_000, 1024
 #: Bytes of a text whose words are split at once.
 PIECE = 1 << 22
 
-RUN = "run string, seq long, shard int, lang string, term string, n_docs long, sources array<string>, counts array<long>"
-ARROW_RUN = pa.schema([("run", pa.string()), ("seq", pa.int64()), ("shard", pa.int32()), ("lang", pa.string()), ("term", pa.string()), ("n_docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+#: A run's part in a shard: its entries in order, as a compressed Arrow stream.
+RUN = "run string, shard int, entries binary"
+#: key: language, NUL, term (a term has no NUL); docs: documents with the term, in the first entry of a key, else 0.
+ENTRY = pa.schema([("key", pa.binary()), ("source", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 
 #: Terms are runs of ASCII letters and of all signs beyond ASCII, whose UTF-8 has only bytes from 128 up.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -78,24 +81,43 @@ class Block:
         self.docs[lang].update(seen)
         self.size += len(counts) - before
 
-    def run(self) -> Iterator[tuple]:
-        """(lang, term, documents, sources, counts) in the order of language and term."""
-        for lang in sorted(self.docs):
-            postings: dict[bytes, tuple[list, list]] = defaultdict(lambda: ([], []))
-            for source in sorted(self.counts[lang]):
-                for term, n in self.counts[lang][source].items():
-                    sources, counts = postings[term]
-                    sources.append(source)
-                    counts.append(n)
-            for term in sorted(postings):
-                yield lang, term, self.docs[lang][term], *postings[term]
-
-
-def _written(run: Iterator[tuple], shards: int, name: str) -> Iterator[pa.RecordBatch]:
-    """The rows of one run, numbered in their order."""
-    for rows in itertools.batched(enumerate(run), 10_000):
-        columns = list(zip(*[(name, seq, xxhash.xxh32_intdigest(lang.encode() + b"\0" + term) % shards, lang, term.decode(), *rest) for seq, (lang, term, *rest) in rows], strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW_RUN, strict=True)], schema=ARROW_RUN)
+    def run(self) -> pa.Table:
+        """The entries in the order of key and source."""
+        keys, sources, sizes, counts = [], [], [], []
+        for lang, by_source in self.counts.items():
+            front = lang.encode() + b"\0"
+            for source, terms in by_source.items():
+                keys.extend([front + t for t in terms])
+                counts.extend(terms.values())
+                sources.append(source)
+                sizes.append(len(terms))
+        names = pa.array(sources, pa.string()).take(pa.array(np.repeat(np.arange(len(sources)), sizes)))
+        rows = pa.table({"key": pa.array(keys, pa.binary()), "source": names, "n": pa.array(counts, pa.int64())}).sort_by([("key", "ascending"), ("source", "ascending")])
+        first = _first(rows["key"])
+        docs = np.zeros(len(rows), dtype=np.int64)
+        docs[first] = [self.docs[lang.decode()][term] for lang, _, term in (k.rpartition(b"\0") for k in rows["key"].take(pa.array(first)).to_pylist())]
+        return rows.append_column("docs", pa.array(docs)).cast(ENTRY)
+
+
+def _first(keys: pa.ChunkedArray) -> np.ndarray:
+    """Where a key begins."""
+    if not len(keys):
+        return np.zeros(0, dtype=np.int64)
+    keys = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
+    return np.flatnonzero(np.r_[True, pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)])
+
+
+def _written(run: pa.Table, shards: int, name: str) -> Iterator[pa.RecordBatch]:
+    """A row for each shard of a run."""
+    shard = np.fromiter(map(zlib.crc32, run["key"].to_pylist()), dtype=np.int64, count=len(run)) % shards
+    order = np.argsort(shard, kind="stable")
+    run, shard = run.take(pa.array(order)).combine_chunks(), shard[order]
+    starts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]).tolist() if len(shard) else []
+    for a, b in itertools.pairwise([*starts, len(shard)]):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, ENTRY, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(run.slice(a, b - a))
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([shard[a]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["run", "shard", "entries"])
 
 
 def _index(batches: Iterator[pa.RecordBatch], shards: int, limit: int) -> Iterator[pa.RecordBatch]:
@@ -109,44 +131,51 @@ def _index(batches: Iterator[pa.RecordBatch], shards: int, limit: int) -> Iterat
     yield from _written(block.run(), shards, uuid.uuid4().hex)
 
 
-def _entries(rows: pa.Table) -> Iterator[tuple]:
-    """A run's rows in their order, without making them all Python objects at once."""
-    for batch in rows.to_batches(max_chunksize=2_000):
-        lists = [batch.column(c).to_pylist() for c in ("lang", "term", "n_docs", "sources", "counts")]
-        for lang, term, *rest in zip(*lists, strict=True):
-            yield lang, term.encode(), *rest
-
-
-def merged(rows: pa.Table) -> Iterator[tuple]:
-    """Heap-merges the runs in rows: each (lang, term) once, with all its documents, sources and counts."""
-    rows = rows.sort_by([("run", "ascending"), ("seq", "ascending")])
-    names = rows.column("run").combine_chunks().dictionary_encode()
+def merged(rows: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """Heap-merges runs: an entry for each (key, source), with the key's documents in its first, and where keys begin."""
+    runs = [pa.ipc.open_stream(x.as_py()).read_all() for x in rows["entries"]]
+    starts = np.r_[0, np.cumsum([len(r) for r in runs])].tolist()
+    heads = [zip(r["key"].to_pylist(), range(a, b), strict=True) for r, (a, b) in zip(runs, itertools.pairwise(starts), strict=True)]
+    order = np.fromiter((i for _, i in heapq.merge(*heads)), dtype=np.int64, count=starts[-1])
+    found = pa.concat_tables([ENTRY.empty_table(), *runs]).combine_chunks().take(pa.array(order)).combine_chunks()
+    first = _first(found["key"])
+    docs = np.add.reduceat(found["docs"].to_numpy(), first) if len(first) else np.zeros(0, dtype=np.int64)
+    of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(found)]))
+    names = found["source"].combine_chunks().dictionary_encode()
     names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
-    codes = names.indices.to_numpy()
-    starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]).tolist() if len(codes) else []
-    runs = [_entries(rows.slice(a, b - a)) for a, b in itertools.pairwise([*starts, len(codes)])]
-    for (lang, term), same in itertools.groupby(heapq.merge(*runs, key=lambda e: e[:2]), key=lambda e: e[:2]):
-        docs, total = 0, Counter()
-        for _, _, n, sources, counts in same:
-            docs += n
-            for s, c in zip(sources, counts, strict=True):
-                total[s] += c
-        sources = sorted(total)
-        yield lang, term, docs, sources, [total[s] for s in sources]
+    by_name = pc.sort_indices(names.dictionary).to_numpy()
+    rank = np.empty(len(by_name), dtype=np.int64)
+    rank[by_name] = np.arange(len(by_name))
+    pair = of * max(1, len(rank)) + rank[names.indices.to_numpy()]
+    order = np.argsort(pair, kind="stable")
+    new = np.flatnonzero(np.r_[True, pair[order][1:] != pair[order][:-1]]) if len(pair) else np.zeros(0, dtype=np.int64)
+    n = np.add.reduceat(found["n"].to_numpy()[order], new) if len(new) else np.zeros(0, dtype=np.int64)
+    kept = order[new]
+    begin = np.searchsorted(of[kept], np.arange(len(first)))
+    all_docs = np.zeros(len(kept), dtype=np.int64)
+    all_docs[begin] = docs
+    one = found.select(["key", "source"]).take(pa.array(kept))
+    return one.append_column("n", pa.array(n)).append_column("docs", pa.array(all_docs)).cast(ENTRY), begin
 
 
 def _remade(rows: pa.Table, shards: int) -> pa.Table:
     """A group of runs as one, within a shard; its shards share the name."""
-    return pa.Table.from_batches(_written(merged(rows), shards, f"part-{rows.column('part')[0]}"), ARROW_RUN)
+    return pa.Table.from_batches(_written(merged(rows)[0], shards, f"part-{rows['part'][0]}"), pa.schema([("run", pa.string()), ("shard", pa.int32()), ("entries", pa.binary())]))
 
 
 KEPT = "lang string, term string, sources array<string>, counts array<long>"
 
 
 def _keep(rows: pa.Table, least: int) -> pa.Table:
-    kept = [(lang, term.decode(), sources, counts) for lang, term, docs, sources, counts in merged(rows) if docs >= least]
-    fields = [f for f in ARROW_RUN if f.name in ("lang", "term", "sources", "counts")]
-    return pa.table([pa.array([k[i] for k in kept], f.type) for i, f in enumerate(fields)], schema=pa.schema(fields))
+    found, begin = merged(rows)
+    docs = found["docs"].to_numpy()[begin]
+    whole = np.diff(np.r_[begin, len(found)])
+    kept = found.filter(pa.array(np.repeat(docs >= least, whole)))
+    sizes = whole[docs >= least]
+    offsets = np.r_[0, np.cumsum(sizes)]
+    keys = [k.rpartition(b"\0") for k in kept["key"].take(pa.array(offsets[:-1])).to_pylist()]
+    lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), kept[c].combine_chunks()) for c in ("source", "n")]
+    return pa.table([pa.array([k[0].decode() for k in keys], pa.string()), pa.array([k[2].decode() for k in keys], pa.string()), *lists], names=["lang", "term", "sources", "counts"])
 
 
 def frequencies(docs: DataFrame, min_docs: int = MIN_DOCS, block: int = BLOCK, fan: int = FAN) -> DataFrame:
