@@ -14,23 +14,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Endings by word class. The Latin "ete" stands in the source list and never matches.
+# Endings by word class, in the order of the source list, each once. The Latin "ah" and "ete" stand there and never match.
 VOWELS = "аеиоуыэюя"
-GERUND_1 = "вшись вши вшийся в"
-GERUND_2 = "ившись ывшись ивши ывши ив ыв"
-ADJECTIVE = "ыми ими его ому ему ого ых их ый ой ий ая яя ое ее ые ие ым им ом ем ую юю ей ah"
-PARTICIPLE_1 = "ем нн вш ющ щ"
-PARTICIPLE_2 = "ивш ывш ующ"
-REFLEXIVE = "ся сь"
-VERB_1 = "ешь ete йте ла на ли ем ло но ет ют ны ть й л н"
-VERB_2 = "ейте уйте ила ыла ена ите или ыли ило ыло ено ует уют ены ить ыть ишь ей уй ит ыт им ым ен ил ыл ыв ив"
-NOUN = "иями ями ами ией иям ием иях ах ях ам ям ов ей ий ие ия ию ью ом ем ых ой ые а е и й о у ы ь ю я"
-DERIVATIONAL = "ост ость"
-SUPERLATIVE = "ейше ейш"
-
-
-def _ending(words: str, after: bool = False) -> re.Pattern:
-    return re.compile(("(?<=[ая])" if after else "") + "(?:" + "|".join(words.split()) + ")$")
+GERUND_1 = ("вшись", "вши", "вшийся", "в")
+GERUND_2 = ("ившись", "ывшись", "ивши", "ывши", "ив", "ыв")
+ADJECTIVE = ("ыми", "ими", "его", "ому", "ему", "ого", "ых", "их", "ый", "ой", "ий", "ая", "яя", "ое", "ее", "ые", "ие", "ым", "им", "ом", "ем", "ую", "юю", "ей", "ah")
+PARTICIPLE_1 = ("ем", "нн", "вш", "ющ", "щ")
+PARTICIPLE_2 = ("ивш", "ывш", "ующ")
+REFLEXIVE = ("ся", "сь")
+VERB_1 = ("ешь", "ete", "йте", "ла", "на", "ли", "ем", "ло", "но", "ет", "ют", "ны", "ть", "й", "л", "н")
+VERB_2 = ("ейте", "уйте", "ила", "ыла", "ена", "ите", "или", "ыли", "ило", "ыло", "ено", "ует", "уют", "ены", "ить", "ыть", "ишь", "ей", "уй", "ит", "ыт", "им", "ым", "ен", "ил", "ыл", "ыв", "ив")
+NOUN = ("иями", "ями", "ами", "ией", "иям", "ием", "иях", "ах", "ях", "ам", "ям", "ов", "ей", "ий", "ие", "ия", "ию", "ью", "ом", "ем", "ых", "ой", "ые", "а", "е", "и", "й", "о", "у", "ы", "ь", "ю", "я")
+DERIVATIONAL = ("ост", "ость")
+SUPERLATIVE = ("ейше", "ейш")
+
+
+def _ending(words: tuple[str, ...], after: bool = False) -> re.Pattern:
+    return re.compile(("(?<=[ая])" if after else "") + "(?:" + "|".join(words) + ")$")
 
 
 G1, G2, ADJ, P1, P2 = _ending(GERUND_1, True), _ending(GERUND_2), _ending(ADJECTIVE), _ending(PARTICIPLE_1, True), _ending(PARTICIPLE_2)

@@ -39,10 +39,10 @@ DEFECTS = {
     "content_is_page_number_only": ("content", r"^\d{1,4}$"),
     "content_under_40_chars": ("content", r"(?s)^.{0,39}$"),
     "toc_dot_leader": ("both", r"\.{5,}\s*\d+"),
-    "toc_heading": ("title", r"(?i)^(содержание|оглавление|contents)$"),
-    "title_is_filename": ("title", r"(?i)\.(pdf|docx?|xlsx?)$"),
-    "references_figure_not_in_kb": ("content", r"(Рисунок|Рис\.|Figure)\s*\d+"),
-    "pointer_or_attachment_mention": ("content", r"(Приложени[ея]|см\.\s|смотри|Licen[cs]e)"),
+    "toc_heading": ("title", r"(?iu)^(содержание|оглавление)$"),
+    "title_is_filename": ("title", r"(?iu)\.(pdf|docx?|xlsx?)$"),
+    "references_figure_not_in_kb": ("content", r"(Рисунок|Рис\.)\s*\d+"),
+    "pointer_or_attachment_mention": ("content", r"(Приложени[ея]|см\.\s|смотри)"),
 }
 
 
@@ -52,16 +52,17 @@ def defect_classes(title: F.Column, content: F.Column) -> dict[str, F.Column]:
     return {name: of[where](p) for name, (where, p) in DEFECTS.items()}
 
 
-DEFECT_ROWS = "SELECT trim(coalesce(CASE doc_id % 4 WHEN 0 THEN 'Contents' WHEN 1 THEN source || '.PDF' WHEN 2 THEN 'Chapter ..... ' || doc_id ELSE source END, ''), ' ' || chr(10)) AS title, trim(coalesce(CASE WHEN doc_id % 11 = 0 THEN CAST(doc_id AS VARCHAR) WHEN doc_id % 11 = 1 THEN 'Figure ' || doc_id ELSE text END, ''), ' ' || chr(10)) AS content FROM documents"
-DEFECT_TESTS = {name: " OR ".join(f"regexp_matches({c}, '{p}')" for c in (("title", "content") if where == "both" else (where,))) for name, (where, p) in DEFECTS.items()}
+# Headings and texts that documents get here by their number, so that each class is met in the language it is written for.
+TITLES = ("СОДЕРЖАНИЕ", " Оглавление", "содержание раздела", "План.PDF", "Отчёт.docx ", "Глава ..... 7", "Раздел")
+CONTENTS = ("12", "Рисунок 5 в тексте, который длиннее сорока знаков", "РИСУНОК 5 в тексте, который длиннее сорока знаков", "см. Приложение 2", "Смотри ниже, где написано намного больше сорока знаков", "смотри ниже, где написано намного больше сорока знаков", "Рис. 12", "1 Общие ....... 5")
+DEFECT_ROWS = f"SELECT trim([{', '.join(repr(t) for t in TITLES)}][doc_id % {len(TITLES)} + 1]) AS title, trim(coalesce([{', '.join(repr(t) for t in CONTENTS)}][doc_id % 11 + 1], text, ''), ' ' || chr(10)) AS content FROM documents"
+DEFECT_TESTS = {name: " OR ".join(f"regexp_matches({c}, '{p.replace('(?iu)', '(?i)')}')" for c in (("title", "content") if where == "both" else (where,))) for name, (where, p) in DEFECTS.items()}
 
 
 @query("a7_defect_counts", "SELECT " + ", ".join(f"CAST(count(*) FILTER ({p}) AS BIGINT) AS {k}" for k, p in DEFECT_TESTS.items()) + f" FROM ({DEFECT_ROWS})")
 def a7(spark, d):
-    i = F.col("doc_id")
-    title = F.when(i % 4 == 0, "Contents").when(i % 4 == 1, F.concat("source", F.lit(".PDF"))).when(i % 4 == 2, F.concat(F.lit("Chapter ..... "), i.cast("string"))).otherwise(F.col("source"))
-    content = F.when(i % 11 == 0, i.cast("string")).when(i % 11 == 1, F.concat(F.lit("Figure "), i.cast("string"))).otherwise(F.col("text"))
-    rows = read(spark, d, "documents").select(F.trim(T.text(title), F.lit(" \n")).alias("title"), F.trim(T.text(content), F.lit(" \n")).alias("content"))
+    pick = lambda values, n: F.get(F.array(*[F.lit(v) for v in values]), (F.col("doc_id") % n).cast("int"))
+    rows = read(spark, d, "documents").select(F.trim(pick(TITLES, len(TITLES))).alias("title"), F.trim(F.coalesce(pick(CONTENTS, 11), T.text("text")), F.lit(" \n")).alias("content"))
     return rows.agg(*[F.count_if(c).alias(k) for k, c in defect_classes(F.col("title"), F.col("content")).items()])
 
 
@@ -82,10 +83,36 @@ def a27(spark, d):
     return read(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("impact")).agg(F.count("*").alias("n"), F.countDistinct(F.struct("o_custkey", "o_orderstatus")).alias("n_pairs"), F.count_if(F.col("o_orderpriority").startswith("1")).alias("matched"))
 
 
-@query("a28_pii_counts", r"SELECT source, CAST(count(*) FILTER (regexp_matches(coalesce(text,''), '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}')) AS BIGINT) AS email, CAST(count(*) FILTER (regexp_matches(coalesce(text,''), '\+\d[\d ()-]{8,}')) AS BIGINT) AS phone, CAST(count(*) FILTER (regexp_matches(coalesce(text,''), '\d{6,}')) AS BIGINT) AS digits FROM documents GROUP BY source")
+# What the history audit counts as personal data.
+HISTORY_PII = {
+    "email": r"[\w.\-]+@[\w\-]+\.[a-zA-Z]{2,}",
+    "phone": r"(?:\+7|8)[\s\-(]?\d{3}[\s\-)]?\d{3}[\s\-]?\d{2}[\s\-]?\d{2}",
+    "inn_labelled": r"\bИНН[\s:]*\d{10,12}\b",
+    "guid": r"\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b",
+}
+
+
+def pii_classes(text: F.Column) -> dict[str, F.Column]:
+    """Class -> whether a text of the history holds it (A28); letters of all scripts are word characters."""
+    return {name: text.rlike(f"(?U){p}") for name, p in HISTORY_PII.items()}
+
+
+#: Signatures that every document gets here: some hold a class, some miss it by a sign.
+SIGNATURES = ("ИНН: 7707083893", "ИНН 770708389", "xИНН 7707083893", "тел. 8 (916)123-45-67", "+7 916 123 45 67", "+4 916 123 45", "почта имя.фамилия@пример.com", "0123abcd-01ab-01ab-01ab-0123456789ab", "0123abcd-01ab-01ab-01ab-0123456789abc", "без данных")
+PII_SQL = {
+    "email": r"[\p{L}\p{N}_.\-]+@[\p{L}\p{N}_\-]+\.[a-zA-Z]{2,}",
+    "phone": HISTORY_PII["phone"],
+    "inn_labelled": r"(^|[^\p{L}\p{N}_])ИНН[\s:]*\d{10,12}($|[^\p{L}\p{N}_])",
+    "guid": r"(^|[^\p{L}\p{N}_])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}($|[^\p{L}\p{N}_])",
+}
+SIGNED = f"SELECT source, coalesce(text, '') || chr(10) || [{', '.join(repr(t) for t in SIGNATURES)}][doc_id % {len(SIGNATURES)} + 1] AS x FROM documents"
+
+
+@query("a28_pii_counts", f"SELECT source, {', '.join(f"CAST(count(*) FILTER (regexp_matches(x, '{p}')) AS BIGINT) AS {k}" for k, p in PII_SQL.items())} FROM ({SIGNED}) GROUP BY source")
 def a28(spark, d):
-    hit = lambda p, n: F.count_if(T.text("text").rlike(p)).alias(n)
-    return read(spark, d, "documents").groupBy("source").agg(hit(T.EMAIL, "email"), hit(r"\+\d[\d ()-]{8,}", "phone"), hit(r"\d{6,}", "digits"))
+    said = F.get(F.array(*[F.lit(t) for t in SIGNATURES]), (F.col("doc_id") % len(SIGNATURES)).cast("int"))
+    rows = read(spark, d, "documents").select("source", F.concat(T.text("text"), F.lit("\n"), said).alias("x"))
+    return rows.groupBy("source").agg(*[F.count_if(c).alias(k) for k, c in pii_classes(F.col("x")).items()])
 
 
 @query("j22_crosswalk", "SELECT 'covered' AS side, CAST(count(*) AS BIGINT) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT 'outside', CAST(count(*) AS BIGINT) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) UNION ALL SELECT 'labels_only', CAST(count(*) AS BIGINT) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL)")
@@ -104,9 +131,29 @@ def u6(spark, d):
     return left.select(F.lit("left").alias("side"), "value").unionByName(right.select(F.lit("right").alias("side"), "value"))
 
 
-@query("p9_history_validity", "SELECT conv_id, turn FROM conversations WHERE length(trim(regexp_replace(coalesce(text,''), '\\s+', ' ', 'g'))) >= 40")
+# How long what was asked and what was answered must be.
+LEAST_ASKED, LEAST_ANSWERED = 25, 40
+
+
+def valid_history(asked: F.Column, answered: F.Column) -> F.Column:
+    """Whether a pair of question and resolution is long enough, without runs of blanks."""
+    return (F.length(T.squeeze(T.text(asked))) >= LEAST_ASKED) & (F.length(T.squeeze(T.text(answered))) >= LEAST_ANSWERED)
+
+
+SQUEEZED = r"trim(regexp_replace(coalesce({}, ''), '\s+', ' ', 'g'))"
+PAIRS = "SELECT a.conv_id, a.turn, a.text AS asked, b.text AS answered FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
+
+
+def history_pairs(spark, d):
+    """Each message with the one after it, as question and resolution."""
+    c = read(spark, d, "conversations")
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answered"))
+    return c.select("conv_id", "turn", F.col("text").alias("asked")).join(after, ["conv_id", "turn"])
+
+
+@query("p9_history_validity", f"SELECT conv_id, turn FROM ({PAIRS}) WHERE length({SQUEEZED.format('asked')}) >= 25 AND length({SQUEEZED.format('answered')}) >= 40")
 def p9(spark, d):
-    return read(spark, d, "conversations").where(F.length(T.squeeze(T.text("text"))) >= 40).select("conv_id", "turn")
+    return history_pairs(spark, d).where(valid_history(F.col("asked"), F.col("answered"))).select("conv_id", "turn")
 
 
 @query("p14_without_training", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
@@ -141,9 +188,19 @@ def w12(spark, d):
     return docs.join(sizes, F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "source", "stratum", "place")
 
 
-@query("a29_pool_report", f"SELECT source, {C} AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 15")
+def pool_report(pairs, asked: str, answered: str, stratum: str):
+    """Per stratum: rows, valid rows, rows left without exact repeats, and without those that differ in case, signs and blanks
+    only (A29). Hashes are counted, map-side first, so a text that comes without end is one row a task."""
+    both = F.concat_ws(" \u241e ", T.text(asked), T.text(answered))
+    ok = valid_history(F.col(asked), F.col(answered))
+    rows = pairs.select(stratum, ok.alias("ok"), F.when(ok, F.md5(T.squeeze(both))).alias("exact"), F.when(ok, F.md5(T.near_key(both))).alias("near"))
+    return rows.groupBy(stratum).agg(F.count("*").alias("n"), F.count_if("ok").alias("valid"), F.countDistinct("exact").alias("exact"), F.countDistinct("near").alias("near"))
+
+
+@query("a29_pool_report", f"""WITH h AS ({PAIRS}), v AS (SELECT conv_id % 7 AS stratum, length({SQUEEZED.format('asked')}) >= 25 AND length({SQUEEZED.format('answered')}) >= 40 AS ok, coalesce(asked, '') || ' \u241e ' || coalesce(answered, '') AS text FROM h)
+SELECT stratum, {C} AS n, CAST(count(*) FILTER (ok) AS BIGINT) AS valid, CAST(count(DISTINCT trim(regexp_replace(text, '\\s+', ' ', 'g'))) FILTER (ok) AS BIGINT) AS exact, CAST(count(DISTINCT {NEAR}) FILTER (ok) AS BIGINT) AS near FROM v GROUP BY stratum""")
 def a29(spark, d):
-    return read(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(15)
+    return pool_report(history_pairs(spark, d).withColumn("stratum", F.col("conv_id") % 7), "asked", "answered", "stratum")
 
 
 @query("u8_duplicates_survive", f"SELECT source, {C} AS n, CAST(count(DISTINCT text) AS BIGINT) AS n_texts FROM documents GROUP BY source")
