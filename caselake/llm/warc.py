@@ -20,6 +20,7 @@ that ends within a record raises an error.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, StringStartsWith, WriterCommitMessage
 
-from .common import shared_path
+from .common import qualified, shared_path
 
 MIN_REVISIT = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -45,8 +46,11 @@ BATCH_BYTES = 8 << 20
 
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path in it of a URI or an absolute path."""
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    """File system and path in it of a URI. A bare path would mean each machine's own disk, so it is refused: ``qualified``
+    tells on the driver which file system it is in."""
+    if not re.match("[A-Za-z][A-Za-z0-9+.-]*:", path):
+        raise ValueError(f"not a URI with a scheme: {path!r}")
+    return pafs.FileSystem.from_uri(path)
 
 
 # --- records ---------------------------------------------------------------------------------------------------
@@ -333,11 +337,12 @@ def archive_pages(pages: DataFrame, path: str) -> None:
         F.octet_length("body").cast("long").alias("payload_bytes"),
         F.when(F.col("refers_to").isNull(), F.col("body").cast("binary")).alias("payload"),
     )
-    records.write.format("warc").mode("append").save(path)
+    records.write.format("warc").mode("append").save(qualified(pages.sparkSession, path))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to; digests of responses are taken from the payloads read."""
+    path = qualified(spark, path)
     full = spark.read.format("warc").load(path).where("record_type = 'response'")
     headers = spark.read.format("warc").option("payload", "false").load(path).where("record_type = 'revisit'")
     number = lambda c: F.nullif(F.substring(c, len(PAGE_URN) + 1, 20), F.lit("")).cast("long").alias(c.replace("record", "page"))

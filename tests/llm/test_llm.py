@@ -254,10 +254,10 @@ def test_token_rollup_recovers(spark, tmp_path, monkeypatch):
                 if f"/{step}/" in path:
                     raise RuntimeError("lost")
 
-            def unmarked(self, batch, attempt, step=step):
+            def unmarked(self, commit, step=step):
                 if step == "mark":
                     raise RuntimeError("lost")
-                return mark(self, batch, attempt)
+                return mark(self, commit)
 
             monkeypatch.setattr(DataFrameWriter, "parquet", broken)
             monkeypatch.setattr(token_counts.TokenRollup, "_mark", unmarked)
@@ -271,6 +271,29 @@ def test_token_rollup_recovers(spark, tmp_path, monkeypatch):
             assert told_totals(store) == want and not store.commit("b2", changes_of(spark, second), "v")
 
 
+def test_token_rollup_of_two_writers(spark, tmp_path, monkeypatch):
+    """A commit whose base has moved is made again: the later of two gives the count."""
+    path = f"file://{tmp_path}/store"
+    store, other = token_counts.TokenRollup(spark, path), token_counts.TokenRollup(spark, path)
+    store.commit("b1", changes_of(spark, [(1, "insert", "a b c", "s"), (2, "insert", "x", "s")]), "v")
+    mark, seen = token_counts.TokenRollup._mark, []
+
+    def between(self, commit):
+        if self is store and not seen:
+            seen.append(commit["number"])
+            assert other.commit("b3", changes_of(spark, [(1, "revise", "a b c d e", "s")]), "v")
+        return mark(self, commit)
+
+    monkeypatch.setattr(token_counts.TokenRollup, "_mark", between)
+    assert store.commit("b2", changes_of(spark, [(1, "revise", "a b", "s"), (None, "insert", "q", "s")]), "v")
+    assert told_totals(store) == sorted(map(str, [("s", "v", 3, 4)])) and [c["batches"] for c in store.commits()] == [["b1"], ["b3"], ["b2"]]
+    monkeypatch.setattr(token_counts.TokenRollup, "_mark", mark)
+    assert store.compact() and len(store.commits()) == 1 and told_totals(store) == sorted(map(str, [("s", "v", 3, 4)]))
+    assert not store.commit("b3", changes_of(spark, [(1, "revise", "z", "s")]), "v")
+    assert store.commit("b5", changes_of(spark, [(1, "delete", None, None)]), "v") and told_totals(store) == sorted(map(str, [("s", "v", 2, 2)]))
+    assert store.ledger().where("doc_id = 1").count() == 2
+
+
 def test_token_counts_query(spark):
     from tokenizers import Tokenizer
 
@@ -440,7 +463,9 @@ def test_warc_repeated_ids_with_other_html(spark, tmp_path):
     a, b, c = "a" * 200, "b" * 200, "c" * 200
     rows = [(1, a), (2, c), (5, a), (5, b), (5, "short"), (5, c), (7, b), (7, a), (7, a), (None, a), (None, b)]
     warc.register(spark)
-    path = str(tmp_path / "w")
+    path = f"file://{tmp_path}/w"
+    with pytest.raises(ValueError):
+        warc.open_fs(str(tmp_path))
     warc.archive_pages(spark.createDataFrame([(i, f"http://u/{i}", h) for i, h in rows], "page_id long, url string, html string"), path)
     full = spark.read.format("warc").load(path).collect()
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
@@ -459,7 +484,7 @@ def test_warc_plain_and_foreign_files(spark, tmp_path):
     rec = lambda i: warc.build_record({"record_type": "response", "record_id": f"urn:page:{i}", "target_uri": None, "payload_digest": None, "refers_to": None, "payload_bytes": 3, "payload": b"abc"}, "2024-01-01T00:00:00Z")
     (tmp_path / "a.warc").write_bytes(rec(1) + rec(2))
     (tmp_path / "b.warc.gz").write_bytes(gzip.compress(rec(3)) + gzip.compress(rec(4)))
-    df = spark.read.format("warc").load(str(tmp_path))
+    df = spark.read.format("warc").load(f"file://{tmp_path}")
     assert sorted(r["record_id"] for r in df.collect()) == [f"urn:page:{i}" for i in (1, 2, 3, 4)]
     assert [r["record_id"] for r in df.where("record_id = 'urn:page:4'").collect()] == ["urn:page:4"]
 
