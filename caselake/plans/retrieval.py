@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.encoder import encode
 from ..operators import retrieval as R
 from ..operators import routing as G
 from ..registry import query, read
@@ -315,8 +316,28 @@ tops AS (SELECT item_id, best_id, nullif(regexp_replace(trim(regexp_extract(coal
 basis AS (SELECT s.item_id, string_agg(DISTINCT CAST(best_id AS VARCHAR), ',' ORDER BY CAST(best_id AS VARCHAR)) AS ids FROM sel s JOIN documents ON doc_id = best_id JOIN kw ON row_no % 20 = s.item_id % 20 WHERE s.k <= 5 AND len(kw.k) > 0 AND list_has_all([lower(x) FOR x IN regexp_extract_all(source || ' ' || substr(coalesce(text, ''), 1, 800), '[0-9a-zA-Zа-яёА-ЯЁ]+(?:[-_./][0-9a-zA-Zа-яёА-ЯЁ]+)*')], kw.k) GROUP BY s.item_id)"""
 
 
-def pipeline(spark, d) -> dict:
-    """Items through retrieval, role gate, grouping and decision (D1, D2); named steps."""
+#: The hashing encoder's vectors, and the ten nearest documents of each item.
+DENSE = f"""tk AS (SELECT 0 AS kind, item_id AS id, unnest({TOK}) AS t FROM benchmark UNION ALL SELECT 1, doc_id, unnest({TOK}) FROM documents),
+cp AS (SELECT kind, id, CAST('0x' || substr(m, 1 + 4 * j, 2) AS INT) % 64 AS dim, 1 - 2 * (CAST('0x' || substr(m, 3 + 4 * j, 2) AS INT) % 2) AS sign FROM (SELECT kind, id, md5(t) AS m, unnest([0, 1, 2, 3]) AS j FROM tk)),
+vs AS (SELECT kind, id, dim, sum(sign) AS v FROM cp GROUP BY ALL),
+vc AS (SELECT k.kind, k.id, list(CAST(coalesce(v, 0) AS DOUBLE) ORDER BY k.dim) AS v FROM (SELECT DISTINCT kind, id, unnest(range(64)) AS dim FROM tk) k LEFT JOIN vs ON vs.kind = k.kind AND vs.id = k.id AND vs.dim = k.dim GROUP BY k.kind, k.id),
+dn AS (SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM (SELECT q.id AS item_id, e.id AS doc_id, round(list_cosine_similarity(q.v, e.v), 6) AS score FROM vc q, vc e WHERE q.kind = 0 AND e.kind = 1)) WHERE k <= 10),
+"""
+
+
+def dense_hits(docs, items):
+    """item_id, doc_id, score: the nearest documents by the encoder's vectors."""
+    encoded = lambda df, key, name: df.where(F.size(T.tokens("text")) > 0).select(F.col(key).alias(name), encode("text").alias("embedding"))
+    return R.dense_top_k(encoded(docs, "doc_id", "doc_id"), encoded(items, "item_id", "item_id"), key="doc_id", query_key="item_id")
+
+
+@query("k1_encoded_top10", f"WITH {DENSE.rstrip().rstrip(',')} SELECT item_id, doc_id, score FROM dn")
+def k1_encoded(spark, d):
+    return dense_hits(read(spark, d, "documents"), read(spark, d, "benchmark")).select("item_id", "doc_id", "score")
+
+
+def pipeline(spark, d, dense: bool = False) -> dict:
+    """Items through retrieval, role gate, grouping and decision (D1, D2); named steps. dense: with hits by the encoder."""
     docs, items = read(spark, d, "documents"), read(spark, d, "benchmark")
     codes = items.where("item_id % 4 > 0").select("item_id", F.explode(T.identifiers("text", CODE)).alias("identifier"))
     exact = exact_scored(docs, codes, "item_id").where("doc_id % 2 = 0")
@@ -324,7 +345,11 @@ def pipeline(spark, d) -> dict:
     unknown = R.unknown_identifiers(named, exact.select(F.col("item_id").alias("query_id"), "identifier")).groupBy(F.col("query_id").alias("item_id")).agg(F.count("*").alias("n_unknown"))
     best = lambda hits, by, k, method: R.top(hits, by, k, "doc_id").select("item_id", "doc_id", F.lit(method).alias("method"), "score")
     strong = best(exact, ["item_id", "identifier"], R.TOP_EXACT, "exact")
-    hits = R.merge_hits(strong.unionByName(R.bm25_top(docs, items).select("item_id", "doc_id", F.lit("fts").alias("method"), "score")), query_key="item_id")
+    found = strong.unionByName(R.bm25_top(docs, items).select("item_id", "doc_id", F.lit("fts").alias("method"), "score"))
+    if dense:
+        near = dense_hits(docs, items).select("item_id", "doc_id", F.lit("dense").alias("method"), "score")
+        found, strong = found.unionByName(near), strong.unionByName(near)
+    hits = R.merge_hits(found, query_key="item_id")
     role = F.when(F.col("item_id") % 3 == 1, "en").when(F.col("item_id") % 3 == 2, "de")
     about = docs.select("doc_id", "source", F.coalesce("lang", F.lit("")).alias("version"), status().alias("status"), F.concat_ws("/", "source", (F.col("doc_id") % 2).cast("string")).alias("parent_id"))
     gated = hits.join(about, "doc_id").withColumn("role_status", R.role_gate(F.array("version"), F.col("version").isin("en", "de"), role))
@@ -342,7 +367,7 @@ def pipeline(spark, d) -> dict:
         q = q.join(part, "item_id", "left")
     decided = R.gate(q.na.fill(0).na.fill(False))
     allowed = groups.where("status = 'complete'").join(decided.where("decision = 'ANSWER_ALLOWED'").select("item_id"), "item_id", "left_semi")
-    return {"decided": decided, "selected": R.top(allowed, ["item_id"], R.TOP_EVIDENCE, "best_id"), "keywords": keywords, "docs": docs}
+    return {"decided": decided, "selected": R.top(allowed, ["item_id"], R.TOP_EVIDENCE, "best_id"), "keywords": keywords, "docs": docs, "hits": hits}
 
 
 @query("d1_gate_of_retrieval", PIPELINE + " SELECT item_id, decision, reasons FROM dec")
@@ -351,6 +376,20 @@ def d1(spark, d):
     return pipeline(spark, d)["decided"].select("item_id", "decision", "reasons")
 
 
+HYBRID = PIPELINE.replace("xs AS (", DENSE + "xs AS (", 1).replace("FROM r WHERE place <= 10),", "FROM r WHERE place <= 10 UNION ALL SELECT item_id, doc_id, 2, score FROM dn),", 1).replace("b.item_id IN (SELECT item_id FROM xt) AS strong", "b.item_id IN (SELECT item_id FROM xt UNION ALL SELECT item_id FROM dn) AS strong", 1)
+
+
+@query("u2_hybrid_hits", HYBRID + " SELECT item_id, doc_id, ['exact', 'fts', 'dense'][m + 1] AS method, round(score, 6) AS score FROM c")
+def u2_hybrid(spark, d):
+    """Exact, lexical and dense hits, one row a document."""
+    return pipeline(spark, d, dense=True)["hits"].select("item_id", "doc_id", "method", F.round("score", 6).alias("score"))
+
+
+@query("d1_hybrid_gate", HYBRID + " SELECT item_id, decision, reasons FROM dec")
+def d1_hybrid(spark, d):
+    return pipeline(spark, d, dense=True)["decided"].select("item_id", "decision", "reasons")
+
+
 @query("k5_top_recipient", PIPELINE + " SELECT item_id, best_id, recipient FROM tops")
 def k5(spark, d):
     """The recipient that the best selected evidence names, and no other."""

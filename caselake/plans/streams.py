@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cases as C
 from ..registry import query, read
-from ..sources import io
+from ..sources import io, publish
 from ..streaming import cases as S
 from ..streaming import stateful as P
 
@@ -264,6 +264,52 @@ def s1(spark, d):
     return rows.select("id", "source_key", "audience", F.md5("content").alias("content_md5"))
 
 
+LINE = """CASE WHEN doc_id % 13 = 0 THEN '{"id": "' || doc_id || '", "content": ' WHEN doc_id % 13 = 1 THEN '{"content": "x"}' WHEN doc_id % 13 = 2 THEN '{"id": "' || doc_id || '"}' WHEN doc_id % 13 = 3 THEN '  ' ELSE '{"id": "' || doc_id || '", "source_key": "' || source || '", "content": "text of ' || doc_id || '"}' END"""
+REASON = "CASE doc_id % 13 WHEN 0 THEN 'not_json' WHEN 1 THEN 'no_id' WHEN 2 THEN 'no_content' ELSE '' END"
+
+
+@query("s1_rejects", f"WITH x AS (SELECT {LINE} AS line, {REASON} AS reason FROM documents WHERE doc_id % 13 <> 3) SELECT reason, CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS observed, md5(string_agg(line, chr(10) ORDER BY line)) AS h FROM x WHERE reason <> '' GROUP BY reason UNION ALL SELECT '', CAST(count(*) AS BIGINT), CAST(count(*) AS BIGINT), md5(string_agg(regexp_extract(line, 'text of [0-9]+'), chr(10) ORDER BY regexp_extract(line, 'text of [0-9]+'))) FROM x WHERE reason = ''")
+def s1_rejects(spark, d):
+    """Lines of which some are broken: rejects with their reason, and counts that were observed as the lines were read."""
+    path = shared(spark, "kb-lines")
+    read(spark, d, "documents").select(F.expr(LINE).alias("value")).write.text(path)
+    rows, bad, seen = publish.split_kb_raw(spark, path, path + "-split")
+    told = F.md5(F.array_join(F.array_sort(F.collect_list("line")), "\n")).alias("h")  # of a test's lines
+    observed = F.create_map(*[F.lit(x) for kv in (seen | {"": seen["lines"] - sum(seen[k] for k in ("not_json", "no_id", "no_content"))}).items() for x in kv])
+    each = bad.unionByName(rows.select(F.col("content").alias("line"), F.lit("").alias("reason")))
+    return each.groupBy("reason").agg(F.count("*").alias("n"), told).select("reason", "n", observed[F.col("reason")].cast("long").alias("observed"), "h")
+
+
+@query("s12_file_hashes", "SELECT source AS name, sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY doc_id) || chr(10)) AS sha256, CAST(sum(length(CAST(doc_id AS VARCHAR)) + 1) AS BIGINT) AS size FROM documents GROUP BY source")
+def s12_files(spark, d):
+    """Files of the ids of each source, hashed in blocks."""
+    path = shared(spark, "files")
+    ids = read(spark, d, "documents").select("source", "doc_id").repartition("source").sortWithinPartitions("source", "doc_id")
+    ids.select("source", F.col("doc_id").cast("string").alias("value")).write.partitionBy("source").text(path)
+    found = publish.hash_files(spark, path).where("path like '%source=%'")
+    return found.select(F.regexp_extract("path", "source=([^/]*)/", 1).alias("name"), "sha256", "size")
+
+
+PUBLISHED = {"documents": "doc_id", "labels": "doc_id", "pages": "page_id", "benchmark": "item_id", "conversations": "conv_id"}
+
+
+@query("s10_publication", " UNION ALL ".join(f"SELECT '{t}' AS name, CAST(count(*) AS BIGINT) AS n, CAST(sum({k}) AS BIGINT) AS ids, true AS verified, true AS stable FROM {t}" for t, k in PUBLISHED.items()))
+def s10_publication(spark, d):
+    """Five tables published twice; an attempt that breaks off before its manifest stays invisible, and the same tables have the
+    same snapshot id."""
+    held = publish.Publication(spark, shared(spark, "publication"))
+    tables, order = {t: read(spark, d, t) for t in PUBLISHED}, {t: [k] for t, k in PUBLISHED.items()}
+    first = held.publish(tables, order, {"schema": "1"})
+    tables["labels"].limit(1).write.parquet(f"{held.folder}/data/broken/labels")
+    stable = held.publish({t: df.repartition(3) for t, df in tables.items()}, order, {"schema": "1"}) == first and held.manifest()["number"] == 1
+    verdicts = held.verify().groupBy(F.split_part("name", F.lit("/"), F.lit(1)).alias("name")).agg(F.bool_and(F.col("verdict") == "pass").alias("verified"))
+    counts = None
+    for t, k in PUBLISHED.items():
+        one = held.read(t, f"{k} long").agg(F.lit(t).alias("name"), F.count("*").alias("n"), F.sum(k).alias("ids"))
+        counts = one if counts is None else counts.unionByName(one)
+    return counts.join(verdicts, "name").withColumn("stable", F.lit(stable))
+
+
 @query("s10_snapshot", "SELECT lang, CAST(count(*) AS BIGINT) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents GROUP BY lang")
 def s10(spark, d):
     path = shared(spark, "snapshot")

@@ -370,12 +370,31 @@ def test_dense_blocks(spark, monkeypatch):
     assert not got
 
 
-def test_bm25_batch_equals_joins(spark, monkeypatch):
+def test_bm25_top_equals_joins(spark, monkeypatch):
+    """Whatever blocks queries and pairs are cut in, and for ids of any type; queries that match nothing have no rows."""
     docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 17}" for k in range(i % 30))) for i in range(200)] + [(900, None), (901, "the the the w1"), (None, "w1 w2")], "doc_id long, text string")
     items = spark.createDataFrame([(i, f"w{i} the W{i + 1} w{i} zzz") for i in range(20)] + [(50, None), (51, "nothing here"), (None, "w1")], "item_id long, text string")
-    told = lambda: sorted((r["item_id"], r["place"], r["doc_id"], round(r["score"], 6)) for r in R.bm25_top(docs, items, 7).where("doc_id is not null and item_id is not null").collect())
-    batch = told()
-    monkeypatch.setattr(R, "BATCH_TERMS", 0)
-    joined = sorted((r["item_id"], r["place"], r["doc_id"], round(r["score"], 6)) for r in R.top(R.bm25(docs.where("doc_id is not null"), items.where("item_id is not null")), ["item_id"], 7, "doc_id").collect())
-    assert batch == joined and len(batch) > 100
-    assert R.bm25_top(docs.where("false"), items).count() == 0
+    rounded = lambda df: sorted((str(r["item_id"]), r["place"], str(r["doc_id"]), round(r["score"], 6)) for r in df.collect())
+    joined = rounded(R.top(R.bm25(docs.where("doc_id is not null"), items.where("item_id is not null")), ["item_id"], 7, "doc_id"))
+    assert rounded(R.bm25_top(docs, items, 7)) == joined and len(joined) > 100
+    monkeypatch.setattr(R, "PAIRS", 40)
+    assert rounded(R.bm25_top(docs.repartition(3), items, 7, block_terms=15)) == joined
+    words = lambda df, c: df.withColumn(c, F.concat(F.lit("k"), F.lpad(F.col(c).cast("string"), 4, "0")))
+    named = R.bm25_top(words(docs, "doc_id"), words(items, "item_id"), 7).select(F.substring("item_id", 2, 9).cast("int").alias("item_id"), F.substring("doc_id", 2, 9).cast("int").alias("doc_id"), "place", "score")
+    assert rounded(named) == joined
+    assert R.bm25_top(docs.where("false"), items).count() == 0 and R.bm25_top(docs, items.where("item_id = 51")).count() == 0
+
+
+def test_encoder_is_made_once_a_task(spark):
+    from caselake.functions.encoder import HashingEncoder, encode
+
+    made = spark.sparkContext.accumulator(0)
+
+    def factory():
+        made.add(1)
+        return HashingEncoder(8)
+
+    rows = [(i, x) for i, x in enumerate(["a b", None, "", "A  b", "b-a"] * 200)]
+    got = spark.createDataFrame(rows, "i long, x string").coalesce(1).select("i", encode("x", factory, 7).alias("v")).orderBy("i").collect()
+    assert made.value == 1 and len(got) == 1000
+    assert got[0]["v"] == got[3]["v"] != got[4]["v"] and got[1]["v"] == got[2]["v"] == [0.0] * 8
