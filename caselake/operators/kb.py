@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,14 +89,37 @@ def rebuilt_title(title: Column | str, content: Column | str, source_name: Colum
     return F.when(reason.isNull(), plain).otherwise(F.coalesce(first, kept)), F.when(reason.isNull(), "").when(first.isNull(), F.concat(reason, F.lit("_no_replacement_in_content"))).otherwise(reason)
 
 
-def numbered(rows: DataFrame, by: list[str], order: list[str], name: str = "place", buckets: int = 256) -> DataFrame:
+#: Rows of a bucket of numbered, and how many buckets there are at most.
+BUCKET_ROWS, MOST_BUCKETS = 100_000, 4096
+
+
+def bucket_edges(rows: DataFrame, column: str, bucket_rows: int = BUCKET_ROWS) -> list[float]:
+    """2**k - 1 quantiles of a numeric column that cut it in about equal buckets of bucket_rows; k from the number of rows."""
+    n = rows.count()
+    buckets = 16
+    while buckets < min(MOST_BUCKETS, n / bucket_rows):
+        buckets *= 2
+    shares = [i / buckets for i in range(1, buckets)]
+    found = rows.agg(F.percentile_approx(F.col(column).cast("double"), shares, 10 * buckets).alias("e")).first()["e"]
+    return found or [0.0] * (buckets - 1)
+
+
+def bucket_of(value: Column, edges: list[float]) -> Column:
+    """How many edges are no larger than the value, by halving; -1 for null."""
+    steps = [1 << i for i in range(len(edges).bit_length())][::-1]
+    held = F.array(*[F.lit(float(e)) for e in edges])
+    found = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: at + F.when(F.get(held, at + s - 1) <= value, s).otherwise(0))
+    return F.when(value.isNull(), F.lit(-1)).otherwise(found)
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[str], name: str = "place", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """rows with their place (from 1) within by, in order; the first order column is a number.
 
-    No task sorts a whole group: the range of that column is cut in buckets, rows are numbered within (by, bucket) and the
-    counts of earlier buckets, a few rows for each group, are added. Null keys are groups, null order values come first."""
-    ends = rows.agg(F.min(order[0]).alias("_lo"), F.max(order[0]).alias("_hi"))  # one row
-    at = F.coalesce(F.floor((F.col(order[0]) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * buckets), F.lit(-1)).alias("_bucket")
-    placed = rows.join(F.broadcast(ends), how="cross").select(*rows.columns, F.struct(F.lit(0), *by).alias("_by"), at)
+    No task sorts a whole group: quantiles of that column cut its range in buckets of about bucket_rows, rows are numbered within
+    (by, bucket) and the counts of earlier buckets, a few rows for each group, are added. Null keys are groups, null order values come
+    first."""
+    edges = bucket_edges(rows, order[0], bucket_rows)
+    placed = rows.select(*rows.columns, F.struct(F.lit(0), *by).alias("_by"), bucket_of(F.col(order[0]).cast("double"), edges).alias("_bucket"))
     w = Window.partitionBy("_by").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     before = placed.groupBy("_by", "_bucket").agg(F.count("*").alias("_n")).select("_by", "_bucket", (F.sum("_n").over(w) - F.col("_n")).alias("_before"))
     within = placed.withColumn("_place", F.row_number().over(Window.partitionBy("_by", "_bucket").orderBy(*order)))
@@ -172,32 +197,65 @@ def carry_forward(rows: DataFrame, column: str, by: list[str], order: str) -> Da
     return rows.withColumn(column, F.last(column, ignorenulls=True).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+CHUNK = pa.schema([("chunk_no", pa.int64()), ("page_from", pa.int64()), ("page_to", pa.int64()), ("n_tokens", pa.int64()), ("text", pa.string())])
+
+
+class _Chunker:
+    """The chunk that is open in a section: at most ``high`` tokens and the pages of its lines."""
+
+    def __init__(self, low: int, high: int, overlap: int) -> None:
+        self.low, self.high, self.overlap = low, high, overlap
+        self.no, self.held, self.first, self.last = 0, [], None, None
+
+    def close(self, carry: bool) -> Iterator[tuple]:
+        if self.held:
+            yield self.no, self.first, self.last, len(self.held), " ".join(self.held)
+            self.no += 1
+            self.held, self.first = (self.held[-self.overlap :], self.last) if carry else ([], None)
+
+    def line(self, page: int, line: str | None) -> Iterator[tuple]:
+        words = (line or "").split()
+        while words:
+            if len(self.held) + len(words) > self.high and len(self.held) >= self.low:
+                yield from self.close(True)
+            room = self.high - len(self.held)
+            self.held += words[:room]
+            self.first = page if self.first is None else min(self.first, page)
+            self.last = page
+            words = words[room:]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], low: int, high: int, overlap: int) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of section, page and line: a batch in, the chunks that it closes out."""
+    section, open_chunk, kind = None, None, None
+    for batch in batches:
+        kind, out, owners = batch.column("section").type, [], []
+        for s, page, line in zip(batch.column("section").to_pylist(), batch.column("page").to_pylist(), batch.column("line").to_pylist(), strict=True):
+            if open_chunk is None or s != section:
+                closed = list(open_chunk.close(False)) if open_chunk else []
+                out += closed
+                owners += [section] * len(closed)
+                section, open_chunk = s, _Chunker(low, high, overlap)
+            closed = list(open_chunk.line(page, line))
+            out += closed
+            owners += [s] * len(closed)
+        yield _chunk_batch(owners, out, kind)
+    if open_chunk:
+        closed = list(open_chunk.close(False))
+        yield _chunk_batch([section] * len(closed), closed, kind)
+
+
+def _chunk_batch(owners: list, rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(CHUNK)
+    return pa.RecordBatch.from_arrays([pa.array(owners, kind), *[pa.array(c, f.type) for c, f in zip(columns, CHUNK, strict=True)]], ["section", *CHUNK.names])
+
+
 def chunk_sections(sections: DataFrame, low: int = 220, high: int = 400, overlap: int = 40) -> DataFrame:
     """sections (section, page, line_no, line) -> section, chunk_no, page_from, page_to, n_tokens, text.
 
     Greedy over the lines of one section: a chunk closes where the next line would take it beyond ``high`` and it
-    has ``low`` tokens; its last ``overlap`` tokens open the next. Groups are sections, never whole corpora."""
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, held, pages = [], [], []
-
-        def close(last: bool) -> None:
-            nonlocal held, pages
-            if held:
-                out.append((pdf["section"].iloc[0], len(out), min(pages), max(pages), len(held), " ".join(held)))
-                held, pages = ([], []) if last else (held[-overlap:], pages[-1:])
-
-        for line, page in pdf.sort_values(["page", "line_no"])[["line", "page"]].itertuples(index=False):
-            words = (line or "").split()
-            while words:
-                if len(held) + len(words) > high and len(held) >= low:
-                    close(False)
-                room = high - len(held)
-                held += words[:room]
-                pages.append(page)
-                words = words[room:]
-        close(True)
-        return pd.DataFrame(out, columns=["section", "chunk_no", "page_from", "page_to", "n_tokens", "text"])
-
+    has ``low`` tokens; its last ``overlap`` tokens open the next. Spark sorts the lines, which can spill; a task holds the open
+    chunk and a batch, never a whole section."""
+    rows = sections.select("section", F.col("page").cast("long").alias("page"), "line_no", "line").repartition("section").sortWithinPartitions("section", "page", "line_no").drop("line_no")
     kind = dict(sections.dtypes)["section"]
-    return sections.groupBy("section").applyInPandas(cut, f"section {kind}, chunk_no long, page_from long, page_to long, n_tokens long, text string")
+    return rows.mapInArrow(lambda it: _chunks(it, low, high, overlap), f"section {kind}, chunk_no long, page_from long, page_to long, n_tokens long, text string")

@@ -71,13 +71,12 @@ def a31(spark, d):
     return E.gold_summary(gold.select(F.col("doc_id").alias("case_id"), F.col("lang").alias("role"), F.col("source").alias("group_id"), (F.col("quality") == 1).alias("answerable")))
 
 
-@query("j21_gold_hits", BM25 + ", g AS (SELECT item_id, doc_id FROM (SELECT item_id FROM benchmark), (SELECT doc_id FROM documents) WHERE doc_id % 20 = item_id % 20), h AS (SELECT item_id, doc_id, place <= 3 AS selected FROM r WHERE place <= 10) SELECT g.item_id AS case_id, CAST(count(*) AS BIGINT) AS n_gold, count(h.doc_id) > 0 AS in_candidates, coalesce(bool_or(selected), false) AS selected FROM g LEFT JOIN h USING (item_id, doc_id) GROUP BY g.item_id")
+@query("j21_gold_hits", BM25 + ", g AS (SELECT DISTINCT doc_id % 20 AS item_id, doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL), h AS (SELECT item_id, doc_id, place <= 3 AS selected FROM r WHERE place <= 10) SELECT b.item_id AS case_id, CAST(count(g.doc_id) AS BIGINT) AS n_gold, count(h.doc_id) > 0 AS in_candidates, coalesce(bool_or(selected), false) AS selected FROM benchmark b LEFT JOIN g ON g.item_id = b.item_id LEFT JOIN h ON h.item_id = b.item_id AND h.doc_id = g.doc_id GROUP BY b.item_id")
 def j21(spark, d):
-    """Gold documents of an item against its ten candidates, of which three are selected."""
+    """Labelled documents as gold of the first twenty items, against ten candidates of which three are selected."""
     hits = best(spark, d).select(F.col("item_id").alias("case_id"), F.col("doc_id").alias("source_id"), (F.col("place") <= 3).alias("selected"))
-    ids = read(spark, d, "documents").groupBy((F.col("doc_id") % 20).alias("k")).agg(F.collect_set("doc_id").alias("source_ids"))
-    gold = read(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), (F.col("item_id") % 20).alias("k")).join(ids, "k")
-    return E.gold_hits(gold, hits)
+    gold = read(spark, d, "labels").where("quality = 1").select((F.col("doc_id") % 20).alias("case_id"), F.col("doc_id").alias("source_id"))
+    return E.gold_hits(read(spark, d, "benchmark").select(F.col("item_id").alias("case_id")), gold, hits)
 
 
 @query("j23_gold_missing", "SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")

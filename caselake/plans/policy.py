@@ -114,3 +114,43 @@ def d6(spark, d):
 @query("d9_chat_mode", "SELECT conv_id, turn, CASE WHEN regexp_matches(coalesce(text,''), 'stupid') THEN 'policy' WHEN turn % 4 = 3 THEN 'handoff' WHEN role = 'system' THEN 'operator' ELSE 'ai' END AS mode FROM conversations")
 def d9(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", cases.chat_mode(F.coalesce("text", F.lit("")).contains("stupid"), F.col("turn") % 4 == 3, F.col("role") == "system").alias("mode"))
+
+
+#: A ruleset with stems in Cyrillic, and texts with the rules that they break, as a table for both sides.
+STEMS = {
+    "ruleset_version": "stems.1",
+    "normalization": {"fold_yo": True, "max_char_run": 3, "zero_width": ["\u200b", "\u00ad"], "homoglyph_map": {"a": "а", "c": "с", "e": "е", "o": "о", "p": "р", "y": "у", "k": "к", "b": "в", "x": "х"}, "digit_map": {"0": "о", "3": "з", "4": "ч", "6": "б"}, "word_merge": {"max_words": 5, "max_word_len": 3, "require_short_word_len": 2}},
+    "technical_spans": [{"id": "URL", "pattern": "https?://\\S+"}],
+    "profanity_rules": [
+        {"rule_id": "stem", "kind": "stem", "atoms": ["д", "у", "р", "ао", "к"], "prefixes": ["", "по", "не"], "max_suffix": 3, "max_masked": 1, "exception_token_prefixes": ["дуракав"]},
+        {"rule_id": "exact", "kind": "exact", "script": "cyrillic", "max_masked": 1, "tokens": ["болван", "чурбан"]},
+    ],
+    "human_request": {},
+}
+SAID = {
+    "ты дурак": "stem", "ДУРАК!": "stem", "д.у р а к": "stem", "дypaк": "stem", "ду*ак": "stem", "д**ак": "", "дууурак": "stem", "подураки": "stem", "дуракаваляние": "", "мудурак": "", "дур0к": "stem", "duрак": "", "ду\u200bрак": "stem", "https://дурак.ru": "",
+    "болван": "exact", "бо-л-ван": "exact", "б*лван": "exact", "б*лв*н": "", "болвана": "", "дурак и болван": "exact,stem", "добрый день": "",
+}
+
+
+def said(spark, d):
+    """Each message with one of the texts in place of its own."""
+    text = F.get(F.array(*[F.lit(x) for x in SAID]), ((F.col("conv_id") * 5 + F.col("turn")) % len(SAID)).cast("int"))
+    return read(spark, d, "conversations").select("conv_id", "turn", text.alias("text"))
+
+
+@query("f17_stems", "SELECT conv_id, turn, rules FROM conversations JOIN (VALUES " + ", ".join(f"({i}, '{r}')" for i, r in enumerate(SAID.values())) + f") v(i, rules) ON i = (conv_id * 5 + turn) % {len(SAID)}")
+def f17_stems(spark, d):
+    """Stems, masks, gaps, look-alike letters and digits, joined words, exceptions and links."""
+    return policy.policy_labels(said(spark, d), STEMS, ["conv_id", "turn"]).select("conv_id", "turn", F.array_join(F.array_sort("profanity"), ",").alias("rules"))
+
+
+#: Readings of words that mix letters, digits and signs; of short words also joined.
+READ = {"п3р": "п*р,пзр", "о д": "д,о,од", "he.llo": "he*llo", "дypaк": "дурак", "": ""}
+
+
+@query("f16_readings", "SELECT conv_id, turn, readings FROM conversations JOIN (VALUES " + ", ".join(f"({i}, '{r}')" for i, r in enumerate(READ.values())) + f") v(i, readings) ON i = (conv_id + turn) % {len(READ)} WHERE readings <> ''")
+def f16_readings(spark, d):
+    text = F.get(F.array(*[F.lit(x) for x in READ]), ((F.col("conv_id") + F.col("turn")) % len(READ)).cast("int"))
+    rows = policy.match_candidates(read(spark, d, "conversations").select("conv_id", "turn", text.alias("text")), STEMS, ["conv_id", "turn"])
+    return rows.groupBy("conv_id", "turn").agg(F.array_join(F.array_sort(F.collect_set("reading")), ",").alias("readings"))

@@ -398,3 +398,41 @@ def test_encoder_is_made_once_a_task(spark):
     got = spark.createDataFrame(rows, "i long, x string").coalesce(1).select("i", encode("x", factory, 7).alias("v")).orderBy("i").collect()
     assert made.value == 1 and len(got) == 1000
     assert got[0]["v"] == got[3]["v"] != got[4]["v"] and got[1]["v"] == got[2]["v"] == [0.0] * 8
+
+
+def test_numbered_by_quantiles(spark):
+    """A third of the rows share one value and the rest are spread very unevenly: places are right, and buckets of unequal values
+    are about even."""
+    rows = [(i, "g" if i % 5 else None, 7 if i % 3 == 0 else None if i % 97 == 1 else 2 ** (i % 40)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "i long, g string, x long")
+    key = lambda r: (r[2] is not None, r[2] or 0, r[0])
+    want = {r[0]: n for g in ("g", None) for n, r in enumerate(sorted((r for r in rows if r[1] == g), key=key), 1)}
+    assert {r["i"]: r["place"] for r in kb.numbered(df, ["g"], ["x", "i"], bucket_rows=100).collect()} == want
+    wide = df.where("x <> 7")
+    edges = kb.bucket_edges(wide, "x", 100)
+    counts = [r["n"] for r in wide.groupBy(kb.bucket_of(F.col("x").cast("double"), edges).alias("b")).agg(F.count("*").alias("n")).collect()]
+    assert len(edges) == 31 and max(counts) <= 5 * sum(counts) / len(counts)
+    assert kb.numbered(df.where("false"), ["g"], ["x", "i"]).count() == 0
+
+
+def test_chunks_of_interleaved_sections(spark):
+    """Against the greedy rule over whole sections, with lines of any length, null lines and sections in one partition."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(s, n // 9, n, None if n % 11 == 5 else " ".join(f"t{s}.{n}.{k}" for k in range(rng.choice([0, 3, 17, 60])))) for s in (1, 2, None, 3) for n in range(40 if s != 3 else 0)]
+    want = []
+    for s in (1, 2, None):
+        held, pages, no = [], [], 0
+        for _, page, _, line in [r for r in rows if r[0] == s]:
+            words = (line or "").split()
+            while words:
+                if len(held) + len(words) > 50 and len(held) >= 20:
+                    want.append((s, no, min(pages), max(pages), len(held), " ".join(held)))
+                    held, pages, no = held[-7:], pages[-1:], no + 1
+                room = 50 - len(held)
+                held, pages, words = held + words[:room], [*pages, page], words[room:]
+        want.append((s, no, min(pages), max(pages), len(held), " ".join(held)))
+    rng.shuffle(rows)
+    got = kb.chunk_sections(spark.createDataFrame(rows, "section long, page int, line_no int, line string").coalesce(1), 20, 50, 7).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
