@@ -7,13 +7,18 @@ document is removed. Windows are taken as WORDS symbols of eight bytes; common p
    those of the smallest id are removed whole.
 2. A window that occurs twice has the same smallest hash of its GRAM-byte pieces both times. Runs send the set of these
    hashes, sorted, as differences; what only one text has comes back as 0. Such windows occur once, and aren't sorted.
-3. Each run sorts the windows that are left, a symbol at a time within ties, so that prefixes are known; equal windows
-   become one entry with its smallest document. Entries are cut into ranges and sent front-coded: the number of symbols
-   shared with the entry before, then the others.
-4. A range's runs are merged by loser trees that hold each loser's common prefix with the winner it lost to. Of two with
+3. Neighbouring windows with one such hash make a unit, the string that they cover, so that copied passages are cut in equal units
+   wherever they stand. Units are sorted and merged first (4, 5): one that a smaller document has is lost with all its windows.
+   Units that are left and share their hash with another one left may still share single windows: these are sorted and merged in the
+   same way. A window's smallest document always holds it in a unit that is left.
+4. Each run sorts its strings, a symbol at a time within ties, so that prefixes are known; equal ones become one entry with its
+   smallest document, the others are covered. Entries are cut into ranges and sent front-coded: the number of symbols shared with the
+   entry before, then the others.
+5. A range's runs are merged by loser trees that hold each loser's common prefix with the winner it lost to. Of two with
    different prefixes the longer wins unread; equal ones are compared behind the prefix. One tree for each of many lanes
-   (sub-ranges of the range) plays in step. The merge tells equal neighbours and so each window's smallest document.
-5. Entries with a smaller document elsewhere go back to their run, which marks the bytes that they cover.
+   (sub-ranges of the range) plays in step. The merge tells equal neighbours and so each string's smallest document, and a bit for each
+   entry goes back to its run.
+6. Runs mark the bytes that lost units, lost windows and covered places take.
 
 Texts are written once, bucketed by run, and are not shuffled. Runs hold RUN_BYTES or a single longer text.
 
@@ -35,31 +40,36 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_table, mix64, shared_path, table
 
 WINDOW, GRAM, WORDS = 50, 26, 7
 SPAN = WINDOW - GRAM + 1
-RUN_BYTES = 4 << 20
+#: Symbols of a unit: those of its bytes (of SPAN windows at most), and its size.
+UNIT_WORDS = -(-(WINDOW + SPAN - 1) // 8) + 1
+RUN_BYTES = 8 << 20
 #: Positions whose hashes are made at once.
 BLOCK = 1 << 20
 #: Bits by which the hashes of step 2 exceed the logarithm of their number, and hashes of a bucket.
 SPARE_BITS, BUCKET_HASHES = 8, 1_000_000
 #: Entries of a range, ranges at least and at most, windows of a run that the splitters are drawn from, and how many of all.
-RANGE_ENTRIES, RANGES, MOST_RANGES, SAMPLE, MOST_SAMPLES = 500_000, 32, 1 << 17, 64, 500_000
+RANGE_ENTRIES, RANGES, MOST_RANGES, SAMPLE, MOST_SAMPLES = 1_000_000, 12, 1 << 17, 64, 500_000
 #: Runs that one tree merges, entries of a lane.
 FAN, LANE = 512, 512
-LAST = np.uint64(0xFFFF000000000000)
+#: Compression of what is large: texts of runs and symbols of entries.
+LEVEL = 5
+#: Of a symbol, the first 0 to 8 bytes.
+MASKS = np.array([(0xFFFFFFFFFFFFFFFF << (8 * (8 - i))) & 0xFFFFFFFFFFFFFFFF for i in range(9)], dtype=np.uint64)
 NO_ID = np.iinfo(np.int64).max
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xA0761D6478BD642F], dtype=np.uint64)
 
 RUNS = "run string, ids array<long>, texts array<int>, sizes array<int>, firsts array<long>, hashes array<binary>, sample array<binary>, n_bytes long, data binary"
 
 
-def squeeze(data) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(memoryview(np.ascontiguousarray(data)).cast("B") if isinstance(data, np.ndarray) else data)
+def squeeze(data, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(memoryview(np.ascontiguousarray(data)).cast("B") if isinstance(data, np.ndarray) else data)
 
 
 def unsqueeze(data: bytes, kind) -> np.ndarray:
@@ -80,7 +90,7 @@ def _packed(rows: list[tuple[int | None, bytes]]) -> pa.RecordBatch:
     data = b"".join(place)
     sizes = [len(x) for x in place]
     sample = [x[p : p + WINDOW] for x, p in _spread(place, max(1, len(data) // SAMPLE))]
-    row = [[uuid.uuid4().hex], [[i for i, _ in rows]], [texts], [sizes], [firsts], [[xxhash.xxh3_128_digest(x) for x in place]], [sample], [len(data)], [squeeze(data)]]
+    row = [[uuid.uuid4().hex], [[i for i, _ in rows]], [texts], [sizes], [firsts], [[xxhash.xxh3_128_digest(x) for x in place]], [sample], [len(data)], [squeeze(data, LEVEL)]]
     kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], [c.split()[0] for c in RUNS.split(", ")])
 
@@ -117,10 +127,31 @@ class Texts:
         self.starts = np.r_[0, np.cumsum(np.array(sizes, dtype=np.int64))]
         self._words = np.ndarray((len(self.raw) - 7,), dtype=">u8", buffer=self.raw, strides=(1,))
 
-    def word(self, at: np.ndarray, k: int) -> np.ndarray:
-        """Symbol k of the windows at those positions."""
-        w = self._words[at + 8 * k].astype(np.uint64)
-        return w & LAST if k == WORDS - 1 else w
+    def word(self, at: np.ndarray, k: int, sizes: np.ndarray | None = None) -> np.ndarray:
+        """Symbol k of the strings at those positions, windows if sizes are not given; the last symbol of others is their size."""
+        if sizes is not None and k == UNIT_WORDS - 1:
+            return sizes.astype(np.uint64)
+        left = WINDOW - 8 * k if sizes is None else sizes - 8 * k
+        return self._words[at + 8 * k].astype(np.uint64) & MASKS[np.clip(left, 0, 8)]
+
+    def gram_hash(self, at: np.ndarray) -> np.ndarray:
+        w = [self._words[at + k].astype(np.uint64) for k in (0, 8, 16, 18)]
+        return mix64(w[0] * _MIX[0] + w[1] * _MIX[1] + w[2] * _MIX[2] + w[3] * _MIX[3])
+
+    def codes(self, at: np.ndarray, bits: int) -> np.ndarray:
+        """The least hash of the window at each position."""
+        least = self.gram_hash(at)
+        for k in range(1, SPAN):
+            least = np.minimum(least, self.gram_hash(at + k))
+        return least >> np.uint64(64 - bits)
+
+    def units(self, changes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions and sizes of the units that begin at changes, long ones cut after SPAN windows, and which change each is of."""
+        ends = np.minimum(np.r_[changes[1:], self.size], self.starts[self.text_of(changes) + 1] - WINDOW + 1) if len(changes) else changes
+        parts = -(-(ends - changes) // SPAN)
+        of = np.repeat(np.arange(len(changes)), parts)
+        at = changes[of] + SPAN * (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts))
+        return at, np.minimum(ends[of] - at, SPAN) + WINDOW - 1, of
 
     def windows(self) -> np.ndarray:
         """Whether a window starts at each position."""
@@ -170,24 +201,36 @@ HASHES = "run string, bucket int, n int, hashes binary, several binary"
 HASH_FIELDS = pa.schema([("run", pa.string()), ("bucket", pa.int32()), ("n", pa.int32()), ("hashes", pa.binary()), ("several", pa.binary())])
 
 
+def _hash_rows(run: str, codes: np.ndarray, of: np.ndarray, bits: int, bucket_bits: int) -> Iterator[pa.RecordBatch]:
+    """The distinct codes of a run by bucket, and which of them more than one owner has."""
+    order = np.argsort(codes, kind="stable")
+    codes, of = codes[order], of[order]
+    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
+    if not len(first):
+        return
+    several = np.minimum.reduceat(of, first) != np.maximum.reduceat(of, first)
+    codes = codes[first]
+    low = np.uint64(bits - bucket_bits)
+    bucket = (codes >> low).astype(np.int64)
+    cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(codes)]
+    for a, b in itertools.pairwise(cuts.tolist()):
+        values = codes[a:b] & np.uint64((1 << int(low)) - 1)
+        yield pa.RecordBatch.from_pylist([{"run": run, "bucket": int(bucket[a]), "n": b - a, "hashes": _differences(values), "several": np.packbits(several[a:b]).tobytes()}], HASH_FIELDS)
+
+
 def _send_hashes(batches: Iterator[pa.RecordBatch], bits: int, bucket_bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for run, data, sizes in _rows(batch, "run", "data", "sizes"):
             texts = Texts(data, sizes)
             at, codes = texts.least_hashes(bits)
-            order = np.argsort(codes, kind="stable")
-            codes, of = codes[order], texts.text_of(at[order])
-            first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
-            if not len(first):
-                continue
-            several = np.minimum.reduceat(of, first) != np.maximum.reduceat(of, first)
-            codes = codes[first]
-            low = np.uint64(bits - bucket_bits)
-            bucket = (codes >> low).astype(np.int64)
-            cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(codes)]
-            for a, b in itertools.pairwise(cuts.tolist()):
-                values = codes[a:b] & np.uint64((1 << int(low)) - 1)
-                yield pa.RecordBatch.from_pylist([{"run": run, "bucket": int(bucket[a]), "n": b - a, "hashes": _differences(values), "several": np.packbits(several[a:b]).tobytes()}], HASH_FIELDS)
+            yield from _hash_rows(run, codes, texts.text_of(at), bits, bucket_bits)
+
+
+def marked(codes: np.ndarray, answers: list[dict] | None) -> np.ndarray:
+    """Whether each code came back as one that several texts or units have."""
+    told = [np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=a["n"]) for a in sorted(answers or [], key=lambda a: a["bucket"])]
+    twice = np.concatenate([np.zeros(0, np.uint8), *told]).astype(bool)
+    return twice[np.searchsorted(np.unique(codes), codes)] if len(twice) else np.zeros(len(codes), dtype=bool)
 
 
 def _answer(rows: pa.Table) -> pa.Table:
@@ -203,88 +246,145 @@ def _answer(rows: pa.Table) -> pa.Table:
     return pa.table({"run": runs, "bucket": pa.array(buckets, pa.int32()), "n": pa.array(ns, pa.int32()), "n_twice": pa.array([int(b.sum()) for b in bits], pa.int64()), "bits": pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())})
 
 
-def sort_windows(texts: Texts, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in the order of their windows, and the number of symbols each shares with the one before (0 for the
-    first). Each symbol is read for windows that tie so far."""
-    word = texts.word(at, 0)
+def sort_strings(texts: Texts, at: np.ndarray, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the strings at those positions, and the number of symbols each then shares with the one before (0 for the
+    first). Each symbol is read for strings that tie so far."""
+    take = lambda i, k: texts.word(at[i], k, None if sizes is None else sizes[i])
+    word = take(slice(None), 0)
     order = np.argsort(word, kind="stable")
-    at, word = at[order], word[order]
+    word = word[order]
     shared = np.zeros(len(at), dtype=np.uint8)
     shared[1:] = word[1:] == word[:-1]
-    for k in range(1, WORDS):
+    for k in range(1, WORDS if sizes is None else UNIT_WORDS):
         tie = shared == k  # shares all k symbols so far with the one before
         inside = np.flatnonzero(tie | np.r_[tie[1:], False])
         if not len(inside):
             break
         group = np.cumsum(~tie[inside])
-        word = texts.word(at[inside], k)
-        order = np.lexsort((word, group))
-        at[inside], word = at[inside][order], word[order]
+        word = take(order[inside], k)
+        again = np.lexsort((word, group))
+        order[inside], word = order[inside][again], word[again]
         more = np.r_[False, word[1:] == word[:-1]] & tie[inside]
         shared[inside[more]] = k + 1
-    return at, shared
+    return order, shared
 
 
-PIECES = "range int, run string, n int, shared binary, symbols binary, docs binary, times binary, places binary"
-PIECE_FIELDS = pa.schema([("range", pa.int32()), ("run", pa.string()), ("n", pa.int32())] + [(c, pa.binary()) for c in ("shared", "symbols", "docs", "times", "places")])
+PIECES = "range int, run string, n int, shared binary, symbols binary, ids binary, docs binary, own binary"
+PIECE_FIELDS = pa.schema([("range", pa.int32()), ("run", pa.string()), ("n", pa.int32())] + [(c, pa.binary()) for c in ("shared", "symbols", "ids", "docs", "own")])
 
 
-def front_coded(texts: Texts, at: np.ndarray, shared: np.ndarray) -> tuple[bytes, bytes]:
-    """The shared symbols of sorted windows, none for the first, and all symbols behind these."""
+def front_coded(texts: Texts, at: np.ndarray, sizes: np.ndarray | None, shared: np.ndarray) -> tuple[bytes, bytes]:
+    """The shared symbols of sorted strings, none for the first, and all symbols behind these."""
     shared = shared.copy()
     shared[:1] = 0
-    symbols = np.stack([texts.word(at, k) for k in range(WORDS)], axis=1)
-    return squeeze(shared), squeeze(symbols[np.arange(WORDS) >= shared[:, None]].astype(">u8"))
+    n = WORDS if sizes is None else UNIT_WORDS
+    symbols = np.stack([texts.word(at, k, sizes) for k in range(n)], axis=1)
+    return squeeze(shared), squeeze(symbols[np.arange(n) >= shared[:, None]].astype(">u8"), LEVEL)
 
 
-def decoded(shared: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """(windows, WORDS) from front-coded symbols."""
-    has = np.arange(WORDS) >= shared[:, None]
+def decoded(shared: np.ndarray, symbols: np.ndarray, n: int) -> np.ndarray:
+    """(strings, n) from front-coded symbols."""
+    has = np.arange(n) >= shared[:, None]
     full = np.zeros(has.shape, dtype=np.uint64)
     full[has] = symbols
-    for k in range(WORDS):
+    for k in range(n):
         full[:, k] = full[np.maximum.accumulate(np.where(has[:, k], np.arange(len(full)), 0)), k]
     return full
 
 
-def _sort_runs(batches: Iterator[pa.RecordBatch], bits: int, splitters) -> Iterator[pa.RecordBatch]:
-    bounds = splitters.value
+class Entries:
+    """A run's strings, sorted: each distinct one (heads, sizes, shared: symbols shared with the one before) with its smallest document
+    (docs) and its places there (``times`` of each in ``places``, of ``place_sizes``); covered: places in larger documents."""
+
+    def __init__(self, texts: Texts, firsts: list[int], at: np.ndarray, sizes: np.ndarray | None = None) -> None:
+        order, shared = sort_strings(texts, at, sizes)
+        all_sizes = np.full(len(at), WINDOW) if sizes is None else sizes
+        at, all_sizes = at[order], all_sizes[order]
+        docs = np.array(firsts, dtype=np.int64)[texts.text_of(at)]
+        start = np.flatnonzero(shared < (WORDS if sizes is None else UNIT_WORDS))
+        ends = np.r_[start, len(at)]
+        self.docs = np.minimum.reduceat(docs, start) if len(start) else docs
+        own = docs == np.repeat(self.docs, np.diff(ends))
+        self.covered, self.covered_sizes = at[~own], all_sizes[~own]
+        self.places, self.place_sizes, self.shared = at[own], all_sizes[own], shared[start]
+        self.times = np.diff(np.r_[0, np.cumsum(own)][ends])
+        self.heads = self.places[np.r_[0, np.cumsum(self.times)][: len(start)]]
+        self.sizes = None if sizes is None else all_sizes[start]
+
+    def pieces(self, texts: Texts, run: str, bounds: list[bytes]) -> Iterator[pa.RecordBatch]:
+        size = lambda i: WINDOW if self.sizes is None else self.sizes[i]
+        cuts = [0, *(bisect_left(range(len(self.heads)), s, key=lambda i: texts.raw[self.heads[i] : self.heads[i] + size(i)]) for s in bounds), len(self.heads)]
+        for r, (a, b) in enumerate(itertools.pairwise(cuts)):
+            if a < b:
+                first, symbols = front_coded(texts, self.heads[a:b], None if self.sizes is None else self.sizes[a:b], self.shared[a:b])
+                ids, docs = np.unique(self.docs[a:b], return_inverse=True)
+                row = {"range": r, "run": run, "n": b - a, "shared": first, "symbols": symbols, "ids": squeeze(ids), "docs": squeeze(docs.astype(np.uint32))}
+                yield pa.RecordBatch.from_pylist([row], PIECE_FIELDS)
+
+    def lost(self, told: list[dict] | None) -> np.ndarray:
+        """Whether a smaller document of another run has each entry."""
+        bits = [np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=x["n"]) for x in sorted(told or [], key=lambda x: x["range"])]
+        return np.concatenate([np.zeros(0, np.uint8), *bits]).astype(bool)
+
+
+def _starts(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The windows of strings at those positions."""
+    n = sizes - WINDOW + 1
+    return np.repeat(at - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
+class Units:
+    """A run's units after their merge: those that are left, with the code of their windows."""
+
+    def __init__(self, texts: Texts, firsts: list[int], own: bytes, told: list[dict] | None, bits: int) -> None:
+        at, sizes = np.split(unsqueeze(own, np.uint32).astype(np.int64), 2)
+        self.texts, self.firsts = texts, firsts
+        self.entries = Entries(texts, firsts, np.cumsum(at), sizes)
+        self.lost = self.entries.lost(told)
+        self.left = np.flatnonzero(~self.lost)
+        self.codes = texts.codes(self.entries.heads[self.left], bits)
+
+    def windows(self, answers: list[dict] | None) -> Entries:
+        """The windows of units that are left and share their code with another."""
+        wanted = np.zeros(len(self.lost), dtype=bool)
+        wanted[self.left] = marked(self.codes, answers)
+        places = np.repeat(wanted, self.entries.times)
+        at = _starts(self.entries.places[places], self.entries.place_sizes[places])
+        return Entries(self.texts, self.firsts, np.sort(at))
+
+    def removed_windows(self) -> np.ndarray:
+        e = self.entries
+        places = np.repeat(self.lost, e.times)
+        return np.r_[_starts(e.covered, e.covered_sizes), _starts(e.places[places], e.place_sizes[places])]
+
+
+def _sort_units(batches: Iterator[pa.RecordBatch], bits: int, splitters) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for run, data, sizes, firsts, answers, gone in _rows(batch, "run", "data", "sizes", "firsts", "answers", "gone"):
             texts = Texts(data, sizes)
             changes, codes = texts.least_hashes(bits)
-            answers = sorted(answers or [], key=lambda a: a["bucket"])
-            twice = np.concatenate([np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=a["n"]) for a in answers] or [np.zeros(0, np.uint8)]).astype(bool)
-            wanted = np.zeros(texts.size, dtype=bool)
-            marks = twice[np.searchsorted(np.unique(codes), codes)]
-            lengths = np.diff(np.r_[changes, texts.size])
-            wanted[changes[0] if len(changes) else texts.size :] = np.repeat(marks, lengths)
-            wanted &= texts.windows()
-            for t in gone or []:
-                wanted[texts.starts[t] : texts.starts[t + 1]] = False
-            at, shared = sort_windows(texts, np.flatnonzero(wanted))
-            del wanted
-            if not len(at):
-                continue
-            docs = np.array(firsts, dtype=np.int64)[texts.text_of(at)]
-            start = np.flatnonzero(shared < WORDS)
-            least = np.minimum.reduceat(docs, start)
-            own = docs == np.repeat(least, np.diff(np.r_[start, len(at)]))
-            covered = np.sort(at[~own]).astype(np.uint64)
-            entries = np.r_[0, np.cumsum(own)]
-            times = np.diff(entries[np.r_[start, len(at)]])  # of each distinct window, its places in its smallest document
-            places, shared, docs = at[own], shared[start], least
-            head = places[np.r_[0, np.cumsum(times)][:-1]]
-            cuts = [0, *(bisect_left(range(len(head)), s, key=lambda i: texts.raw[head[i] : head[i] + WINDOW]) for s in bounds), len(head)]
-            ends = np.r_[0, np.cumsum(times)]
-            if len(covered):
-                spread = int.from_bytes(run[:8].encode()) % (len(bounds) + 1)
-                yield pa.RecordBatch.from_pylist([{"range": spread, "run": run, "n": 0, "places": _differences(covered)}], PIECE_FIELDS)
-            for r, (a, b) in enumerate(itertools.pairwise(cuts)):
-                if a < b:
-                    first, symbols = front_coded(texts, head[a:b], shared[a:b])
-                    row = {"range": r, "run": run, "n": b - a, "shared": first, "symbols": symbols, "docs": squeeze(docs[a:b]), "times": squeeze(times[a:b].astype(np.uint32)), "places": squeeze(places[ends[a] : ends[b]].astype(np.uint32))}
-                    yield pa.RecordBatch.from_pylist([row], PIECE_FIELDS)
+            at, lengths, of = texts.units(changes)
+            wanted = marked(codes, answers)[of] & ~np.isin(texts.text_of(at), np.array(gone or [], dtype=np.int64))
+            at, lengths = at[wanted], lengths[wanted]
+            if len(at):
+                own = squeeze(np.r_[np.diff(at, prepend=0), lengths].astype(np.uint32))
+                spread = int.from_bytes(run[:8].encode()) % (len(splitters.value) + 1)
+                yield pa.RecordBatch.from_pylist([{"range": spread, "run": run, "n": 0, "own": own}], PIECE_FIELDS)
+                yield from Entries(texts, firsts, at, lengths).pieces(texts, run, splitters.value)
+
+
+def _send_left(batches: Iterator[pa.RecordBatch], bits: int, bucket_bits: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for run, data, sizes, firsts, own, units in _rows(batch, "run", "data", "sizes", "firsts", "own", "units"):
+            u = Units(Texts(data, sizes), firsts, own, units, bits)
+            yield from _hash_rows(run, u.codes, np.arange(len(u.codes)), bits, bucket_bits)
+
+
+def _sort_windows(batches: Iterator[pa.RecordBatch], bits: int, splitters) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for run, data, sizes, firsts, own, units, answers in _rows(batch, "run", "data", "sizes", "firsts", "own", "units", "answers"):
+            texts = Texts(data, sizes)
+            yield from Units(texts, firsts, own, units, bits).windows(answers).pieces(texts, run, splitters.value)
 
 
 class Lanes:
@@ -296,7 +396,7 @@ class Lanes:
     def __init__(self, words: np.ndarray, rows: np.ndarray, shared: np.ndarray, bounds: np.ndarray) -> None:
         """bounds: (lanes + 1, runs) places in rows, falling by lane size."""
         lanes, runs = bounds[0].shape
-        self.words, self.rows, self.shared = words.ravel(), rows, shared
+        self.words, self.symbols, self.rows, self.shared = words.ravel(), words.shape[1], rows, shared
         self.width = 1 << (runs - 1).bit_length()
         self.at, self.end = (np.zeros((lanes, self.width), dtype=np.int64) for _ in range(2))
         self.at[:, :runs], self.end[:, :runs] = bounds
@@ -320,20 +420,20 @@ class Lanes:
         the last that left the tree."""
         ia, ib = self.at[a], self.at[b]
         over_a, over_b = ia >= self.end[a], ib >= self.end[b]
-        wins = ((ha >= hb) & ~over_a) | over_b  # of two equal windows a wins
+        wins = ((ha >= hb) & ~over_a) | over_b  # of two equal strings a wins
         left = np.minimum(ha, hb)
-        same = np.flatnonzero((ha == hb) & (ha < WORDS) & ~over_a & ~over_b)
+        same = np.flatnonzero((ha == hb) & (ha < self.symbols) & ~over_a & ~over_b)
         k = ha[same]
-        ra, rb = self.rows[ia[same]] * WORDS, self.rows[ib[same]] * WORDS
+        ra, rb = self.rows[ia[same]] * self.symbols, self.rows[ib[same]] * self.symbols
         while len(same):
             x, y = self.words[ra + k], self.words[rb + k]
             differ = x != y
             wins[same], left[same] = x < y, k
             k = k + 1
-            done = differ | (k == WORDS)
+            done = differ | (k == self.symbols)
             if done.any():
                 equal = same[done & ~differ]
-                wins[equal], left[equal] = True, WORDS
+                wins[equal], left[equal] = True, self.symbols
                 go = ~done
                 same, k, ra, rb = same[go], k[go], ra[go], rb[go]
         return wins, left
@@ -368,7 +468,7 @@ def merge(words: np.ndarray, runs: list[tuple[np.ndarray, np.ndarray]], fan: int
         return runs[0]
     rows, shared = (np.concatenate([r[i] for r in runs]) for i in range(2))
     starts = np.r_[0, np.cumsum([len(r) for r, _ in runs])]
-    keys = words[rows].astype(">u8").view(f"S{8 * WORDS}").ravel()
+    keys = words[rows].astype(">u8").view(f"S{8 * words.shape[1]}").ravel()
     lanes = max(1, min(len(rows) // lane, 4_000_000 // len(runs)))
     sample = np.sort(keys[:: max(1, len(keys) // (16 * lanes))])
     splits = np.unique(sample[np.linspace(0, len(sample), lanes, endpoint=False).astype(int)[1:]])
@@ -389,39 +489,47 @@ def merge(words: np.ndarray, runs: list[tuple[np.ndarray, np.ndarray]], fan: int
     return found, known
 
 
-def _merge_range(pieces: pa.Table) -> pa.Table:
-    """The places that each run loses to smaller documents of others."""
-    runs, ns = pieces.column("run").to_pylist(), np.array(pieces.column("n").to_pylist(), dtype=np.int64)
-    out = [(r, p.as_py()) for r, n, p in zip(runs, ns, pieces.column("places"), strict=True) if not n]
-    there = np.flatnonzero(ns)
-    if len(there) > 1:
+LOST = "range int, run string, n int, bits binary, own binary"
+
+
+def _merge_range(pieces: pa.Table, n: int) -> pa.Table:
+    """Which entries of each run a smaller document of another has; rows without entries pass."""
+    kept = pieces.select(["range", "run", "n", "own"])
+    there = np.flatnonzero(pieces.column("n").to_numpy())
+    bits: list[bytes | None] = [None] * len(pieces)
+    if len(there):
         part = lambda c, kind: [unsqueeze(pieces.column(c)[i].as_py(), kind) for i in there]
         shared = part("shared", np.uint8)
-        words = decoded(np.concatenate(shared), np.concatenate(part("symbols", ">u8")).astype(np.uint64))
-        docs = np.concatenate(part("docs", np.int64))
-        cuts = np.r_[0, np.cumsum(ns[there])]
+        words = decoded(np.concatenate(shared), np.concatenate(part("symbols", ">u8")).astype(np.uint64), n)
+        docs = np.concatenate([ids[of] for ids, of in zip(part("ids", np.int64), part("docs", np.uint32), strict=True)])
+        cuts = np.r_[0, np.cumsum([len(x) for x in shared])]
         rows, known = merge(words, [(np.arange(a, b), s) for a, b, s in zip(cuts[:-1], cuts[1:], shared, strict=True)])
-        start = np.flatnonzero(known < WORDS)
+        start = np.flatnonzero(known < n)
         least = np.minimum.reduceat(docs[rows], start)
         lost = np.zeros(len(docs), dtype=bool)
         lost[rows] = docs[rows] > np.repeat(least, np.diff(np.r_[start, len(rows)]))
-        for i, a, b, times, places in zip(there, cuts[:-1], cuts[1:], part("times", np.uint32), part("places", np.uint32), strict=True):
-            gone = places[np.repeat(lost[a:b], times)]
-            if len(gone):
-                out.append((runs[i], _differences(np.sort(gone).astype(np.uint64))))
-    return pa.table({"run": pa.array([r for r, _ in out], pa.string()), "places": pa.array([p for _, p in out], pa.binary())})
+        for i, a, b in zip(there.tolist(), cuts[:-1], cuts[1:], strict=True):
+            bits[i] = np.packbits(lost[a:b]).tobytes()
+    return pa.table({"range": kept["range"], "run": kept["run"], "n": kept["n"], "bits": pa.array(bits, pa.binary()), "own": kept["own"]})
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def _remove(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
+def _remove(batches: Iterator[pa.RecordBatch], bits: int, digest: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for data, sizes, firsts, ids, of, covered, gone in _rows(batch, "data", "sizes", "firsts", "ids", "texts", "covered", "gone"):
+        for data, sizes, firsts, ids, of, own, units, answers, windows, gone in _rows(batch, "data", "sizes", "firsts", "ids", "texts", "own", "units", "answers", "windows", "gone"):
             texts = Texts(data, sizes)
             starts = np.zeros(texts.size, dtype=bool)
-            for places in covered or []:
-                starts[_whole(places).astype(np.int64)] = True
+            if own:  # sorted again, which is less than to send the places round
+                u = Units(texts, firsts, own, units, bits)
+                starts[u.removed_windows()] = True
+                if windows:
+                    e = u.windows(answers)
+                    starts[e.covered] = True
+                    starts[e.places[np.repeat(e.lost(windows), e.times)]] = True
+                    del e
+                del u
             before = np.r_[0, np.cumsum(starts)]
             removed = before[1:] > before[np.maximum(np.arange(texts.size) + 1 - WINDOW, 0)]
             for t in gone or []:
@@ -465,31 +573,55 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     gone = slots.join(least, "hashes").where("least < firsts").groupBy("run").agg(F.collect_list("slot").alias("gone"))
     gone = table(gone, "suffix-gone")
 
-    sent = runs.select("run", "data", "sizes").mapInArrow(lambda it: _send_hashes(it, bits, bucket_bits), HASHES)
-    answers = table(sent.groupBy("bucket").applyInArrow(_answer, "run string, bucket int, n int, n_twice long, bits binary"), "suffix-answers")
-    twice = answers.agg(F.sum("n_twice")).first()[0] or 0
-
-    ranges = min(MOST_RANGES, max(RANGES, twice * (SPAN + 1) // 2 // RANGE_ENTRIES))
+    texts = runs.select("run", "data", "sizes", "firsts")
+    answers = _asked(texts.drop("firsts").mapInArrow(lambda it: _send_hashes(it, bits, bucket_bits), HASHES), "suffix-answers")
+    n_twice = answers.agg(F.sum("n_twice")).first()[0] or 0
     sample = runs.select(F.explode("sample").alias("x"))
     if n_runs * SAMPLE > MOST_SAMPLES:
         sample = sample.where(F.rand(7) < MOST_SAMPLES / (n_runs * SAMPLE))
     drawn = sorted(sample.toArrow()["x"].to_pylist())
-    cuts = sorted({drawn[i * len(drawn) // ranges] for i in range(1, ranges)}) if drawn else []
-    splitters = spark.sparkContext.broadcast(cuts)
-
-    told = answers.groupBy("run").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias("answers"))
-    ready = runs.select("run", "data", "sizes", "firsts").join(told.hint("merge"), "run").join(gone.hint("merge"), "run", "left")
-    pieces = ready.mapInArrow(lambda it: _sort_runs(it, bits, splitters), PIECES)
-    lost = table(pieces.groupBy("range").applyInArrow(_merge_range, "run string, places binary"), "suffix-lost")
-
-    covered = lost.groupBy("run").agg(F.collect_list("places").alias("covered"))
-    last = runs.select("run", "data", "sizes", "firsts", "ids", "texts").join(covered.hint("merge"), "run", "left").join(gone.hint("merge"), "run", "left")
-    result = table(last.mapInArrow(lambda it: _remove(it, digest), RESULT), "suffix-result")
-    for used in (runs, answers, lost, gone):
+
+    cuts = _splitters(spark, drawn, n_twice)
+    ready = _with(texts, _by_run(answers), gone)
+    units = table(ready.mapInArrow(lambda it: _sort_units(it, bits, cuts), PIECES).groupBy("range").applyInArrow(lambda rows: _merge_range(rows, UNIT_WORDS), LOST), "suffix-units")
+    of_units = units.groupBy("run").agg(F.collect_list(F.when(F.col("n") > 0, F.struct("range", "n", "bits"))).alias("units"), F.max("own").alias("own"))
+    with_units = texts.join(of_units.hint("merge"), "run")
+
+    again = _asked(with_units.mapInArrow(lambda it: _send_left(it, bits, bucket_bits), HASHES), "suffix-answers-left")
+    n_left = again.agg(F.sum("n_twice")).first()[0] or 0
+    finer = _splitters(spark, drawn, n_left * (SPAN + 1) // 2)
+    windows = table(_with(with_units, _by_run(again)).mapInArrow(lambda it: _sort_windows(it, bits, finer), PIECES).groupBy("range").applyInArrow(lambda rows: _merge_range(rows, WORDS), LOST), "suffix-windows")
+    of_windows = windows.groupBy("run").agg(F.collect_list(F.struct("range", "n", "bits")).alias("windows"))
+
+    last = _with(runs.select("run", "data", "sizes", "firsts", "ids", "texts"), of_units, _by_run(again), of_windows, gone)
+    result = table(last.mapInArrow(lambda it: _remove(it, bits, digest), RESULT), "suffix-result")
+    for used in (runs, answers, again, units, windows, gone):
         drop_table(used)
     return result
 
 
+def _asked(sent: DataFrame, name: str) -> DataFrame:
+    return table(sent.groupBy("bucket").applyInArrow(_answer, "run string, bucket int, n int, n_twice long, bits binary"), name)
+
+
+def _by_run(answers: DataFrame) -> DataFrame:
+    """run, answers: of runs of which some hash came back."""
+    some = answers.where("n_twice > 0").select("run").distinct()
+    return answers.join(some, "run", "left_semi").groupBy("run").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias("answers"))
+
+
+def _with(runs: DataFrame, *found: DataFrame) -> DataFrame:
+    for df in found:
+        runs = runs.join(df.hint("merge"), "run", "left")
+    return runs
+
+
+def _splitters(spark: SparkSession, drawn: list[bytes], entries: int):
+    """Bounds of ranges of about RANGE_ENTRIES, as a broadcast variable: quantiles of the drawn windows."""
+    ranges = min(MOST_RANGES, max(RANGES, entries // RANGE_ENTRIES))
+    return spark.sparkContext.broadcast(sorted({drawn[i * len(drawn) // ranges] for i in range(1, ranges)}) if drawn else [])
+
+
 def op13_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), digest=True)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))

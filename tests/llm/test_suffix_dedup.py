@@ -136,12 +136,33 @@ def test_known_prefixes_are_not_read_again(monkeypatch):
 def test_front_coding_and_sort():
     text = ("abcdefgh" * 40 + LONG + LONG[:500]).encode()
     texts = suffix_dedup.Texts(suffix_dedup.squeeze(text), [len(text)])
-    at, shared = suffix_dedup.sort_windows(texts, np.flatnonzero(texts.windows()))
+    at = np.flatnonzero(texts.windows())
+    order, shared = suffix_dedup.sort_strings(texts, at)
+    at = at[order]
     windows = [text[p : p + 50] for p in at]
     assert windows == sorted(windows) and len(windows) == len(text) - 49
     symbols = [[w[8 * k : 8 * k + 8] for k in range(7)] for w in windows]
     assert shared.tolist() == [0] + [next((k for k in range(7) if a[k] != b[k]), 7) for a, b in zip(symbols, symbols[1:], strict=False)]
-    first, rest = suffix_dedup.front_coded(texts, at, shared)
-    words = suffix_dedup.decoded(suffix_dedup.unsqueeze(first, np.uint8), suffix_dedup.unsqueeze(rest, ">u8").astype(np.uint64))
+    first, rest = suffix_dedup.front_coded(texts, at, None, shared)
+    words = suffix_dedup.decoded(suffix_dedup.unsqueeze(first, np.uint8), suffix_dedup.unsqueeze(rest, ">u8").astype(np.uint64), 7)
     assert [w.astype(">u8").tobytes()[:50] for w in words] == windows
     assert len(suffix_dedup.unsqueeze(rest, ">u8")) < 0.6 * 7 * len(windows)
+
+
+def test_units():
+    """Units cover every window once, are at most SPAN windows long, and those of a passage are equal wherever it stands."""
+    rng = random.Random(9)
+    passage, own = LONG[:400], ["".join(rng.choices("abcdefgh ", k=300)) for _ in range(3)]
+    parts = [own[0] + passage + own[1], "zz" + passage + own[2], "q" * 300, "short"]
+    texts = suffix_dedup.Texts(suffix_dedup.squeeze("".join(parts).encode()), [len(x) for x in parts])
+    changes, _ = texts.least_hashes(40)
+    at, sizes, _ = texts.units(changes)
+    assert suffix_dedup._starts(at, sizes).tolist() == np.flatnonzero(texts.windows()).tolist() and sizes.max() <= 50 + suffix_dedup.SPAN - 1
+    string = lambda a, n: texts.raw[a : a + n]
+    strings = [string(a, n) for a, n in zip(at.tolist(), sizes.tolist(), strict=True)]
+    assert len(strings) - len(set(strings)) >= 15
+    order, shared = suffix_dedup.sort_strings(texts, at, sizes)
+    assert [strings[i] for i in order] == sorted(strings)
+    assert [bool(s == suffix_dedup.UNIT_WORDS) for s in shared] == [False, *(a == b for a, b in zip(sorted(strings), sorted(strings)[1:], strict=False))]
+    codes = texts.codes(at, 40)
+    assert (codes == texts.codes(at + sizes - 50, 40)).all()
