@@ -189,6 +189,12 @@ def nearest_ranks(rows: DataFrame, by: list[str], value: str, at: dict[str, floa
     return ends.select("_by", "n").join(found, "_by").select("_by.*", "n", *at)
 
 
+def export_summary(flags: DataFrame, cohort: str = "cohort") -> DataFrame:
+    """total_cases, eligible_cases and policy_closed_cases for each cohort, and over all with a null cohort."""
+    closed = F.count_if("policy_closed").alias("policy_closed_cases")
+    return flags.rollup(cohort).agg(F.count("*").alias("total_cases"), F.count_if(~F.col("policy_closed")).alias("eligible_cases"), closed)
+
+
 def latency(flags: DataFrame, by: list[str] = ["cohort"]) -> DataFrame:  # noqa: B006
     """Nearest-rank p50 and p95 of all totals, and of the final totals of answered cases, each with its n."""
     x = flags.where(~F.col("policy_closed"))

@@ -122,9 +122,10 @@ def a19(spark, d):
     return C.latency(flags(spark, d))
 
 
-@query("a20_export_summary", f"SELECT o_orderstatus AS cohort, {N} AS cases FROM orders GROUP BY ROLLUP (o_orderstatus)")
+@query("a20_export_summary", f"WITH {TABLES}, {FLAGS} SELECT cohort, {N} AS total_cases, CAST(count(*) FILTER (NOT policy_closed) AS BIGINT) AS eligible_cases, CAST(count(*) FILTER (policy_closed) AS BIGINT) AS policy_closed_cases FROM g GROUP BY ROLLUP (cohort)")
 def a20(spark, d):
-    return read(spark, d, "orders").rollup(F.col("o_orderstatus").alias("cohort")).agg(F.count("*").alias("cases"))
+    """The report's case numbers for each cohort, and over all."""
+    return C.export_summary(flags(spark, d))
 
 
 @query("a30_cases_per_session", f"SELECT o_custkey AS session_id, {N} AS cases FROM orders GROUP BY o_custkey")

@@ -41,6 +41,17 @@ def a23(spark, d):
     return E.score_distribution(pairs(spark, d).withColumnRenamed("score_b", "score"), [0, 1])
 
 
+CODES = "[x FOR x IN [CASE WHEN toxic = 1 THEN 'TOXIC' END, CASE WHEN quality = 0 AND doc_id % 3 = 0 THEN 'WRONG_ROUTE' END, CASE WHEN doc_id % 7 = 2 THEN 'WRONG_ROUTE' END] IF x IS NOT NULL]"
+
+
+@query("a23_critical_errors", f"WITH x AS (SELECT DISTINCT doc_id AS pair_id, unnest({CODES}) AS code FROM labels) SELECT code, CAST(count(*) AS BIGINT) AS n, array_to_string(list_sort(list(pair_id))[1:3], ',') AS examples FROM x GROUP BY code")
+def a23_critical(spark, d):
+    i = F.col("doc_id")
+    codes = F.array_compact(F.array(F.when(F.col("toxic") == 1, "TOXIC"), F.when((F.col("quality") == 0) & (i % 3 == 0), "WRONG_ROUTE"), F.when(i % 7 == 2, "WRONG_ROUTE")))
+    found = E.critical_errors(read(spark, d, "labels").select(i.alias("pair_id"), codes.alias("critical")))
+    return found.select("code", "n", F.array_join(F.transform("examples", lambda x: x.cast("string")), ",").alias("examples"))
+
+
 @query("d12_reconciled", f"WITH {PAIRS} SELECT pair_id, dim, CAST(score_a AS DOUBLE) AS score_a, CAST(score_b AS DOUBLE) AS score_b, CAST(coalesce(CASE WHEN pair_id IN (SELECT page_id FROM pages) THEN 1 END, CASE WHEN score_a = score_b THEN score_a END) AS DOUBLE) AS score FROM r")
 def d12(spark, d):
     p = pairs(spark, d)

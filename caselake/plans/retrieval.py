@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.encoder import encode
+from ..operators import kb
 from ..operators import retrieval as R
 from ..operators import routing as G
 from ..registry import query, read
@@ -208,6 +209,18 @@ def j20(spark, d):
     return n(a.join(b, "id", "left_anti"), "missing").unionByName(n(b.join(a, "id", "left_anti"), "extra"))
 
 
+PLACED = "e AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS position FROM documents), f AS (SELECT CASE WHEN vec_id % 10 = 3 THEN vec_id + 1 WHEN vec_id % 10 = 4 THEN vec_id - 1 ELSE vec_id END AS id, row_number() OVER (ORDER BY vec_id) AS position FROM embeddings WHERE vec_id % 50 < 49)"
+
+
+@query("j20_index_positions", f"WITH {PLACED} SELECT CAST(coalesce(e.position, f.position) AS BIGINT) AS position, coalesce(e.id, f.id) AS id, CASE WHEN f.position IS NULL THEN 'missing' WHEN e.position IS NULL THEN 'extra' ELSE 'other_id' END AS verdict FROM e FULL JOIN f ON e.position = f.position WHERE e.id IS DISTINCT FROM f.id")
+def j20_positions(spark, d):
+    """The order of an index with swapped neighbours and left-out rows against that of the chunks."""
+    v = F.col("vec_id")
+    chunks = kb.numbered(read(spark, d, "documents").select(F.col("doc_id").alias("id")), [], ["id"], "position")
+    index = kb.numbered(read(spark, d, "embeddings").where(v % 50 < 49).select("vec_id"), [], ["vec_id"], "position")
+    return R.index_differences(chunks, index.select("position", F.when(v % 10 == 3, v + 1).when(v % 10 == 4, v - 1).otherwise(v).alias("id")))
+
+
 @query("j8_label_accuracy", f"WITH c AS (SELECT q.vec_id AS query_id, q.label AS ql, e.label AS el, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, e.vec_id) AS r FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id) SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (ql = el) AS BIGINT) AS k FROM c WHERE r <= 9")
 def j8(spark, d):
     e = read(spark, d, "embeddings")
