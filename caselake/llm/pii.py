@@ -30,7 +30,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_join, table
+from .common import drop_table, split_join, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 SUPPORT = 3
@@ -194,7 +194,11 @@ def disclosing_terms(held: DataFrame, texts: DataFrame, support: int = SUPPORT,
     disclosure = F.when(ic > 0, 1 + F.log2(given) / ic).otherwise(F.lit(0.0))
     strong = table(known.withColumn("disclosure", disclosure).where(F.col("disclosure") >= threshold).select("class", "term", "disclosure", "n_te"), "pii-strong")
     own = contexts.select("row", F.explode("terms").alias("term"), "narrowest").select("row", "term", F.explode("narrowest").alias("class"))
-    return split_join(own, strong.drop("n_te"), ["class", "term"], strong.select("class", "term", F.col("n_te").alias("n")), "row").groupBy("row", "term").agg(F.max("disclosure").alias("disclosure"))
+    each = split_join(own, strong.drop("n_te"), ["class", "term"], strong.select("class", "term", F.col("n_te").alias("n")), "row")
+    found = table(each.groupBy("row", "term").agg(F.max("disclosure").alias("disclosure")), "pii-terms")
+    for used in (beside, contexts, pairs, strong):
+        drop_table(used)
+    return found
 
 
 def _find(docs: DataFrame, support: int, threshold: float, keep_all_texts: bool) -> DataFrame:
@@ -207,7 +211,7 @@ def _find(docs: DataFrame, support: int, threshold: float, keep_all_texts: bool)
     base = table(kept, "pii-base")
     held = base.where("rest is not null").select("row", "rest", "spans")
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    strong = table(disclosing_terms(held, texts, support, threshold), "pii-terms")
+    strong = disclosing_terms(held, texts, support, threshold)
     # The places of a document's terms: its own words at most, so a row is no longer than its text.
     words = held.join(strong.select("row").distinct(), "row", "left_semi").select("row", F.explode(located(F.col("rest"), TERM, 4)).alias("s"))
     hits = words.select("row", "s", F.col("s.value").alias("term")).join(strong, ["row", "term"])
