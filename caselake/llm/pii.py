@@ -176,19 +176,19 @@ def disclosing_terms(held: DataFrame, texts: DataFrame, support: int = SUPPORT,
     # Pools that the same documents hold have the same counts with any term: they are one, known by a hash of these documents.
     same = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y")]
     n_in = beside.groupBy("pool").agg(*same)
-    frequent = n_in.where(F.col("n") >= support).select("pool", F.concat_ws(":", "n", "x", "y").alias("class"), F.col("n").alias("n_e"))
+    frequent = n_in.where(F.col("n") >= support).select("pool", F.xxhash64("n", "x", "y").alias("class"), F.col("n").alias("n_e"))
     rows = split_join(beside, frequent, ["pool"], n_in.select("pool", "n"), "row")
     # Of the pools of an entity the narrowest counts. Rows are documents, so what a group gathers is no longer than its text.
     narrowest = rows.select("row", "class", "level", F.explode("entities").alias("entity")).groupBy("row", "entity").agg(F.min_by("class", "level").alias("class")).groupBy("row").agg(F.collect_set("class").alias("narrowest"))
-    by_row = rows.groupBy("row").agg(F.collect_set("class").alias("classes")).join(narrowest, "row")
+    by_row = rows.groupBy("row").agg(F.collect_set(F.struct("class", "n_e")).alias("classes")).join(narrowest, "row")
     contexts = table(held.join(by_row, "row").select("row", F.array_remove(F.array_distinct(F.split("rest", TERM_GAP)), "").alias("terms"), "classes", "narrowest"), "pii-contexts")
-    beside_term = contexts.select(F.explode("terms").alias("term"), "classes").select("term", F.explode("classes").alias("class"))
-    pairs = table(beside_term.groupBy("class", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support).withColumn("h", F.xxhash64("term")), "pii-pairs")
+    beside_term = contexts.select(F.explode("terms").alias("term"), "classes").select("term", F.inline("classes"))
+    pairs = table(beside_term.groupBy("class", "n_e", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support).withColumn("h", F.xxhash64("term")), "pii-pairs")
     # Documents of each term: counted by its hash, so that the shuffle moves numbers, one a term and task.
     terms = texts.select(F.explode(F.array_distinct(F.split("text", TERM_GAP))).alias("term"))
     counts = terms.groupBy(F.xxhash64("term").alias("h")).agg(F.count("*").alias("n_t"))
     total = texts.agg(F.count("*").alias("n"))
-    known = pairs.withColumn("n_e", F.split_part("class", F.lit(":"), F.lit(1)).cast("long")).join(counts, "h").join(F.broadcast(total), how="cross")  # one row
+    known = pairs.join(counts, "h").join(F.broadcast(total), how="cross")  # one row
     ic = -F.log2(F.col("n_e") / F.col("n"))
     given = F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0))
     disclosure = F.when(ic > 0, 1 + F.log2(given) / ic).otherwise(F.lit(0.0))
