@@ -59,7 +59,7 @@ RANGE_ENTRIES, RANGES, MOST_RANGES, SAMPLE, MOST_SAMPLES = 1_000_000, 12, 1 << 1
 #: Runs that one tree merges, entries of a lane.
 FAN, LANE = 512, 512
 #: Compression of what is large: texts of runs and symbols of entries.
-LEVEL = 5
+LEVEL = 3
 #: Of a symbol, the first 0 to 8 bytes.
 MASKS = np.array([(0xFFFFFFFFFFFFFFFF << (8 * (8 - i))) & 0xFFFFFFFFFFFFFFFF for i in range(9)], dtype=np.uint64)
 NO_ID = np.iinfo(np.int64).max
@@ -172,7 +172,9 @@ class Texts:
             h = np.minimum(h[: b - a], h[SPAN - 16 : SPAN - 16 + b - a]) >> np.uint64(64 - bits)
             here = np.flatnonzero(ok[a:b])
             new = np.r_[True, h[here[1:]] != h[here[:-1]]] if len(here) else np.zeros(0, bool)
-            new |= np.isin(here + a, self.starts)
+            begins = np.zeros(b - a, dtype=bool)
+            begins[self.starts[np.searchsorted(self.starts, a) : np.searchsorted(self.starts, b)] - a] = True
+            new |= begins[here]
             at.append(here[new] + a)
             codes.append(h[here[new]])
         return np.concatenate(at or [np.zeros(0, np.int64)]), np.concatenate(codes or [np.zeros(0, np.uint64)])
