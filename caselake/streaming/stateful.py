@@ -95,7 +95,8 @@ REQUEST = "case_id long, request_key string, status string, error_code string, r
 
 class Deadlines(StatefulProcessor):
     """A request in flight ends as done by a result within its time, and as a retryable error by a timer once the watermark
-    has passed its deadline; results that come later find it ended (T8)."""
+    has passed its deadline; results that come later find it ended (T8). Rows as such, as a frame for each of many small keys
+    costs more than what is done with it."""
 
     def __init__(self, seconds: float) -> None:
         self.millis = int(seconds * 1000)
@@ -104,37 +105,47 @@ class Deadlines(StatefulProcessor):
         self.handle = handle
         self.request = handle.getValueState("request", "created long, status string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        created, status = self.request.get() if self.request.exists() else (None, None)
+    def ended(self, key, status: str, code: str | None = None) -> Row:
+        return Row(case_id=key[0], request_key=key[1], status=status, error_code=code, retryable=code is not None)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        told = sorted((r["at"], r["event_id"], r["kind"]) for r in rows)
+        before = self.request.get()
+        created, status = before if before is not None else (None, None)
         out = []
-        for e in records(rows, "ts", "event_id"):
-            at = int(pd.Timestamp(e["ts"]).value // 1_000_000)
-            if status is None and e["kind"] == "message":
+        for micros, _id, kind in told:
+            at = micros // 1000
+            if status is None and kind == "message":
                 created, status = at, "in_flight"
-                self.handle.registerTimer(created + self.millis)
-            elif status == "in_flight" and e["kind"] == "result" and at <= created + self.millis:
+            elif status == "in_flight" and kind == "result" and at <= created + self.millis:
                 status = "done"
-                self.handle.deleteTimer(created + self.millis)
-                out.append((*key, "done", None, False))
-        if status:
+                out.append(self.ended(key, "done"))
+        if status == "in_flight" and before is None:
+            self.handle.registerTimer(created + self.millis)
+        elif status == "done" and before is not None and before[1] == "in_flight":
+            self.handle.deleteTimer(created + self.millis)
+        if status and (before is None or status != before[1]):
             self.request.update((created, status))
-        yield pd.DataFrame(out, columns=["case_id", "request_key", "status", "error_code", "retryable"])
+        yield from out
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        out = []
-        if self.request.exists() and self.request.get()[1] == "in_flight":
-            self.request.update((self.request.get()[0], "error"))
-            out.append((*key, "error", "RESTARTED", True))
-        yield pd.DataFrame(out, columns=["case_id", "request_key", "status", "error_code", "retryable"])
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        created, status = self.request.get() or (None, None)
+        if status == "in_flight":
+            self.request.update((created, "error"))
+            yield self.ended(key, "error", "RESTARTED")
 
     def close(self) -> None:
         pass
 
 
 def request_deadlines(events: DataFrame, seconds: float, late: str = "0 seconds") -> DataFrame:
-    """events (case_id, request_key, event_id, ts, kind) -> how each request ended; started within with_rocksdb."""
-    keyed = events.withWatermark("ts", late).groupBy("case_id", "request_key")
-    return keyed.transformWithStateInPandas(Deadlines(seconds), REQUEST, "Append", "EventTime")
+    """events (case_id, request_key, event_id, ts, kind) -> how each request ended; started within with_rocksdb.
+
+    Only messages and results come to the state, but all events move the watermark: the condition names ts, so that it stays
+    above it."""
+    told = events.withWatermark("ts", late).where(F.when(F.col("ts").isNotNull(), F.col("kind")).isin("message", "result"))
+    keyed = told.withColumn("at", F.unix_micros("ts")).groupBy("case_id", "request_key")
+    return keyed.transformWithState(Deadlines(seconds), REQUEST, "Append", "EventTime")
 
 
 #: Bins of the quantile state: BIN_WIDTH each from 0 on; what lies beyond falls into the first or last.
