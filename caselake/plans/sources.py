@@ -67,8 +67,8 @@ def s7(spark, d):
     """Export documents of some hundred cases each, and the cohort report of what is read from them."""
     path = shared(spark, "export-documents")
     rows = cases.evaluation_rows(spark, d)
-    keep = rows.select(F.struct(F.col("case_id").cast("string").alias("case_id"), "cohort", "case_status", "policy_closed", "has_ticket", "ticket_status", "messages", "requests", "feedback", "resolution").alias("row"), F.floor(F.col("case_id") / 300).alias("block"))
-    keep.groupBy("block").agg(F.collect_list("row").alias("rows")).write.partitionBy("block").json(path)  # 300 cases a document, a document a file
+    named = ("cohort", "case_status", "policy_closed", "has_ticket", "ticket_status", "messages", "requests", "feedback", "resolution")
+    io.write_export_documents(rows.select(F.col("case_id").cast("string").alias("case_id"), *named), path)
     return C.cohort_info(C.case_flags(io.read_export(spark, path)))
 
 

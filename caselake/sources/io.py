@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +88,25 @@ def write_export(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def write_export_documents(rows: DataFrame, path: str, size: int = 300) -> None:
+    """Documents of ``size`` cases at most, each a file that read_export reads (S7). A task makes documents of its own rows as
+    they come, so nothing is shuffled for them."""
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []
+        told = lambda some: pa.RecordBatch.from_arrays([pa.array(['{"rows":[' + ",".join(some) + "]}"])], ["value"])
+        for batch in batches:
+            held += batch.column(0).to_pylist()
+            while len(held) >= size:
+                yield told(held[:size])
+                held = held[size:]
+        if held:
+            yield told(held)
+
+    made = rows.select(F.to_json(F.struct(*rows.columns)).alias("row")).mapInArrow(documents, "value string")
+    made.write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
+
+
 def hash_inputs(spark: SparkSession, path: str) -> DataFrame:
     """path, sha256, size of files."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
