@@ -230,6 +230,24 @@ def export_issues(rows: DataFrame) -> DataFrame:
     )
 
 
+def table_issues(cases: DataFrame, messages: DataFrame, feedback: DataFrame, tickets: DataFrame, resolved: DataFrame) -> DataFrame:
+    """export_issues of case tables: what rows nested from them would show, without nesting them, so a task sorts ids alone.
+    resolved (case_id, message_id) as resolution gives it; cases may be there twice (D8)."""
+    issue = lambda df, name, detail: df.select("case_id", F.lit(name).alias("issue"), detail.cast("string").alias("detail"))
+    none = F.lit(None)
+    counted = cases.groupBy("case_id").agg(F.count("*").alias("n"))
+    nothing = cases.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(None).cast(cases.schema["case_id"].dataType).alias("case_id"))
+    once = counted.select("case_id")
+    deal = lambda df: df.select("case_id", "message_id").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "case_id", "message_id")
+    ids = deal(messages)  # partitions as asked for: ids shrink so well in a shuffle that few large tasks would be made of them
+    unknown = deal(feedback.where("message_id is not null")).join(ids, ["case_id", "message_id"], "left_anti").distinct()
+    lost = resolved.where("message_id is not null").join(ids, ["case_id", "message_id"], "left_anti")
+    unresolved = tickets.where(F.col("ticket_status").isin("resolved", "closed_policy")).join(resolved, "case_id", "left_anti")
+    found = issue(unknown, "feedback_of_unknown_message", F.col("message_id")).unionByName(issue(lost, "resolution_of_unknown_message", F.col("message_id")))
+    found = found.unionByName(issue(unresolved, "closed_without_resolution", F.col("ticket_status"))).join(once, "case_id", "left_semi")
+    return issue(nothing, "no_rows", none).unionByName(issue(counted.where("n > 1"), "duplicate_case", none)).unionByName(found)
+
+
 def chat_mode(policy: Column, handoff: Column, ticket: Column) -> Column:
     """policy before handoff before operator (a ticket is open) before ai."""
     return F.when(policy, "policy").when(handoff, "handoff").when(ticket, "operator").otherwise("ai")
