@@ -35,7 +35,8 @@ def hash_files(spark: SparkSession, path: str) -> DataFrame:
     2 GB (S12). Spark lists the files, but
     for empty ones, which its readers skip; pyarrow opens them on the executors."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("size"))
-    return listed.repartition(F.col("path")).mapInArrow(_hashed, "path string, sha256 string, size long")
+    # partitions as asked for: names of files are so few bytes that one task would be made of all of them
+    return listed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").mapInArrow(_hashed, "path string, sha256 string, size long")
 
 
 class Publication:
