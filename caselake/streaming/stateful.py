@@ -10,7 +10,6 @@ import contextlib
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -31,55 +30,81 @@ def with_rocksdb(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(PROVIDER, before)
 
 
-def records(batches: Iterator[pd.DataFrame], *order: str) -> list[dict]:
-    """The rows of a trigger in order, nulls as None."""
-    found = [r for b in batches for r in b.astype(object).where(b.notna(), None).to_dict("records")]
-    return sorted(found, key=lambda r: tuple((r[c] is None, r[c]) for c in order))
+#: Entries of a case's receipts, answers and ratings that lie in its own state, each; what comes beyond them has a state by key.
+INLINE = 64
 
 
-class StoredMap:
-    """A map state with the few operations that the fold asks for; only keys that events name are read."""
+class Kept:
+    """Entries of a case by key. The first INLINE of them come and go with the case; of those beyond, only keys that events
+    name are read, once a trigger, and the changed ones written when it ends."""
 
-    def __init__(self, state, into: Callable = lambda v: Row(v), out: Callable = lambda v: v[0]) -> None:
-        self.state, self.into, self.out = state, into, out
+    def __init__(self, held: dict | None, stored: bool, state, into: Callable = lambda v: (v,), out: Callable = lambda v: v[0]) -> None:
+        self.held, self.stored, self.state, self.into, self.out = dict(held or {}), stored, state, into, out
+        self.found: dict = {}
+        self.changed: set = set()
+
+    def _get(self, key: str):
+        if key in self.held:
+            return self.held[key]
+        if key not in self.found:
+            self.found[key] = self.state.getValue(Row(key)) if self.stored else None
+        return self.found[key]
 
     def __contains__(self, key: str | None) -> bool:
-        return key is not None and self.state.containsKey(Row(key))
+        return key is not None and self._get(key) is not None
 
     def __getitem__(self, key: str):
-        return self.out(self.state.getValue(Row(key)))
+        return self.out(self._get(key))
 
     def __setitem__(self, key: str | None, value) -> None:
-        if key is not None:
-            self.state.updateValue(Row(key), self.into(value))
+        if key is None:
+            return
+        if key in self.held or len(self.held) < INLINE:
+            self.held[key] = self.into(value)
+        else:
+            self.found[key] = self.into(value)
+            self.changed.add(key)
 
     def append(self, key: str | None) -> None:
         self[key] = True
 
+    def write(self) -> None:
+        for key in sorted(self.changed):
+            self.state.updateValue(Row(key), Row(*self.found[key]))
+
+    def inner(self) -> dict:
+        """The entries that go with the case."""
+        return {key: tuple(value) for key, value in self.held.items()}
+
 
 SCALARS = {"status": "string", "version": "long", "active": "string", "accepted_at": "long", "answer": "string", "later": "boolean", "clarified": "int", "ticket": "string", "messages": "int"}
+MAPS = {"seen": "body string", "answers": "there boolean", "feedback": "useful boolean, solved boolean"}
 
 
 class CaseFold(StatefulProcessor):
-    """The fold of cases.apply_event: what changes with every event in a value state, receipts, answers and ratings in map
-    states by their key (T1)."""
+    """The fold of cases.apply_event: a value state for each case, with its first receipts, answers and ratings; map states by
+    their key for the rest (T1). A case is read once a trigger, and written if an event changed it; most are refused."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.case = handle.getValueState("case", ", ".join(f"{k} {v}" for k, v in SCALARS.items()))
-        self.seen = handle.getMapState("seen", "receipt string", "body string")
-        self.answers = handle.getMapState("answers", "request_key string", "there boolean")
-        self.ratings = handle.getMapState("ratings", "request_key string", "useful boolean, solved boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state = dict(zip(SCALARS, self.case.get(), strict=True)) if self.case.exists() else {k: S.NEW[k] for k in SCALARS}
-        ratings = StoredMap(self.ratings, lambda v: Row(v.get("useful"), v.get("solved")), lambda v: {"useful": v[0], "solved": v[1]})
-        state |= {"seen": StoredMap(self.seen), "answers": StoredMap(self.answers), "feedback": ratings}
-        out = []
-        for e in records(rows, "ts", "event_id"):
+        inner = [f"{m} map<string, struct<{', '.join(':'.join(f.split()) for f in v.split(', '))}>>, {m}_stored boolean" for m, v in MAPS.items()]
+        self.case = handle.getValueState("case", ", ".join([*(f"{k} {v}" for k, v in SCALARS.items()), *inner]))
+        self.maps = {m: handle.getMapState(m, "key string", v) for m, v in MAPS.items()}
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        before = self.case.get()
+        scalars = tuple(before[: len(SCALARS)]) if before is not None else tuple(S.NEW[k] for k in SCALARS)
+        inner = before[len(SCALARS) :] if before is not None else (None, False) * len(MAPS)
+        ways = {"feedback": (lambda v: (v.get("useful"), v.get("solved")), lambda v: {k: g for k, g in zip(("useful", "solved"), v, strict=True) if g is not None})}
+        kept = {m: Kept(inner[2 * i], inner[2 * i + 1], self.maps[m], *ways.get(m, ())) for i, m in enumerate(MAPS)}
+        state, changed = dict(zip(SCALARS, scalars, strict=True)) | kept, False
+        for e in sorted((r.asDict() for r in rows), key=lambda r: (r["ts"] is None, r["ts"], r["event_id"] is None, r["event_id"])):
             ok, why, cancelled = S.apply_event(state, e)
-            out.append((key[0], e["event_id"], ok, why, state["version"], state["status"], state["ticket"], cancelled))
-        self.case.update(tuple(state[k] for k in SCALARS))
-        yield pd.DataFrame(out, columns=["case_id", "event_id", "accepted", "reason", "version", "status", "ticket", "cancelled"])
+            changed |= ok  # what is refused changes nothing
+            yield Row(case_id=key[0], event_id=e["event_id"], accepted=ok, reason=why, version=state["version"], status=state["status"], ticket=state["ticket"], cancelled=cancelled)
+        if changed:
+            self.case.update((*(state[k] for k in SCALARS), *(x for k in kept.values() for x in (k.inner(), k.stored or bool(k.changed)))))
+            for k in kept.values():
+                k.write()
 
     def close(self) -> None:
         pass
@@ -87,7 +112,7 @@ class CaseFold(StatefulProcessor):
 
 def fold_stream(events: DataFrame) -> DataFrame:
     """The case fold over a stream of commands, a row for each event; started within with_rocksdb."""
-    return events.groupBy("case_id").transformWithStateInPandas(CaseFold(), S.RESULT, "Append", "None")
+    return events.withColumn("ts", F.unix_micros("ts")).groupBy("case_id").transformWithState(CaseFold(), S.RESULT, "Append", "None")
 
 
 REQUEST = "case_id long, request_key string, status string, error_code string, retryable boolean"
