@@ -4,13 +4,13 @@ Only the first WINDOW bytes of a suffix matter, so suffixes are windows: a windo
 document is removed. Windows are taken as WORDS symbols of eight bytes; common prefixes are counted in these.
 
 1. Tasks pack their documents into runs, each text once. Equal texts of other runs are found by a hash of 128 bits: all but
-   those of the smallest id are removed whole.
+   those of the smallest id are removed whole and take no part in what follows.
 2. A window that occurs twice has the same smallest hash of its GRAM-byte pieces both times. Runs send the set of these
    hashes, sorted, as differences; what only one text has comes back as 0. Such windows occur once, and aren't sorted.
 3. Neighbouring windows with one such hash make a unit, the string that they cover, so that copied passages are cut in equal units
    wherever they stand. Units are sorted and merged first (4, 5): one that a smaller document has is lost with all its windows.
-   Units that are left and share their hash with another one left may still share single windows: these are sorted and merged in the
-   same way. A window's smallest document always holds it in a unit that is left.
+   Units that are left may still share single windows: these are hashed as wholes, and windows of a hash that several documents have
+   are sorted and merged in the same way. A window's smallest document always holds it in a unit that is left.
 4. Each run sorts its strings, a symbol at a time within ties, so that prefixes are known; equal ones become one entry with its
    smallest document, the others are covered. Entries are cut into ranges and sent front-coded: the number of symbols shared with the
    entry before, then the others.
@@ -29,6 +29,7 @@ table gives no rows; other columns are ignored. Splitters of ranges come from a
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import math
@@ -51,29 +52,40 @@ SPAN = WINDOW - GRAM + 1
 UNIT_WORDS = -(-(WINDOW + SPAN - 1) // 8) + 1
 RUN_BYTES = 8 << 20
 #: Positions whose hashes are made at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 16
 #: Bits by which the hashes of step 2 exceed the logarithm of their number, and hashes of a bucket.
-SPARE_BITS, BUCKET_HASHES = 8, 1_000_000
+SPARE_BITS, BUCKET_HASHES = 8, 2_000_000
 #: Entries of a range, ranges at least and at most, windows of a run that the splitters are drawn from, and how many of all.
 RANGE_ENTRIES, RANGES, MOST_RANGES, SAMPLE, MOST_SAMPLES = 1_000_000, 12, 1 << 17, 64, 500_000
-#: Runs that one tree merges, entries of a lane.
-FAN, LANE = 512, 512
+#: Runs that one tree merges, entries of a lane (twice as many as its tree has runs at least).
+FAN, LANE = 512, 64
 #: Compression of what is large: texts of runs and symbols of entries.
 LEVEL = 3
 #: Of a symbol, the first 0 to 8 bytes.
 MASKS = np.array([(0xFFFFFFFFFFFFFFFF << (8 * (8 - i))) & 0xFFFFFFFFFFFFFFFF for i in range(9)], dtype=np.uint64)
 NO_ID = np.iinfo(np.int64).max
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xA0761D6478BD642F], dtype=np.uint64)
+_WHOLE = np.array([*_MIX, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 RUNS = "run string, ids array<long>, texts array<int>, sizes array<int>, firsts array<long>, hashes array<binary>, sample array<binary>, n_bytes long, data binary"
 
 
+@functools.cache
+def _compressor(level: int) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=level)
+
+
+@functools.cache
+def _decompressor() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
 def squeeze(data, level: int = 1) -> bytes:
-    return zstandard.ZstdCompressor(level=level).compress(memoryview(np.ascontiguousarray(data)).cast("B") if isinstance(data, np.ndarray) else data)
+    return _compressor(level).compress(memoryview(np.ascontiguousarray(data)).cast("B") if isinstance(data, np.ndarray) else data)
 
 
 def unsqueeze(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=kind)
+    return np.frombuffer(_decompressor().decompress(data), dtype=kind)
 
 
 def _packed(rows: list[tuple[int | None, bytes]]) -> pa.RecordBatch:
@@ -119,10 +131,14 @@ def _pack(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBat
 
 
 class Texts:
-    """A run's texts laid end to end, with zeros behind; ``size`` bytes, text t from starts[t] to starts[t + 1]."""
-
-    def __init__(self, data: bytes, sizes: list[int]) -> None:
-        raw = zstandard.ZstdDecompressor().decompress(data) if sum(sizes) else b""
+    """A run's texts but for those gone, laid end to end, with zeros behind; ``size`` bytes, text t from starts[t] to starts[t + 1]."""
+
+    def __init__(self, data: bytes, sizes: list[int], gone: list[int] | None = None) -> None:
+        raw = _decompressor().decompress(data) if sum(sizes) else b""
+        if gone:
+            ends, skip = list(itertools.accumulate(sizes)), set(gone)
+            raw = b"".join(raw[b - n : b] for t, (b, n) in enumerate(zip(ends, sizes, strict=True)) if t not in skip)
+            sizes = [n for t, n in enumerate(sizes) if t not in skip]
         self.size, self.raw = len(raw), raw + bytes(128)
         self.starts = np.r_[0, np.cumsum(np.array(sizes, dtype=np.int64))]
         self._words = np.ndarray((len(self.raw) - 7,), dtype=">u8", buffer=self.raw, strides=(1,))
@@ -138,12 +154,23 @@ class Texts:
         w = [self._words[at + k].astype(np.uint64) for k in (0, 8, 16, 18)]
         return mix64(w[0] * _MIX[0] + w[1] * _MIX[1] + w[2] * _MIX[2] + w[3] * _MIX[3])
 
+    def window_hash(self, at: np.ndarray, bits: int) -> np.ndarray:
+        """A hash of the whole window at each position."""
+        out = np.empty(len(at), dtype=np.uint64)
+        for a in range(0, len(at), BLOCK):
+            here = at[a : a + BLOCK]
+            h = np.zeros(len(here), dtype=np.uint64)
+            for k, m in zip((0, 8, 16, 24, 32, 40, 42), _WHOLE, strict=True):
+                h += self._words[here + k].astype(np.uint64) * m
+            out[a : a + BLOCK] = mix64(h) >> np.uint64(64 - bits)
+        return out
+
     def codes(self, at: np.ndarray, bits: int) -> np.ndarray:
         """The least hash of the window at each position."""
         least = self.gram_hash(at)
         for k in range(1, SPAN):
             least = np.minimum(least, self.gram_hash(at + k))
-        return least >> np.uint64(64 - bits)
+        return mix64(least) >> np.uint64(64 - bits)  # least hashes are small: mixed again they spread over all buckets
 
     def units(self, changes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Positions and sizes of the units that begin at changes, long ones cut after SPAN windows, and which change each is of."""
@@ -155,8 +182,10 @@ class Texts:
 
     def windows(self) -> np.ndarray:
         """Whether a window starts at each position."""
-        ends = np.repeat(self.starts[1:], np.diff(self.starts))
-        return np.arange(self.size) + WINDOW <= ends
+        ok = np.ones(self.size, dtype=bool)
+        n = np.minimum(np.diff(self.starts), WINDOW - 1)
+        ok[np.repeat(self.starts[1:] - np.cumsum(n), n) + np.arange(int(n.sum()))] = False
+        return ok
 
     def least_hashes(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions of windows at which the least hash of the window's grams or the text changes, and that hash."""
@@ -169,14 +198,14 @@ class Texts:
             h = mix64(w[:m] * _MIX[0] + w[8 : m + 8] * _MIX[1] + w[16 : m + 16] * _MIX[2] + w[18 : m + 18] * _MIX[3])
             for step in (1, 2, 4, 8):
                 h = np.minimum(h[:-step], h[step:])
-            h = np.minimum(h[: b - a], h[SPAN - 16 : SPAN - 16 + b - a]) >> np.uint64(64 - bits)
+            h = np.minimum(h[: b - a], h[SPAN - 16 : SPAN - 16 + b - a])
             here = np.flatnonzero(ok[a:b])
             new = np.r_[True, h[here[1:]] != h[here[:-1]]] if len(here) else np.zeros(0, bool)
             begins = np.zeros(b - a, dtype=bool)
             begins[self.starts[np.searchsorted(self.starts, a) : np.searchsorted(self.starts, b)] - a] = True
             new |= begins[here]
             at.append(here[new] + a)
-            codes.append(h[here[new]])
+            codes.append(mix64(h[here[new]]) >> np.uint64(64 - bits))
         return np.concatenate(at or [np.zeros(0, np.int64)]), np.concatenate(codes or [np.zeros(0, np.uint64)])
 
     def text_of(self, at: np.ndarray) -> np.ndarray:
@@ -203,10 +232,23 @@ HASHES = "run string, bucket int, n int, hashes binary, several binary"
 HASH_FIELDS = pa.schema([("run", pa.string()), ("bucket", pa.int32()), ("n", pa.int32()), ("hashes", pa.binary()), ("several", pa.binary())])
 
 
+def ordered(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of codes below 2 ** bits, equal ones as they came, and the sorted codes. Where both fit in a word it is sorted
+    with the place in it, which takes half the time."""
+    low = max(1, (len(codes) - 1).bit_length())
+    if bits + low > 64:
+        order = np.argsort(codes, kind="stable")
+        return order, codes[order]
+    both = codes << np.uint64(low)
+    both |= np.arange(len(codes), dtype=np.uint64)
+    both.sort()
+    return (both & np.uint64((1 << low) - 1)).astype(np.int64), both >> np.uint64(low)
+
+
 def _hash_rows(run: str, codes: np.ndarray, of: np.ndarray, bits: int, bucket_bits: int) -> Iterator[pa.RecordBatch]:
-    """The distinct codes of a run by bucket, and which of them more than one owner has."""
-    order = np.argsort(codes, kind="stable")
-    codes, of = codes[order], of[order]
+    """The distinct codes of a run by bucket, and which of them more than one text has."""
+    order, codes = ordered(codes, bits)
+    of = of[order]
     first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
     if not len(first):
         return
@@ -215,33 +257,40 @@ def _hash_rows(run: str, codes: np.ndarray, of: np.ndarray, bits: int, bucket_bi
     low = np.uint64(bits - bucket_bits)
     bucket = (codes >> low).astype(np.int64)
     cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(codes)]
-    for a, b in itertools.pairwise(cuts.tolist()):
-        values = codes[a:b] & np.uint64((1 << int(low)) - 1)
-        yield pa.RecordBatch.from_pylist([{"run": run, "bucket": int(bucket[a]), "n": b - a, "hashes": _differences(values), "several": np.packbits(several[a:b]).tobytes()}], HASH_FIELDS)
+    codes &= np.uint64((1 << int(low)) - 1)
+    row = lambda a, b: (run, int(bucket[a]), b - a, _differences(codes[a:b]), np.packbits(several[a:b]).tobytes())
+    yield _batch([row(a, b) for a, b in itertools.pairwise(cuts.tolist())], HASH_FIELDS)
+
+
+def _batch(rows: list[tuple], fields: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
 
 
 def _send_hashes(batches: Iterator[pa.RecordBatch], bits: int, bucket_bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for run, data, sizes in _rows(batch, "run", "data", "sizes"):
-            texts = Texts(data, sizes)
+        for run, data, sizes, gone in _rows(batch, "run", "data", "sizes", "gone"):
+            texts = Texts(data, sizes, gone)
             at, codes = texts.least_hashes(bits)
             yield from _hash_rows(run, codes, texts.text_of(at), bits, bucket_bits)
 
 
-def marked(codes: np.ndarray, answers: list[dict] | None) -> np.ndarray:
-    """Whether each code came back as one that several texts or units have."""
+def marked(codes: np.ndarray, answers: list[dict] | None, bits: int) -> np.ndarray:
+    """Whether each code came back as one that several texts have."""
     told = [np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=a["n"]) for a in sorted(answers or [], key=lambda a: a["bucket"])]
-    twice = np.concatenate([np.zeros(0, np.uint8), *told]).astype(bool)
-    return twice[np.searchsorted(np.unique(codes), codes)] if len(twice) else np.zeros(len(codes), dtype=bool)
+    twice, out = np.concatenate([np.zeros(0, np.uint8), *told]).astype(bool), np.zeros(len(codes), dtype=bool)
+    if len(twice):
+        order, codes = ordered(codes, bits)
+        out[order] = twice[np.cumsum(np.r_[False, codes[1:] != codes[:-1]])]
+    return out
 
 
 def _answer(rows: pa.Table) -> pa.Table:
     """Which hashes of each run more than one text has."""
     runs, ns, buckets = (rows.column(c).to_pylist() for c in ("run", "n", "bucket"))
-    values = np.concatenate([_whole(x.as_py()) for x in rows.column("hashes")])
-    twice = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n) for x, n in zip(rows.column("several"), ns, strict=True)]).astype(bool)
-    order = np.argsort(values, kind="stable")
-    same = values[order][1:] == values[order][:-1]
+    values = np.concatenate([_whole(x) for x in rows.column("hashes").to_pylist()])
+    twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(rows.column("several").to_pylist(), ns, strict=True)]).astype(bool)
+    order, values = ordered(values, int(values.max()).bit_length())
+    same = values[1:] == values[:-1]
     twice[order] |= np.r_[False, same] | np.r_[same, False]
     cuts = np.r_[0, np.cumsum(ns)]
     bits = [twice[a:b] for a, b in itertools.pairwise(cuts)]
@@ -298,11 +347,11 @@ class Entries:
     """A run's strings, sorted: each distinct one (heads, sizes, shared: symbols shared with the one before) with its smallest document
     (docs) and its places there (``times`` of each in ``places``, of ``place_sizes``); covered: places in larger documents."""
 
-    def __init__(self, texts: Texts, firsts: list[int], at: np.ndarray, sizes: np.ndarray | None = None) -> None:
+    def __init__(self, texts: Texts, firsts: np.ndarray, at: np.ndarray, sizes: np.ndarray | None = None) -> None:
         order, shared = sort_strings(texts, at, sizes)
         all_sizes = np.full(len(at), WINDOW) if sizes is None else sizes
         at, all_sizes = at[order], all_sizes[order]
-        docs = np.array(firsts, dtype=np.int64)[texts.text_of(at)]
+        docs = firsts[texts.text_of(at)]
         start = np.flatnonzero(shared < (WORDS if sizes is None else UNIT_WORDS))
         ends = np.r_[start, len(at)]
         self.docs = np.minimum.reduceat(docs, start) if len(start) else docs
@@ -316,12 +365,14 @@ class Entries:
     def pieces(self, texts: Texts, run: str, bounds: list[bytes]) -> Iterator[pa.RecordBatch]:
         size = lambda i: WINDOW if self.sizes is None else self.sizes[i]
         cuts = [0, *(bisect_left(range(len(self.heads)), s, key=lambda i: texts.raw[self.heads[i] : self.heads[i] + size(i)]) for s in bounds), len(self.heads)]
+        rows = []
         for r, (a, b) in enumerate(itertools.pairwise(cuts)):
             if a < b:
                 first, symbols = front_coded(texts, self.heads[a:b], None if self.sizes is None else self.sizes[a:b], self.shared[a:b])
                 ids, docs = np.unique(self.docs[a:b], return_inverse=True)
-                row = {"range": r, "run": run, "n": b - a, "shared": first, "symbols": symbols, "ids": squeeze(ids), "docs": squeeze(docs.astype(np.uint32))}
-                yield pa.RecordBatch.from_pylist([row], PIECE_FIELDS)
+                rows.append((r, run, b - a, first, symbols, squeeze(ids), squeeze(docs.astype(np.uint32)), None))
+        if rows:
+            yield _batch(rows, PIECE_FIELDS)
 
     def lost(self, told: list[dict] | None) -> np.ndarray:
         """Whether a smaller document of another run has each entry."""
@@ -335,58 +386,63 @@ def _starts(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(at - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
 
+def _own_row(run: str, own: bytes, splitters) -> pa.RecordBatch:
+    """What a run needs again after the merge goes round with the row of a range."""
+    return pa.RecordBatch.from_pylist([{"range": int.from_bytes(run[:8].encode()) % (len(splitters.value) + 1), "run": run, "n": 0, "own": own}], PIECE_FIELDS)
+
+
 class Units:
-    """A run's units after their merge: those that are left, with the code of their windows."""
+    """A run's units after their merge."""
 
-    def __init__(self, texts: Texts, firsts: list[int], own: bytes, told: list[dict] | None, bits: int) -> None:
+    def __init__(self, texts: Texts, firsts: np.ndarray, own: bytes, told: list[dict] | None) -> None:
         at, sizes = np.split(unsqueeze(own, np.uint32).astype(np.int64), 2)
-        self.texts, self.firsts = texts, firsts
         self.entries = Entries(texts, firsts, np.cumsum(at), sizes)
         self.lost = self.entries.lost(told)
-        self.left = np.flatnonzero(~self.lost)
-        self.codes = texts.codes(self.entries.heads[self.left], bits)
 
-    def windows(self, answers: list[dict] | None) -> Entries:
-        """The windows of units that are left and share their code with another."""
-        wanted = np.zeros(len(self.lost), dtype=bool)
-        wanted[self.left] = marked(self.codes, answers)
-        places = np.repeat(wanted, self.entries.times)
-        at = _starts(self.entries.places[places], self.entries.place_sizes[places])
-        return Entries(self.texts, self.firsts, np.sort(at))
+    def windows(self, lost: bool) -> np.ndarray:
+        """The windows of units that are lost, or those of units that are left but for places in larger documents."""
+        e = self.entries
+        places = np.repeat(self.lost == lost, e.times)
+        return np.sort(_starts(e.places[places], e.place_sizes[places]))
 
     def removed_windows(self) -> np.ndarray:
-        e = self.entries
-        places = np.repeat(self.lost, e.times)
-        return np.r_[_starts(e.covered, e.covered_sizes), _starts(e.places[places], e.place_sizes[places])]
+        return np.r_[_starts(self.entries.covered, self.entries.covered_sizes), self.windows(True)]
+
+
+def _firsts(firsts: list[int], gone: list[int] | None) -> np.ndarray:
+    return np.delete(np.array(firsts, dtype=np.int64), gone or [])
 
 
 def _sort_units(batches: Iterator[pa.RecordBatch], bits: int, splitters) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for run, data, sizes, firsts, answers, gone in _rows(batch, "run", "data", "sizes", "firsts", "answers", "gone"):
-            texts = Texts(data, sizes)
+            texts = Texts(data, sizes, gone)
             changes, codes = texts.least_hashes(bits)
             at, lengths, of = texts.units(changes)
-            wanted = marked(codes, answers)[of] & ~np.isin(texts.text_of(at), np.array(gone or [], dtype=np.int64))
+            wanted = marked(codes, answers, bits)[of]
             at, lengths = at[wanted], lengths[wanted]
             if len(at):
-                own = squeeze(np.r_[np.diff(at, prepend=0), lengths].astype(np.uint32))
-                spread = int.from_bytes(run[:8].encode()) % (len(splitters.value) + 1)
-                yield pa.RecordBatch.from_pylist([{"range": spread, "run": run, "n": 0, "own": own}], PIECE_FIELDS)
-                yield from Entries(texts, firsts, at, lengths).pieces(texts, run, splitters.value)
+                yield _own_row(run, squeeze(np.r_[np.diff(at, prepend=0), lengths].astype(np.uint32)), splitters)
+                yield from Entries(texts, _firsts(firsts, gone), at, lengths).pieces(texts, run, splitters.value)
 
 
-def _send_left(batches: Iterator[pa.RecordBatch], bits: int, bucket_bits: int) -> Iterator[pa.RecordBatch]:
+def _send_windows(batches: Iterator[pa.RecordBatch], bits: int, bucket_bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for run, data, sizes, firsts, own, units in _rows(batch, "run", "data", "sizes", "firsts", "own", "units"):
-            u = Units(Texts(data, sizes), firsts, own, units, bits)
-            yield from _hash_rows(run, u.codes, np.arange(len(u.codes)), bits, bucket_bits)
+        for run, data, sizes, firsts, own, units, gone in _rows(batch, "run", "data", "sizes", "firsts", "own", "units", "gone"):
+            texts = Texts(data, sizes, gone)
+            at = Units(texts, _firsts(firsts, gone), own, units).windows(False)
+            yield from _hash_rows(run, texts.window_hash(at, bits), texts.text_of(at), bits, bucket_bits)
 
 
 def _sort_windows(batches: Iterator[pa.RecordBatch], bits: int, splitters) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for run, data, sizes, firsts, own, units, answers in _rows(batch, "run", "data", "sizes", "firsts", "own", "units", "answers"):
-            texts = Texts(data, sizes)
-            yield from Units(texts, firsts, own, units, bits).windows(answers).pieces(texts, run, splitters.value)
+        for run, data, sizes, firsts, own, units, answers, gone in _rows(batch, "run", "data", "sizes", "firsts", "own", "units", "answers", "gone"):
+            texts, firsts = Texts(data, sizes, gone), _firsts(firsts, gone)
+            at = Units(texts, firsts, own, units).windows(False)
+            at = at[marked(texts.window_hash(at, bits), answers, bits)]
+            if len(at):
+                yield _own_row(run, squeeze(np.diff(at, prepend=0).astype(np.uint32)), splitters)
+                yield from Entries(texts, firsts, at).pieces(texts, run, splitters.value)
 
 
 class Lanes:
@@ -471,7 +527,7 @@ def merge(words: np.ndarray, runs: list[tuple[np.ndarray, np.ndarray]], fan: int
     rows, shared = (np.concatenate([r[i] for r in runs]) for i in range(2))
     starts = np.r_[0, np.cumsum([len(r) for r, _ in runs])]
     keys = words[rows].astype(">u8").view(f"S{8 * words.shape[1]}").ravel()
-    lanes = max(1, min(len(rows) // lane, 4_000_000 // len(runs)))
+    lanes = max(1, len(rows) // max(lane, 2 * len(runs)))
     sample = np.sort(keys[:: max(1, len(keys) // (16 * lanes))])
     splits = np.unique(sample[np.linspace(0, len(sample), lanes, endpoint=False).astype(int)[1:]])
     cuts = np.stack([np.r_[a, a + np.searchsorted(keys[a:b], splits), b] for a, b in itertools.pairwise(starts.tolist())], axis=1)
@@ -518,32 +574,32 @@ def _merge_range(pieces: pa.Table, n: int) -> pa.Table:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def _remove(batches: Iterator[pa.RecordBatch], bits: int, digest: bool) -> Iterator[pa.RecordBatch]:
+def _remove(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for data, sizes, firsts, ids, of, own, units, answers, windows, gone in _rows(batch, "data", "sizes", "firsts", "ids", "texts", "own", "units", "answers", "windows", "gone"):
-            texts = Texts(data, sizes)
-            starts = np.zeros(texts.size, dtype=bool)
+        for data, sizes, firsts, ids, of, own, units, places, windows, gone in _rows(batch, "data", "sizes", "firsts", "ids", "texts", "own", "units", "places", "windows", "gone"):
+            texts, left = Texts(data, sizes, gone), _firsts(firsts, gone)
+            removed = np.zeros(texts.size, dtype=bool)
             if own:  # sorted again, which is less than to send the places round
-                u = Units(texts, firsts, own, units, bits)
-                starts[u.removed_windows()] = True
-                if windows:
-                    e = u.windows(answers)
-                    starts[e.covered] = True
-                    starts[e.places[np.repeat(e.lost(windows), e.times)]] = True
-                    del e
-                del u
-            before = np.r_[0, np.cumsum(starts)]
-            removed = before[1:] > before[np.maximum(np.arange(texts.size) + 1 - WINDOW, 0)]
-            for t in gone or []:
-                removed[texts.starts[t] : texts.starts[t + 1]] = True
+                removed[Units(texts, left, own, units).removed_windows()] = True
+            if places:
+                e = Entries(texts, left, np.cumsum(unsqueeze(places, np.uint32), dtype=np.int64))
+                removed[e.covered] = True
+                removed[e.places[np.repeat(e.lost(windows), e.times)]] = True
+                del e
+            for n in (1, 2, 4, 8, 16, 18):  # windows that begin at most 1, 3, 7, 15, 31, 49 bytes before
+                removed[n:] |= removed[:-n].copy()
             said = hashlib.sha256 if digest else bytes
-            told, whole = [], []
+            told = []
             for a, b in itertools.pairwise(texts.starts.tolist()):
                 cut, text = removed[a:b], texts.raw[a:b]
                 spans = int(np.count_nonzero(cut[1:] > cut[:-1])) + int(b > a and cut[0])
                 kept = np.frombuffer(text, np.uint8)[~cut].tobytes() if spans else text
                 told.append((b - a, int(np.count_nonzero(cut)), spans, said(kept)))
-                whole.append((b - a, b - a, 1, said(b"")) if b - a >= WINDOW else told[-1])
+            whole = [(n, n, 1, said(b"")) if n >= WINDOW else None for n in sizes]
+            if gone:
+                each, skip = iter(told), set(gone)
+                told = [whole[t] if t in skip else next(each) for t in range(len(sizes))]
+            whole = [w or x for w, x in zip(whole, told, strict=True)]
             rows = [(i, *(told if (NO_ID if i is None else i) == firsts[t] else whole)[t]) for i, t in zip(ids, of, strict=True)]
             for part in itertools.batched(rows, 1_000):
                 columns = [list(c) for c in zip(*part, strict=True)]
@@ -566,16 +622,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     runs = _bucketed(rows.mapInArrow(lambda it: _pack(it, run_bytes), RUNS))
     total, n_runs = runs.agg(F.sum("n_bytes"), F.count("*")).first()
-    hashes = max(2, (total or 0) * 2 // (SPAN + 1))
-    bucket_bits = max(5, math.ceil(math.log2(hashes / BUCKET_HASHES)))
-    bits = min(64, max(bucket_bits + 16, math.ceil(math.log2(hashes)) + SPARE_BITS))
+    bits, bucket_bits = _widths((total or 0) * 2 // (SPAN + 1))
 
     slots = runs.select("run", F.posexplode(F.arrays_zip("hashes", "firsts", "sizes")).alias("slot", "x")).where(f"x.sizes >= {WINDOW}").select("run", "slot", "x.hashes", "x.firsts")
     least = slots.groupBy("hashes").agg(F.min("firsts").alias("least"), F.max("firsts").alias("most")).where("least < most").select("hashes", "least")
     gone = slots.join(least, "hashes").where("least < firsts").groupBy("run").agg(F.collect_list("slot").alias("gone"))
     gone = table(gone, "suffix-gone")
 
-    texts = runs.select("run", "data", "sizes", "firsts")
+    texts = _with(runs.select("run", "data", "sizes", "firsts"), gone)
     answers = _asked(texts.drop("firsts").mapInArrow(lambda it: _send_hashes(it, bits, bucket_bits), HASHES), "suffix-answers")
     n_twice = answers.agg(F.sum("n_twice")).first()[0] or 0
     sample = runs.select(F.explode("sample").alias("x"))
@@ -584,24 +638,33 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     drawn = sorted(sample.toArrow()["x"].to_pylist())
 
     cuts = _splitters(spark, drawn, n_twice)
-    ready = _with(texts, _by_run(answers), gone)
-    units = table(ready.mapInArrow(lambda it: _sort_units(it, bits, cuts), PIECES).groupBy("range").applyInArrow(lambda rows: _merge_range(rows, UNIT_WORDS), LOST), "suffix-units")
-    of_units = units.groupBy("run").agg(F.collect_list(F.when(F.col("n") > 0, F.struct("range", "n", "bits"))).alias("units"), F.max("own").alias("own"))
+    units = table(_with(texts, _by_run(answers)).mapInArrow(lambda it: _sort_units(it, bits, cuts), PIECES).groupBy("range").applyInArrow(lambda rows: _merge_range(rows, UNIT_WORDS), LOST), "suffix-units")
+    of_units = _told(units, "units", "own")
     with_units = texts.join(of_units.hint("merge"), "run")
 
-    again = _asked(with_units.mapInArrow(lambda it: _send_left(it, bits, bucket_bits), HASHES), "suffix-answers-left")
-    n_left = again.agg(F.sum("n_twice")).first()[0] or 0
-    finer = _splitters(spark, drawn, n_left * (SPAN + 1) // 2)
-    windows = table(_with(with_units, _by_run(again)).mapInArrow(lambda it: _sort_windows(it, bits, finer), PIECES).groupBy("range").applyInArrow(lambda rows: _merge_range(rows, WORDS), LOST), "suffix-windows")
-    of_windows = windows.groupBy("run").agg(F.collect_list(F.struct("range", "n", "bits")).alias("windows"))
+    whole_bits, whole_buckets = _widths(n_twice * (SPAN + 1) // 2)
+    again = _asked(with_units.mapInArrow(lambda it: _send_windows(it, whole_bits, whole_buckets), HASHES), "suffix-answers-windows")
+    finer = _splitters(spark, drawn, again.agg(F.sum("n_twice")).first()[0] or 0)
+    windows = table(_with(with_units, _by_run(again)).mapInArrow(lambda it: _sort_windows(it, whole_bits, finer), PIECES).groupBy("range").applyInArrow(lambda rows: _merge_range(rows, WORDS), LOST), "suffix-windows")
 
-    last = _with(runs.select("run", "data", "sizes", "firsts", "ids", "texts"), of_units, _by_run(again), of_windows, gone)
-    result = table(last.mapInArrow(lambda it: _remove(it, bits, digest), RESULT), "suffix-result")
+    last = _with(runs.select("run", "data", "sizes", "firsts", "ids", "texts"), gone, of_units, _told(windows, "windows", "places"))
+    result = table(last.mapInArrow(lambda it: _remove(it, digest), RESULT), "suffix-result")
     for used in (runs, answers, again, units, windows, gone):
         drop_table(used)
     return result
 
 
+def _widths(hashes: int) -> tuple[int, int]:
+    """Bits of so many hashes, and those of them that name a bucket."""
+    buckets = max(5, math.ceil(math.log2(max(2, hashes) / BUCKET_HASHES)))
+    return min(64, max(buckets + 16, math.ceil(math.log2(max(2, hashes))) + SPARE_BITS)), buckets
+
+
+def _told(merged: DataFrame, bits: str, own: str) -> DataFrame:
+    """run, bits: what the ranges tell of its entries, own: what it sent for itself."""
+    return merged.groupBy("run").agg(F.collect_list(F.when(F.col("n") > 0, F.struct("range", "n", "bits"))).alias(bits), F.max("own").alias(own))
+
+
 def _asked(sent: DataFrame, name: str) -> DataFrame:
     return table(sent.groupBy("bucket").applyInArrow(_answer, "run string, bucket int, n int, n_twice long, bits binary"), name)
 

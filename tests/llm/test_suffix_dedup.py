@@ -166,3 +166,79 @@ def test_units():
     assert [bool(s == suffix_dedup.UNIT_WORDS) for s in shared] == [False, *(a == b for a, b in zip(sorted(strings), sorted(strings)[1:], strict=False))]
     codes = texts.codes(at, 40)
     assert (codes == texts.codes(at + sizes - 50, 40)).all()
+
+
+def sorted_entries(spark, monkeypatch, rows, **how):
+    """How many units and windows went to the merges."""
+    made = []
+    monkeypatch.setattr(suffix_dedup, "drop_table", made.append)
+    held(spark, rows, **how)
+    n = lambda name: sum(df.selectExpr("coalesce(sum(n), 0) AS n").first().n for df in made if any(name in f for f in df.inputFiles()))
+    return n("suffix-units-"), n("suffix-windows-")
+
+
+def test_only_shared_windows_are_sorted(spark, monkeypatch):
+    """Texts that share 45 bytes share hashes of 26 bytes, but no window."""
+    rng = random.Random(4)
+    own = lambda: "".join(rng.choices("abcdefghijkl ", k=200))
+    short, long = own()[:45], own()[:80]
+    units, windows = sorted_entries(spark, monkeypatch, [(i, own() + short + own()) for i in range(40)], run_bytes=2000)
+    assert units > 0 and windows <= 10
+    units, windows = sorted_entries(spark, monkeypatch, [(i, own() + long[: 80 - i % 3] + own()) for i in range(40)], run_bytes=2000)
+    assert units > 0 and windows <= 40 * 31
+
+
+def test_copies_are_not_sorted(spark, monkeypatch):
+    assert sorted_entries(spark, monkeypatch, [(i, LONG) for i in range(20)] + [(20, LONG[::-1])], run_bytes=1) == (0, 0)
+
+
+def test_texts_without_those_gone():
+    parts = [LONG[:90], LONG[90:200], "short", LONG[200:260]]
+    texts = suffix_dedup.Texts(suffix_dedup.squeeze("".join(parts).encode()), [len(x) for x in parts], [1, 3])
+    assert texts.raw[: texts.size].decode() == parts[0] + "short" and texts.starts.tolist() == [0, 90, 95]
+    assert np.flatnonzero(texts.windows()).tolist() == list(range(41))
+
+
+def test_window_hashes():
+    """A change of any of the 50 bytes changes the hash, and no other byte counts."""
+    base = LONG[:60].encode()
+    h = lambda x: suffix_dedup.Texts(suffix_dedup.squeeze(x), [len(x)]).window_hash(np.array([0]), 48).tolist()[0]
+    changed = [h(base[:i] + b"#" + base[i + 1 :]) for i in range(60)]
+    assert len({h(base), *changed[:50]}) == 51 and set(changed[50:]) == {h(base)}
+
+
+@pytest.mark.parametrize("bits", [30, 60])
+def test_marked_codes(bits):
+    rng = np.random.default_rng(bits)
+    codes = rng.integers(0, 1 << bits, 3000, dtype=np.uint64)[rng.integers(0, 3000, 5000)]
+    order, values = suffix_dedup.ordered(codes, bits)
+    assert order.tolist() == np.argsort(codes, kind="stable").tolist() and values.tolist() == sorted(codes.tolist())
+    told = set(rng.choice(codes, 700).tolist())
+    known = sorted(set(codes.tolist()))
+    half = len(known) // 2
+    answers = [{"bucket": b, "n": len(part), "bits": np.packbits([c in told for c in part]).tobytes()} for b, part in ((1, known[half:]), (0, known[:half]))]
+    assert suffix_dedup.marked(codes, answers, bits).tolist() == [c in told for c in codes.tolist()]
+    assert not suffix_dedup.marked(codes, None, bits).any()
+
+
+def test_lanes_are_short(monkeypatch):
+    """Runs of 20,000 entries in all are merged in few steps of many lanes."""
+    steps = []
+    real = suffix_dedup.Lanes.step
+    monkeypatch.setattr(suffix_dedup.Lanes, "step", lambda self, lanes: steps.append(lanes) or real(self, lanes))
+    rng = np.random.default_rng(3)
+    parts = [sorted_run(rng.integers(0, 9, (1000, 7))) for _ in range(20)]
+    words = np.concatenate([k for k, _ in parts])
+    cuts = np.cumsum([0] + [len(k) for k, _ in parts])
+    rows, _ = suffix_dedup.merge(words, [(np.arange(a, b), s) for a, b, (_, s) in zip(cuts, cuts[1:], parts, strict=False)])
+    assert list(map(tuple, words[rows])) == sorted(map(tuple, words)) and steps[0] > 200 and len(steps) < 200
+
+
+def test_hashes_are_dealt_evenly():
+    """The least of many hashes is small; its buckets are alike all the same."""
+    text = "".join(random.Random(6).choices("abcdefghijkl ", k=60_000)).encode()
+    texts = suffix_dedup.Texts(suffix_dedup.squeeze(text), [len(text)])
+    at, codes = texts.least_hashes(40)
+    each = np.bincount((codes >> np.uint64(35)).astype(int), minlength=32)
+    assert len(codes) > 3000 and each.max() < 2 * each.mean()
+    assert (codes == texts.codes(at, 40)).all()
