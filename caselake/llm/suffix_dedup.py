@@ -58,7 +58,7 @@ SPARE_BITS, BUCKET_HASHES = 8, 2_000_000
 #: Entries of a range, ranges at least and at most, windows of a run that the splitters are drawn from, and how many of all.
 RANGE_ENTRIES, RANGES, MOST_RANGES, SAMPLE, MOST_SAMPLES = 1_000_000, 12, 1 << 17, 64, 500_000
 #: Runs that one tree merges, entries of a lane (twice as many as its tree has runs at least).
-FAN, LANE = 512, 64
+FAN, LANE = 32, 64
 #: Compression of what is large: texts of runs and symbols of entries.
 LEVEL = 3
 #: Of a symbol, the first 0 to 8 bytes.
@@ -520,8 +520,10 @@ class Lanes:
 
 def merge(words: np.ndarray, runs: list[tuple[np.ndarray, np.ndarray]], fan: int = FAN, lane: int = LANE) -> tuple[np.ndarray, np.ndarray]:
     """Runs (rows of words in order, symbols shared with the row before) as one such run."""
-    while len(runs) > fan:
-        runs = [merge(words, list(part), fan, lane) for part in itertools.batched(runs, fan)]
+    while len(runs) > fan:  # in passes of about as many levels of full trees, as small ones stay in the caches
+        levels = (len(runs) - 1).bit_length()
+        passes = -(-levels // (fan.bit_length() - 1))
+        runs = [merge(words, list(part), fan, lane) for part in itertools.batched(runs, 1 << -(-levels // passes))]
     if len(runs) == 1:
         return runs[0]
     rows, shared = (np.concatenate([r[i] for r in runs]) for i in range(2))

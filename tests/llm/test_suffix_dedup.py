@@ -242,3 +242,18 @@ def test_hashes_are_dealt_evenly():
     each = np.bincount((codes >> np.uint64(35)).astype(int), minlength=32)
     assert len(codes) > 3000 and each.max() < 2 * each.mean()
     assert (codes == texts.codes(at, 40)).all()
+
+
+def test_trees_are_small(monkeypatch):
+    """Many runs are merged in passes of about equal fans."""
+    widths = []
+    real = suffix_dedup.Lanes.__init__
+    monkeypatch.setattr(suffix_dedup.Lanes, "__init__", lambda self, *a: real(self, *a) or widths.append(self.width))
+    rng = np.random.default_rng(5)
+    parts = [sorted_run(rng.integers(0, 4, (6, 7))) for _ in range(300)]
+    words = np.concatenate([k for k, _ in parts])
+    cuts = np.cumsum([0] + [len(k) for k, _ in parts])
+    rows, known = suffix_dedup.merge(words, [(np.arange(a, b), s) for a, b, (_, s) in zip(cuts, cuts[1:], parts, strict=False)])
+    got = list(map(tuple, words[rows]))
+    assert got == sorted(map(tuple, words)) and max(widths) <= 32
+    assert known.tolist() == [0] + [next((k for k in range(7) if a[k] != b[k]), 7) for a, b in zip(got, got[1:], strict=False)]
